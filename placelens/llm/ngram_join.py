@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     rows = materialise(rows.join(units, "unit").select("doc_id", "label", "links"), "join-rows")
     names = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     out = rows.join(names, "label").select("doc_id", "class_id", "links")
-    return out.union(docs.filter("text is null").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long"), F.lit(0).cast("long")))
+    own = F.col("doc_id").cast("long")
+    return out.unionByName(docs.filter("text is null").select(own.alias("doc_id"), own.alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, block: int = 512) -> DataFrame:
