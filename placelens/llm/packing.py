@@ -20,19 +20,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, hash_bucket, materialise, running_total, source_key
 
-CACHE = 400_000
+SPAN = 24_000_000
 
 
 class Encoder:
-    """Token ids of whole texts as bytes; remembers the ids of chunks between white space, ``CACHE`` of them at most.
+    """Token ids of whole texts as bytes, each with the end id.
 
     Neither the pre-tokeniser nor the normaliser of the vocabulary joins anything across ASCII blanks and line feeds, so
-    the ids of a text are those of its chunks in order.
+    the ids of a text are those of its chunks in order. Each distinct chunk of a batch is encoded once. Where the vocabulary
+    drops case and parts words from punctuation (it is asked), Latin-1 texts are lower-cased and dots and commas
+    after a letter cut off before chunks are compared, which gives the same ids from fewer chunks.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -42,24 +45,81 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if max(self.model.get_vocab_size(), end_id + 1) <= 65536 else np.dtype("<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out, known = [], self.known
-        for text in texts:
-            chunks = (text or "").replace("\n", " ").split(" ")
-            new = list(set(chunks).difference(known))
-            if new:
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    known[""] = b""
-                    new = list(set(chunks).difference(known))
-                for chunk, got in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(got.ids, self.dtype).tobytes()
-            out.append(b"".join(map(known.__getitem__, chunks)) + self.end)
-        return out
+        size = max(self.model.get_vocab_size(), end_id + 1)
+        self.dtype, self.end = np.dtype("<u2") if size <= 65536 else np.dtype("<u4"), end_id
+        one = lambda t: self.model.encode(t, add_special_tokens=False).ids
+        self.folds = one("Word.,") == one("word") + one(".,") and one("\u00c9t\u00e9, a") == one("\u00e9t\u00e9") + one(",") + one("a")
+        #: Whether an id ends a word; only of use where all words do end so.
+        self.ends = np.zeros(size, bool)
+        for token, i in self.model.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.marked = bool(self.ends[one("word")[-1]]) and self.folds
+
+    def chunks(self, texts: pa.Array) -> pa.ListArray:
+        if self.folds:
+            plain = pc.invert(pc.match_substring_regex(texts, r"[^\x{00}-\x{ff}]"))
+            texts = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([.,]+)([ \n]|$)", r"\1 \2\3"), texts)
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, and where those of each start (and the end)."""
+        ids, counts = [np.zeros(0, self.dtype)], np.zeros(len(chunks), np.int64)
+        plain = np.fromiter((self.marked and c.isascii() and c.isalpha() for c in chunks), bool, len(chunks))
+        for simple in (True, False):
+            at = np.flatnonzero(plain == simple)
+            for part in (at[k : k + 4000] for k in range(0, len(at), 4000)):
+                names = [chunks[k] for k in part]
+                got = self.model.encode(" ".join(names), add_special_tokens=False)
+                own = np.array(got.ids, self.dtype)
+                if simple:  # one word each
+                    last = np.flatnonzero(self.ends[own]) + 1
+                else:
+                    starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(own))
+                    last = np.searchsorted(starts, np.cumsum([len(c) + 1 for c in names]))
+                counts[part] = np.diff(last, prepend=0)
+                ids.append(own)
+        # Encoded simple ones first, then the others: bring them into the order of the chunks.
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        flat, place = np.concatenate(ids), np.zeros(len(chunks), np.int64)
+        place[order] = np.concatenate([[0], np.cumsum(counts[order])[:-1]]) if len(order) else place
+        return flat, np.stack([place, counts])
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """Binary ids of each text."""
+        lists = self.chunks(pc.fill_null(texts, ""))
+        words = lists.flatten().dictionary_encode()
+        flat, (place, counts) = self.encode(words.dictionary.to_pylist())
+        index = words.indices.to_numpy(zero_copy_only=False)
+        n, first = counts[index], place[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets -= offsets[0]
+        take = np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)
+        stops = ends[offsets]  # where texts begin and end among the tokens
+        doc = np.repeat(np.arange(len(lists)), np.diff(stops))
+        out = np.full(ends[-1] + len(lists), self.end, self.dtype)
+        out[np.arange(ends[-1]) + doc] = flat[take]
+        size = self.dtype.itemsize
+        edges = ((stops + np.arange(len(stops))) * size).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edges), pa.py_buffer(out)])
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def shared_encoder(path: str, end_id: int) -> Encoder:
+    """One for each worker process."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
+
+def spans(batch: pa.RecordBatch, column: str) -> list[pa.RecordBatch]:
+    """The batch in slices of about ``SPAN`` bytes of a text column, a longer text alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(SPAN, (sizes[-1] if len(sizes) else 0) + SPAN, SPAN)), batch.num_rows))
+    edges = np.unique(np.concatenate([[0], cuts])).tolist()
+    return [batch.slice(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
 def tree(units: list[int]) -> list[list[tuple[int, int, bool]]]:
@@ -134,11 +194,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, quantum: int = 128
     spark = docs.sparkSession
 
     def encode(batches):
-        coder = Encoder(tokenizer, end_id)
-        for b in batches:
-            ids = coder(b.column("text").to_pylist())
-            n = [len(x) // coder.dtype.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "source", "order")), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "source", "order", "n", "ids"])
+        coder = shared_encoder(tokenizer, end_id)
+        for b in (part for whole in batches for part in spans(whole, "text")):
+            ids = coder(b.column("text"))
+            n = pc.cast(pc.divide(pc.binary_length(ids), coder.dtype.itemsize), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "source", "order")), n, ids], names=["row", "doc_id", "source", "order", "n", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"), F.col("text").cast("string"))
     tokens = materialise(rows.mapInArrow(encode, "row long, doc_id long, source string, order long, n long, ids binary"), "pack-tokens")

@@ -67,10 +67,10 @@ QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_topk_search, op3_sourc
 ORACLES = {
     "op2_topk_search": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS u
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS u
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_dot_product(q.u, v.u) AS BIGINT) AS score
             FROM v q JOIN v ON v.vec_id <> q.vec_id AND len(v.u) = len(q.u)
