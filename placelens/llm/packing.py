@@ -160,31 +160,43 @@ def rest(total: int, length: int) -> list[int]:
     return edges
 
 
-def cut(pos: int, n: int, path, units: int, tail_at: int, quantum: int, length: int, edges: list[int]) -> list[tuple[int, int, int, int]]:
-    """Pieces (start, length, sequence, offset) of a document that holds tokens pos to pos + n of its queue."""
-    k = np.arange(pos // quantum, min((pos + n - 1) // quantum, units - 1) + 1)
-    lo = np.maximum(k * quantum, pos)
-    hi = np.minimum((k + 1) * quantum, pos + n)
-    at = slots_of(path, k) * quantum + (lo - k * quantum) if len(k) else k
-    if pos + n > units * quantum:  # what is left below a quantum
-        first = max(pos, units * quantum)
-        lo, hi, at = np.append(lo, first), np.append(hi, pos + n), np.append(at, tail_at + first - units * quantum)
-    begins = np.ones(len(lo), bool)
-    begins[1:] = (at[1:] != at[:-1] + (hi - lo)[:-1]) | (at[1:] % length == 0)
+def cut(queue: np.ndarray, pos: np.ndarray, n: np.ndarray, paths: dict, units: np.ndarray, tails: np.ndarray, quantum: int, length: int, edges: list[int]) -> np.ndarray:
+    """Pieces of documents that hold tokens pos to pos + n of their queues: rows of document, start, length, sequence, offset."""
+    whole = units[queue] * quantum  # a queue's tokens in full quanta
+    first = pos // quantum
+    many = np.maximum(np.minimum((pos + n - 1) // quantum, units[queue] - 1) - first + 1, 0)
+    doc = np.repeat(np.arange(len(pos)), many)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]
+    lo, hi = np.maximum(k * quantum, pos[doc]), np.minimum((k + 1) * quantum, (pos + n)[doc])
+    at = lo - k * quantum
+    for q in np.unique(queue[doc]):
+        own = queue[doc] == q
+        at[own] += slots_of(paths[int(q)], k[own]) * quantum
+    over = np.flatnonzero(pos + n > whole)  # what is left of a queue below a quantum
+    start = np.maximum(pos, whole)[over]
+    doc, lo, hi, at = (np.concatenate(x) for x in ((doc, over), (lo, start), (hi, (pos + n)[over]), (at, tails[queue][over] + start - whole[over])))
+    order = np.lexsort((lo, doc))
+    doc, lo, hi, at = doc[order], lo[order], hi[order], at[order]
+    begins = np.ones(len(doc), bool)
+    begins[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + (hi - lo)[:-1]) | (at[1:] % length == 0)
     starts = np.flatnonzero(begins)
-    ends = np.append(starts[1:], len(lo)) - 1
-    out = []
-    for s, e, g in zip((lo[starts] - pos).tolist(), (hi[ends] - pos).tolist(), at[starts].tolist(), strict=True):
-        while s < e:  # a remainder can straddle windows, and the last window is cut into powers of two
+    doc, lo, hi, at = doc[starts], lo[starts], hi[np.append(starts[1:], len(doc))[: len(starts)] - 1], at[starts]
+    size, lo = hi - lo, lo - pos[doc]
+    plain = (at + size <= edges[0]) & (at % length + size <= length)
+    out = [np.stack([doc, lo, size, at // length, at % length], axis=1)[plain]]
+    for d, s, m, g in zip(*(x[~plain].tolist() for x in (doc, lo, size, at)), strict=True):
+        rows = []
+        while m:  # a remainder can straddle windows, and the last window is cut into powers of two
             if g < edges[0]:
                 seq, off, room = g // length, g % length, length - g % length
             else:
                 i = next(j for j in range(len(edges) - 1) if g < edges[j + 1])
                 seq, off, room = edges[0] // length + i, g - edges[i], edges[i + 1] - g
-            take = min(e - s, room)
-            out.append((s, take, seq, off))
-            s, g = s + take, g + take
-    return out
+            take = min(m, room)
+            rows.append((d, s, take, seq, off))
+            s, g, m = s + take, g + take, m - take
+        out.append(np.array(rows, np.int64))
+    return np.concatenate(out)
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 4096, quantum: int = 128, end_id: int = 2, seed: int = 5, max_queues: int = 4096) -> DataFrame:
@@ -213,29 +225,28 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, quantum: int = 128
 
     live = [q for q, n in enumerate(sizes) if n // quantum]
     paths = dict(zip(live, tree([sizes[q] // quantum for q in live]), strict=True))
-    tails = np.concatenate([[0], np.cumsum([n % quantum for n in sizes])]) + sum(n // quantum for n in sizes) * quantum
-    edges = rest(sum(sizes), length)
-    itemsize = 2 if _narrow(tokenizer, end_id) else 4
+    sizes = np.array(sizes, np.int64)
+    units = sizes // quantum
+    tails = np.concatenate([[0], np.cumsum(sizes % quantum)]) + units.sum() * quantum
+    edges = rest(int(sizes.sum()), length)
+    itemsize = shared_encoder(tokenizer, end_id).dtype.itemsize
 
     def split(batches):
         for b in batches:
-            cols = {c: b.column(c) for c in ("doc_id", "source")}
-            take, made = [], []
-            for i, (queue, pos, n, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in ("queue", "pos", "n", "ids")), strict=True)):
-                data = memoryview(np.frombuffer(ids, f"<u{itemsize}").astype("<u4").tobytes())
-                for s, m, seq, off in cut(pos, n, paths.get(queue, []), sizes[queue] // quantum, int(tails[queue]), quantum, length, edges):
-                    take.append(i)
-                    made.append((s, m, zlib.crc32(data[4 * s : 4 * (s + m)]), n, seq, off))
-            index = pa.array(take, pa.int64())
-            values = np.array(made, np.int64).reshape(-1, 6)
+            queue, pos, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("queue", "pos", "n"))
+            pieces = cut(queue, pos, n, paths, units, tails, quantum, length, edges)
+            ids = pa.concat_arrays([b.column("ids")])
+            bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // itemsize
+            data = memoryview(np.frombuffer(ids.buffers()[2] or b"", f"<u{itemsize}").astype("<u4").tobytes())
+            doc = pieces[:, 0]
+            begin = 4 * (bounds[doc] + pieces[:, 1])
+            crc = [zlib.crc32(data[a:z]) for a, z in zip(begin.tolist(), (begin + 4 * pieces[:, 2]).tolist(), strict=True)]
+            index = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [cols["doc_id"].take(index), *(pa.array(values[:, j]) for j in range(6)), cols["source"].take(index)],
+                [b.column("doc_id").take(index), pa.array(pieces[:, 1]), pa.array(pieces[:, 2]), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(pieces[:, 3]), pa.array(pieces[:, 4]), b.column("source").take(index)],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
             )
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
     return tokens.select("row", "doc_id", "source", "n", "ids").join(placed, "row").mapInArrow(split, schema)
 
-
-def _narrow(tokenizer: str, end_id: int) -> bool:
-    return Encoder(tokenizer, end_id).dtype.itemsize == 2
