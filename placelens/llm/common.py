@@ -77,5 +77,14 @@ def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[st
     return total.join(base, [*keys, "__bucket"]).withColumn(out, (F.col("__base") + F.col("__in")).cast("long")).drop("__bucket", "__base", "__in")
 
 
+#: Ids up to this number (about 64 MB) are sent to all tasks; more are joined by a shuffle of both sides.
+SENT_IDS = 2_000_000
+
+
+def sent_if_small(ids: DataFrame, most: int = SENT_IDS) -> DataFrame:
+    """``ids`` with a broadcast hint if it has at most ``most`` rows, so that texts it is joined to stay where they are."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
