@@ -25,18 +25,15 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SKETCH = 1 << 16
-BLANKS = "\t\x0b\x0c\r"
+WORDS_APART = "[ \t\n\x0b\x0c\r]+"
+#: Up to so many named lines, their numbers go to all tasks and texts stay where they are; beyond, both are shuffled.
+NAMED = 500_000
 LAST = (1 << 63) - 1
 
 
-def words_of(text: Column) -> Column:
-    """Words between ASCII white space, with some empty strings between."""
-    return F.split(F.translate(text, "\n" + BLANKS, " " * 5), " ")
-
-
 def rarity_table(docs: DataFrame) -> Column:
     """An array constant of ``SKETCH`` counters: four times the log2 of the occurrences of the words hashed to each."""
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("c")).count()
+    counts = docs.select(F.explode(F.split("text", WORDS_APART)).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("c")).count()
     table = [0] * SKETCH
     for r in counts.select("c", F.least(F.floor(4 * F.log2("count")), F.lit(255)).alias("q")).collect():  # SKETCH rows at most
         table[r["c"]] = r["q"]
@@ -44,13 +41,15 @@ def rarity_table(docs: DataFrame) -> Column:
 
 
 def keyed_lines(docs: DataFrame, rarity: Column) -> DataFrame:
-    """id, row, number, keys (rarest first), n of each line with a word; ``docs``: id, row, text."""
-    lines = docs.select("id", "row", F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    hashes = F.transform(F.filter(words_of(F.col("line")), lambda w: w != ""), lambda w: F.xxhash64(w))
+    """id, row, number, keys (rarest first), n of each line with a word; ``docs``: id, row, text.
+
+    Lines without words are told by the text, as a filter on keys would have them computed twice.
+    """
+    lines = docs.select("id", "row", F.posexplode(F.split("text", "\n")).alias("number", "line")).filter(F.col("line").rlike("[^ \t\x0b\x0c\r]"))
+    hashes = F.array_remove(F.transform(F.split("line", WORDS_APART), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
     mask = F.lit(SKETCH - 1).cast("long")
     keys = F.transform(hashes, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(mask).cast("int")), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))
-    keyed = lines.select("id", "row", "number", F.sort_array(F.array_distinct(keys)).alias("keys"))
-    return keyed.withColumn("n", F.size("keys")).filter("n > 0")
+    return lines.select("id", "row", "number", F.sort_array(F.array_distinct(keys)).alias("keys")).withColumn("n", F.size("keys"))
 
 
 def similar(pairs: DataFrame, keyed: DataFrame, t: float) -> DataFrame:
@@ -102,8 +101,9 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") ->
     def sets(pairs: DataFrame) -> DataFrame:
         """keys of the lines that the pairs name, from the texts."""
         named = pairs.select("unit").union(pairs.select(F.col("earlier").alias("unit"))).distinct().join(units.select("unit", F.col("first.row").alias("row"), F.col("first.number").alias("number")), "unit")
+        named = materialise(named, "line-named")
         held = named.groupBy("row").agg(F.collect_list(F.struct("number", "unit")).alias("named"))
-        own = docs.join(held, "row").select(F.lit(0).cast("long").alias("id"), "row", "text", "named")
+        own = docs.join(F.broadcast(held) if named.count() <= NAMED else held, "row").select(F.lit(0).cast("long").alias("id"), "row", "text", "named")
         at = own.select("row", F.explode("named").alias("x"), F.split("text", "\n").alias("parts")).select(F.col("x.unit").alias("id"), "row", F.get("parts", F.col("x.number")).alias("text"))
         return materialise(keyed_lines(at, rarity).select(F.col("id").alias("unit"), "keys", "n"), "line-keys")
 
