@@ -60,65 +60,73 @@ def similar(pairs: DataFrame, keyed: DataFrame, t: float) -> DataFrame:
     return pairs.join(a, "earlier").join(b, "unit").filter(common >= t * (F.col("m1") + F.col("m2") - common) - 1e-9).select("unit").distinct()
 
 
+def may_match(t: float, a, b) -> Column:
+    """Length, positional and parity filters of two lines that share a word; ``a``, ``b``: functions from names to columns."""
+    n1, n2 = a("n"), b("n")
+    need = F.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
+    return (
+        (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9)
+        & F.when(n1 <= n2, a("indexed")).otherwise(b("indexed"))
+        & (F.least(n1 - a("at"), n2 - b("at")) >= need)
+        & (F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= (n1 + n2) - 2 * need)
+    )
+
+
 def duplicate_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(documents as id, row, text with ``row`` unique to each row; row and number of every line that goes)."""
+    """(documents as id, row, text with ``row`` unique to each row; row and number of every line that goes).
+
+    A line's place in the order is its id times 2^63 plus its number among all lines: one decimal, which a hash aggregation
+    can take the least of. The least place of a set names its unit.
+    """
     docs = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
     rarity = rarity_table(docs)
-    lines = keyed_lines(docs, rarity)
     n = F.col("n")
     probe = n - F.ceil(t * n - 1e-9) + 1
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
-    lines = lines.select(
-        "id", "row", "number", "n", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"),
-        F.slice("keys", 1, probe.cast("int")).alias("prefix"), parity.alias("parity"),
-    )
-    lines = materialise(lines, "line-sets")
-    place = F.struct("id", "row", "number")
-    units = materialise(lines.groupBy("s1", "s2", "n").agg(F.min(place).alias("first"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")).withColumn("unit", F.monotonically_increasing_id()), "line-units")
+    # Only equality of prefix words matters from here on: 32 bits of each will do, a chance match fails a later filter.
+    prefix = F.transform(F.slice("keys", 1, probe.cast("int")), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    lines = keyed_lines(docs, rarity).withColumn("line", F.monotonically_increasing_id())
+    lines = materialise(lines.select("id", "row", "number", "line", "n", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), prefix.alias("prefix"), parity.alias("parity")), "line-sets")
+    wide = "decimal(38,0)"
+    place = (F.col("id").cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)")).cast(wide) + F.col("line").cast("decimal(19,0)")
+    units = materialise(lines.groupBy("s1", "s2", "n").agg(F.min(place.cast(wide)).alias("unit"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")).drop("s1", "s2"), "line-units")
+    line_of = F.pmod(F.col("unit"), F.lit(str(1 << 63)).cast(wide)).cast("long")
 
     # Sets of at most 3 words have no similar set but themselves at t > 3/4.
     least = 1 if t <= 0.75 else 4
     index = n - F.ceil(2 * t / (1 + t) * n - 1e-9) + 1
-    rows = units.filter(n >= least).select(F.posexplode("prefix").alias("at", "word"), "unit", "first", "n", "parity").withColumn("indexed", F.col("at") < index)
-
-    def may_match(at1, n1, p1, i1, at2, n2, p2, i2) -> Column:
-        need = F.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
-        return (
-            (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9)
-            & F.when(n1 <= n2, i1).otherwise(i2)
-            & (1 + F.least(n1 - at1, n2 - at2) - 1 >= need)
-            & (F.bit_count(p1.bitwiseXOR(p2)) <= (n1 + n2) - 2 * need)
-        )
-
-    w = Window.partitionBy("word").orderBy("first")
-    me = [F.col(c) for c in ("at", "n", "parity", "indexed")]
+    rows = units.filter(n >= least).select(F.posexplode("prefix").alias("at", "word"), "unit", "n", "parity").withColumn("indexed", F.col("at") < index)
+
+    # Neighbours: the three before and the first of a word's lines. Pairs further apart than that are left to the join below.
+    w = Window.partitionBy("word").orderBy("unit")
     other = F.struct("unit", "at", "n", "parity", "indexed")
-    near = rows.select("unit", *me, F.array(F.lag(other, 1).over(w), F.lag(other, 2).over(w), F.lag(other, 3).over(w), F.first(other).over(w)).alias("others"))
-    near = near.select("unit", *me, F.explode("others").alias("o")).filter(F.col("o").isNotNull() & (F.col("o.unit") != F.col("unit")))
-    near = near.filter(may_match(*[F.col(f"o.{c}") for c in ("at", "n", "parity", "indexed")], *me)).select(F.col("o.unit").alias("earlier"), "unit").distinct()
+    held = rows.select("*", F.row_number().over(w).alias("rank"), F.lead("unit", 4).over(w).isNotNull().alias("more"), *[F.lag(other, k).over(w).alias(f"o{k}") for k in (1, 2, 3)], F.first(other).over(w).alias("o4"))
+    near = [F.when((F.col(f"o{k}.unit") < F.col("unit")) & may_match(t, lambda c, k=k: F.col(f"o{k}.{c}"), F.col), F.col(f"o{k}.unit")) for k in (1, 2, 3, 4)]
+    seen = held.select("word", "unit", "at", "n", "parity", "indexed", "rank", "more", *[c.alias(f"m{k}") for k, c in enumerate(near, 1)])
+    found = F.coalesce(*[F.col(f"m{k}") for k in (1, 2, 3, 4)]).isNotNull()
+    seen = materialise(seen.filter(found | (F.col("rank") >= 6) | (F.col("more") & (F.col("rank") >= 2))), "line-words")
+    near = seen.filter(found).select("unit", F.explode(F.array(*[F.col(f"m{k}") for k in (1, 2, 3, 4)])).alias("earlier")).filter("earlier IS NOT NULL").distinct()
     near = materialise(near, "line-near")
 
     def sets(pairs: DataFrame) -> DataFrame:
         """keys of the lines that the pairs name, from the texts."""
-        named = pairs.select("unit").union(pairs.select(F.col("earlier").alias("unit"))).distinct().join(units.select("unit", F.col("first.row").alias("row"), F.col("first.number").alias("number")), "unit")
-        named = materialise(named, "line-named")
-        held = named.groupBy("row").agg(F.collect_list(F.struct("number", "unit")).alias("named"))
-        own = docs.join(F.broadcast(held) if named.count() <= NAMED else held, "row").select(F.lit(0).cast("long").alias("id"), "row", "text", "named")
-        at = own.select("row", F.explode("named").alias("x"), F.split("text", "\n").alias("parts")).select(F.col("x.unit").alias("id"), "row", F.get("parts", F.col("x.number")).alias("text"))
-        return materialise(keyed_lines(at, rarity).select(F.col("id").alias("unit"), "keys", "n"), "line-keys")
-
-    found = materialise(similar(near, sets(near), t), "line-found")
-    left = rows.join(found, "unit", "left_anti")
-    x, y = left.alias("x"), rows.alias("y")
-    cols = ("at", "n", "parity", "indexed")
-    all_ = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.first") < F.col("x.first")) & may_match(*[F.col(f"y.{c}") for c in cols], *[F.col(f"x.{c}") for c in cols]))
-    far = all_.select(F.col("x.unit").alias("unit"), F.col("y.unit").alias("earlier")).distinct().join(near, ["unit", "earlier"], "left_anti")
+        named = materialise(pairs.select("unit").union(pairs.select(F.col("earlier").alias("unit"))).distinct().select("unit", line_of.alias("line")), "line-named")
+        few = named.count() <= NAMED
+        at = lines.select("line", "row", "number").join(F.broadcast(named) if few else named, "line")
+        wanted = at.groupBy("row").agg(F.collect_list(F.struct("number", "line")).alias("named"))
+        own = docs.join(F.broadcast(wanted) if few else wanted, "row")
+        parts = own.select("row", F.explode("named").alias("x"), F.split("text", "\n").alias("parts")).select(F.col("x.line").alias("id"), "row", F.get("parts", F.col("x.number")).alias("text"))
+        keyed = keyed_lines(parts, rarity).select(F.col("id").alias("line"), "keys", "n")
+        return materialise(keyed.join(named, "line").drop("line"), "line-keys")
+
+    gone = materialise(similar(near, sets(near), t), "line-found")
+    x, y = seen.filter("rank >= 6").join(gone, "unit", "left_anti").alias("x"), seen.filter("more AND rank >= 2").alias("y")
+    met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.unit") < F.col("x.unit")) & may_match(t, lambda c: F.col(f"y.{c}"), lambda c: F.col(f"x.{c}")))
+    far = met.select(F.col("x.unit").alias("unit"), F.col("y.unit").alias("earlier")).distinct().join(near, ["unit", "earlier"], "left_anti")
     far = materialise(far, "line-far")
-    found = found.union(similar(far, sets(far), t))
-
-    later = lines.join(units.select("s1", "s2", "n", "first", "unit"), ["s1", "s2", "n"]).filter((F.col("first.row") != F.col("row")) | (F.col("first.number") != F.col("number"))).select("row", "number")
-    firsts = units.join(found, "unit").select(F.col("first.row").alias("row"), F.col("first.number").alias("number"))
-    return docs, later.union(firsts)
+    gone = gone.union(similar(far, sets(far), t))
+    kept = units.select("unit").join(gone, "unit", "left_anti").select(line_of.alias("line"))
+    return docs, lines.select("line", "row", "number").join(kept, "line", "left_anti").select("row", "number")
 
 
 def removed_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
