@@ -8,9 +8,9 @@ shared one (positional filter). As a set's parities of 64 word classes differ in
 words, most chance pairs are dropped without reading either line (parity filter). What passes is verified on the whole
 sets. A line goes if a line before it (by id, row, number) is as similar as ``t``, whether that one goes or not.
 
-Equal sets meet by a partial aggregation, so a line that a third of all documents share is one row. Groups of similar
-lines are not expanded into all pairs: each line is first held against a few neighbours in the groups of its rare words,
-and only lines that found no match there are joined with all lines before them.
+Equal sets meet by a partial aggregation first, so a line that a third of all documents share is one row. A rare word's
+lines are all paired (at most ``HEAVY``). The lines of a crowded word, as groups of similar lines have them, are not: each is
+first held against a few neighbours, and only those that found no match are joined with all before them.
 
 Defined results: null text has no lines and stays null; lines without a word take no part and stay; null ids come last;
 repeated rows are documents of their own, the later ones lose their lines; an empty table gives an empty result; columns
@@ -28,6 +28,8 @@ SKETCH = 1 << 16
 WORDS_APART = "[ \t\n\x0b\x0c\r]+"
 #: Up to so many named lines, their numbers go to all tasks and texts stay where they are; beyond, both are shuffled.
 NAMED = 500_000
+#: A word in more prefixes than this is crowded.
+HEAVY = 64
 LAST = (1 << 63) - 1
 
 
@@ -61,72 +63,86 @@ def similar(pairs: DataFrame, keyed: DataFrame, t: float) -> DataFrame:
 
 
 def may_match(t: float, a, b) -> Column:
-    """Length, positional and parity filters of two lines that share a word; ``a``, ``b``: functions from names to columns."""
-    n1, n2 = a("n"), b("n")
+    """Length, prefix, positional and parity filters of two lines that share a word; ``a``, ``b``: functions from names to columns."""
+    n1, n2, at1, at2 = a("n"), b("n"), a("at"), b("at")
     need = F.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
+    indexed = lambda n, at: at < n - F.ceil(2 * t / (1 + t) * n - 1e-9) + 1
     return (
         (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9)
-        & F.when(n1 <= n2, a("indexed")).otherwise(b("indexed"))
-        & (F.least(n1 - a("at"), n2 - b("at")) >= need)
+        & (F.least(n1 - at1, n2 - at2) >= need)
         & (F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= (n1 + n2) - 2 * need)
+        & F.when(n1 <= n2, indexed(n1, at1)).otherwise(indexed(n2, at2))
     )
 
 
+def place_of(docs: DataFrame) -> Column:
+    """A line's place in the order: its document's id, then its number; unique to the line.
+
+    One long where ids do not repeat and id and number fit, as they nearly always do; else a decimal of the id and the line's
+    number among all lines. Either is a value that a hash aggregation can take the least of.
+    """
+    r = docs.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.length("text")).alias("most")).first()
+    bits = int(r["most"] or 0).bit_length()
+    if r["n"] == r["ids"] and (r["low"] is None or (r["low"] >= 0 and r["high"].bit_length() + bits <= 62)):
+        return F.shiftleft(F.col("id"), bits).bitwiseOR(F.col("number").cast("long"))
+    wide = "decimal(38,0)"
+    place = (F.col("id").cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)")).cast(wide) + F.col("line").cast("decimal(19,0)")
+    return place.cast(wide)
+
+
 def duplicate_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(documents as id, row, text with ``row`` unique to each row; row and number of every line that goes).
 
-    A line's place in the order is its id times 2^63 plus its number among all lines: one decimal, which a hash aggregation
-    can take the least of. The least place of a set names its unit.
+    The least place of the lines with a set names its unit.
     """
     docs = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
-    rarity = rarity_table(docs)
+    rarity, place = rarity_table(docs), place_of(docs)
     n = F.col("n")
     probe = n - F.ceil(t * n - 1e-9) + 1
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     # Only equality of prefix words matters from here on: 32 bits of each will do, a chance match fails a later filter.
-    prefix = F.transform(F.slice("keys", 1, probe.cast("int")), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    prefix = F.transform(F.slice("keys", 1, probe.cast("int")), lambda k: F.hash(k))
     lines = keyed_lines(docs, rarity).withColumn("line", F.monotonically_increasing_id())
-    lines = materialise(lines.select("id", "row", "number", "line", "n", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), prefix.alias("prefix"), parity.alias("parity")), "line-sets")
-    wide = "decimal(38,0)"
-    place = (F.col("id").cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)")).cast(wide) + F.col("line").cast("decimal(19,0)")
-    units = materialise(lines.groupBy("s1", "s2", "n").agg(F.min(place.cast(wide)).alias("unit"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")).drop("s1", "s2"), "line-units")
-    line_of = F.pmod(F.col("unit"), F.lit(str(1 << 63)).cast(wide)).cast("long")
+    lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), prefix.alias("prefix"), parity.alias("parity")), "line-sets")
+    first = lines.groupBy("s1", "s2", "n").agg(F.min("unit").alias("unit")).select("unit")
+    units = materialise(lines.select("unit", "n", "parity", "prefix").join(first, "unit", "left_semi"), "line-units")
 
     # Sets of at most 3 words have no similar set but themselves at t > 3/4.
-    least = 1 if t <= 0.75 else 4
-    index = n - F.ceil(2 * t / (1 + t) * n - 1e-9) + 1
-    rows = units.filter(n >= least).select(F.posexplode("prefix").alias("at", "word"), "unit", "n", "parity").withColumn("indexed", F.col("at") < index)
+    rows = units.filter(n >= (1 if t <= 0.75 else 4)).select(F.posexplode("prefix").alias("at", "word"), "unit", "n", "parity")
+    heavy = materialise(rows.groupBy("word").count().filter(F.col("count") > HEAVY).select("word"), "line-heavy")
+    if heavy.count() <= NAMED:
+        heavy = F.broadcast(heavy)
+    light, crowded = rows.join(heavy, "word", "left_anti"), rows.join(heavy, "word", "left_semi")
 
-    # Neighbours: the three before and the first of a word's lines. Pairs further apart than that are left to the join below.
-    w = Window.partitionBy("word").orderBy("unit")
-    other = F.struct("unit", "at", "n", "parity", "indexed")
-    held = rows.select("*", F.row_number().over(w).alias("rank"), F.lead("unit", 4).over(w).isNotNull().alias("more"), *[F.lag(other, k).over(w).alias(f"o{k}") for k in (1, 2, 3)], F.first(other).over(w).alias("o4"))
-    near = [F.when((F.col(f"o{k}.unit") < F.col("unit")) & may_match(t, lambda c, k=k: F.col(f"o{k}.{c}"), F.col), F.col(f"o{k}.unit")) for k in (1, 2, 3, 4)]
-    seen = held.select("word", "unit", "at", "n", "parity", "indexed", "rank", "more", *[c.alias(f"m{k}") for k, c in enumerate(near, 1)])
-    found = F.coalesce(*[F.col(f"m{k}") for k in (1, 2, 3, 4)]).isNotNull()
-    seen = materialise(seen.filter(found | (F.col("rank") >= 6) | (F.col("more") & (F.col("rank") >= 2))), "line-words")
-    near = seen.filter(found).select("unit", F.explode(F.array(*[F.col(f"m{k}") for k in (1, 2, 3, 4)])).alias("earlier")).filter("earlier IS NOT NULL").distinct()
-    near = materialise(near, "line-near")
+    def meet(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        x, y = later.alias("x"), earlier.alias("y")
+        fits = may_match(t, lambda c: F.col(f"y.{c}"), lambda c: F.col(f"x.{c}"))
+        return x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.unit") < F.col("x.unit")) & fits).select(F.col("x.unit").alias("unit"), F.col("y.unit").alias("earlier"))
 
     def sets(pairs: DataFrame) -> DataFrame:
         """keys of the lines that the pairs name, from the texts."""
-        named = materialise(pairs.select("unit").union(pairs.select(F.col("earlier").alias("unit"))).distinct().select("unit", line_of.alias("line")), "line-named")
+        named = materialise(pairs.select("unit").union(pairs.select(F.col("earlier").alias("unit"))).distinct(), "line-named")
         few = named.count() <= NAMED
-        at = lines.select("line", "row", "number").join(F.broadcast(named) if few else named, "line")
-        wanted = at.groupBy("row").agg(F.collect_list(F.struct("number", "line")).alias("named"))
+        at = lines.select("unit", "row", "number").join(F.broadcast(named) if few else named, "unit")
+        wanted = at.groupBy("row").agg(F.collect_list(F.struct("number", "unit")).alias("named"))
         own = docs.join(F.broadcast(wanted) if few else wanted, "row")
-        parts = own.select("row", F.explode("named").alias("x"), F.split("text", "\n").alias("parts")).select(F.col("x.line").alias("id"), "row", F.get("parts", F.col("x.number")).alias("text"))
-        keyed = keyed_lines(parts, rarity).select(F.col("id").alias("line"), "keys", "n")
-        return materialise(keyed.join(named, "line").drop("line"), "line-keys")
-
-    gone = materialise(similar(near, sets(near), t), "line-found")
-    x, y = seen.filter("rank >= 6").join(gone, "unit", "left_anti").alias("x"), seen.filter("more AND rank >= 2").alias("y")
-    met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.unit") < F.col("x.unit")) & may_match(t, lambda c: F.col(f"y.{c}"), lambda c: F.col(f"x.{c}")))
-    far = met.select(F.col("x.unit").alias("unit"), F.col("y.unit").alias("earlier")).distinct().join(near, ["unit", "earlier"], "left_anti")
+        parts = own.select("row", F.explode("named").alias("x"), F.split("text", "\n").alias("parts")).select(F.col("x.unit").alias("id"), "row", F.get("parts", F.col("x.number")).alias("text"))
+        return materialise(keyed_lines(parts, rarity).select(F.col("id").alias("unit"), "keys", "n"), "line-keys")
+
+    # In a crowd, a line meets the three before it and the first one; pairs further apart only matter to lines that found none.
+    w = Window.partitionBy("word").orderBy("unit")
+    other = F.struct("unit", "at", "n", "parity")
+    held = crowded.select("*", F.row_number().over(w).alias("rank"), F.lead("unit", 4).over(w).isNotNull().alias("more"), *[F.lag(other, k).over(w).alias(f"o{k}") for k in (1, 2, 3)], F.first(other).over(w).alias("o4"))
+    near = [F.when((F.col(f"o{k}.unit") < F.col("unit")) & may_match(t, lambda c, k=k: F.col(f"o{k}.{c}"), F.col), F.col(f"o{k}.unit")).alias(f"m{k}") for k in (1, 2, 3, 4)]
+    crowd = materialise(held.select("word", "unit", "at", "n", "parity", "rank", "more", *near), "line-crowd")
+    beside = crowd.select("unit", F.explode(F.array(*[F.col(f"m{k}") for k in (1, 2, 3, 4)])).alias("earlier")).filter("earlier IS NOT NULL")
+    pairs = materialise(meet(light, light).union(beside).distinct(), "line-pairs")
+    gone = materialise(similar(pairs, sets(pairs), t), "line-found")
+    far = meet(crowd.filter("rank >= 6").join(gone, "unit", "left_anti"), crowd.filter("more AND rank >= 2")).distinct().join(pairs, ["unit", "earlier"], "left_anti")
     far = materialise(far, "line-far")
     gone = gone.union(similar(far, sets(far), t))
-    kept = units.select("unit").join(gone, "unit", "left_anti").select(line_of.alias("line"))
-    return docs, lines.select("line", "row", "number").join(kept, "line", "left_anti").select("row", "number")
+    kept = units.select("unit").join(gone, "unit", "left_anti")
+    return docs, lines.select("unit", "row", "number").join(kept, "unit", "left_anti").select("row", "number")
 
 
 def removed_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
