@@ -17,6 +17,7 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +43,17 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         size = max(self.model.get_vocab_size(), end_id + 1)
         self.dtype, self.end = np.dtype("<u2") if size <= 65536 else np.dtype("<u4"), end_id
         one = lambda t: self.model.encode(t, add_special_tokens=False).ids
         self.folds = one("Word.,") == one("word") + one(".,") and one("\u00c9t\u00e9, a") == one("\u00e9t\u00e9") + one(",") + one("a")
-        #: Whether an id ends a word; only of use where all words do end so.
-        self.ends = np.zeros(size, bool)
-        for token, i in self.model.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.marked = bool(self.ends[one("word")[-1]]) and self.folds
+        #: How the pre-tokeniser writes Latin-1 letters; with it, a lower-case word can be handed to the merges alone.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(128, 256) if chr(i).isalpha()}
+        self.direct = self.folds and all(self.merged([w])[0] == one(w) for w in ("word", "\u00e9t\u00e9", "stra\u00dfe", "a"))
 
     def chunks(self, texts: pa.Array) -> pa.ListArray:
         if self.folds:
@@ -61,28 +61,31 @@ class Encoder:
             texts = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([.,]+)([ \n]|$)", r"\1 \2\3"), texts)
         return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
+    def merged(self, words: list[str]) -> list[list[int]]:
+        """Ids of lower-case words of Latin-1 letters."""
+        tokenize = self.model.model.tokenize
+        written = words if all(map(str.isascii, words)) else " ".join(words).translate(self.letters).split(" ")
+        return [[t.id for t in tokenize(w)] for w in written]
+
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks, and where those of each start (and the end)."""
-        ids, counts = [np.zeros(0, self.dtype)], np.zeros(len(chunks), np.int64)
-        plain = np.fromiter((self.marked and c.isascii() and c.isalpha() for c in chunks), bool, len(chunks))
-        for simple in (True, False):
-            at = np.flatnonzero(plain == simple)
-            for part in (at[k : k + 4000] for k in range(0, len(at), 4000)):
-                names = [chunks[k] for k in part]
-                got = self.model.encode(" ".join(names), add_special_tokens=False)
-                own = np.array(got.ids, self.dtype)
-                if simple:  # one word each
-                    last = np.flatnonzero(self.ends[own]) + 1
-                else:
-                    starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(own))
-                    last = np.searchsorted(starts, np.cumsum([len(c) + 1 for c in names]))
-                counts[part] = np.diff(last, prepend=0)
-                ids.append(own)
-        # Encoded simple ones first, then the others: bring them into the order of the chunks.
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        flat, place = np.concatenate(ids), np.zeros(len(chunks), np.int64)
-        place[order] = np.concatenate([[0], np.cumsum(counts[order])[:-1]]) if len(order) else place
-        return flat, np.stack([place, counts])
+        """Ids of all chunks, and where those of each start and how many they are."""
+        counts = np.zeros(len(chunks), np.int64)
+        plain = np.fromiter((self.direct and c.isalpha() and (c.isascii() or max(c) < "\u0100") and c == c.lower() for c in chunks), bool, len(chunks))
+        ascii_ = np.fromiter(map(str.isascii, chunks), bool, len(chunks))
+        first, second, other = np.flatnonzero(plain & ascii_), np.flatnonzero(plain & ~ascii_), np.flatnonzero(~plain)
+        lists = [ids for group in (first, second) if len(group) for ids in self.merged([chunks[k] for k in group])]
+        simple = np.concatenate([first, second])
+        counts[simple] = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = [np.fromiter(chain.from_iterable(lists), self.dtype)]
+        for part in (other[k : k + 1000] for k in range(0, len(other), 1000)):
+            names = [chunks[k] for k in part]
+            got = self.model.encode(" ".join(names), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+            counts[part] = np.diff(np.searchsorted(starts, np.cumsum([len(c) + 1 for c in names])), prepend=0)
+            ids.append(np.array(got.ids, self.dtype))
+        place, order = np.zeros(len(chunks), np.int64), np.concatenate([simple, other])
+        place[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(ids), np.stack([place, counts])
 
     def __call__(self, texts: pa.Array) -> pa.Array:
         """Binary ids of each text."""
@@ -92,13 +95,15 @@ class Encoder:
         index = words.indices.to_numpy(zero_copy_only=False)
         n, first = counts[index], place[index]
         ends = np.concatenate([[0], np.cumsum(n)])
+        kind = np.int32 if ends[-1] + len(lists) + len(flat) < 2**31 else np.int64
         offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets -= offsets[0]
-        take = np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)
+        along = np.arange(ends[-1], dtype=kind)
+        take = along + np.repeat((first - ends[:-1]).astype(kind), n)
         stops = ends[offsets]  # where texts begin and end among the tokens
-        doc = np.repeat(np.arange(len(lists)), np.diff(stops))
+        doc = np.repeat(np.arange(len(lists), dtype=kind), np.diff(stops))
         out = np.full(ends[-1] + len(lists), self.end, self.dtype)
-        out[np.arange(ends[-1]) + doc] = flat[take]
+        out[along + doc] = flat[take]
         size = self.dtype.itemsize
         edges = ((stops + np.arange(len(stops))) * size).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edges), pa.py_buffer(out)])
