@@ -1,16 +1,16 @@
 """Line deduplication by an exact set-similarity join. DataFrame functions only.
 
 A line is the set of its words. Words are ordered by rarity (a count of all words of the corpus, in ``SKETCH`` hashed
-counters), ties by hash; a word is its rarity and 55 bits of its hash. Two lines can only reach Jaccard ``t`` if they share a
-word in their prefixes, the rarest ``n - ceil(t * n) + 1`` words (prefix filter; for the shorter line, the rarest
-``n - ceil(2 * t / (1 + t) * n) + 1``), their sizes are within ``t`` of each other (length filter), and enough words follow the
-shared one (positional filter). As a set's parities of 64 word classes differ in no more places than two sets differ in
+counters), ties by hash; a word is its rarity and 55 bits of its hash. Two lines can only reach Jaccard ``t`` if they share two
+words in their prefixes, the rarest ``n - ceil(t * n) + 2`` words (prefix filter), or one if they have no more, their sizes are
+within ``t`` of each other (length filter), and enough words follow a shared one (positional filter). As a set's parities of 64 word classes differ in no more places than two sets differ in
 words, most chance pairs are dropped without reading either line (parity filter). What passes is verified on the whole
 sets. A line goes if a line before it (by id, row, number) is as similar as ``t``, whether that one goes or not.
 
 Equal sets meet by a partial aggregation first, so a line that a third of all documents share is one row. A rare word's
-lines are all paired (at most ``HEAVY``). The lines of a crowded word, as groups of similar lines have them, are not: each is
-first held against a few neighbours, and only those that found no match are joined with all before them.
+lines are all paired (at most ``HEAVY``). Crowded words only count two at a time: of two shared words, either one is rare or
+both are crowded. The lines of a crowded pair of words, as groups of similar lines have them, are not all paired: each is first
+held against a few neighbours, and only those that found no match are joined with all before them.
 
 Defined results: null text has no lines and stays null; lines without a word take no part and stay; null ids come last;
 repeated rows are documents of their own, the later ones lose their lines; an empty table gives an empty result; columns
@@ -62,17 +62,23 @@ def similar(pairs: DataFrame, keyed: DataFrame, t: float) -> DataFrame:
     return pairs.join(a, "earlier").join(b, "unit").filter(common >= t * (F.col("m1") + F.col("m2") - common) - 1e-9).select("unit").distinct()
 
 
-def may_match(t: float, a, b) -> Column:
-    """Length, prefix, positional and parity filters of two lines that share a word; ``a``, ``b``: functions from names to columns."""
-    n1, n2, at1, at2 = a("n"), b("n"), a("at"), b("at")
+def may_match(t: float, a, b, position: bool) -> Column:
+    """Length and parity filters of two lines; with ``position``, also the positional filter of one shared word.
+
+    ``a``, ``b``: functions from names to columns.
+    """
+    n1, n2 = a("n"), b("n")
     need = F.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
-    indexed = lambda n, at: at < n - F.ceil(2 * t / (1 + t) * n - 1e-9) + 1
-    return (
-        (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9)
-        & (F.least(n1 - at1, n2 - at2) >= need)
-        & (F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= (n1 + n2) - 2 * need)
-        & F.when(n1 <= n2, indexed(n1, at1)).otherwise(indexed(n2, at2))
-    )
+    fits = (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9) & (F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= (n1 + n2) - 2 * need)
+    # Words before the shared one can't be shared in light words' prefixes but by another row; those after it must suffice,
+    # short of one, as prefixes are a word longer here.
+    return fits & (F.least(n1 - a("at"), n2 - b("at")) + 1 >= need) if position else fits
+
+
+def sent(words: DataFrame, name: str) -> DataFrame:
+    """The words, written once; sent to all tasks if they are few, else joined by a shuffle."""
+    words = materialise(words, name)
+    return F.broadcast(words) if words.count() <= NAMED else words
 
 
 def place_of(docs: DataFrame) -> Column:
@@ -93,30 +99,38 @@ def place_of(docs: DataFrame) -> Column:
 def duplicate_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(documents as id, row, text with ``row`` unique to each row; row and number of every line that goes).
 
-    The least place of the lines with a set names its unit.
+    The least place of the lines with a set names its unit. ``t`` is over 3/4, so that similar sets share two words at least.
     """
+    if not 0.75 < t <= 1:
+        raise ValueError("t must be over 0.75 and at most 1")
     docs = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
     rarity, place = rarity_table(docs), place_of(docs)
     n = F.col("n")
     probe = n - F.ceil(t * n - 1e-9) + 1
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     # Only equality of prefix words matters from here on: 32 bits of each will do, a chance match fails a later filter.
-    prefix = F.transform(F.slice("keys", 1, probe.cast("int")), lambda k: F.hash(k))
+    prefix = F.transform(F.slice("keys", 1, probe.cast("int") + 1), lambda k: F.hash(k))
     lines = keyed_lines(docs, rarity).withColumn("line", F.monotonically_increasing_id())
     lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), prefix.alias("prefix"), parity.alias("parity")), "line-sets")
     first = lines.groupBy("s1", "s2", "n").agg(F.min("unit").alias("unit")).select("unit")
+    fine = n >= 4  # smaller sets have no similar set but themselves
     units = materialise(lines.select("unit", "n", "parity", "prefix").join(first, "unit", "left_semi"), "line-units")
-
-    # Sets of at most 3 words have no similar set but themselves at t > 3/4.
-    rows = units.filter(n >= (1 if t <= 0.75 else 4)).select(F.posexplode("prefix").alias("at", "word"), "unit", "n", "parity")
-    heavy = materialise(rows.groupBy("word").count().filter(F.col("count") > HEAVY).select("word"), "line-heavy")
-    if heavy.count() <= NAMED:
-        heavy = F.broadcast(heavy)
-    light, crowded = rows.join(heavy, "word", "left_anti"), rows.join(heavy, "word", "left_semi")
-
-    def meet(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    rows = units.filter(fine).select(F.posexplode("prefix").alias("at", "word"), "unit", "n", "parity")
+    heavy = sent(rows.groupBy("word").count().filter(F.col("count") > HEAVY).select("word"), "line-heavy")
+    light = rows.join(heavy, "word", "left_anti")
+
+    # Crowded words only count two at a time. Grouping by unit needs no shuffle above a join on it.
+    again = lines.select("unit", "n", "parity", "prefix").filter(fine).join(units.select("unit"), "unit", "left_semi")
+    crowded = again.select("unit", "n", "parity", F.explode("prefix").alias("word")).join(heavy, "word", "left_semi")
+    words = crowded.groupBy("unit", "n", "parity").agg(F.sort_array(F.collect_list("word")).alias("ws")).filter(F.size("ws") > 1)
+    two = F.expr("flatten(transform(ws, (a, i) -> transform(slice(ws, i + 2, size(ws)), b -> xxhash64(a, b))))")
+    twos = materialise(words.select(F.explode(two).alias("word"), "unit", "n", "parity"), "line-twos")
+    packed = sent(twos.groupBy("word").count().filter(F.col("count") > HEAVY).select("word"), "line-packed")
+    spread, crowd = twos.join(packed, "word", "left_anti"), twos.join(packed, "word", "left_semi")
+
+    def meet(later: DataFrame, earlier: DataFrame, position: bool) -> DataFrame:
         x, y = later.alias("x"), earlier.alias("y")
-        fits = may_match(t, lambda c: F.col(f"y.{c}"), lambda c: F.col(f"x.{c}"))
+        fits = may_match(t, lambda c: F.col(f"y.{c}"), lambda c: F.col(f"x.{c}"), position)
         return x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.unit") < F.col("x.unit")) & fits).select(F.col("x.unit").alias("unit"), F.col("y.unit").alias("earlier"))
 
     def sets(pairs: DataFrame) -> DataFrame:
@@ -131,14 +145,14 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") ->
 
     # In a crowd, a line meets the three before it and the first one; pairs further apart only matter to lines that found none.
     w = Window.partitionBy("word").orderBy("unit")
-    other = F.struct("unit", "at", "n", "parity")
-    held = crowded.select("*", F.row_number().over(w).alias("rank"), F.lead("unit", 4).over(w).isNotNull().alias("more"), *[F.lag(other, k).over(w).alias(f"o{k}") for k in (1, 2, 3)], F.first(other).over(w).alias("o4"))
-    near = [F.when((F.col(f"o{k}.unit") < F.col("unit")) & may_match(t, lambda c, k=k: F.col(f"o{k}.{c}"), F.col), F.col(f"o{k}.unit")).alias(f"m{k}") for k in (1, 2, 3, 4)]
-    crowd = materialise(held.select("word", "unit", "at", "n", "parity", "rank", "more", *near), "line-crowd")
+    other = F.struct("unit", "n", "parity")
+    held = crowd.select("*", F.row_number().over(w).alias("rank"), F.lead("unit", 4).over(w).isNotNull().alias("more"), *[F.lag(other, k).over(w).alias(f"o{k}") for k in (1, 2, 3)], F.first(other).over(w).alias("o4"))
+    near = [F.when((F.col(f"o{k}.unit") < F.col("unit")) & may_match(t, lambda c, k=k: F.col(f"o{k}.{c}"), F.col, False), F.col(f"o{k}.unit")).alias(f"m{k}") for k in (1, 2, 3, 4)]
+    crowd = materialise(held.select("word", "unit", "n", "parity", "rank", "more", *near), "line-crowd")
     beside = crowd.select("unit", F.explode(F.array(*[F.col(f"m{k}") for k in (1, 2, 3, 4)])).alias("earlier")).filter("earlier IS NOT NULL")
-    pairs = materialise(meet(light, light).union(beside).distinct(), "line-pairs")
+    pairs = materialise(meet(light, light, True).union(meet(spread, spread, False)).union(beside).distinct(), "line-pairs")
     gone = materialise(similar(pairs, sets(pairs), t), "line-found")
-    far = meet(crowd.filter("rank >= 6").join(gone, "unit", "left_anti"), crowd.filter("more AND rank >= 2")).distinct().join(pairs, ["unit", "earlier"], "left_anti")
+    far = meet(crowd.filter("rank >= 6").join(gone, "unit", "left_anti"), crowd.filter("more AND rank >= 2"), False).distinct().join(pairs, ["unit", "earlier"], "left_anti")
     far = materialise(far, "line-far")
     gone = gone.union(similar(far, sets(far), t))
     kept = units.select("unit").join(gone, "unit", "left_anti")
