@@ -24,7 +24,7 @@ def rows(df):
     def plain(v):
         if isinstance(v, (list, np.ndarray)):
             return tuple(map(plain, v))
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         return float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else v
 
