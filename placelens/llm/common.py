@@ -31,6 +31,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/placelens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    spark._jvm.System.gc()  # Spark deletes shuffle files once the finished write's plan is collected; else they fill the disks
     return spark.read.schema(df.schema).parquet(path)
 
 

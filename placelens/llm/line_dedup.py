@@ -28,8 +28,8 @@ SKETCH = 1 << 16
 WORDS_APART = "[ \t\n\x0b\x0c\r]+"
 #: Up to so many named lines, their numbers go to all tasks and texts stay where they are; beyond, both are shuffled.
 NAMED = 500_000
-#: A word in more prefixes than this is crowded.
-HEAVY = 64
+#: A word in more prefixes than this is crowded, as is a pair of words in more lines than that.
+HEAVY, PACKED = 400, 64
 LAST = (1 << 63) - 1
 
 
@@ -125,7 +125,7 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") ->
     words = crowded.groupBy("unit", "n", "parity").agg(F.sort_array(F.collect_list("word")).alias("ws")).filter(F.size("ws") > 1)
     two = F.expr("flatten(transform(ws, (a, i) -> transform(slice(ws, i + 2, size(ws)), b -> xxhash64(a, b))))")
     twos = materialise(words.select(F.explode(two).alias("word"), "unit", "n", "parity"), "line-twos")
-    packed = sent(twos.groupBy("word").count().filter(F.col("count") > HEAVY).select("word"), "line-packed")
+    packed = sent(twos.groupBy("word").count().filter(F.col("count") > PACKED).select("word"), "line-packed")
     spread, crowd = twos.join(packed, "word", "left_anti"), twos.join(packed, "word", "left_semi")
 
     def meet(later: DataFrame, earlier: DataFrame, position: bool) -> DataFrame:

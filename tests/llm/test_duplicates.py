@@ -106,9 +106,14 @@ def test_line_dedup(spark, sf):
     assert got == {(rows[k][0], n) for k, n in gone} and len(got) > 50
 
 
-def test_line_dedup_near_lines(spark):
+@pytest.mark.parametrize(("heavy", "packed"), [(400, 64), (6, 4), (0, 0), (3, 10**6)])
+def test_line_dedup_near_lines(spark, monkeypatch, heavy, packed):
+    """Rare words, crowded words two at a time, and crowds of those, all against brute force."""
     import random
 
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(line_dedup, "PACKED", packed)
+
     rng = random.Random(2)
     rows = []
     for i in range(80):
