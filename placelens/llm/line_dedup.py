@@ -3,7 +3,7 @@
 A line is the set of its words. Words are ordered by rarity (a count of all words of the corpus, in ``SKETCH`` hashed
 counters), ties by hash; a word is its rarity and 55 bits of its hash. Two lines can only reach Jaccard ``t`` if they share two
 words in their prefixes, the rarest ``n - ceil(t * n) + 2`` words (prefix filter), or one if they have no more, their sizes are
-within ``t`` of each other (length filter), and enough words follow a shared one (positional filter). As a set's parities of 64 word classes differ in no more places than two sets differ in
+within ``t`` of each other (length filter), and enough words follow a shared one (positional filter). As the parities of 64 word classes (256 for long lines) differ in no more places than two sets differ in
 words, most chance pairs are dropped without reading either line (parity filter). What passes is verified on the whole
 sets. A line goes if a line before it (by id, row, number) is as similar as ``t``, whether that one goes or not.
 
@@ -19,6 +19,8 @@ beside id and text are not read, ``clean`` passes them through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ SKETCH = 1 << 16
 WORDS_APART = "[ \t\n\x0b\x0c\r]+"
 #: Up to so many named lines, their numbers go to all tasks and texts stay where they are; beyond, both are shuffled.
 NAMED = 500_000
+#: The parities of a line's words: of 64 classes, and for lines of more than ``LONG`` words three of the four parts of 256 classes
+#: (the fourth is what the others leave of the 64).
+PARITY, LONG = ["parity", "p1", "p2", "p3"], 64
 #: A word in more prefixes than this is crowded, as is a pair of words in more lines than that.
 HEAVY, PACKED = 400, 64
 LAST = (1 << 63) - 1
@@ -69,7 +74,11 @@ def may_match(t: float, a, b, position: bool) -> Column:
     """
     n1, n2 = a("n"), b("n")
     need = F.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
-    fits = (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9) & (F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= (n1 + n2) - 2 * need)
+    differ = {p: F.bit_count(a(p).bitwiseXOR(b(p))) for p in PARITY[1:]}
+    folded = F.bit_count(a("parity").bitwiseXOR(b("parity")))
+    first = reduce(Column.bitwiseXOR, [x(p) for x in (a, b) for p in PARITY])  # the part that is not kept
+    apart = F.when((n1 > LONG) & (n2 > LONG), reduce(lambda x, y: x + y, differ.values(), F.bit_count(first))).otherwise(folded)
+    fits = (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9) & (apart <= (n1 + n2) - 2 * need)
     # Words before the shared one can't be shared in light words' prefixes but by another row; those after it must suffice,
     # short of one, as prefixes are a word longer here.
     return fits & (F.least(n1 - a("at"), n2 - b("at")) + 1 >= need) if position else fits
@@ -107,24 +116,29 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") ->
     rarity, place = rarity_table(docs), place_of(docs)
     n = F.col("n")
     probe = n - F.ceil(t * n - 1e-9) + 1
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    part = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3).cast("long"))
+    parity = F.aggregate("keys", zero, lambda a, k: a.bitwiseXOR(bit(k)))
+    only = lambda j: lambda a, k: a.bitwiseXOR(F.when(part(k) == j, bit(k)).otherwise(zero))
+    parts = [F.when(n > LONG, F.aggregate("keys", zero, only(j))).otherwise(zero).alias(f"p{j}") for j in (1, 2, 3)]
     # Only equality of prefix words matters from here on: 32 bits of each will do, a chance match fails a later filter.
     prefix = F.transform(F.slice("keys", 1, probe.cast("int") + 1), lambda k: F.hash(k))
     lines = keyed_lines(docs, rarity).withColumn("line", F.monotonically_increasing_id())
-    lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), prefix.alias("prefix"), parity.alias("parity")), "line-sets")
+    lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), prefix.alias("prefix"), parity.alias("parity"), *parts), "line-sets")
     first = lines.groupBy("s1", "s2", "n").agg(F.min("unit").alias("unit")).select("unit")
     fine = n >= 4  # smaller sets have no similar set but themselves
-    units = materialise(lines.select("unit", "n", "parity", "prefix").join(first, "unit", "left_semi"), "line-units")
-    rows = units.filter(fine).select(F.posexplode("prefix").alias("at", "word"), "unit", "n", "parity")
+    units = materialise(lines.select("unit", "n", *PARITY, "prefix").join(first, "unit", "left_semi"), "line-units")
+    rows = units.filter(fine).select(F.posexplode("prefix").alias("at", "word"), "unit", "n", *PARITY)
     heavy = sent(rows.groupBy("word").count().filter(F.col("count") > HEAVY).select("word"), "line-heavy")
     light = rows.join(heavy, "word", "left_anti")
 
     # Crowded words only count two at a time. Grouping by unit needs no shuffle above a join on it.
-    again = lines.select("unit", "n", "parity", "prefix").filter(fine).join(units.select("unit"), "unit", "left_semi")
-    crowded = again.select("unit", "n", "parity", F.explode("prefix").alias("word")).join(heavy, "word", "left_semi")
-    words = crowded.groupBy("unit", "n", "parity").agg(F.sort_array(F.collect_list("word")).alias("ws")).filter(F.size("ws") > 1)
+    again = lines.select("unit", "n", *PARITY, "prefix").filter(fine).join(units.select("unit"), "unit", "left_semi")
+    crowded = again.select("unit", "n", *PARITY, F.explode("prefix").alias("word")).join(heavy, "word", "left_semi")
+    words = crowded.groupBy("unit", "n", *PARITY).agg(F.sort_array(F.collect_list("word")).alias("ws")).filter(F.size("ws") > 1)
     two = F.expr("flatten(transform(ws, (a, i) -> transform(slice(ws, i + 2, size(ws)), b -> xxhash64(a, b))))")
-    twos = materialise(words.select(F.explode(two).alias("word"), "unit", "n", "parity"), "line-twos")
+    twos = materialise(words.select(F.explode(two).alias("word"), "unit", "n", *PARITY), "line-twos")
     packed = sent(twos.groupBy("word").count().filter(F.col("count") > PACKED).select("word"), "line-packed")
     spread, crowd = twos.join(packed, "word", "left_anti"), twos.join(packed, "word", "left_semi")
 
@@ -145,10 +159,10 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") ->
 
     # In a crowd, a line meets the three before it and the first one; pairs further apart only matter to lines that found none.
     w = Window.partitionBy("word").orderBy("unit")
-    other = F.struct("unit", "n", "parity")
+    other = F.struct("unit", "n", *PARITY)
     held = crowd.select("*", F.row_number().over(w).alias("rank"), F.lead("unit", 4).over(w).isNotNull().alias("more"), *[F.lag(other, k).over(w).alias(f"o{k}") for k in (1, 2, 3)], F.first(other).over(w).alias("o4"))
     near = [F.when((F.col(f"o{k}.unit") < F.col("unit")) & may_match(t, lambda c, k=k: F.col(f"o{k}.{c}"), F.col, False), F.col(f"o{k}.unit")).alias(f"m{k}") for k in (1, 2, 3, 4)]
-    crowd = materialise(held.select("word", "unit", "n", "parity", "rank", "more", *near), "line-crowd")
+    crowd = materialise(held.select("word", "unit", "n", *PARITY, "rank", "more", *near), "line-crowd")
     beside = crowd.select("unit", F.explode(F.array(*[F.col(f"m{k}") for k in (1, 2, 3, 4)])).alias("earlier")).filter("earlier IS NOT NULL")
     pairs = materialise(meet(light, light, True).union(meet(spread, spread, False)).union(beside).distinct(), "line-pairs")
     gone = materialise(similar(pairs, sets(pairs), t), "line-found")
