@@ -106,13 +106,14 @@ def test_line_dedup(spark, sf):
     assert got == {(rows[k][0], n) for k, n in gone} and len(got) > 50
 
 
-@pytest.mark.parametrize(("heavy", "packed"), [(400, 64), (6, 4), (0, 0), (3, 10**6)])
-def test_line_dedup_near_lines(spark, monkeypatch, heavy, packed):
+@pytest.mark.parametrize(("heavy", "packed", "long"), [(400, 64, 8), (6, 4, 24), (0, 0, 64), (3, 10**6, 64)])
+def test_line_dedup_near_lines(spark, monkeypatch, heavy, packed, long):
     """Rare words, crowded words two at a time, and crowds of those, all against brute force."""
     import random
 
     monkeypatch.setattr(line_dedup, "HEAVY", heavy)
     monkeypatch.setattr(line_dedup, "PACKED", packed)
+    monkeypatch.setattr(line_dedup, "LONG", long)
 
     rng = random.Random(2)
     rows = []
