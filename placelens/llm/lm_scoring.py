@@ -1,13 +1,17 @@
 """Cross-entropy difference: how much likelier a target language model finds a document than a background model.
 
-Both models are interpolated word bigram models over one vocabulary: the ``vocabulary`` most frequent words of all
-documents, and a class by shape for every other word. Background counts cover all documents, target counts all documents
-labelled as good; the background is scaled to the mass of the target, so that smoothing acts alike on both (matched
-models). A document's score is the mean over its tokens of target loss minus background loss, in nats: lower is closer to
-the target.
+Both models are interpolated word bigram models over every word of the corpus, with every pair that occurs. Background
+counts cover all documents, target counts all documents labelled as good; the background is scaled to the mass of the
+target, so that smoothing acts alike on both (matched models). A document's score is the mean over its tokens of target
+loss minus background loss, in nats: lower is closer to the target.
 
-A model is two tables of vocabulary squared floats, whatever the corpus; counting shuffles one row for each pair of
-words and task, which grows with the input.
+The model is never in one place. Texts are cut into chunks of about ``chunk`` tokens, written as numbers with the 64-bit
+hashes of their words (a billion different pairs hold one collision with a chance of 3 %). Each chunk sends its
+distinct pairs, then its distinct words, to the buckets of their hashes, where they are summed over all chunks, and gets
+the sums back; so what is counted and moved grows with the input, and a frequent pair is one entry a chunk.
+
+With ``vocabulary`` set, the smaller model of that many words instead: every other word is a class by shape, and the
+model two tables of vocabulary squared floats.
 
 Defined results: null and empty text has no tokens, losses and score 0; ids that repeat in ``labels`` are good only if all
 are; repeated rows count each; without good documents the models are equal and all scores 0; an empty table gives an
@@ -16,10 +20,13 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,17 +126,195 @@ def train(docs: DataFrame, vocabulary: int) -> dict:
     return {"words": words, "target": log_model(good, size), "background": log_model(background, size)}
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int = 1000) -> DataFrame:
+class Local(dict):
+    """Word to number in order of first sight; 0 is the start of a text, which no word can equal."""
+
+    def __init__(self):
+        super().__init__({" ": 0})
+
+    def __missing__(self, word: str) -> int:
+        self[word] = got = len(self)
+        return got
+
+
+def packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, dtype, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
+
+
+CHUNK = "chunk long, doc_ids array<long>, lengths binary, good binary, tokens binary, words binary, n long, n_good long"
+PART = "chunk long, bucket int, key binary, n binary"
+SUMS = "chunk long, bucket int, n binary, owned long"
+
+
+def chunks_of(docs: DataFrame, chunk: int) -> DataFrame:
+    """docs: doc_id, text and good. One row for each run of documents with about ``chunk`` tokens."""
+
+    def run(batches):
+        at = TaskContext.get().partitionId() << 32
+        local, ids, good, held, many = Local(), [], [], [], 0
+
+        def out():
+            lengths = np.array([len(x) for x in held], np.int32)
+            marks = np.array(good, bool)
+            words = pd.util.hash_array(np.array(list(local), object), categorize=False)
+            row = [[at], [ids], [lengths.tobytes()], [marks.tobytes()], [packed(np.concatenate(held))], [words.tobytes()], [int(lengths.sum())], [int(lengths[marks].sum())]]
+            types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["chunk", "doc_ids", "lengths", "good", "tokens", "words", "n", "n_good"])
+
+        for b in batches:
+            for i, t, g in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("good").to_pylist(), strict=True):
+                x = np.array(list(map(local.__getitem__, (t.as_py() or "").split())), np.int32)
+                ids.append(i)
+                good.append(g)
+                held.append(x)
+                many += len(x) + 1
+                if many >= chunk:
+                    yield out()
+                    at += 1
+                    local, ids, good, held, many = Local(), [], [], [], 0
+        if ids:
+            yield out()
+
+    return docs.select("doc_id", "text", "good").mapInArrow(run, CHUNK)
+
+
+class Chunk:
+    """A row of ``chunks_of``: its distinct pairs (``first``, ``second``), the pair ``of`` each token, and counts of all and good."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.words, self.lengths = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["lengths"], np.int32)
+        self.tokens = unpacked(row["tokens"], np.int32, row["n"])
+        self.marks = np.repeat(np.frombuffer(row["good"], bool), self.lengths)
+        self.before = np.concatenate([[0], self.tokens[:-1]])[: len(self.tokens)].astype(np.int64)
+        self.before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = 0
+        both, self.of, self.n = np.unique(self.before * len(self.words) + self.tokens, return_inverse=True, return_counts=True)
+        self.first, self.second = both // len(self.words), both % len(self.words)
+        self.n_good = np.bincount(self.of, weights=self.marks, minlength=len(both))
+
+    def keys(self) -> np.ndarray:
+        x = self.words[self.first] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.second]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def order_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each key, and the order by buckets."""
+    bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    return bucket, np.argsort(bucket, kind="stable")
+
+
+def parts(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of PART, in the order of ``order_of``."""
+    bucket, order = order_of(keys, buckets)
+    names, starts = np.unique(bucket[order], return_index=True)
+    cuts = np.split(order, starts[1:]) if len(names) else []
+    return pa.RecordBatch.from_arrays(
+        [pa.array([chunk] * len(names), pa.int64()), pa.array(names, pa.int32()), pa.array([keys[c].tobytes() for c in cuts], pa.binary()), pa.array([packed(counts[:, c].astype(np.int32)) for c in cuts], pa.binary())], names=["chunk", "bucket", "key", "n"]
+    )
+
+
+def sums(rows: DataFrame, columns: int) -> DataFrame:
+    """The counts of PART rows summed over all chunks, for each key in the chunk's order; then whether this chunk owns the key."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k.as_py(), np.uint64) for k in table.column("key")]
+        ends = np.cumsum([len(k) for k in keys])
+        counts = np.concatenate([unpacked(n.as_py(), np.int32, columns * len(k)).reshape(columns, -1) for n, k in zip(table.column("n"), keys, strict=True)], axis=1)
+        both, at, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = np.stack([*(np.bincount(of, weights=c, minlength=len(both)).astype(np.int64)[of] for c in counts), np.zeros(len(of), np.int64)])
+        total[-1, at] = 1
+        pieces = np.split(total, ends[:-1], axis=1)
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": pa.array([packed(p) for p in pieces], pa.binary()), "owned": pa.array([int(p[-1].sum()) for p in pieces], pa.int64())})
+
+    return rows.groupBy("bucket").applyInArrow(merge, SUMS)
+
+
+def placed(table: pa.Table, keys: np.ndarray, columns: int, buckets: int) -> np.ndarray:
+    """SUMS rows of one chunk as an array of columns + 1 by keys."""
+    bucket, order = order_of(keys, buckets)
+    size = np.bincount(bucket, minlength=buckets)
+    got = sorted(zip(table.column("bucket").to_pylist(), table.column("n"), strict=True), key=lambda r: r[0])
+    out = np.zeros((columns + 1, len(keys)), np.int64)
+    if got:
+        out[:, order] = np.concatenate([unpacked(n.as_py(), np.int64, (columns + 1) * size[b]).reshape(columns + 1, -1) for b, n in got], axis=1)
+    return out
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``materialise``, then collected once more when Spark's listeners have let go of the write, so that its shuffle files are deleted."""
+    out = materialise(df, name)
+    time.sleep(2)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
+def losses(docs: DataFrame, chunk: int, bucket_tokens: int, floor: float = 0.5) -> DataFrame:
+    """docs: doc_id, text and good. The scores under models of all words and pairs."""
+    chunks = materialise(chunks_of(docs, chunk), "lm-chunks")
+    n, n_good = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
+    buckets = max(64, n // bucket_tokens)
+
+    def pair_parts(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                c = Chunk(row)
+                yield parts(row["chunk"], c.keys(), np.stack([c.n, c.n_good]), buckets)
+
+    pairs = settled(sums(chunks.mapInArrow(pair_parts, PART), 2), "lm-pairs")
+
+    def word_parts(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            c = Chunk(row)
+            _, good, own = placed(right, c.keys(), 2, buckets)
+            first = [np.bincount(c.first, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good, own, own * (good > 0))]
+            second = [np.bincount(c.second, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good)]
+            out.append(parts(row["chunk"], c.words, np.stack([*first, *second]), buckets))
+        return pa.Table.from_batches(out)
+
+    words = settled(sums(chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(word_parts, PART), 6), "lm-words")
+    known = words.agg(F.coalesce(F.sum("owned"), F.lit(0))).first()[0]
+    ratio = n_good / max(n, 1) if n_good else 1.0
+
+    def log_probability(pair, first, kinds, second, mass):
+        kinds = kinds + 1.0
+        return np.log((pair + kinds * (second + floor) / (mass + floor * known)) / (first + kinds))
+
+    def scores(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            c, kind = Chunk(row), right.column("kind").to_numpy(zero_copy_only=False)
+            pair, good, _ = placed(right.filter(pa.array(kind == 0)), c.keys(), 2, buckets)
+            first, first_good, kinds, kinds_good, second, second_good, _ = placed(right.filter(pa.array(kind == 1)), c.words, 6, buckets)
+            z = -log_probability(pair * ratio, first[c.first] * ratio, kinds[c.first], second[c.second] * ratio, n * ratio)
+            a = -log_probability(good, first_good[c.first], kinds_good[c.first], second_good[c.second], n_good) if n_good else z
+            doc, size = np.repeat(np.arange(len(c.lengths)), c.lengths), np.maximum(c.lengths, 1)
+            a, z = (np.bincount(doc, weights=x[c.of], minlength=len(size)) / size for x in (a, z))
+            out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(c.lengths.astype(np.int64)), "loss_target": pa.array(a), "loss_background": pa.array(z), "score": pa.array(a - z)}))
+        return pa.concat_tables(out)
+
+    back = pairs.select("chunk", F.lit(0).alias("kind"), "bucket", "n").union(words.select("chunk", F.lit(1).alias("kind"), "bucket", "n"))
+    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scores, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int | None = None, chunk: int = 1_000_000, bucket_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background (nats a token) and score of every row of ``docs``."""
     good = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).filter("q = 1").select("__id", F.lit(True).alias("good"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return score(ids, train(with_good(ids, good), vocabulary))
+    marked = with_good(ids, good)
+    return losses(marked, chunk, bucket_tokens) if vocabulary is None else score(ids, train(marked, vocabulary))
 
 
 def with_good(docs: DataFrame, good: DataFrame) -> DataFrame:
     """Texts marked by a join on ids; texts are shuffled only where the ids are too many to be sent to all tasks."""
     good = sent_if_small(materialise(good, "lm-good"))
-    return docs.join(good, docs["doc_id"] == good["__id"], "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    return docs.join(good, docs["doc_id"] == good["__id"], "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -102,6 +102,47 @@ def test_lm_scoring_brute_counts(spark):
     assert {r["key"]: r["n"] for r in got} == want and all(r["n"] == r["good"] for r in got)
 
 
+@pytest.mark.parametrize("chunk", [400, 1_000_000])
+def test_lm_scoring_counts_every_word_and_pair(spark, chunk):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(rng.choice((20, 4000)))}" for _ in range(rng.randrange(60)))) for i in range(150)]
+    rows += [(1000, "w1 zebra w1"), (1001, "w1 quokka w1"), (1000, "w1 zebra w1"), (None, "w1 zebra"), (1002, None), (1003, " ")]
+    rows.append((1004, "w1 quokka"))
+    good = {i for i, _ in rows if i is not None and (i % 3 == 0 or i == 1004)}
+    pair, first, second, kinds = ([Counter(), Counter()] for _ in range(4))
+    for i, t in rows:
+        w = [" ", *(t or "").split()]
+        for m in (0, 1) if i in good else (0,):
+            pair[m].update(zip(w, w[1:]))
+    for m in (0, 1):
+        for (a, b), n in pair[m].items():
+            first[m][a] += n
+            second[m][b] += n
+            kinds[m][a] += 1
+    known = len(second[0]) + 1
+    assert known > 1100
+    n = [sum(p.values()) for p in pair]
+
+    def loss(t, m):
+        w, r = [" ", *(t or "").split()], 1 if m else n[1] / n[0]
+        uni = {b: (second[m][b] * r + 0.5) / (n[m] * r + 0.5 * known) for b in w}
+        of = [math.log((pair[m][a, b] * r + (kinds[m][a] + 1) * uni[b]) / (first[m][a] * r + kinds[m][a] + 1)) for a, b in zip(w, w[1:])]
+        return -sum(of) / max(len(of), 1)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    got = lm_scoring.cross_entropy_difference(docs, marks, chunk=chunk).collect()
+    want = sorted((-1 if i is None else i, len((t or "").split()), loss(t, 1), loss(t, 0)) for i, t in rows)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"]) for r in got)
+    assert len(got) == len(want)
+    assert all(g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-9) for g, w in zip(got, want))
+    by = {g[0]: g[2] - g[3] for g in got}
+    assert abs(by[1000] - by[1001]) > 0.01  # they differ in rare words of one shape only
+
+
 def test_lm_scoring_edges(odd, odd_rows, empty, labels):
     got = lm_scoring.cross_entropy_difference(odd, labels).collect()
     assert len(got) == len(odd_rows)
