@@ -364,6 +364,12 @@ def round_coords(spark, d):
     return C.spots(spark, d).filter("id % 2 = 0").select("id", F.bround(x, 3).alias("x"), F.bround(y, 3).alias("y"))
 
 
+@query(f"WITH {C.SPOTS}, {_forward_sql('spots')} SELECT id, round_even(x, 3) AS x, round_even(y, 3) AS y FROM utm")  # PRJ-28, all points
+def round_all_coords(spark, d):
+    x, y = geo.to_utm(F.col("lon"), F.col("lat"))
+    return C.spots(spark, d).select("id", F.bround(x, 3).alias("x"), F.bround(y, 3).alias("y"))
+
+
 @query(f"""WITH {C.SPOTS}, {_forward_sql('spots')}, p AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS planar,
     2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS sphere FROM utm a JOIN utm b ON b.id = a.id + 1)
     SELECT id, round(planar, 3) AS planar, round(sphere, 3) AS sphere FROM p""")  # PRJ-33
