@@ -587,6 +587,13 @@ def join_embeddings_chips(spark, d):
     return store.join_chips(c.filter("vec_id % 3 = 0").select("model_id", "bands", "source_cycle", "chip_id", "embedding"), index, strict=False).select("chip_id", "chip_location_id", "cx", "cy")
 
 
+@query(f"WITH {C.CHIPS} SELECT chip_id, chip_location_id, cx, cy FROM chips")  # JN-01, all rows
+def join_all_embeddings_chips(spark, d):
+    c = C.chips(spark, d)
+    index = c.select(F.col("source_cycle").alias("cycle"), "chip_id", "inside_aoi", "cx", "cy", "xmin", "ymin", "xmax", "ymax")
+    return store.join_chips(c.select("model_id", "bands", "source_cycle", "chip_id", "embedding"), index, strict=False).select("chip_id", "chip_location_id", "cx", "cy")
+
+
 @query(f"WITH {C.CHIPS} SELECT chip_id FROM chips WHERE vec_id % 7 = 0")  # SRC-06
 def orphans(spark, d):
     c = C.chips(spark, d)
