@@ -6,7 +6,7 @@ centroids; the language of the centroid with the largest cosine is predicted. A
 ``margin`` times the low quantile that texts of its length reach in training.
 
 Document frequencies cover all training rows. Centroids are fitted on a bounded sample: ``per_language`` rows of each
-language, ``sample`` in all, picked by a seeded hash.
+language, ``sample`` in all, taken in the order of a seeded hash of id and text.
 
 Defined results: null text and text without a letter give ``und``, score 0, rejected; a null id is neither learnt from nor
 held out; repeated rows are rows of their own; without training rows every text is ``und``; languages beyond the
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM_BITS = 13
@@ -66,8 +66,8 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
-def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin: float, quantile: float, max_languages: int, seed: int) -> dict:
-    """rows: text and lang, neither null. The model: languages, owner of each centroid, centroids, idf and floors."""
+def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin: float, quantile: float, max_languages: int) -> dict:
+    """rows: text and lang, neither null, and point: the order in which a language's rows are taken, copies of a row once. The model: languages, owner of each centroid, centroids, idf and floors."""
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     langs = {r["lang"]: r["count"] for r in counts}
     if not langs:
@@ -86,10 +86,9 @@ def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin
     idf = np.array([np.log((1 + total) / (1 + df[d])) + 0.1 for d in range(DIM)], np.float32)
 
     each = max(20, min(per_language, sample // len(langs)))
-    spark = rows.sparkSession
-    rates = spark.createDataFrame([(k, min(1.0, each / n)) for k, n in langs.items()], "lang string, rate double")
-    point = F.xxhash64(F.lit(seed), "text").cast("double") / F.lit(2.0**64) + 0.5
-    picked = rows.join(F.broadcast(rates), "lang").filter(point < F.col("rate")).select("lang", "text")
+    cuts = rows.select("lang", "point").distinct().withColumn("p", F.row_number().over(Window.partitionBy("lang").orderBy("point"))).filter(F.col("p") <= each).groupBy("lang").agg(F.max("point").alias("last"))
+    cuts = rows.sparkSession.createDataFrame([tuple(r) for r in cuts.collect() if r["lang"] in langs], "lang string, last long")
+    picked = rows.join(F.broadcast(cuts), "lang").filter("point <= last").dropDuplicates(["lang", "point"]).select("lang", "text")
 
     def encode(batches):
         for b in batches:
@@ -98,7 +97,7 @@ def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin
                 at = np.flatnonzero(v[0])
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array(size), pa.array([at.astype("<u4").tobytes()]), pa.array([v[0][at].tobytes()])], names=["lang", "size", "at", "v"])
 
-    got = sorted(picked.mapInArrow(encode, "lang string, size long, at binary, v binary").limit(2 * each * len(langs)).collect(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["v"])))
+    got = sorted(picked.mapInArrow(encode, "lang string, size long, at binary, v binary").collect(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["v"])))
     names, x = sorted({r["lang"] for r in got}), np.zeros((len(got), DIM), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["v"], np.float32)
@@ -143,10 +142,10 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFra
 
 def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = 600, sample: int = 4000, clusters: int = 4, margin: float = 0.6, quantile: float = 0.01, max_languages: int = 200, seed: int = 3) -> dict:
     """A model of the rows that are not held out."""
-    rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"), fold_of(folds).alias("fold"))
+    rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"), fold_of(folds).alias("fold"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")).alias("point"))
     letters = F.col("text").rlike(r"\p{L}")
-    rows = rows.filter((F.col("fold") != held) & F.col("lang").isNotNull() & F.col("text").isNotNull() & letters).select("text", "lang")
-    return train(rows, per_language, sample, clusters, margin, quantile, max_languages, seed)
+    rows = rows.filter((F.col("fold") != held) & F.col("lang").isNotNull() & F.col("text").isNotNull() & letters).select("text", "lang", "point")
+    return train(rows, per_language, sample, clusters, margin, quantile, max_languages)
 
 
 def fold_of(folds: int) -> Column:

@@ -167,6 +167,17 @@ def test_language_ignores_lang_of_held_out(spark, sf):
     assert a == b
 
 
+def test_language_sample_holds_every_language_beside_copies(spark):
+    copies = [(i, "der hund geht heute in den wald und kommt nicht mehr", "aa") for i in range(3000)]
+    others = [(10_000 + 100 * k + i, f"{w} {i} {w}{i % 7} {w[::-1]}", lang) for k, (lang, w) in enumerate([("bb", "casa grande verde"), ("cc", "maison petite bleue")]) for i in range(40)]
+    docs = spark.createDataFrame(copies + others, "doc_id long, text string, lang string").coalesce(1).sortWithinPartitions("lang")
+    for seed in range(3):
+        model = language_id.fit(docs, per_language=20, sample=60, seed=seed)
+        assert set(model["langs"]) == {"aa", "bb", "cc"}
+        found = {r["doc_id"]: r["__lang_pred"] for r in language_id.predict(docs, model, ("doc_id",)).filter("doc_id >= 10000").collect()}
+        assert sum(found[i] == lang for i, _, lang in others) > 0.9 * len(others)
+
+
 def test_language_edges(odd, odd_rows, empty):
     got = language_id.identify(odd).collect()
     assert len(got) == len(odd_rows)
