@@ -3,7 +3,8 @@
 A text is a bag of byte trigrams of its lower-cased letters (everything else a blank), hashed to ``DIM`` dimensions,
 weighted by log counts and inverse document frequencies and normalised. Spherical k-means gives each language several
 centroids; the language of the centroid with the largest cosine is predicted. A text is rejected if that cosine is below
-``margin`` times the low quantile that texts of its length reach in training.
+``margin`` times the low quantile that texts of its length reach in training. Lengths with fewer than 30 sampled rows are
+pooled with their neighbours, as widely as it takes, so every length has such a floor.
 
 Document frequencies cover all training rows. Centroids are fitted on a bounded sample: ``per_language`` rows of each
 language, ``sample`` in all, taken in the order of a seeded hash of id and text.
@@ -107,9 +108,11 @@ def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin
     cos = x @ centroids.T
     mine = np.where(of[None, :] == owner[:, None], cos, -1).max(axis=1)
     bins, floors = length_bin(np.array([r["size"] for r in got])), np.zeros(16)
-    for b in range(16):  # longer texts come closer, so a shorter text's floor holds where there are few
-        near = mine[bins == b]
-        floors[b] = max(floors[b - 1] if b else 0.0, margin * float(np.quantile(near, quantile)) if len(near) >= 30 else 0.0)
+    for b in range(16):  # longer texts come closer, so a shorter text's floor holds at least
+        near = next(x for w in range(16) if len(x := mine[np.abs(bins - b) <= w]) >= 30 or w == 15)
+        floors[b] = margin * float(np.quantile(near, quantile))
+        if b and (bins < b).sum() >= 30:
+            floors[b] = max(floors[b - 1], floors[b])
     return {"langs": names, "of": of, "centroids": centroids, "idf": idf, "floors": floors}
 
 

@@ -178,6 +178,16 @@ def test_language_sample_holds_every_language_beside_copies(spark):
         assert sum(found[i] == lang for i, _, lang in others) > 0.9 * len(others)
 
 
+def test_language_rejects_text_unlike_all_languages(spark):
+    texts = [f"der hund geht heute {w} in den wald" for w in ("nicht", "noch", "wieder", "gern", "allein", "oft", "selten", "schnell")]
+    docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert (model["floors"] > 0).all()
+    other = spark.createDataFrame([(100, "qxzv jqkx zzyq"), (101, "qxzv jqkx zzyq vvxk " * 40), (102, texts[0])], "doc_id long, text string")
+    got = {r["doc_id"]: r["__rejected"] for r in language_id.predict(other, model, ("doc_id",)).collect()}
+    assert got == {100: True, 101: True, 102: False}
+
+
 def test_language_edges(odd, odd_rows, empty):
     got = language_id.identify(odd).collect()
     assert len(got) == len(odd_rows)
