@@ -2,46 +2,95 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space. ``bytes.split()`` cuts UTF-8 at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shuffle files go as soon as the write that made them has ended, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_written: dict[str, list[str]] = {}
-_own: dict[str, str] = {}
+_written: dict[tuple[str, str], list[str]] = {}
+_own: list[str] = []
+_run: ContextVar[str] = ContextVar("run", default="")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may leave it unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = _own.setdefault("folder", "") or tempfile.mkdtemp(prefix="placelens-")
-        _own["folder"] = folder
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="placelens-"))
+        folder = _own[0]
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def owned_by(run: str):
+    """What ``materialise`` writes inside belongs to ``run``, and ``release`` deletes it by that name."""
+    token = _run.set(run)
+    try:
+        yield
+    finally:
+        _run.reset(token)
+
+
+@contextlib.contextmanager
+def cleaned_up(spark: SparkSession):
+    """Inside, shuffle files of a query are deleted when it ends."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/placelens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    spark._jvm.System.gc()  # Spark deletes shuffle files once the finished write's plan is collected; else they fill the disks
+    with cleaned_up(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault((spark.sparkContext.applicationId, _run.get()), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what ``materialise`` wrote in this application. Only call it once no returned DataFrame is needed any more."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+def release(spark: SparkSession, run: str = "") -> None:
+    """Delete what ``materialise`` wrote for ``run``. Only call it once no DataFrame of that run is needed any more."""
+    for path in _written.pop((spark.sparkContext.applicationId, run), []):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str = "__row") -> tuple[DataFrame, str]:
+    """``df`` with a number for each row under a free name, written: numbers stay with their rows whatever plan reads them.
+
+    A number drawn in two plans over anything but plain files (a shuffle, a join, a sort) may fall on different rows.
+    """
+    name = free_name(df, name)
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def source_key(col: str = "source") -> Column:
     """A non-null key of a nullable name, so that joins and windows keep null as a source of its own."""
     return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("null"))

@@ -1,46 +1,61 @@
 """Line deduplication by an exact set-similarity join. DataFrame functions only.
 
 A line is the set of its words. Words are ordered by rarity (a count of all words of the corpus, in ``SKETCH`` hashed
-counters), ties by hash; a word is its rarity and 55 bits of its hash. Two lines can only reach Jaccard ``t`` if they share two
-words in their prefixes, the rarest ``n - ceil(t * n) + 2`` words (prefix filter), or one if they have no more, their sizes are
-within ``t`` of each other (length filter), and enough words follow a shared one (positional filter). As the parities of 64 word classes (256 for long lines) differ in no more places than two sets differ in
-words, most chance pairs are dropped without reading either line (parity filter). What passes is verified on the whole
-sets. A line goes if a line before it (by id, row, number) is as similar as ``t``, whether that one goes or not.
+counters), ties by hash; a word is its rarity and 55 bits of its hash. A line goes if a line before it (by id, row, number) is
+as similar as ``t``, whether that one goes or not.
 
-Equal sets meet by a partial aggregation first, so a line that a third of all documents share is one row. A rare word's
-lines are all paired (at most ``HEAVY``). Crowded words only count two at a time: of two shared words, either one is rare or
-both are crowded. The lines of a crowded pair of words, as groups of similar lines have them, are not all paired: each is first
-held against a few neighbours, and only those that found no match are joined with all before them.
+Prefix filter on runs of words: let two sets of n1 and n2 words share ``o``, so that a = n1 - o and b = n2 - o words are not
+shared. In rarity order, each of those a + b words parts at most one pair of neighbouring shared words. Among the first
+r * (a + b + 1) such gaps, r in a row are whole: r + 1 shared words that are neighbours in both sets. They end at place
+r * (a + b + 1) + 1 + a at most, which is (r + 1) * (1 - t) * n + r + 1 at most where the Jaccard similarity is ``t`` or more.
+So similar lines have a run of r + 1 words of their prefixes of that length in common. With r = 1 (pairs), such a run is rarely
+shared by chance, and most runs occur once in the corpus.
+
+Runs are counted by an aggregation. Pairs of lines come from runs that occur more than once; they pass the length filter and a
+positional one (the prefixes of a similar pair must share as many runs as the words outside their intersection leave
+whole), then whole sets are compared. A run in more than ``CROWD`` lines is crowded: its lines are first held against the
+first of them, and lines with a crowded run meet by longer runs (r = 2, 3), which exist for every similar pair. What is crowded
+even then is joined with all before it, but only lines that found no match yet look for one; Spark splits such a join.
+
+Equal sets meet by a partial aggregation first, so a line that a third of all documents share is one row.
 
 Defined results: null text has no lines and stays null; lines without a word take no part and stay; null ids come last;
-repeated rows are documents of their own, the later ones lose their lines; an empty table gives an empty result; columns
-beside id and text are not read, ``clean`` passes them through.
+rows of one id are documents of their own, in the order in which they are read, the later ones lose their lines; an empty
+table gives an empty result; columns beside id and text are not read, ``clean`` passes them through.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered
 
 SKETCH = 1 << 16
-WORDS_APART = "[ \t\n\x0b\x0c\r]+"
-#: Up to so many named lines, their numbers go to all tasks and texts stay where they are; beyond, both are shuffled.
+#: White space inside a line, but for the blank.
+BLANKS = "\t\x0b\x0c\r"
+#: Up to so many names of lines or runs are sent to all tasks and texts stay where they are; beyond, both are shuffled.
 NAMED = 500_000
-#: The parities of a line's words: of 64 classes, and for lines of more than ``LONG`` words three of the four parts of 256 classes
-#: (the fourth is what the others leave of the 64).
-PARITY, LONG = ["parity", "p1", "p2", "p3"], 64
-#: A word in more prefixes than this is crowded, as is a pair of words in more lines than that.
-HEAVY, PACKED = 400, 64
-LAST = (1 << 63) - 1
+#: A run of words in more lines than this is crowded.
+CROWD = 64
+#: Words between two shared ones: the lengths of runs, less one, that are tried in turn.
+RUNS = (1, 2, 3)
+
+
+def plain(text: Column) -> Column:
+    """The text with a blank for every white space of a line; most texts have no other."""
+    odd = text.contains(BLANKS[0])
+    for c in BLANKS[1:]:
+        odd = odd | text.contains(c)
+    return F.when(odd, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
 
 
 def rarity_table(docs: DataFrame) -> Column:
     """An array constant of ``SKETCH`` counters: four times the log2 of the occurrences of the words hashed to each."""
-    counts = docs.select(F.explode(F.split("text", WORDS_APART)).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("c")).count()
+    words = docs.select(F.explode(F.split(plain(F.col("text")), "[ \n]")).alias("w")).filter("w != ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("c")).count()
     table = [0] * SKETCH
     for r in counts.select("c", F.least(F.floor(4 * F.log2("count")), F.lit(255)).alias("q")).collect():  # SKETCH rows at most
         table[r["c"]] = r["q"]
@@ -48,145 +63,166 @@ def rarity_table(docs: DataFrame) -> Column:
 
 
 def keyed_lines(docs: DataFrame, rarity: Column) -> DataFrame:
-    """id, row, number, keys (rarest first), n of each line with a word; ``docs``: id, row, text.
-
-    Lines without words are told by the text, as a filter on keys would have them computed twice.
-    """
-    lines = docs.select("id", "row", F.posexplode(F.split("text", "\n")).alias("number", "line")).filter(F.col("line").rlike("[^ \t\x0b\x0c\r]"))
-    hashes = F.array_remove(F.transform(F.split("line", WORDS_APART), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    """The columns of ``docs`` but its text, number, keys (rarest first) and n of each line with a word."""
+    others = [c for c in docs.columns if c != "text"]
+    lines = docs.select(*others, F.posexplode(F.split(plain(F.col("text")), "\n")).alias("number", "line")).filter(F.trim("line") != "")
+    hashes = F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))
     mask = F.lit(SKETCH - 1).cast("long")
     keys = F.transform(hashes, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(mask).cast("int")), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))
-    return lines.select("id", "row", "number", F.sort_array(F.array_distinct(keys)).alias("keys")).withColumn("n", F.size("keys"))
+    return lines.select(*others, "number", F.sort_array(F.array_distinct(keys)).alias("keys")).withColumn("n", F.size("keys"))
 
 
-def similar(pairs: DataFrame, keyed: DataFrame, t: float) -> DataFrame:
-    """unit of the later line of each pair whose whole sets reach ``t``; ``keyed``: unit, keys, n."""
-    a = keyed.select(F.col("unit").alias("earlier"), F.col("keys").alias("k1"), F.col("n").alias("m1"))
-    b = keyed.select("unit", F.col("keys").alias("k2"), F.col("n").alias("m2"))
-    common = F.size(F.array_intersect("k1", "k2"))
-    return pairs.join(a, "earlier").join(b, "unit").filter(common >= t * (F.col("m1") + F.col("m2") - common) - 1e-9).select("unit").distinct()
+def prefix_length(n: Column, r: int, t: float) -> Column:
+    """Within so many of the rarest words of a set of ``n`` ends a run of r + 1 that a similar set shares."""
+    return F.least(n, (F.floor((r + 1) * (1 - t) * n + 1e-9) + r + 1).cast("int"))
 
 
-def may_match(t: float, a, b, position: bool) -> Column:
-    """Length and parity filters of two lines; with ``position``, also the positional filter of one shared word.
+def least_size(r: int, t: float) -> int:
+    """Two similar sets of so many words or more have such runs (both have o >= r * (a + b + 1) + 1)."""
+    slope = t - r * (1 - t)
+    return math.ceil((r + 1) * (1 + t) / slope / 2 - 1e-9) if slope > 1e-9 else 1 << 30
 
-    ``a``, ``b``: functions from names to columns.
-    """
-    n1, n2 = a("n"), b("n")
+
+def runs(sets: DataFrame, words: str, r: int, t: float) -> DataFrame:
+    """key, unit, n of each run of r + 1 neighbours in the prefix of each set; ``words`` holds hashes, rarest first."""
+    at = sets.select("unit", "n", words, F.posexplode(F.slice(words, 1, prefix_length(F.col("n"), r, t))).alias("i", "w"))
+    others = [F.get(words, F.col("i") + k) for k in range(1, r + 1)]
+    return at.filter(F.col("i") + r < prefix_length(F.col("n"), r, t)).select(F.xxhash64("w", *others).alias("key"), "unit", "n")
+
+
+def fits(n1: Column, n2: Column, t: float) -> Column:
+    return (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9)
+
+
+def shared_runs(n1: Column, n2: Column, t: float) -> Column:
+    """How many pairs of neighbours (r = 1) similar sets of these sizes have in common in their prefixes, at least."""
     need = F.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
-    differ = {p: F.bit_count(a(p).bitwiseXOR(b(p))) for p in PARITY[1:]}
-    folded = F.bit_count(a("parity").bitwiseXOR(b("parity")))
-    first = reduce(Column.bitwiseXOR, [x(p) for x in (a, b) for p in PARITY])  # the part that is not kept
-    apart = F.when((n1 > LONG) & (n2 > LONG), reduce(lambda x, y: x + y, differ.values(), F.bit_count(first))).otherwise(folded)
-    fits = (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9) & (apart <= (n1 + n2) - 2 * need)
-    # Words before the shared one can't be shared in light words' prefixes but by another row; those after it must suffice,
-    # short of one, as prefixes are a word longer here.
-    return fits & (F.least(n1 - a("at"), n2 - b("at")) + 1 >= need) if position else fits
+    a, b = n1 - need, n2 - need
+    return F.greatest(F.least(prefix_length(n1, 1, t) - a, prefix_length(n2, 1, t) - b) - 1 - a - b, F.lit(1))
+
 
+def sent(names: DataFrame) -> DataFrame:
+    """Written names: sent to all tasks if they are few, else joined by a shuffle."""
+    return F.broadcast(names) if names.count() <= NAMED else names
 
-def sent(words: DataFrame, name: str) -> DataFrame:
-    """The words, written once; sent to all tasks if they are few, else joined by a shuffle."""
-    words = materialise(words, name)
-    return F.broadcast(words) if words.count() <= NAMED else words
+
+def similar(pairs: DataFrame, keyed: DataFrame, t: float) -> DataFrame:
+    """unit of the later line of each pair whose whole sets reach ``t``; ``keyed``: unit, keys, n."""
+    a = keyed.select(F.col("unit").alias("earlier"), F.col("keys").alias("k1"), F.col("n").alias("m1"))
+    b = keyed.select("unit", F.col("keys").alias("k2"), F.col("n").alias("m2"))
+    common = F.size(F.array_intersect("k1", "k2"))
+    alike = fits(F.col("m1"), F.col("m2"), t) & (common >= t * (F.col("m1") + F.col("m2") - common) - 1e-9)
+    return pairs.join(a, "earlier").join(b, "unit").filter(alike).select("unit").distinct()
 
 
-def place_of(docs: DataFrame) -> Column:
-    """A line's place in the order: its document's id, then its number; unique to the line.
+def place_of(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` with null ids last, and a line's place in the order: its document's id, then its number; unique to the line.
 
     One long where ids do not repeat and id and number fit, as they nearly always do; else a decimal of the id and the line's
     number among all lines. Either is a value that a hash aggregation can take the least of.
     """
-    r = docs.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.length("text")).alias("most")).first()
+    r = docs.agg(F.count("*").alias("n"), F.count("id").alias("some"), F.count_distinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("n_lines").alias("most")).first()
     bits = int(r["most"] or 0).bit_length()
-    if r["n"] == r["ids"] and (r["low"] is None or (r["low"] >= 0 and r["high"].bit_length() + bits <= 62)):
-        return F.shiftleft(F.col("id"), bits).bitwiseOR(F.col("number").cast("long"))
+    last = (r["high"] or 0) + 1
+    if r["some"] == r["ids"] and r["n"] - r["some"] <= 1 and (r["low"] is None or r["low"] >= 0) and last.bit_length() + bits <= 62:
+        return docs.withColumn("id", F.coalesce("id", F.lit(last))), F.shiftleft(F.col("id"), bits).bitwiseOR(F.col("number").cast("long"))
     wide = "decimal(38,0)"
-    place = (F.col("id").cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)")).cast(wide) + F.col("line").cast("decimal(19,0)")
-    return place.cast(wide)
+    id_ = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    return docs, ((id_ * F.lit(str(1 << 62)).cast("decimal(19,0)")).cast(wide) + F.col("line").cast("decimal(19,0)")).cast(wide)
 
 
-def duplicate_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(documents as id, row, text with ``row`` unique to each row; row and number of every line that goes).
+def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
+    """row and number of every line that goes; ``docs``: row, id, text, n_lines, written (see ``numbered``).
 
-    The least place of the lines with a set names its unit. ``t`` is over 3/4, so that similar sets share two words at least.
+    The least place of the lines with a set names its unit. ``t`` is over 3/4.
     """
     if not 0.75 < t <= 1:
         raise ValueError("t must be over 0.75 and at most 1")
-    docs = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
-    rarity, place = rarity_table(docs), place_of(docs)
+    rarity = rarity_table(docs)
+    texts, place = place_of(docs)
     n = F.col("n")
-    probe = n - F.ceil(t * n - 1e-9) + 1
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    part = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3).cast("long"))
-    parity = F.aggregate("keys", zero, lambda a, k: a.bitwiseXOR(bit(k)))
-    only = lambda j: lambda a, k: a.bitwiseXOR(F.when(part(k) == j, bit(k)).otherwise(zero))
-    parts = [F.when(n > LONG, F.aggregate("keys", zero, only(j))).otherwise(zero).alias(f"p{j}") for j in (1, 2, 3)]
     # Only equality of prefix words matters from here on: 32 bits of each will do, a chance match fails a later filter.
-    prefix = F.transform(F.slice("keys", 1, probe.cast("int") + 1), lambda k: F.hash(k))
-    lines = keyed_lines(docs, rarity).withColumn("line", F.monotonically_increasing_id())
-    lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), prefix.alias("prefix"), parity.alias("parity"), *parts), "line-sets")
-    first = lines.groupBy("s1", "s2", "n").agg(F.min("unit").alias("unit")).select("unit")
-    fine = n >= 4  # smaller sets have no similar set but themselves
-    units = materialise(lines.select("unit", "n", *PARITY, "prefix").join(first, "unit", "left_semi"), "line-units")
-    rows = units.filter(fine).select(F.posexplode("prefix").alias("at", "word"), "unit", "n", *PARITY)
-    heavy = sent(rows.groupBy("word").count().filter(F.col("count") > HEAVY).select("word"), "line-heavy")
-    light = rows.join(heavy, "word", "left_anti")
-
-    # Crowded words only count two at a time. Grouping by unit needs no shuffle above a join on it.
-    again = lines.select("unit", "n", *PARITY, "prefix").filter(fine).join(units.select("unit"), "unit", "left_semi")
-    crowded = again.select("unit", "n", *PARITY, F.explode("prefix").alias("word")).join(heavy, "word", "left_semi")
-    words = crowded.groupBy("unit", "n", *PARITY).agg(F.sort_array(F.collect_list("word")).alias("ws")).filter(F.size("ws") > 1)
-    two = F.expr("flatten(transform(ws, (a, i) -> transform(slice(ws, i + 2, size(ws)), b -> xxhash64(a, b))))")
-    twos = materialise(words.select(F.explode(two).alias("word"), "unit", "n", *PARITY), "line-twos")
-    packed = sent(twos.groupBy("word").count().filter(F.col("count") > PACKED).select("word"), "line-packed")
-    spread, crowd = twos.join(packed, "word", "left_anti"), twos.join(packed, "word", "left_semi")
-
-    def meet(later: DataFrame, earlier: DataFrame, position: bool) -> DataFrame:
-        x, y = later.alias("x"), earlier.alias("y")
-        fits = may_match(t, lambda c: F.col(f"y.{c}"), lambda c: F.col(f"x.{c}"), position)
-        return x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.unit") < F.col("x.unit")) & fits).select(F.col("x.unit").alias("unit"), F.col("y.unit").alias("earlier"))
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        """keys of the lines that the pairs name, from the texts."""
-        named = materialise(pairs.select("unit").union(pairs.select(F.col("earlier").alias("unit"))).distinct(), "line-named")
-        few = named.count() <= NAMED
-        at = lines.select("unit", "row", "number").join(F.broadcast(named) if few else named, "unit")
+    prefix = F.transform(F.slice("keys", 1, prefix_length(n, RUNS[0], t)), lambda k: F.hash(k))
+    lines = keyed_lines(texts.select("row", "id", "text"), rarity).withColumn("line", F.monotonically_increasing_id())
+    lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("hash"), prefix.alias("prefix")), "line-sets")
+    units = materialise(lines.groupBy("n", "hash", "prefix").agg(F.min("unit").alias("unit")).select("unit", "n", "prefix"), "line-units")
+
+    def sets(named: DataFrame) -> DataFrame:
+        """unit, keys and n of the named units, from the texts."""
+        named = materialise(named.distinct(), "line-named")
+        names = sent(named)
+        at = lines.select("unit", "row", "number").join(names, "unit")
         wanted = at.groupBy("row").agg(F.collect_list(F.struct("number", "unit")).alias("named"))
-        own = docs.join(F.broadcast(wanted) if few else wanted, "row")
-        parts = own.select("row", F.explode("named").alias("x"), F.split("text", "\n").alias("parts")).select(F.col("x.unit").alias("id"), "row", F.get("parts", F.col("x.number")).alias("text"))
-        return materialise(keyed_lines(parts, rarity).select(F.col("id").alias("unit"), "keys", "n"), "line-keys")
-
-    # In a crowd, a line meets the three before it and the first one; pairs further apart only matter to lines that found none.
-    w = Window.partitionBy("word").orderBy("unit")
-    other = F.struct("unit", "n", *PARITY)
-    held = crowd.select("*", F.row_number().over(w).alias("rank"), F.lead("unit", 4).over(w).isNotNull().alias("more"), *[F.lag(other, k).over(w).alias(f"o{k}") for k in (1, 2, 3)], F.first(other).over(w).alias("o4"))
-    near = [F.when((F.col(f"o{k}.unit") < F.col("unit")) & may_match(t, lambda c, k=k: F.col(f"o{k}.{c}"), F.col, False), F.col(f"o{k}.unit")).alias(f"m{k}") for k in (1, 2, 3, 4)]
-    crowd = materialise(held.select("word", "unit", "n", *PARITY, "rank", "more", *near), "line-crowd")
-    beside = crowd.select("unit", F.explode(F.array(*[F.col(f"m{k}") for k in (1, 2, 3, 4)])).alias("earlier")).filter("earlier IS NOT NULL")
-    pairs = materialise(meet(light, light, True).union(meet(spread, spread, False)).union(beside).distinct(), "line-pairs")
-    gone = materialise(similar(pairs, sets(pairs), t), "line-found")
-    far = meet(crowd.filter("rank >= 6").join(gone, "unit", "left_anti"), crowd.filter("more AND rank >= 2"), False).distinct().join(pairs, ["unit", "earlier"], "left_anti")
-    far = materialise(far, "line-far")
-    gone = gone.union(similar(far, sets(far), t))
+        own = docs.select("row", "text").join(F.broadcast(wanted) if names is not named else wanted, "row")
+        parts = own.select(F.explode("named").alias("x"), F.split("text", "\n").alias("parts")).select("x.unit", F.get("parts", F.col("x.number")).alias("text"))
+        return materialise(keyed_lines(parts, rarity).select("unit", "keys", "n"), "line-keys")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.distinct(), "line-pairs")
+        return materialise(similar(pairs, sets(pairs.select("unit").union(pairs.select(F.col("earlier").alias("unit")))), t), "line-found")
+
+    def meet(members: DataFrame, gone: DataFrame | None) -> DataFrame:
+        """Pairs of lines with a run in common, later lines among ``gone`` left out."""
+        x = (members.join(gone, "unit", "left_anti") if gone is not None else members).select("key", "unit", "n")
+        y = members.select("key", F.col("unit").alias("earlier"), F.col("n").alias("m"))
+        return x.join(y, "key").filter((F.col("earlier") < F.col("unit")) & fits(n, F.col("m"), t))
+
+    source, words, gone, left = units.filter(n >= 4), "prefix", None, None  # smaller sets have no similar set but themselves
+    for r in RUNS:
+        rows = runs(source, words, r, t)
+        counted = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("unit").alias("head"), F.max("unit").alias("last"), F.min("n").alias("low"), F.max("n").alias("high")).filter("c > 1")
+        counted = materialise(counted, "line-runs")
+        many = sent(counted.filter("c > 2").select("key", "head", (F.col("c") > CROWD).alias("crowded")))
+        members = materialise(rows.join(many, "key"), "line-members")
+        crowd = members.filter("crowded")
+        crowded = crowd.head() is not None
+        two = counted.filter("c = 2 AND head < last").filter(fits(F.col("low"), F.col("high"), t)).select(F.col("last").alias("unit"), F.col("head").alias("earlier"), F.col("low").alias("n"), F.col("high").alias("m"))
+        pairs = two.union(meet(members.filter("NOT crowded"), gone).select("unit", "earlier", F.least("n", "m"), F.greatest("n", "m")))
+        if r == RUNS[0]:  # a similar pair has several runs in common, a chance pair one; crowded ones are not counted
+            pairs = pairs.groupBy("unit", "earlier", "n", "m").agg(F.count("*").alias("c"))
+            if crowded:
+                hidden = materialise(crowd.groupBy("unit").agg(F.count("*").alias("hidden")), "line-hidden")
+                pairs = pairs.join(sent(hidden), "unit", "left").withColumn("c", F.col("c") + F.coalesce("hidden", F.lit(0)))
+            pairs = pairs.filter(F.col("c") >= shared_runs(n, F.col("m"), t))
+        pairs = pairs.select("unit", "earlier")
+        if crowded:
+            pairs = pairs.union(crowd.filter("unit != head").select("unit", F.col("head").alias("earlier")))
+        if left is not None:
+            pairs = pairs.union(left)
+        if gone is not None:
+            pairs = pairs.join(gone, "unit", "left_anti")
+        found = verified(pairs)
+        gone = found if gone is None else materialise(gone.union(found), "line-gone")
+        left = None
+        if not crowded:
+            break
+        small = least_size(r + 1, t) if r != RUNS[-1] else 0
+        again = crowd.filter(n < small / t) if small else crowd
+        left = meet(again, gone).filter((n < small) | (F.col("m") < small) if small else F.lit(True)).select("unit", "earlier")
+        source, words = (sets(crowd.select("unit")) if small else None), "keys"
+    if left is not None:
+        gone = gone.union(verified(left))
     kept = units.select("unit").join(gone, "unit", "left_anti")
-    return docs, lines.select("unit", "row", "number").join(kept, "unit", "left_anti").select("row", "number")
+    return lines.select("unit", "row", "number").join(kept, "unit", "left_anti").select("row", "number")
 
 
-def removed_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
+def removed_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0, in order): one row for each row of ``docs``."""
-    rows, gone = duplicate_lines(docs, t)
-    per = gone.groupBy("row").agg(F.sort_array(F.collect_list("number")).alias("removed"))
-    counted = rows.select("row", "id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    out = counted.join(per, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    rows, row = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("n_lines", n_lines), "row")
+    per = duplicate_lines(rows, t).groupBy(row).agg(F.sort_array(F.collect_list("number")).alias("removed"))
+    out = rows.select(row, "id", "n_lines").join(per, row, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-def clean(docs: DataFrame, t: float = 0.8) -> DataFrame:
+def clean(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the lines that go taken out of ``text``; every row and column stays."""
     keep = docs.columns
-    docs = docs.withColumn("__row", F.monotonically_increasing_id())
-    _, gone = duplicate_lines(docs.select("doc_id", "text"), t)
-    per = gone.groupBy("row").agg(F.collect_set("number").alias("__gone")).withColumnRenamed("row", "__row")
-    parts = F.filter(F.split("text", "\n"), lambda _x, i: ~F.array_contains("__gone", i))
-    return docs.join(per, "__row", "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(parts, "\n"))).select(*keep)
+    own, row = numbered(docs)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    rows = own.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("n_lines", n_lines)
+    gone = duplicate_lines(rows, t).groupBy("row").agg(F.collect_set("number").alias("gone"))
+    x, y = own.alias("x"), gone.alias("y")
+    parts = F.filter(F.split("x.text", "\n"), lambda _x, i: ~F.array_contains("y.gone", i))
+    text = F.when(F.col("y.gone").isNull(), F.col("x.text")).otherwise(F.array_join(parts, "\n"))
+    return x.join(y, F.col(f"x.{row}") == F.col("y.row"), "left").select(*[text.alias(c) if c.lower() == "text" else F.col(f"x.`{c}`") for c in keep])

@@ -7,7 +7,7 @@ what the scheduled blocks hold of it.
 
 Defined results: null text has no words; a null source is a source of its own and comes last; a source without words
 gets target 0; repeated rows are rows of their own; an empty table gives an empty result; other columns are not read.
-Sources' totals are collected (one row a source, at most ``max_sources``, checked), never documents.
+Sources' totals are collected, one row a source, never documents.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, buckets_for, hash_bucket, materialise, running_total, source_key
+from .common import WORD, buckets_for, free_name, hash_bucket, materialise, numbered, running_total, source_key
 
 
 def share_out(sizes: list[int], weights: list[float], total: float, most: float = 2.0) -> list[float]:
@@ -62,36 +62,36 @@ def schedule(spark, sources: list[tuple[str, int, float]], block_tokens: int, ch
     drawn = spark.range(slots if live else 0).mapInPandas(draw, "slot long, __s int").withColumn("__one", F.lit(1))
     ranked = running_total(materialise(drawn, "mix-slots"), ["__s"], (F.col("slot") / chunk).cast("int"), ["slot"], "__one", "rank")
     names = spark.createDataFrame([(i, k, b) for i, (k, b) in enumerate(live)], "__s int, __source string, __blocks long")
-    # One row a source, at most max_sources of them.
     ranked = ranked.join(F.broadcast(names), "__s")
     return ranked.filter("rank < 2 * __blocks").select("__source", "slot", "rank", (F.col("rank") % F.col("__blocks")).alias("block"))
 
 
-def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block_tokens: int = 64, seed: int = 11, max_sources: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block_tokens: int = 64, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of ``docs``; also ``__row``, unique to each row.
 
     ``weights`` repeat over the sources in code point order, null last. ``share`` of all words is given out, at most
     ``most`` (up to 2) times a source's words. A document is taken at most twice as blocks are used at most twice.
     """
-    return mixed_rows(materialise(stream_rows(docs, seed), "mix-rows"), weights, share, most, block_tokens, max_sources)
+    numbers = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "source", "text")
+    return mixed_rows(materialise(stream_rows(numbers, seed), "mix-rows"), weights, share, most, block_tokens).drop("__order")
 
 
-def stream_rows(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def stream_rows(docs: DataFrame, seed: int) -> DataFrame:
+    """docs: __row, doc_id, source and text. A narrow row for each, without its text."""
     return docs.select(
-        F.monotonically_increasing_id().alias("__row"), "doc_id", "source", *keep, source_key().alias("__source"),
+        "__row", "doc_id", "source", source_key().alias("__source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("__order"),
     )
 
 
-def mixed_rows(rows: DataFrame, weights, share: float, most: float, block_tokens: int, max_sources: int) -> DataFrame:
+def mixed_rows(rows: DataFrame, weights, share: float, most: float, block_tokens: int) -> DataFrame:
     spark = rows.sparkSession
-    totals = rows.groupBy("__source", "source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources: group them first, or raise max_sources")
+    totals = rows.groupBy("__source", "source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()  # one row a source
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["s"] for r in totals]
     targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(totals))], share * sum(sizes), most)
     plan = [(r["__source"], s, t) for r, s, t in zip(totals, sizes, targets, strict=True)]
+    block_tokens = block_of(sizes, targets, block_tokens)
     slots = schedule(spark, plan, block_tokens)
     uses = slots.groupBy("__source", "block").agg(F.count("*").alias("__uses"))
     at = running_total(rows, ["__source"], hash_bucket("__order", buckets_for(sum(r["n"] for r in totals))), ["__order", "doc_id", "size", "__row"], "size", "__from")
@@ -102,19 +102,26 @@ def mixed_rows(rows: DataFrame, weights, share: float, most: float, block_tokens
     taken = parts.join(uses, ["__source", "block"]).groupBy("__row").agg(F.sum(held * F.col("__uses")).alias("taken"))
     goal = spark.createDataFrame(plan, "__source string, source_size long, target double")
     return rows.join(taken, "__row", "left").join(F.broadcast(goal), "__source").select(
-        "__row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "__row", "__order", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block_tokens: int = 64, seed: int = 11, max_sources: int = 100_000) -> DataFrame:
+def block_of(sizes: list[int], targets: list[float], least: int, slots: int = 20_000) -> int:
+    """Words in a block: ``least``, or more where every source still has about ``slots`` blocks and so many slots of its target."""
+    smallest = min((min(s, t) for s, t in zip(sizes, targets, strict=True) if t > 0), default=0)
+    return max(least, int(smallest) // slots)
+
+
+def mixed_documents(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block_tokens: int = 64, seed: int = 11) -> DataFrame:
     """The rows of ``docs`` as often as they are taken: whole documents, taken / size times, the fraction by a seeded draw.
 
     The draw is a hash of the document, so reruns agree; documents without words stay once. Columns stay as they are.
     """
-    columns = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    plain = docs.select("doc_id", "source", "text")
-    got = mix(plain, weights, share, most, block_tokens, seed, max_sources).select("__row", (F.col("taken") / F.col("size")).alias("__times"))
-    draw = F.xxhash64(F.lit(seed + 1), "doc_id", "text").cast("double") / F.lit(2.0**64) + 0.5
-    times = F.coalesce(F.floor(F.col("__times") + draw), F.lit(1)).cast("int")
-    return numbered.join(got, "__row").withColumn("__n", times).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
+    own, row = numbered(docs)
+    rows = stream_rows(own.select(F.col(row).alias("__row"), "doc_id", "source", "text"), seed)
+    got = mixed_rows(materialise(rows, "mix-rows"), weights, share, most, block_tokens)
+    draw = F.xxhash64(F.lit(seed + 1), "doc_id", "__order").cast("double") / F.lit(2.0**64) + 0.5
+    times = F.coalesce(F.floor(F.col("taken") / F.col("size") + draw), F.lit(1)).cast("int")
+    got = got.select(F.col("__row").alias("r"), times.alias("n")).filter("n > 0").alias("y")
+    copies = own.alias("x").join(got, F.col(f"x.{row}") == F.col("y.r")).select(*[F.col(f"x.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("y.n"))).alias(free_name(docs, "copy")))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])

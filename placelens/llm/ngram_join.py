@@ -3,8 +3,9 @@
 Documents with the same set of ``width``-word shingles are one unit with a number of copies. A unit has ``bands`` hashes
 of ``rows`` minima each, chosen so that a pair at the threshold shares a band with probability ``recall`` at least. Units are
 shuffled by band hash and tied to the smallest unit of their bucket; what hangs together that way is a candidate family.
-All pairs of a family are verified on their full sets of 64-bit shingle hashes, in blocks of at most 2 * ``block`` units
-whatever the family's size; a block returns the links of each unit and a spanning forest, never its pairs.
+All pairs of a family are verified on their full sets of 64-bit shingle hashes. A family of more than ``block`` units or
+``weight`` shingles is cut into chunks of units with the same smallest bucket mate, and only chunks that share a band meet.
+So a task sees at most two chunks at once; it returns the links of each unit and a spanning forest, never pairs.
 
 Defined results: null text takes no part (a class of its own, no links); a text without words is similar only to equal
 texts; a text of less than ``width`` words is one shingle; repeated rows are documents of their own and each other's
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered, sent_if_small
 from .graph import components
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -64,22 +65,23 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) -> np.nda
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """row, doc_id, text_key, unit_key, bands: one row for each document with a text."""
+    """row, doc_id, unit_key, weight (shingles), bands: one row for each document with a text."""
 
     def run(batches):
         rng = np.random.default_rng(seed)
         a = rng.integers(0, 2**64, bands * rows, np.uint64) | np.uint64(1)
         b = rng.integers(0, 2**64, bands * rows, np.uint64)
         for batch in batches:
-            keys, out = [], []
+            keys, sizes, out = [], [], []
             for t in batch.column("text"):
                 t = t.as_py()
                 s = shingles(t, width)
+                sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes() if len(s) else b"text" + t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 out.append(signature(s, a, b, bands).tolist() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "text_key")), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["row", "doc_id", "text_key", "unit_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["row", "doc_id", "unit_key", "weight", "bands"])
 
-    return docs.filter("text is not null").select("row", "doc_id", "text_key", "text").mapInArrow(run, "row long, doc_id long, text_key string, unit_key binary, bands array<long>")
+    return docs.filter("text is not null").select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, unit_key binary, weight long, bands array<long>")
 
 
 def links_within(units: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -127,99 +129,110 @@ def links_within(units: np.ndarray, copies: np.ndarray, sets: list[np.ndarray],
     return near @ copies, forest
 
 
-def verify(members: DataFrame, width: int, threshold: float, tasks: int) -> DataFrame:
+def verify(members: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """u, v, n: a link of the forest if v is there, else n linked documents of unit u.
 
-    members: family, i, j, chunk, unit, copies, set; units of chunks i and j meet, within i only if i = j.
+    members: i, j, chunk, unit, copies, set; units of chunks i and j meet, within i only if i = j.
     """
 
-    def close(group):
-        seen = {}
-        for chunk, unit, copies, data in group:
-            seen[unit] = (chunk, copies, data)
-        units = np.array(list(seen), np.int64)
-        chunk, copies = (np.array([x[k] for x in seen.values()]) for k in (0, 1))
-        left = chunk == chunk.min()
-        right = left if chunk.min() == chunk.max() else ~left
-        n, forest = links_within(units, copies.astype(np.float64), [np.frombuffer(x[2], np.uint64) for x in seen.values()], left, right, threshold)
-        on = np.flatnonzero(n)
-        return [(int(units[i]), None, int(n[i])) for i in on] + [(u, v, 0) for u, v in forest]
+    def close(key, group):
+        if not group or (key[0] != key[1] and len({g[0] for g in group}) < 2):
+            return []
+        chunk, units, copies = (np.array([g[k] for g in group], np.int64) for k in (0, 1, 2))
+        left = chunk == key[0]
+        right = left if key[0] == key[1] else ~left
+        n, forest = links_within(units, copies.astype(np.float64), [np.frombuffer(g[3], np.uint64) for g in group], left, right, threshold)
+        return [(int(units[i]), None, int(n[i])) for i in np.flatnonzero(n)] + [(u, v, 0) for u, v in forest]
 
     def run(batches):
         key, group, out = None, [], []
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("family", "i", "j", "chunk", "unit", "copies", "set")]
-            for f, i, j, chunk, unit, copies, data in zip(*cols, strict=True):
-                if (f, i, j) != key:
-                    out += close(group) if group and (key[1] == key[2] or len({g[0] for g in group}) == 2) else []
-                    key, group = (f, i, j), []
-                group.append((chunk, unit, copies, data))
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            for i, j, *row in zip(*(b.column(c).to_pylist() for c in ("i", "j", "chunk", "unit", "copies", "set")), strict=True):
+                if (i, j) != key:
+                    out += close(key, group)
+                    key, group = (i, j), []
+                group.append(row)
             if len(out) > 10_000:
                 yield batch_of(out)
                 out = []
-        out += close(group) if group and (key[1] == key[2] or len({g[0] for g in group}) == 2) else []
+        out += close(key, group)
         yield batch_of(out)
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["u", "v", "n"])
 
-    dealt = members.repartition(tasks, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    dealt = members.repartition(tasks, "i", "j").sortWithinPartitions("i", "j")
     return dealt.mapInArrow(run, "u long, v long, n long")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, block: int = 512, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, text_key, unit of each document with a text; unit, label, links, copies of each unit)."""
+def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, block: int = 512, weight: int = 1 << 20, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, unit of each document with a text; unit, label, links, copies, least id of each unit); docs: row, doc_id, text, written."""
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = materialise(sketches(docs, width, bands, rows, seed), "join-sketches")
-    units = materialise(seen.groupBy("unit_key").agg(F.min("row").alias("unit"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.min("text_key").alias("text_key")), "join-units")
-
-    buckets = units.select("unit", F.posexplode("bands").alias("band", "hash"))
-    heads = buckets.groupBy("band", "hash").agg(F.min("unit").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = buckets.join(heads, ["band", "hash"]).filter("unit != head").select(F.col("unit").alias("u"), F.col("head").alias("v"))
-    family = materialise(components(stars, "join-family").withColumnsRenamed({"node": "unit", "label": "family"}), "join-families")
-    sizes = family.groupBy("family").agg(F.count("*").alias("n")).select("family", F.ceil(F.col("n") / block).cast("int").alias("chunks"))
-    named = family.join(sizes, "family").join(units.select("unit", "text_key", "copies"), "unit")
-    named = named.withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int"))
+    # Weight and bands follow from the key; as parts of it they are grouped without a sort.
+    units = seen.groupBy("unit_key", "weight", "bands").agg(F.min("row").alias("unit"), F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    units = materialise(units, "join-units")
+
+    buckets = units.select("unit", F.explode("bands").alias("hash"))  # a hash is of its band
+    heads = buckets.groupBy("hash").agg(F.min("unit").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    stars = materialise(buckets.join(heads, "hash").filter("unit != head").select(F.col("unit").alias("u"), F.col("head").alias("v")).distinct(), "join-stars")
+    family = components(stars, "join-family").withColumnsRenamed({"node": "unit", "label": "family"})
+    family = materialise(family.join(units.select("unit", "copies", "weight"), "unit"), "join-families")
+    large = family.groupBy("family").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).filter((F.col("n") > block) | (F.col("w") > weight)).select("family")
+    large = materialise(large, "join-large")
+
+    # Chunks of large families: units with the same head, as many parts as it takes; a small family is a chunk of its own.
+    cut = family.join(sent_if_small(large), "family").join(stars.groupBy("u").agg(F.min("v").alias("head")).withColumnRenamed("u", "unit"), "unit", "left")
+    cut = materialise(cut.select("unit", "weight", F.coalesce("head", "unit").alias("head")), "join-cut")
+    parts = cut.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("weight") / weight)).cast("long").alias("parts"))
+    cut = materialise(cut.join(sent_if_small(parts), "head").select("unit", F.xxhash64("head", F.pmod(F.xxhash64("unit"), "parts")).alias("chunk")), "join-chunks")
+    shared = buckets.join(sent_if_small(cut), "unit").select("hash", "chunk").distinct()
+    x, y = shared.alias("x"), shared.alias("y")
+    met = x.join(y, F.col("x.hash") == F.col("y.hash")).filter(F.col("x.chunk") < F.col("y.chunk")).select(F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j")).distinct()
+    own = cut.select(F.col("chunk").alias("i"), F.col("chunk").alias("j")).distinct()
+    met = met.select(F.col("i").alias("chunk"), "i", "j").union(met.select(F.col("j").alias("chunk"), "i", "j")).union(own.select(F.col("i").alias("chunk"), "i", "j"))
+    met = materialise(met, "join-met")
+    named = family.select("unit", "family", "copies").join(sent_if_small(cut), "unit", "left").select("unit", "copies", F.coalesce("chunk", "family").alias("chunk"))
 
     def encode(batches):
-        done = set()
         for b in batches:
-            held = [i for i, u in enumerate(b.column("unit").to_pylist()) if u not in done and not done.add(u)]
-            b = b.take(pa.array(held, pa.int64()))
             sets = [shingles(t.as_py(), width).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("family", "chunks", "chunk", "unit", "copies")), pa.array(sets, pa.binary())], names=["family", "chunks", "chunk", "unit", "copies", "set"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("chunk", "unit", "copies")), pa.array(sets, pa.binary())], names=["chunk", "unit", "copies", "set"])
 
-    texts = docs.filter("text_key is not null").select("text_key", "text").join(named, "text_key").select("family", "chunks", "chunk", "unit", "copies", "text")
-    sets = texts.mapInArrow(encode, "family long, chunks int, chunk int, unit long, copies long, set binary")
-    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    members = met.select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "unit", "copies", "set")
+    named = materialise(named.withColumnRenamed("unit", "row"), "join-named")
+    texts = docs.select("row", "text").join(sent_if_small(named), "row").select("chunk", F.col("row").alias("unit"), "copies", "text")
+    sets = texts.mapInArrow(encode, "chunk long, unit long, copies long, set binary")
+    members = sets.join(sent_if_small(met), "chunk", "left").select(F.coalesce("i", "chunk").alias("i"), F.coalesce("j", "chunk").alias("j"), "chunk", "unit", "copies", "set")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = materialise(verify(members, width, threshold, tasks), "join-links")
+    found = materialise(verify(members, threshold, tasks), "join-links")
 
     links = found.filter("v is null").groupBy("u").agg(F.sum("n").alias("links")).withColumnRenamed("u", "unit")
     label = components(found.filter("v is not null").select("u", "v"), "join-class").withColumnRenamed("node", "unit")
-    out = units.select("unit", "copies").join(label, "unit", "left").join(links, "unit", "left")
-    out = out.select("unit", "copies", F.coalesce("label", "unit").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return seen.join(units.select("unit_key", "unit"), "unit_key").select("row", "doc_id", "text_key", "unit"), materialise(out, "join-classes")
+    out = units.select("unit", "copies", "least").join(label, "unit", "left").join(links, "unit", "left")
+    out = materialise(out.select("unit", "copies", "least", F.coalesce("label", "unit").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "join-classes")
+    # Only texts that occur again need a look at their unit: others are their own.
+    again = units.filter("copies > 1").select("unit_key", F.col("unit").alias("first"))
+    return seen.select("row", "doc_id", "unit_key").join(sent_if_small(again), "unit_key", "left").select("row", "doc_id", F.coalesce("first", "row").alias("unit")), out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, block: int = 512) -> DataFrame:
     """doc_id, class_id (the smallest id of its class) and links (documents at least as similar as ``threshold``) of every row."""
+    docs, _ = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "row")
     rows, units = classes(docs, threshold, width, recall, block)
-    rows = materialise(rows.join(units, "unit").select("doc_id", "label", "links"), "join-rows")
-    names = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    out = rows.join(names, "label").select("doc_id", "class_id", "links")
-    own = F.col("doc_id").cast("long")
-    return out.unionByName(docs.filter("text is null").select(own.alias("doc_id"), own.alias("class_id"), F.lit(0).cast("long").alias("links")))
+    # Classes of several units take their name from an aggregation; other units have it themselves.
+    several = materialise(units.groupBy("label").agg(F.count("*").alias("n"), F.min("least").alias("class_id")).filter("n > 1").drop("n"), "join-names")
+    named = units.join(sent_if_small(several), "label", "left").select("unit", F.coalesce("class_id", "least").alias("class_id"), "links")
+    out = rows.join(named, "unit").select("doc_id", "class_id", "links")
+    return out.unionByName(docs.filter("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, block: int = 512) -> DataFrame:
     """The rows of ``docs`` without those of a class but one, the one of smallest id; rows without text stay."""
-    cols = docs.columns
-    rows, units = classes(docs.select("doc_id", "text"), threshold, width, recall, block)
+    own, row = numbered(docs)
+    rows, units = classes(own.select(F.col(row).alias("row"), "doc_id", "text"), threshold, width, recall, block)
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
-    kept = rows.join(units.select("unit", "label"), "unit").groupBy("label").agg(F.min(place).alias("p")).select(F.col("p.row").alias("__row"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(kept, "__row", "left_semi").select(*cols).union(docs.filter("text is null").select(*cols))
+    kept = rows.join(units.select("unit", "label"), "unit").groupBy("label").agg(F.min(place).alias("p")).select(F.col("p.row").alias(row))
+    gone = materialise(rows.select(F.col("row").alias(row)).join(kept, row, "left_anti"), "join-gone")
+    return own.join(sent_if_small(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

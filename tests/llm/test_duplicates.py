@@ -106,14 +106,13 @@ def test_line_dedup(spark, sf):
     assert got == {(rows[k][0], n) for k, n in gone} and len(got) > 50
 
 
-@pytest.mark.parametrize(("heavy", "packed", "long"), [(400, 64, 8), (6, 4, 24), (0, 0, 64), (3, 10**6, 64)])
-def test_line_dedup_near_lines(spark, monkeypatch, heavy, packed, long):
-    """Rare words, crowded words two at a time, and crowds of those, all against brute force."""
+@pytest.mark.parametrize(("crowd", "sketch"), [(64, 1 << 16), (2, 1 << 16), (8, 4)])
+def test_line_dedup_near_lines(spark, monkeypatch, crowd, sketch):
+    """Runs of two words, longer ones of crowded lines, and crowds of those, all against brute force."""
     import random
 
-    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
-    monkeypatch.setattr(line_dedup, "PACKED", packed)
-    monkeypatch.setattr(line_dedup, "LONG", long)
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "SKETCH", sketch)
 
     rng = random.Random(2)
     rows = []
@@ -125,6 +124,8 @@ def test_line_dedup_near_lines(spark, monkeypatch, heavy, packed, long):
                 w[rng.randrange(25)] = f"x{rng.randrange(50)}"
             rng.shuffle(w)
             lines.append(" ".join(w))
+        for size in (4, 5, 6, 9, 14):  # few words of few kinds: runs that many short lines share
+            lines.append(" ".join(f"s{rng.randrange(size + 3)}" for _ in range(size)))
         rows.append((i, "\n".join(lines)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], n) for r in line_dedup.removed_lines(docs).collect() for n in r["removed"]}
@@ -144,6 +145,45 @@ def test_line_dedup_edges(odd, odd_rows, empty):
     assert line_dedup.removed_lines(empty).collect() == [] and line_dedup.clean(empty).collect() == []
 
 
+def test_similar_sets_share_runs():
+    """The prefix bounds, by all sizes of two sets and all placings of their own words that a search finds worst."""
+    import random
+
+    rng, t = random.Random(7), 0.8
+    length = lambda n, r: min(n, int((r + 1) * (1 - t) * n + 1e-9) + r + 1)
+    for _ in range(20000):
+        n1, n2 = rng.randrange(4, 60), rng.randrange(4, 60)
+        both = -(-t * (n1 + n2) / (1 + t) // 1)
+        both = int(both) + (both < t * (n1 + n2) / (1 + t) - 1e-9)
+        if both > min(n1, n2):
+            continue
+        early = rng.random() < 0.7  # words of one set alone before most shared ones
+        draw = lambda: rng.random() ** (3 if early else 1)
+        shared = [rng.random() for _ in range(both)]
+        x = sorted(shared + [draw() for _ in range(n1 - both)])
+        y = sorted(shared + [draw() for _ in range(n2 - both)])
+        for r in line_dedup.RUNS:
+            if min(n1, n2) >= line_dedup.least_size(r, t):
+                runs = [{tuple(s[i : i + r + 1]) for i in range(length(len(s), r) - r)} for s in (x, y)]
+                assert runs[0] & runs[1], (n1, n2, r)
+
+
+def inputs_of(spark, docs):
+    """The same rows as a scan, dealt anew, as a join's result and sorted."""
+    some = spark.range(10**6).select(F.col("id").alias("doc_id"), F.lit(1).alias("one"))
+    return [docs, docs.repartition(5), docs.join(some, "doc_id").drop("one"), docs.repartition(3).sort(F.desc("n_chars"))]
+
+
+def test_results_do_not_hang_on_the_plan(spark, sf):
+    """Line dedup, n-gram join and mixing keep their rows' identity whatever plan gives the input."""
+    from placelens.llm import mixing
+
+    docs = table(spark, sf, "documents").filter("doc_id < 200 AND n_chars < 20000")
+    for way in (line_dedup.clean, ngram_join.one_of_each, mixing.mixed_documents, lambda d: mixing.mix(d).drop("__row")):
+        first, *others = [sorted((tuple(r) for r in way(d).select("doc_id", *[c for c in ("text", "taken") if c in way(d).columns]).collect()), key=repr) for d in inputs_of(spark, docs)]
+        assert len(first) > 100 and all(first == x for x in others)
+
+
 def test_native_plan(spark, sf):
     plan = line_dedup.removed_lines(table(spark, sf, "documents").limit(50))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
