@@ -1,49 +1,80 @@
 """A corpus pipeline of five stages; each reads what the one before has written.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it to the shared folder and reads it again.
-All but the last return the columns of ``documents``. Intermediate tables of a stage are deleted when the next begins.
+All but the last return the columns of ``documents``, whatever other columns those are, and keep their values but for those
+named. Intermediate tables of a stage are deleted when the next stage of the same run begins.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelens.llm import common, language_id, line_dedup, mixing, ngram_join, packing
 from placelens.llm.queries import tokenizer_path
 
+_run: ContextVar[str] = ContextVar("pipeline", default="pipeline")
+
+
+def _own(spark: SparkSession, stage: Callable[[], DataFrame]) -> DataFrame:
+    """The stage's result; what the stage before of this run left in the shared folder goes first."""
+    common.release(spark, _run.get())
+    with common.owned_by(_run.get()):
+        return stage()
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language identification rejects go."""
-    common.release(spark)
-    return language_id.accepted(docs)
+    """Documents that the language identification rejects go: texts unlike all languages, null texts and texts without a letter.
+
+    Repeated rows share their verdict; ties between languages do not matter; without labelled rows all go; an empty table
+    gives an empty result.
+    """
+    return _own(spark, lambda: language_id.accepted(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines similar to an earlier line go from the texts, n_chars follows; a document left without words goes."""
-    common.release(spark)
-    cleaned = line_dedup.clean(docs)
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.filter(F.col("text").rlike(common.WORD)).select(*docs.columns)
+    """Lines similar to an earlier line go from the texts, n_chars follows; a document left without words goes.
+
+    So do null and empty texts; of repeated rows and equal lines the first in the order of ids stays, null ids last; an
+    empty table gives an empty result.
+    """
+
+    def stage() -> DataFrame:
+        cleaned = line_dedup.clean(docs)
+        if "n_chars" in docs.columns:
+            cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return cleaned.filter(F.col("text").rlike(common.WORD)).select(*docs.columns)
+
+    return _own(spark, stage)
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
-    common.release(spark)
-    return ngram_join.one_of_each(docs)
+    """One document of each class of near-duplicates stays, the one of smallest id (null ids last); rows with null text stay.
+
+    An empty table gives an empty result.
+    """
+    return _own(spark, lambda: ngram_join.one_of_each(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, by whole documents: taken / size rounded, at most twice."""
-    common.release(spark)
-    return mixing.mixed_documents(docs)
+    """Documents as often as the mix takes them, by whole documents: taken / size rounded, at most twice.
+
+    Null and empty texts stay once; a null source is a source; repeated rows are drawn each; an empty table gives an empty
+    result.
+    """
+    return _own(spark, lambda: mixing.mixed_documents(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
-    common.release(spark)
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of sequences of 4096 tokens; a null or empty text is its end id alone, repeated rows are packed each.
+
+    An empty table gives an empty result.
+    """
+    return _own(spark, lambda: packing.pack(docs, tokenizer_path()))
 
 
 STAGES = [
@@ -59,12 +90,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
-    common.release(spark)
+    name = f"pipeline-{uuid.uuid4().hex}"
+    token = _run.set(name)
+    try:
+        docs, folder = common.table(spark, sf_dir, "documents"), f"{common.shared_folder(spark)}/{name}"
+        for i, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+        common.release(spark, name)
+    finally:
+        _run.reset(token)
     return docs
