@@ -11,11 +11,12 @@ r * (a + b + 1) + 1 + a at most, which is (r + 1) * (1 - t) * n + r + 1 at most
 So similar lines have a run of r + 1 words of their prefixes of that length in common. With r = 1 (pairs), such a run is rarely
 shared by chance, and most runs occur once in the corpus.
 
-Runs are counted by an aggregation. Pairs of lines come from runs that occur more than once; they pass the length filter and a
-positional one (the prefixes of a similar pair must share as many runs as the words outside their intersection leave
-whole), then whole sets are compared. A run in more than ``CROWD`` lines is crowded: its lines are first held against the
-first of them, and lines with a crowded run meet by longer runs (r = 2, 3), which exist for every similar pair. What is crowded
-even then is joined with all before it, but only lines that found no match yet look for one; Spark splits such a join.
+Runs are counted by an aggregation, which also names the lines of runs that two or three lines share. Lines of more common runs
+are held against the first line of the run. Such pairs pass the length filter and a positional one (the prefixes of a similar
+pair must share as many runs as the words outside their intersection leave whole), then the whole sets of the likeliest pair
+of each line are compared. Only lines that found no match there are compared with all others they share a run with. A run in
+more than ``CROWD`` lines is crowded: lines with such a run meet by longer runs (r = 2, 3), which exist for every similar pair.
+What is crowded even then is joined with all before it, again only for lines without a match; Spark splits such a join.
 
 Equal sets meet by a partial aggregation first, so a line that a third of all documents share is one row.
 
@@ -66,9 +67,10 @@ def keyed_lines(docs: DataFrame, rarity: Column) -> DataFrame:
     """The columns of ``docs`` but its text, number, keys (rarest first) and n of each line with a word."""
     others = [c for c in docs.columns if c != "text"]
     lines = docs.select(*others, F.posexplode(F.split(plain(F.col("text")), "\n")).alias("number", "line")).filter(F.trim("line") != "")
-    hashes = F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))
-    mask = F.lit(SKETCH - 1).cast("long")
-    keys = F.transform(hashes, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(mask).cast("int")), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    mask, zero = F.lit(SKETCH - 1).cast("long"), F.lit(0).cast("long")
+    # Never null, so that arrays are sorted as plain longs. Words of one key are one word from here on.
+    keys = F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(rarity, h.bitwiseAND(mask).cast("int")), zero), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))
     return lines.select(*others, "number", F.sort_array(F.array_distinct(keys)).alias("keys")).withColumn("n", F.size("keys"))
 
 
@@ -107,12 +109,13 @@ def sent(names: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, keyed: DataFrame, t: float) -> DataFrame:
-    """unit of the later line of each pair whose whole sets reach ``t``; ``keyed``: unit, keys, n."""
+    """unit of the later line of each pair whose whole sets reach ``t``, written; ``keyed``: unit, keys, n."""
+    pairs = sent(materialise(pairs, "line-pairs"))
     a = keyed.select(F.col("unit").alias("earlier"), F.col("keys").alias("k1"), F.col("n").alias("m1"))
     b = keyed.select("unit", F.col("keys").alias("k2"), F.col("n").alias("m2"))
     common = F.size(F.array_intersect("k1", "k2"))
     alike = fits(F.col("m1"), F.col("m2"), t) & (common >= t * (F.col("m1") + F.col("m2") - common) - 1e-9)
-    return pairs.join(a, "earlier").join(b, "unit").filter(alike).select("unit").distinct()
+    return materialise(a.join(pairs, "earlier").join(b, "unit").filter(alike).select("unit").distinct(), "line-found")
 
 
 def place_of(docs: DataFrame) -> tuple[DataFrame, Column]:
@@ -157,55 +160,61 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
         parts = own.select(F.explode("named").alias("x"), F.split("text", "\n").alias("parts")).select("x.unit", F.get("parts", F.col("x.number")).alias("text"))
         return materialise(keyed_lines(parts, rarity).select("unit", "keys", "n"), "line-keys")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.distinct(), "line-pairs")
-        return materialise(similar(pairs, sets(pairs.select("unit").union(pairs.select(F.col("earlier").alias("unit")))), t), "line-found")
+    def without(pairs: DataFrame, gone: DataFrame | None) -> DataFrame:
+        """Pairs whose later line found no match yet."""
+        return pairs if gone is None else pairs.join(sent(gone), "unit", "left_anti")
 
-    def meet(members: DataFrame, gone: DataFrame | None) -> DataFrame:
-        """Pairs of lines with a run in common, later lines among ``gone`` left out."""
-        x = (members.join(gone, "unit", "left_anti") if gone is not None else members).select("key", "unit", "n")
-        y = members.select("key", F.col("unit").alias("earlier"), F.col("n").alias("m"))
-        return x.join(y, "key").filter((F.col("earlier") < F.col("unit")) & fits(n, F.col("m"), t))
+    def meet(members: DataFrame, gone: DataFrame) -> DataFrame:
+        """unit, earlier, and their sizes n and m: lines with a run in common, of which the later found no match yet."""
+        x, y = without(members, gone).select("key", "unit", "n"), members.select("key", F.col("unit").alias("earlier"), F.col("n").alias("m"))
+        return x.join(y, "key").filter((F.col("earlier") < F.col("unit")) & fits(n, F.col("m"), t)).select("unit", "earlier", "n", "m")
 
-    source, words, gone, left = units.filter(n >= 4), "prefix", None, None  # smaller sets have no similar set but themselves
+    gone, keyed = None, None
+    source, words = units.filter(n >= 4), "prefix"  # smaller sets have no similar set but themselves
+    sizes = units.select("unit", "n")
     for r in RUNS:
         rows = runs(source, words, r, t)
-        counted = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("unit").alias("head"), F.max("unit").alias("last"), F.min("n").alias("low"), F.max("n").alias("high")).filter("c > 1")
+        counted = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("unit").alias("head"), F.max("unit").alias("last"), third(units)).filter("c > 1")
         counted = materialise(counted, "line-runs")
-        many = sent(counted.filter("c > 2").select("key", "head", (F.col("c") > CROWD).alias("crowded")))
-        members = materialise(rows.join(many, "key"), "line-members")
+        direct = counted.filter(F.col("c") <= F.when(F.col("mid").isNull(), 2).otherwise(3)).select(F.explode(F.array_compact(F.array(
+            F.struct(F.col("last").alias("unit"), F.col("head").alias("earlier")),
+            *[F.when((F.col("c") == 3) & (x != y), F.struct(x.alias("unit"), y.alias("earlier"))) for x, y in ((F.col("mid"), F.col("head")), (F.col("last"), F.col("mid")))],
+        ))).alias("p")).select("p.unit", "p.earlier")
+        many = counted.filter(F.col("c") > F.when(F.col("mid").isNull(), 2).otherwise(3)).select("key", "head", (F.col("c") > CROWD).alias("crowded"))
+        members = materialise(rows.join(sent(many), "key"), "line-members")
         crowd = members.filter("crowded")
-        crowded = crowd.head() is not None
-        two = counted.filter("c = 2 AND head < last").filter(fits(F.col("low"), F.col("high"), t)).select(F.col("last").alias("unit"), F.col("head").alias("earlier"), F.col("low").alias("n"), F.col("high").alias("m"))
-        pairs = two.union(meet(members.filter("NOT crowded"), gone).select("unit", "earlier", F.least("n", "m"), F.greatest("n", "m")))
-        if r == RUNS[0]:  # a similar pair has several runs in common, a chance pair one; crowded ones are not counted
-            pairs = pairs.groupBy("unit", "earlier", "n", "m").agg(F.count("*").alias("c"))
-            if crowded:
-                hidden = materialise(crowd.groupBy("unit").agg(F.count("*").alias("hidden")), "line-hidden")
-                pairs = pairs.join(sent(hidden), "unit", "left").withColumn("c", F.col("c") + F.coalesce("hidden", F.lit(0)))
-            pairs = pairs.filter(F.col("c") >= shared_runs(n, F.col("m"), t))
-        pairs = pairs.select("unit", "earlier")
-        if crowded:
-            pairs = pairs.union(crowd.filter("unit != head").select("unit", F.col("head").alias("earlier")))
-        if left is not None:
-            pairs = pairs.union(left)
-        if gone is not None:
-            pairs = pairs.join(gone, "unit", "left_anti")
-        found = verified(pairs)
+        first = direct.union(members.select("unit", F.col("head").alias("earlier"))).filter("unit != earlier").groupBy("unit", "earlier").agg(F.count("*").alias("c"))
+        if keyed is None:  # a similar pair has several runs in common, a chance pair one; those of many lines are not counted
+            hidden = materialise(members.groupBy("unit").agg(F.count("*").alias("hidden")), "line-hidden")
+            first = first.join(sizes, "unit").join(sizes.select(F.col("unit").alias("earlier"), F.col("n").alias("m")), "earlier").join(sent(hidden), "unit", "left")
+            first = first.filter(fits(n, F.col("m"), t) & (F.col("c") + F.coalesce("hidden", F.lit(0)) >= shared_runs(n, F.col("m"), t))).select("unit", "earlier", "c")
+        first = materialise(without(first, gone), "line-first")
+        if keyed is None:
+            keyed = sets(first.select("unit").union(first.select("earlier")).union(members.select("unit")))
+        likeliest = first.groupBy("unit").agg(F.max_by("earlier", "c").alias("earlier"))
+        found = similar(likeliest, keyed, t)
         gone = found if gone is None else materialise(gone.union(found), "line-gone")
-        left = None
+        others = without(first.select("unit", "earlier"), gone).union(meet(members.filter("NOT crowded"), gone).select("unit", "earlier"))
+        crowded = crowd.head() is not None
+        small = least_size(r + 1, t) if r != RUNS[-1] else None
+        if crowded:  # those too small for longer runs, or all if there are no longer ones
+            again = meet(crowd, gone) if small is None else meet(crowd.filter(n < small / t), gone).filter((n < small) | (F.col("m") < small))
+            others = others.union(again.select("unit", "earlier"))
+        gone = materialise(gone.union(similar(others.distinct(), keyed, t)), "line-gone")
         if not crowded:
             break
-        small = least_size(r + 1, t) if r != RUNS[-1] else 0
-        again = crowd.filter(n < small / t) if small else crowd
-        left = meet(again, gone).filter((n < small) | (F.col("m") < small) if small else F.lit(True)).select("unit", "earlier")
-        source, words = (sets(crowd.select("unit")) if small else None), "keys"
-    if left is not None:
-        gone = gone.union(verified(left))
+        source, words = keyed.join(sent(materialise(crowd.select("unit").distinct(), "line-crowd")), "unit", "left_semi"), "keys"
     kept = units.select("unit").join(gone, "unit", "left_anti")
     return lines.select("unit", "row", "number").join(kept, "unit", "left_anti").select("row", "number")
 
 
+def third(units: DataFrame) -> Column:
+    """Of three places, the one that is neither least nor most; null where places are decimals."""
+    if dict(units.dtypes)["unit"] != "bigint":
+        return F.min(F.lit(None).cast("decimal(38,0)")).alias("mid")
+    return F.bit_xor("unit").bitwiseXOR(F.min("unit")).bitwiseXOR(F.max("unit")).alias("mid")
+
+
 def removed_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0, in order): one row for each row of ``docs``."""
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
