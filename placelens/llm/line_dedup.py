@@ -13,7 +13,7 @@ shared by chance, and most runs occur once in the corpus.
 
 Runs are counted by an aggregation, which also names the lines of runs that two or three lines share. Lines of more common runs
 are held against the first line of the run. Such pairs pass the length filter and a positional one (the prefixes of a similar
-pair must share as many runs as the words outside their intersection leave whole), then the whole sets of the likeliest pair
+pair must share as many runs and words as those outside their intersection leave), then the whole sets of the likeliest pair
 of each line are compared. Only lines that found no match there are compared with all others they share a run with. A run in
 more than ``CROWD`` lines is crowded: lines with such a run meet by longer runs (r = 2, 3), which exist for every similar pair.
 What is crowded even then is joined with all before it, again only for lines without a match; Spark splits such a join.
@@ -96,11 +96,16 @@ def fits(n1: Column, n2: Column, t: float) -> Column:
     return (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9)
 
 
+def shared_words(n1: Column, n2: Column, t: float) -> Column:
+    """How many words similar sets of these sizes have in common in their prefixes (r = 1), at least."""
+    need = F.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
+    return F.least(prefix_length(n1, 1, t) - n1, prefix_length(n2, 1, t) - n2) + need
+
+
 def shared_runs(n1: Column, n2: Column, t: float) -> Column:
-    """How many pairs of neighbours (r = 1) similar sets of these sizes have in common in their prefixes, at least."""
+    """How many pairs of neighbours, likewise: each word outside the intersection parts two shared ones at most."""
     need = F.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
-    a, b = n1 - need, n2 - need
-    return F.greatest(F.least(prefix_length(n1, 1, t) - a, prefix_length(n2, 1, t) - b) - 1 - a - b, F.lit(1))
+    return F.greatest(shared_words(n1, n2, t) - 1 - (n1 + n2 - 2 * need), F.lit(1))
 
 
 def sent(names: DataFrame) -> DataFrame:
@@ -108,14 +113,26 @@ def sent(names: DataFrame) -> DataFrame:
     return F.broadcast(names) if names.count() <= NAMED else names
 
 
+def beside(pairs: DataFrame, sets: DataFrame, words: str) -> DataFrame:
+    """``pairs`` (unit, earlier; distinct, written) with the words w and size n of the unit's set, and v and m of the earlier one's."""
+    pairs = sent(pairs)
+    x = sets.select("unit", "n", F.col(words).alias("w")).join(pairs, "unit")
+    y = sets.select(F.col("unit").alias("earlier"), F.col("n").alias("m"), F.col(words).alias("v")).join(pairs.select("unit", "earlier"), "earlier")
+    return x.join(y, ["unit", "earlier"])
+
+
+def likely(pairs: DataFrame, units: DataFrame, t: float) -> DataFrame:
+    """unit, earlier and the number of shared prefix words of the pairs that share as many as similar sets do, written."""
+    both = F.size(F.array_intersect("w", "v"))
+    at = beside(materialise(pairs, "line-pairs"), units, "prefix").filter(fits(F.col("n"), F.col("m"), t))
+    return materialise(at.filter(both >= shared_words(F.col("n"), F.col("m"), t)).select("unit", "earlier", both.alias("c")), "line-likely")
+
+
 def similar(pairs: DataFrame, keyed: DataFrame, t: float) -> DataFrame:
     """unit of the later line of each pair whose whole sets reach ``t``, written; ``keyed``: unit, keys, n."""
-    pairs = sent(materialise(pairs, "line-pairs"))
-    a = keyed.select(F.col("unit").alias("earlier"), F.col("keys").alias("k1"), F.col("n").alias("m1"))
-    b = keyed.select("unit", F.col("keys").alias("k2"), F.col("n").alias("m2"))
-    common = F.size(F.array_intersect("k1", "k2"))
-    alike = fits(F.col("m1"), F.col("m2"), t) & (common >= t * (F.col("m1") + F.col("m2") - common) - 1e-9)
-    return materialise(a.join(pairs, "earlier").join(b, "unit").filter(alike).select("unit").distinct(), "line-found")
+    common = F.size(F.array_intersect("w", "v"))
+    alike = fits(F.col("n"), F.col("m"), t) & (common >= t * (F.col("n") + F.col("m") - common) - 1e-9)
+    return materialise(beside(materialise(pairs, "line-pairs"), keyed, "keys").filter(alike).select("unit").distinct(), "line-found")
 
 
 def place_of(docs: DataFrame) -> tuple[DataFrame, Column]:
@@ -183,24 +200,32 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
         many = counted.filter(F.col("c") > F.when(F.col("mid").isNull(), 2).otherwise(3)).select("key", "head", (F.col("c") > CROWD).alias("crowded"))
         members = materialise(rows.join(sent(many), "key"), "line-members")
         crowd = members.filter("crowded")
+        crowded = crowd.head() is not None
+        per = lambda rows: sent(materialise(rows.groupBy("unit").agg(F.count("*").alias("hidden")), "line-hidden"))
+        enough = F.col("c") + F.coalesce("hidden", F.lit(0)) >= shared_runs(n, F.col("m"), t)
         first = direct.union(members.select("unit", F.col("head").alias("earlier"))).filter("unit != earlier").groupBy("unit", "earlier").agg(F.count("*").alias("c"))
-        if keyed is None:  # a similar pair has several runs in common, a chance pair one; those of many lines are not counted
-            hidden = materialise(members.groupBy("unit").agg(F.count("*").alias("hidden")), "line-hidden")
-            first = first.join(sizes, "unit").join(sizes.select(F.col("unit").alias("earlier"), F.col("n").alias("m")), "earlier").join(sent(hidden), "unit", "left")
-            first = first.filter(fits(n, F.col("m"), t) & (F.col("c") + F.coalesce("hidden", F.lit(0)) >= shared_runs(n, F.col("m"), t))).select("unit", "earlier", "c")
-        first = materialise(without(first, gone), "line-first")
+        if r == RUNS[0]:  # a similar pair has several runs in common, a chance pair one; those of many lines may hide
+            sized = first.join(sizes, "unit").join(sizes.select(F.col("unit").alias("earlier"), F.col("n").alias("m")), "earlier")
+            first = sized.join(per(members), "unit", "left").filter(fits(n, F.col("m"), t) & enough)
+        first = likely(without(first.select("unit", "earlier"), gone), units, t)
         if keyed is None:
-            keyed = sets(first.select("unit").union(first.select("earlier")).union(members.select("unit")))
-        likeliest = first.groupBy("unit").agg(F.max_by("earlier", "c").alias("earlier"))
-        found = similar(likeliest, keyed, t)
+            named = first.select("unit").union(first.select("earlier"))
+            keyed = sets(named.union(crowd.select("unit")) if crowded else named)
+        found = similar(first.groupBy("unit").agg(F.max_by("earlier", "c").alias("earlier")), keyed, t)
         gone = found if gone is None else materialise(gone.union(found), "line-gone")
-        others = without(first.select("unit", "earlier"), gone).union(meet(members.filter("NOT crowded"), gone).select("unit", "earlier"))
-        crowded = crowd.head() is not None
+        others = meet(members.filter("NOT crowded"), gone)
+        if r == RUNS[0]:
+            none = F.lit(None).cast("int")
+            others = others.union(without(direct, gone).select("unit", "earlier", none, none)).groupBy("unit", "earlier").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m")).filter("n IS NOT NULL")
+            others = others.join(per(crowd), "unit", "left").filter(enough) if crowded else others.filter(F.col("c") >= shared_runs(n, F.col("m"), t))
+        others = others.select("unit", "earlier").union(without(first.select("unit", "earlier"), gone))
         small = least_size(r + 1, t) if r != RUNS[-1] else None
         if crowded:  # those too small for longer runs, or all if there are no longer ones
             again = meet(crowd, gone) if small is None else meet(crowd.filter(n < small / t), gone).filter((n < small) | (F.col("m") < small))
             others = others.union(again.select("unit", "earlier"))
-        gone = materialise(gone.union(similar(others.distinct(), keyed, t)), "line-gone")
+        others = likely(others.distinct(), units, t)
+        more = sets(others.select("unit").union(others.select("earlier"))) if r == RUNS[0] else keyed
+        gone = materialise(gone.union(similar(others.select("unit", "earlier"), more, t)), "line-gone")
         if not crowded:
             break
         source, words = keyed.join(sent(materialise(crowd.select("unit").distinct(), "line-crowd")), "unit", "left_semi"), "keys"
