@@ -1,18 +1,21 @@
 """Cross-entropy difference: how much likelier a target language model finds a document than a background model.
 
-Both models are interpolated word bigram models over every word of the corpus, with every pair that occurs. Background
-counts cover all documents, target counts all documents labelled as good; the background is scaled to the mass of the
-target, so that smoothing acts alike on both (matched models). A document's score is the mean over its tokens of target
-loss minus background loss, in nats: lower is closer to the target.
+Both models are interpolated word bigram models over one vocabulary, every word of the corpus, with every pair that
+occurs. Background counts cover all documents, target counts all documents labelled as good. Both take one absolute
+``discount`` from each pair they have seen and give it to their word distribution. A larger sample has seen more, so the
+background is matched to the target's size: it is the expected model of a random sample of its tokens, as many as the
+target has. With the share r of tokens kept, a pair counted c times is expected r * c times and is seen with probability
+1 - (1 - r) ** c. A document's score is the mean over its tokens of target loss minus background loss, in nats: lower is
+closer to the target.
+
+Each document is scored by the models of all others: what it has counted itself is taken off before (cross-fitting, a fold
+a document). So labelled good documents score like good ones without a label.
 
 The model is never in one place. Texts are cut into chunks of about ``chunk`` tokens, written as numbers with the 64-bit
 hashes of their words (a billion different pairs hold one collision with a chance of 3 %). Each chunk sends its
 distinct pairs, then its distinct words, to the buckets of their hashes, where they are summed over all chunks, and gets
 the sums back; so what is counted and moved grows with the input, and a frequent pair is one entry a chunk.
 
-With ``vocabulary`` set, the smaller model of that many words instead: every other word is a class by shape, and the
-model two tables of vocabulary squared floats.
-
 Defined results: null and empty text has no tokens, losses and score 0; ids that repeat in ``labels`` are good only if all
 are; repeated rows count each; without good documents the models are equal and all scores 0; an empty table gives an
 empty result; other columns are not read.
@@ -20,9 +23,6 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-import time
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,99 +32,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise, sent_if_small
 
-#: Shape classes of words outside the vocabulary.
-SHAPES = ("lower", "capital", "upper", "digits", "mixed", "marks")
-START = len(SHAPES)
-FIRST_WORD = START + 1
-FLUSH = 300_000
-
-
-def shape(word: str) -> int:
-    core = "".join(filter(str.isalpha, word))
-    if not core:
-        return 3 if any(map(str.isdigit, word)) else 5
-    if len(core) < len(word.rstrip(".,;:!?")):
-        return 4
-    return 0 if core.islower() else 2 if core.isupper() and len(core) > 1 else 1
-
-
-class Ids(dict):
-    """Word to id; a word outside the vocabulary gets its shape, remembered for a bounded number of words."""
-
-    def __init__(self, words: list[str]):
-        super().__init__({w: FIRST_WORD + i for i, w in enumerate(words)})
-        self.words, self.base = words, len(words)
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > self.base + FLUSH:
-            self.clear()
-            self.update({w: FIRST_WORD + i for i, w in enumerate(self.words)})
-        self[word] = got = shape(word)
-        return got
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        seen: Counter = Counter()
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-        for b in batches:
-            for t in b.column("text"):
-                seen.update((t.as_py() or "").split())
-                if len(seen) > FLUSH:
-                    yield rows()
-                    seen.clear()
-        yield rows()
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def count_pairs(docs: DataFrame, words: list[str]) -> DataFrame:
-    """key = first * size + second, n of all rows and of those with ``good``."""
-    size, shared = FIRST_WORD + len(words), docs.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches):
-        ids, counts = Ids(shared.value), np.zeros((2, size * size), np.int32)
-        for b in batches:
-            for t, good in zip(b.column("text"), b.column("good").to_pylist(), strict=True):
-                tokens = np.array([START, *map(ids.__getitem__, (t.as_py() or "").split())], np.int64)
-                keys = tokens[:-1] * size + tokens[1:]
-                np.add.at(counts[0], keys, 1)
-                if good:
-                    np.add.at(counts[1], keys, 1)
-        at = np.flatnonzero(counts[0])
-        for i in range(0, len(at), 100_000):
-            k = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts[0][k].astype(np.int64)), pa.array(counts[1][k].astype(np.int64))], names=["key", "n", "good"])
-
-    return docs.select("text", "good").mapInArrow(run, "key long, n long, good long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-
-
-def log_model(counts: np.ndarray, size: int, floor: float = 0.5) -> np.ndarray:
-    """Witten-Bell interpolated log P(second | first); ``counts`` by key, may be fractions."""
-    c = counts.reshape(size, size).astype(np.float64)
-    uni = c.sum(axis=0) + floor
-    uni /= uni.sum()
-    n, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True) + 1.0
-    return np.log((c + kinds * uni) / (n + kinds)).astype(np.float32).ravel()
-
-
-def train(docs: DataFrame, vocabulary: int) -> dict:
-    """docs: text and good."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    words = [r["word"] for r in top]
-    size = FIRST_WORD + len(words)
-    all_, good = np.zeros(size * size), np.zeros(size * size)
-    table = count_pairs(docs, words).toPandas()  # at most size squared rows
-    key = table["key"].to_numpy(np.int64)
-    all_[key], good[key] = table["n"], table["good"]
-    if good.sum() == 0:
-        good = all_
-    background = all_ * (good.sum() / max(all_.sum(), 1))
-    return {"words": words, "target": log_model(good, size), "background": log_model(background, size)}
-
 
 class Local(dict):
     """Word to number in order of first sight; 0 is the start of a text, which no word can equal."""
@@ -209,25 +116,25 @@ def order_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.argsort(bucket, kind="stable")
 
 
-def parts(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+def parts(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, dtype=np.int32) -> pa.RecordBatch:
     """Rows of PART, in the order of ``order_of``."""
     bucket, order = order_of(keys, buckets)
     names, starts = np.unique(bucket[order], return_index=True)
     cuts = np.split(order, starts[1:]) if len(names) else []
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk] * len(names), pa.int64()), pa.array(names, pa.int32()), pa.array([keys[c].tobytes() for c in cuts], pa.binary()), pa.array([packed(counts[:, c].astype(np.int32)) for c in cuts], pa.binary())], names=["chunk", "bucket", "key", "n"]
+        [pa.array([chunk] * len(names), pa.int64()), pa.array(names, pa.int32()), pa.array([keys[c].tobytes() for c in cuts], pa.binary()), pa.array([packed(counts[:, c].astype(dtype)) for c in cuts], pa.binary())], names=["chunk", "bucket", "key", "n"]
     )
 
 
-def sums(rows: DataFrame, columns: int) -> DataFrame:
-    """The counts of PART rows summed over all chunks, for each key in the chunk's order; then whether this chunk owns the key."""
+def sums(rows: DataFrame, columns: int, dtype=np.int32) -> DataFrame:
+    """The counts of PART rows summed over all chunks (doubles), for each key in the chunk's order; then whether this chunk owns the key."""
 
     def merge(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k.as_py(), np.uint64) for k in table.column("key")]
         ends = np.cumsum([len(k) for k in keys])
-        counts = np.concatenate([unpacked(n.as_py(), np.int32, columns * len(k)).reshape(columns, -1) for n, k in zip(table.column("n"), keys, strict=True)], axis=1)
+        counts = np.concatenate([unpacked(n.as_py(), dtype, columns * len(k)).reshape(columns, -1) for n, k in zip(table.column("n"), keys, strict=True)], axis=1)
         both, at, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.stack([*(np.bincount(of, weights=c, minlength=len(both)).astype(np.int64)[of] for c in counts), np.zeros(len(of), np.int64)])
+        total = np.stack([*(np.bincount(of, weights=c, minlength=len(both))[of] for c in counts), np.zeros(len(of))])
         total[-1, at] = 1
         pieces = np.split(total, ends[:-1], axis=1)
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": pa.array([packed(p) for p in pieces], pa.binary()), "owned": pa.array([int(p[-1].sum()) for p in pieces], pa.int64())})
@@ -240,21 +147,43 @@ def placed(table: pa.Table, keys: np.ndarray, columns: int, buckets: int) -> np.
     bucket, order = order_of(keys, buckets)
     size = np.bincount(bucket, minlength=buckets)
     got = sorted(zip(table.column("bucket").to_pylist(), table.column("n"), strict=True), key=lambda r: r[0])
-    out = np.zeros((columns + 1, len(keys)), np.int64)
+    out = np.zeros((columns + 1, len(keys)))
     if got:
-        out[:, order] = np.concatenate([unpacked(n.as_py(), np.int64, (columns + 1) * size[b]).reshape(columns + 1, -1) for b, n in got], axis=1)
+        out[:, order] = np.concatenate([unpacked(n.as_py(), np.float64, (columns + 1) * size[b]).reshape(columns + 1, -1) for b, n in got], axis=1)
     return out
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``materialise``, then collected once more when Spark's listeners have let go of the write, so that its shuffle files are deleted."""
-    out = materialise(df, name)
-    time.sleep(2)
-    df.sparkSession._jvm.System.gc()
-    return out
+def seen(count: np.ndarray, kept: float) -> np.ndarray:
+    """The chance that a pair counted so often is in a sample that keeps the share ``kept`` of tokens."""
+    return 1 - (1 - kept) ** count
+
+
+class Own:
+    """What each document of a chunk has counted itself, for each of its distinct pairs: ``n`` of the pair, of its first and second word."""
+
+    def __init__(self, c: Chunk):
+        doc = np.repeat(np.arange(len(c.lengths)), c.lengths)
+        both, self.n = np.unique(doc * max(len(c.n), 1) + c.of, return_counts=True)
+        self.doc, self.pair = both // max(len(c.n), 1), both % max(len(c.n), 1)
+        _, self.by_first = np.unique(self.doc * len(c.words) + c.first[self.pair], return_inverse=True)
+        _, by_second = np.unique(self.doc * len(c.words) + c.second[self.pair], return_inverse=True)
+        self.first = np.bincount(self.by_first, weights=self.n)[self.by_first] if len(both) else self.n
+        self.second = np.bincount(by_second, weights=self.n)[by_second] if len(both) else self.n
 
+    def kinds(self, pair: np.ndarray, kept: float) -> np.ndarray:
+        """How many of the pairs seen with a first word are seen no more without this document."""
+        return np.bincount(self.by_first, weights=seen(pair, kept) - seen(np.maximum(pair - self.n, 0), kept))[self.by_first] if len(self.n) else self.n
 
-def losses(docs: DataFrame, chunk: int, bucket_tokens: int, floor: float = 0.5) -> DataFrame:
+
+def loss(pair, first, kinds, second, mass, kept: float, known: int, discount: float, floor: float = 0.5) -> np.ndarray:
+    """- log P(second | first): absolute discounting over the word distribution, of a sample that keeps the share ``kept`` of
+    tokens; ``kinds``: pairs expected with that first word, ``known``: words of the vocabulary."""
+    word = (kept * second + floor) / (kept * mass + floor * known)
+    held = (kept * pair - discount * seen(pair, kept) + discount * kinds * word) / (kept * np.maximum(first, 1))
+    return -np.log(np.where(first > 0, held, word))
+
+
+def losses(docs: DataFrame, chunk: int, bucket_tokens: int, discount: float) -> DataFrame:
     """docs: doc_id, text and good. The scores under models of all words and pairs."""
     chunks = materialise(chunks_of(docs, chunk), "lm-chunks")
     n, n_good = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
@@ -266,72 +195,64 @@ def losses(docs: DataFrame, chunk: int, bucket_tokens: int, floor: float = 0.5)
                 c = Chunk(row)
                 yield parts(row["chunk"], c.keys(), np.stack([c.n, c.n_good]), buckets)
 
-    pairs = settled(sums(chunks.mapInArrow(pair_parts, PART), 2), "lm-pairs")
+    pairs = materialise(sums(chunks.mapInArrow(pair_parts, PART), 2), "lm-pairs")
 
     def word_parts(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             c = Chunk(row)
-            _, good, own = placed(right, c.keys(), 2, buckets)
-            first = [np.bincount(c.first, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good, own, own * (good > 0))]
+            pair, good, own = placed(right, c.keys(), 2, buckets)
+            first = [np.bincount(c.first, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good, own * seen(pair, kept), own * (good > 0))]
             second = [np.bincount(c.second, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good)]
             out.append(parts(row["chunk"], c.words, np.stack([*first, *second]), buckets))
         return pa.Table.from_batches(out)
 
-    words = settled(sums(chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(word_parts, PART), 6), "lm-words")
-    known = words.agg(F.coalesce(F.sum("owned"), F.lit(0))).first()[0]
-    ratio = n_good / max(n, 1) if n_good else 1.0
+    kept = n_good / n if n_good else 1.0
 
-    def log_probability(pair, first, kinds, second, mass):
-        kinds = kinds + 1.0
-        return np.log((pair + kinds * (second + floor) / (mass + floor * known)) / (first + kinds))
+    def word_parts(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            c = Chunk(row)
+            pair, good, own = placed(right, c.keys(), 2, buckets)
+            first = [np.bincount(c.first, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good, own * seen(pair, kept), own * (good > 0))]
+            second = [np.bincount(c.second, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good)]
+            out.append(parts(row["chunk"], c.words, np.stack([*first, *second]), buckets, np.float64))
+        return pa.Table.from_batches(out)
+
+    words = materialise(sums(chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(word_parts, PART), 6, np.float64), "lm-words")
+    known = max(words.agg(F.coalesce(F.sum("owned"), F.lit(0))).first()[0], 1)
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             c, kind = Chunk(row), right.column("kind").to_numpy(zero_copy_only=False)
-            pair, good, _ = placed(right.filter(pa.array(kind == 0)), c.keys(), 2, buckets)
-            first, first_good, kinds, kinds_good, second, second_good, _ = placed(right.filter(pa.array(kind == 1)), c.words, 6, buckets)
-            z = -log_probability(pair * ratio, first[c.first] * ratio, kinds[c.first], second[c.second] * ratio, n * ratio)
-            a = -log_probability(good, first_good[c.first], kinds_good[c.first], second_good[c.second], n_good) if n_good else z
-            doc, size = np.repeat(np.arange(len(c.lengths)), c.lengths), np.maximum(c.lengths, 1)
-            a, z = (np.bincount(doc, weights=x[c.of], minlength=len(size)) / size for x in (a, z))
-            out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(c.lengths.astype(np.int64)), "loss_target": pa.array(a), "loss_background": pa.array(z), "score": pa.array(a - z)}))
+            own, marked = Own(c), np.frombuffer(row["good"], bool)
+            pair, good, _ = placed(right.filter(pa.array(kind == 0)), c.keys(), 2, buckets)[:, own.pair]
+            words = placed(right.filter(pa.array(kind == 1)), c.words, 6, buckets)
+            (first, first_good, kinds, kinds_good), (second, second_good) = words[:4, c.first[own.pair]], words[4:6, c.second[own.pair]]
+            size = c.lengths.astype(np.int64)
+            z = loss(pair - own.n, first - own.first, kinds - own.kinds(pair, kept), second - own.second, n - size[own.doc], kept, known, discount)
+            if n_good:
+                mine = marked[own.doc]  # a document without the label has counted nothing in the target
+                a = loss(good - mine * own.n, first_good - mine * own.first, kinds_good - mine * own.kinds(good, 1.0), second_good - mine * own.second, n_good - mine * size[own.doc], 1.0, known, discount)
+            else:
+                a = z
+            a, z = (np.bincount(own.doc, weights=x * own.n, minlength=len(size)) / np.maximum(size, 1) for x in (a, z))
+            out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(size), "loss_target": pa.array(a), "loss_background": pa.array(z), "score": pa.array(a - z)}))
         return pa.concat_tables(out)
 
     back = pairs.select("chunk", F.lit(0).alias("kind"), "bucket", "n").union(words.select("chunk", F.lit(1).alias("kind"), "bucket", "n"))
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scores, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int | None = None, chunk: int = 1_000_000, bucket_tokens: int = 2_000_000) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, discount: float = 0.75, chunk: int = 1_000_000, bucket_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background (nats a token) and score of every row of ``docs``."""
     good = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).filter("q = 1").select("__id", F.lit(True).alias("good"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = with_good(ids, good)
-    return losses(marked, chunk, bucket_tokens) if vocabulary is None else score(ids, train(marked, vocabulary))
+    return losses(with_good(ids, good), chunk, bucket_tokens, discount)
 
 
 def with_good(docs: DataFrame, good: DataFrame) -> DataFrame:
     """Texts marked by a join on ids; texts are shuffled only where the ids are too many to be sent to all tasks."""
     good = sent_if_small(materialise(good, "lm-good"))
     return docs.join(good, docs["doc_id"] == good["__id"], "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
-
-
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = shared.value
-        ids, size = Ids(m["words"]), FIRST_WORD + len(m["words"])
-        for b in batches:
-            made = np.zeros((4, b.num_rows))
-            for i, t in enumerate(b.column("text")):
-                tokens = np.array([START, *map(ids.__getitem__, (t.as_py() or "").split())], np.int64)
-                n = len(tokens) - 1
-                if n:
-                    keys = tokens[:-1] * size + tokens[1:]
-                    a, z = -float(m["target"][keys].mean(dtype=np.float64)), -float(m["background"][keys].mean(dtype=np.float64))
-                    made[:, i] = n, a, z, a - z
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made[0].astype(np.int64)), *(pa.array(x) for x in made[1:])], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -73,9 +73,13 @@ def test_quality_rules_edges(odd, odd_rows, empty, labels):
 def test_lm_models_are_distributions():
     import numpy as np
 
-    c = np.array([0.0, 3, 1, 2, 0, 0, 0, 0, 5])
-    p = np.exp(lm_scoring.log_model(c, 3)).reshape(3, 3)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    c = np.array([[0.0, 3, 1], [2, 0, 0], [0, 0, 0]])
+    first, kinds = c.sum(axis=1), (c > 0).sum(axis=1)
+    for kept in (1.0, 0.3):
+        for v in range(3):
+            p = np.exp(-lm_scoring.loss(c[v], first[v], lm_scoring.seen(c[v], kept).sum(), c.sum(axis=0), c.sum(), kept, 3, 0.75))
+            assert math.isclose(p.sum(), 1, abs_tol=1e-12)
+    assert (lm_scoring.seen(c, 1.0).sum(axis=1) == kinds).all()
 
 
 def test_lm_scoring_prefers_target(spark):
@@ -85,21 +89,13 @@ def test_lm_scoring_prefers_target(spark):
     assert max(got[i] for i in got if i % 2) < min(got[i] for i in got if not i % 2)
 
 
-def test_lm_scoring_brute_counts(spark):
-    from collections import Counter
-
-    texts = ["a b a", "a c", "b b b a", None, ""]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert {r["word"]: r["n"] for r in lm_scoring.count_words(docs).collect()} == Counter(" ".join(filter(None, texts)).split())
-    words = ["a", "b", "c"]
-    size = lm_scoring.FIRST_WORD + 3
-    ids = {w: lm_scoring.FIRST_WORD + i for i, w in enumerate(words)}
-    want = Counter()
-    for t in filter(None, texts):
-        x = [lm_scoring.START, *(ids[w] for w in t.split())]
-        want.update(a * size + b for a, b in zip(x, x[1:]))
-    got = lm_scoring.count_pairs(docs.withColumn("good", F.lit(True)), words).collect()
-    assert {r["key"]: r["n"] for r in got} == want and all(r["n"] == r["good"] for r in got)
+def test_lm_scoring_labels_do_not_leak(spark, sf):
+    """Good documents score alike whether their labels were learnt from or left out."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    half = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)) == 0
+    got = lm_scoring.cross_entropy_difference(docs, labels.filter(half)).join(labels.filter("quality = 1").withColumn("half", half), "doc_id")
+    middle = {r["half"]: r["m"] for r in got.groupBy("half").agg(F.median("score").alias("m")).collect()}  # copies weigh on means
+    assert abs(middle[True] - middle[False]) < 0.05
 
 
 @pytest.mark.parametrize("chunk", [400, 1_000_000])
@@ -112,30 +108,34 @@ def test_lm_scoring_counts_every_word_and_pair(spark, chunk):
     rows += [(1000, "w1 zebra w1"), (1001, "w1 quokka w1"), (1000, "w1 zebra w1"), (None, "w1 zebra"), (1002, None), (1003, " ")]
     rows.append((1004, "w1 quokka"))
     good = {i for i, _ in rows if i is not None and (i % 3 == 0 or i == 1004)}
-    pair, first, second, kinds = ([Counter(), Counter()] for _ in range(4))
-    for i, t in rows:
-        w = [" ", *(t or "").split()]
-        for m in (0, 1) if i in good else (0,):
-            pair[m].update(zip(w, w[1:]))
-    for m in (0, 1):
-        for (a, b), n in pair[m].items():
-            first[m][a] += n
-            second[m][b] += n
-            kinds[m][a] += 1
-    known = len(second[0]) + 1
+    pairs = [Counter(zip([" ", *(t or "").split()], (t or "").split())) for _, t in rows]
+    known = len({b for p in pairs for _, b in p}) + 1
+    lengths = [len((t or "").split()) for _, t in rows]
+    kept = [sum(n for n, (i, _) in zip(lengths, rows) if i in good) / sum(lengths), 1.0]
     assert known > 1100
-    n = [sum(p.values()) for p in pair]
 
-    def loss(t, m):
-        w, r = [" ", *(t or "").split()], 1 if m else n[1] / n[0]
-        uni = {b: (second[m][b] * r + 0.5) / (n[m] * r + 0.5 * known) for b in w}
-        of = [math.log((pair[m][a, b] * r + (kinds[m][a] + 1) * uni[b]) / (first[m][a] * r + kinds[m][a] + 1)) for a, b in zip(w, w[1:])]
-        return -sum(of) / max(len(of), 1)
+    def loss(at, m):
+        """By the definition: counts of all other documents."""
+        pair, first, second, kinds = (Counter() for _ in range(4))
+        for k, (i, _) in enumerate(rows):
+            if k != at and (not m or i in good):
+                pair.update(pairs[k])
+        for (a, b), n in pair.items():
+            first[a] += n
+            second[b] += n
+            kinds[a] += 1 - (1 - kept[m]) ** n
+        mass, total = sum(pair.values()), 0.0
+        for (a, b), n in pairs[at].items():
+            r = kept[m]
+            word = (r * second[b] + 0.5) / (r * mass + 0.5 * known)
+            p = (r * pair[a, b] - 0.75 * (1 - (1 - r) ** pair[a, b]) + 0.75 * kinds[a] * word) / (r * first[a]) if first[a] else word
+            total -= n * math.log(p)
+        return total / max(sum(pairs[at].values()), 1)
 
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     marks = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
     got = lm_scoring.cross_entropy_difference(docs, marks, chunk=chunk).collect()
-    want = sorted((-1 if i is None else i, len((t or "").split()), loss(t, 1), loss(t, 0)) for i, t in rows)
+    want = sorted((-1 if i is None else i, len((t or "").split()), loss(k, 1), loss(k, 0)) for k, (i, t) in enumerate(rows))
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"]) for r in got)
     assert len(got) == len(want)
     assert all(g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-9) for g, w in zip(got, want))
