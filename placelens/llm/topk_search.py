@@ -2,16 +2,19 @@
 
 Vectors are scaled to integers, ``floor(scale * x)``. For a segment of L components with means m and deviations s, the inner
 product of two segments is at most L * (m1 * m2 + s1 * s2) (Cauchy-Schwarz on the centred parts), so the squared distance is
-at least |q|^2 + |v|^2 - 2 * sum of that. Bounds go from one segment over the whole vector to ever finer ones; a row is
-dropped for a query once its bound is below the query's k-th best exact score, and survivors are scored exactly.
+at least |q|^2 + |v|^2 - 2 * sum of that. Bounds go from one segment over the whole vector to ever finer ones; a pair is
+dropped once its bound is below the query's k-th best exact score so far, and only survivors are scored, in integers.
 
-Queries are handled in blocks against blocks of rows; each block of rows keeps the k best of each query, the final
-ranking sees k rows a block. Blocks are bounded, whatever the table.
+Vectors stay where they are: queries are sent to them in blocks of bounded size, each with a first threshold, its k-th best
+score among about ``seeds`` rows. A task keeps the k best of each query, the final ranking sees k rows a task and query.
+
+How much the bounds skip depends on the vectors. Where components are nearly independent, coarse levels skip a few per cent
+and the finest two most pairs, at about the price of the products they save (see ``Search.scored`` and the README).
 
 Defined results: vectors that are null, empty, or hold null, NaN or infinite components take no part, nor do rows without
 id; only vectors of the same dimension are compared; a row never is a candidate of a query with its id; repeated rows are
-candidates each, a repeated query is asked once; ties go to the smaller id; an empty table gives an empty result; other
-columns are not read.
+candidates each, a repeated query is asked once; ties go to the smaller id; scores beyond 64 bits are cut to them; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,83 +22,125 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT = 2.0**53
+from .common import materialise
+
+FOUND = "query_id long, q_key long, vec_id long, score long"
 
 
 def levels(dim: int) -> list[int]:
     """Segment counts, coarse to fine."""
-    return [s for s in (1, 4, 16) if s < dim]
+    return sorted({s for s in (1, 4, 16, dim // 2, 3 * dim // 4) if 0 < s < dim})
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Per row and segment, sqrt(L) times mean and deviation: the product of two rows bounds their inner product."""
-    parts = []
-    for p in np.array_split(x, segments, axis=1):
-        root = np.sqrt(p.shape[1])
-        parts += [root * p.mean(axis=1), root * p.std(axis=1)]
-    return np.stack(parts, axis=1)
-
-
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, step: int = 1024) -> pd.DataFrame:
-    """The k best rows of the block for each query, by score, then id. All are integers held as float64."""
-    order = np.argsort(ids, kind="stable")
-    ids, v = ids[order], v[order]
-    exact = len(v) == 0 or np.abs(v).max() * np.abs(q).max() * v.shape[1] < EXACT
-    q_stats, v_stats = [[statistics(x, s) for s in levels(v.shape[1])] for x in (q, v)]
-    slack = 1e-9 * (np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * v.shape[1] + 1)
-    top, top_ids = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
-    for at in range(0, len(v), step):
-        rows = slice(at, at + step)
-        alive = ids[None, rows] != q_ids[:, None]
-        for qs, vs in zip(q_stats, v_stats, strict=True):
-            alive &= qs @ vs[rows].T + slack >= top[:, -1:]
-        some_q, some_v = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
-        if not len(some_q):
-            continue
-        part = v[rows][some_v]
-        if exact:
-            got = q[some_q] @ part.T
-        else:  # too large for doubles
-            got = (q[some_q].astype(object) @ part.astype(object).T).astype(np.float64)
-        got = np.where(alive[np.ix_(some_q, some_v)], got, -np.inf)
-        scores = np.concatenate([top[some_q], got], axis=1)
-        names = np.concatenate([top_ids[some_q], np.broadcast_to(ids[rows][some_v], got.shape)], axis=1)
-        first = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # earlier columns have smaller ids
-        top[some_q], top_ids[some_q] = np.take_along_axis(scores, first, 1), np.take_along_axis(names, first, 1)
-    found = top > -np.inf
-    who = np.repeat(np.arange(len(q)), found.sum(axis=1))
-    return pd.DataFrame({"query_id": q_ids[who], "q_row": who, "vec_id": top_ids[found], "score": top[found].astype(np.int64)})
-
-
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, query_block: int = 1024, row_block: int = 4096) -> DataFrame:
+    edges = np.array([len(p) for p in np.array_split(np.arange(x.shape[1]), segments)])
+    starts, root = np.cumsum(edges) - edges, np.sqrt(edges)
+    mean = np.add.reduceat(x, starts, axis=1) / edges
+    square = np.add.reduceat((x - np.repeat(mean, edges, axis=1)) ** 2, starts, axis=1) / edges
+    return np.concatenate([root * mean, root * np.sqrt(square)], axis=1)
+
+
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of integer arrays, pair by pair, exact and cut to 64 bits."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+    if most < 2.0**62:
+        return np.einsum("ij,ij->i", q, v)
+    return np.array([max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y, strict=True)))) for x, y in zip(q.tolist(), v.tolist(), strict=True)], np.int64)
+
+
+class Search:
+    """The k best rows so far for each query of a block, by score, then id; all vectors of one dimension, int64."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.ids, self.q, self.k = ids, q, k
+        self.stats = [statistics(q.astype(np.float64), s) for s in levels(q.shape[1])]
+        self.floor = np.full(len(q), -np.inf) if floor is None else floor
+        self.who, self.names, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+        self.pairs = self.scored = 0
+
+    def see(self, ids: np.ndarray, v: np.ndarray) -> None:
+        alive = ids[None, :] != self.ids[:, None]
+        self.pairs += int(alive.sum())
+        real = v.astype(np.float64)
+        slack = 1e-9 * (float(np.abs(self.q).max(initial=0)) * float(np.abs(v).max(initial=0)) * v.shape[1] + 1)
+        rows = np.arange(len(v))
+        for s, q in zip(levels(v.shape[1]), self.stats, strict=True):
+            bound = q @ statistics(real[rows], s).T + slack >= self.floor[:, None]
+            alive = alive[:, bound.any(axis=0)] & bound[:, bound.any(axis=0)]
+            rows = rows[bound.any(axis=0)]
+        a, b = np.nonzero(alive)
+        b = rows[b]
+        self.scored += len(a)
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            got = products(self.q[x], v[y])
+            near = got >= self.floor[x]
+            self.add(x[near], ids[y[near]], got[near])
+
+    def add(self, who: np.ndarray, names: np.ndarray, scores: np.ndarray) -> None:
+        who, names, scores = (np.concatenate(x) for x in ((self.who, who), (self.names, names), (self.scores, scores)))
+        order = np.lexsort((names, np.bitwise_not(scores), who))
+        who = who[order]
+        first = np.arange(len(who)) - np.searchsorted(who, who) < self.k
+        self.who, self.names, self.scores = who[first], names[order][first], scores[order][first]
+        full = np.flatnonzero(np.bincount(self.who, minlength=len(self.ids)) == self.k)
+        last = np.searchsorted(self.who, full, side="right") - 1
+        self.floor[full] = np.maximum(self.floor[full], self.scores[last].astype(np.float64) * (1 - 1e-15 * np.sign(self.scores[last])))
+
+
+def nearest(rows: DataFrame, block: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, row_block: int) -> DataFrame:
+    """FOUND: the k best rows of each task for each query; block: ids, vectors and first thresholds for each dimension."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        searches = {q.shape[1]: Search(ids, q, k, floor.copy()) for ids, q, floor in shared.value}
+        for whole in batches:
+            for b in (whole.slice(i, row_block) for i in range(0, whole.num_rows, row_block)):
+                ids, dims = (b.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "dim"))
+                flat, ends = b.column("v").flatten().to_numpy(zero_copy_only=False), np.cumsum(dims)
+                for d in np.unique(dims):
+                    if int(d) in searches:
+                        at = np.flatnonzero(dims == d)
+                        searches[int(d)].see(ids[at], flat[(ends[at] - d)[:, None] + np.arange(d)])
+        for s in searches.values():
+            # Different vectors under one id are queries of their own.
+            key = np.array([zlib.crc32(x.tobytes()) for x in s.q], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s.ids[s.who], key[s.who], s.names, s.scores)], names=["query_id", "q_key", "vec_id", "score"])
+
+    return rows.select("vec_id", "dim", "v").mapInArrow(run, FOUND)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id", "q_key").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, query_block: int = 4096, row_block: int = 1024, seeds: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows for each row whose vec_id is divisible by ``every``."""
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite & (F.size("embedding") > 0))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"), F.size("embedding").alias("dim"))
-    queries = rows.filter(F.col("vec_id") % every == 0).distinct()
+    rows = materialise(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), whole.alias("v")), "search-rows")
+    queries = materialise(rows.filter(F.col("vec_id") % every == 0).distinct(), "search-queries")
     n_rows, n_queries = rows.count(), queries.count()
-    q_blocks, r_blocks = max(1, -(-n_queries // query_block)), max(1, -(-n_rows // row_block))
-    mixed = F.xxhash64("vec_id")
-    asked = queries.select("dim", F.pmod(mixed, F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).alias("rb"), "vec_id", "v")
-    # Rows are dealt by content and id, so that equal vectors do not meet in one block.
-    held = rows.select("dim", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(r_blocks)).cast("int").alias("rb"), "vec_id", "v")
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: np.array([], np.int64) for c in ("query_id", "q_key", "vec_id", "score")})
-        left = left.sort_values("vec_id", kind="stable")
-        q, v = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        out = best_of_block(left["vec_id"].to_numpy(), q, right["vec_id"].to_numpy(), v, k)
-        # Different vectors under one id are queries of their own.
-        out["q_key"] = np.array([zlib.crc32(x.tobytes()) for x in q], np.int64)[out.pop("q_row")]
-        return out[["query_id", "q_key", "vec_id", "score"]]
-
-    keys = ["dim", "qb", "rb"]
-    best = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(search, "query_id long, q_key long, vec_id long, score long")
-    w = Window.partitionBy("query_id", "q_key").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks, out = max(1, -(-n_queries // query_block)), []
+    some = rows.filter(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(max(1, n_rows // seeds))) == 0)
+    for b in range(blocks):  # each is one pass over the rows, with about query_block vectors
+        asked = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
+        dims = {d: [r for r in asked if r["dim"] == d] for d in {r["dim"] for r in asked}}
+        block = [(np.array([r["vec_id"] for r in x], np.int64), np.array([r["v"] for r in x], np.int64), np.full(len(x), -np.inf)) for x in dims.values()]
+        best = ranked(nearest(some, block, k, row_block), k).filter(F.col("rank") == k).collect()
+        known = {(r["query_id"], r["q_key"]): float(r["score"]) for r in best}
+        for ids, q, floor in block:
+            floor[:] = [known.get((int(i), zlib.crc32(x.tobytes())), -np.inf) for i, x in zip(ids, q, strict=True)]
+            floor -= 1e-9 * np.abs(np.where(np.isfinite(floor), floor, 0))
+        out.append(nearest(rows, block, k, row_block))
+    found = out[0]
+    for more in out[1:]:
+        found = found.union(more)
+    return ranked(found, k).select("query_id", "rank", "vec_id", "score")

@@ -8,6 +8,7 @@ import pytest
 
 from placelens.llm import mixing, packing, sharding, topk_search
 from placelens.llm.common import table
+from pyspark.sql import functions as F
 from placelens.llm.queries import tokenizer_path
 
 
@@ -71,7 +72,7 @@ def test_mixing(spark, sf):
 def test_mixing_brute_force(spark):
     """Slots replayed one by one over the streams' words."""
     docs = spark.createDataFrame([(i, " ".join(["w"] * (3 + i * 7 % 40)), f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string")
-    rows = mixing.materialise(mixing.stream_rows(docs, 11), "t").collect()
+    rows = mixing.materialise(mixing.stream_rows(docs.withColumn("__row", F.monotonically_increasing_id()), 11), "t").collect()
     got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_tokens=8).collect()}
     streams = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r["__order"], r["doc_id"])):
@@ -184,7 +185,7 @@ def brute_top(rows, k=5, every=50):
 
 def test_search(spark, sf):
     e = table(spark, sf, "embeddings").limit(300)
-    got = {tuple(r) for r in topk_search.top_k(e, row_block=64, query_block=3).collect()}
+    got = {tuple(r) for r in topk_search.top_k(e, row_block=64, query_block=3, seeds=50).collect()}
     assert got == brute_top([(r["vec_id"], r["embedding"]) for r in e.collect()])
 
 
@@ -198,6 +199,37 @@ def test_search_ties_and_odd_vectors(spark):
 
 def test_bounds_never_cut_the_best(spark):
     rng = np.random.default_rng(0)
-    q, v = rng.integers(-200, 200, (20, 64)).astype(float), rng.integers(-200, 200, (500, 64)).astype(float)
+    q, v = rng.integers(-300, 300, (20, 64)).astype(float), rng.integers(-300, 300, (500, 64)).astype(float)
     for s in topk_search.levels(64):
         assert (topk_search.statistics(q, s) @ topk_search.statistics(v, s).T >= q @ v.T - 1e-6).all()
+
+
+def test_bounds_skip_pairs(spark, sf):
+    """Of all pairs, how many are scored; with vectors around few centres the bounds skip most."""
+    x = np.array([r["embedding"] for r in table(spark, sf, "embeddings").filter("size(embedding) = 64").orderBy("vec_id").limit(1000).collect()])
+    n = len(x)
+    centres = np.repeat(np.random.default_rng(1).normal(0, 1, (5, 4)), 16, axis=1)
+    near = centres[np.arange(n) % 5] + np.random.default_rng(2).normal(0, 0.05, (n, 64))
+    for v, most in ((x, 0.7), (near, 0.35)):
+        v = np.floor(256 * v).astype(np.int64)
+        search = topk_search.Search(np.arange(0, n, 50), v[::50], 5)
+        for at in range(0, n, 100):
+            search.see(np.arange(at, min(n, at + 100)), v[at : at + 100])
+        assert 0 < search.scored < most * search.pairs
+        got = {}
+        for w, name, score in zip(search.who.tolist(), search.names.tolist(), search.scores.tolist(), strict=True):
+            got.setdefault(w, []).append((-score, name))
+        for w, best in got.items():
+            s = v @ v[50 * w]
+            assert best == sorted((-int(s[i]), i) for i in range(n) if i != 50 * w)[:5]
+
+
+def test_search_large_integers(spark):
+    """Products beyond the 53 bits of a double are exact, and those beyond 64 bits are cut to them."""
+    a, b = 1_000_003.3, 1_000_001.7
+    rows = [(0, [a * 1.0] * 4), (1, [b] * 4), (2, [b, b, b, b + 0.01]), (50, [1e17] * 4), (3, [-1e17] * 4)]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for (q, v), score in got.items():
+        assert score == max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[q], whole[v], strict=True))))
+    assert len(got) == 8
