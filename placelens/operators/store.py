@@ -1,7 +1,8 @@
 """The chip_embeddings table: Parquet partitioned by experiment, model, bands and cycle, keyed by chip.
 
-Upsert and delete rewrite only the partitions they touch. There is no table format with transactions here: one writer at a
-time, and readers should not read while a partition is replaced.
+Upsert rewrites the partitions (experiment, model, bands, cycle) that hold a new row or an old row of the same key; delete
+removes whole partitions. There is no table format with transactions here: one writer at a time, and readers should not
+read while a partition is replaced.
 """
 
 from __future__ import annotations
@@ -40,26 +41,47 @@ def columns(df: DataFrame) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str] | None = None, order: str | None = None) -> DataFrame:
-    """The rows after an upsert: new rows win over old ones of the same key; of repeated new rows one stays (the largest ``order``)."""
+    """The rows after an upsert: new rows win over old ones of the same key; of repeated new rows one stays.
+
+    That is the one with the largest ``order``; ties, and rows without an ``order``, are settled by a hash of the row.
+    """
     key = key or STORE_KEY
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    by = [F.desc("__new"), *([F.desc(order)] if order else [])]
+    by = [F.desc("__new"), *([F.desc(order)] if order else []), F.xxhash64(*new.columns)]
     w = Window.partitionBy(*key).orderBy(*by)
     return both.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__new", "__r")
 
 
+#: Rows in a file of the table, about.
+ROWS_A_FILE = 1_000_000
+
+
+def partition_folders(rows: DataFrame, cells: DataFrame | None = None) -> list[str]:
+    """The folders that hold the rows of a scan of the table, as Spark wrote (and escaped) them; one a partition."""
+    at = rows.select(*STORE_PARTITIONS, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("__folder")).distinct()
+    if cells is not None:
+        at = at.join(cells, STORE_PARTITIONS, "left_semi")
+    return [r["__folder"] for r in at.select("__folder").collect()]
+
+
+def _remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.delete(path, True) and fs.exists(path):
+            raise OSError(f"could not delete {folder}")
+
+
 def _replace(spark: SparkSession, folder: str, touched: DataFrame, parts: DataFrame) -> None:
     """Write the touched partitions: staged beside the table first, as they may be read from what they replace."""
     staging = f"{folder.rstrip('/')}__staging_{uuid.uuid4().hex}"
     touched.write.parquet(staging)
     staged = spark.read.schema(touched.schema).parquet(staging)
-    names = parts.select(*STORE_PARTITIONS).distinct().collect()  # one row a cell of the store
-    staged.repartition(*STORE_PARTITIONS, F.pmod(F.xxhash64("chip_id"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*STORE_PARTITIONS).parquet(folder)
-    left = {tuple(r) for r in staged.select(*STORE_PARTITIONS).distinct().collect()}
-    for r in names:
-        if tuple(r) not in left:  # nothing remains of it
-            path, fs = _path(spark, folder + "".join(f"/{c}={v}" for c, v in zip(STORE_PARTITIONS, r, strict=True)))
-            fs.delete(path, True)
+    left = staged.groupBy(*STORE_PARTITIONS).count()
+    emptied = partition_folders(read(spark, folder), parts.join(left, STORE_PARTITIONS, "left_anti"))
+    files = max(1, -(-(left.agg(F.max("count")).first()[0] or 0) // ROWS_A_FILE))
+    staged.repartition(*STORE_PARTITIONS, F.pmod(F.xxhash64("chip_id"), F.lit(files))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*STORE_PARTITIONS).parquet(folder)
+    _remove(spark, emptied)  # nothing remains of these
     path, fs = _path(spark, staging)
     fs.delete(path, True)
     spark.catalog.refreshByPath(folder)
@@ -68,22 +90,20 @@ def _replace(spark: SparkSession, folder: str, touched: DataFrame, parts: DataFr
 def upsert(spark: SparkSession, folder: str, new: DataFrame) -> None:
     create(spark, folder)
     new = columns(new)
-    cells = new.select("experiment_id", "model_id", "bands").distinct()
-    # The key has no cycle: a chip that moves to another cycle must leave the old one, so whole (model, bands) are read.
-    old = read(spark, folder).join(F.broadcast(cells), ["experiment_id", "model_id", "bands"], "left_semi")
-    both = upserted(old, new)
-    _replace(spark, folder, columns(both), old)
+    # The key has no cycle: a chip that moves to another cycle must leave the old one.
+    moved = read(spark, folder).select(*STORE_PARTITIONS, "chip_id").join(new.select(*STORE_KEY).distinct(), STORE_KEY, "left_semi")
+    cells = new.select(*STORE_PARTITIONS).union(moved.select(*STORE_PARTITIONS)).distinct()
+    old = read(spark, folder).join(cells, STORE_PARTITIONS, "left_semi")
+    _replace(spark, folder, columns(upserted(columns(old), new)), cells)
 
 
 def delete(spark: SparkSession, folder: str, model_id: str, bands: str | None = None, experiment_id: str | None = None) -> None:
-    """Delete a model's rows; ``bands=None`` means all bands."""
+    """Delete a model's rows; ``bands=None`` means all bands. A folder that can't be removed is an error."""
     rows = read(spark, folder).filter(F.col("model_id") == model_id)
     for c, v in (("bands", bands), ("experiment_id", experiment_id)):
         if v is not None:
             rows = rows.filter(F.col(c) == v)
-    for r in rows.select(*STORE_PARTITIONS).distinct().collect():
-        path, fs = _path(spark, folder + "".join(f"/{c}={v}" for c, v in zip(STORE_PARTITIONS, r, strict=True)))
-        fs.delete(path, True)
+    _remove(spark, partition_folders(rows))
     spark.catalog.refreshByPath(folder)
 
 

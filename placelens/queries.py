@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from . import carriers as C
 from .functions import geo, stats, text, vectors
 from .operators import catalog, evaluation, grid, pixels, search, store
 from .plans import api, encoders
+from .session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -358,10 +360,10 @@ def covers_bbox(spark, d):
     return C.items(spark, d).select("item_id", geo.covers(box, [F.lit(v) for v in C.BOUNDS]).alias("covers"), geo.in_area_of_use(*deg).alias("in_use"))
 
 
-@query(f"WITH {C.SPOTS}, {_forward_sql('spots')} SELECT id, round(x, 3) AS x, round(y, 3) AS y FROM utm WHERE id % 2 = 0")  # PRJ-28, SNK-08
+@query(f"WITH {C.SPOTS}, {_forward_sql('spots')} SELECT id, round_even(x, 3) AS x, round_even(y, 3) AS y FROM utm")  # PRJ-28, SNK-08
 def round_coords(spark, d):
     x, y = geo.to_utm(F.col("lon"), F.col("lat"))
-    return C.spots(spark, d).filter("id % 2 = 0").select("id", F.bround(x, 3).alias("x"), F.bround(y, 3).alias("y"))
+    return C.spots(spark, d).select("id", F.bround(x, 3).alias("x"), F.bround(y, 3).alias("y"))
 
 
 @query(f"WITH {C.SPOTS}, {_forward_sql('spots')} SELECT id, round_even(x, 3) AS x, round_even(y, 3) AS y FROM utm")  # PRJ-28, all points
@@ -580,11 +582,11 @@ def config_classes(spark, d):
 # ---- store --------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {C.CHIPS} SELECT chip_id, chip_location_id, cx, cy FROM chips WHERE vec_id % 3 = 0")  # JN-01
+@query(f"WITH {C.CHIPS} SELECT chip_id, chip_location_id, cx, cy FROM chips")  # JN-01
 def join_embeddings_chips(spark, d):
     c = C.chips(spark, d)
     index = c.select(F.col("source_cycle").alias("cycle"), *[F.col(n).alias(n) for n in ("chip_id", "inside_aoi", "cx", "cy", "xmin", "ymin", "xmax", "ymax")])
-    return store.join_chips(c.filter("vec_id % 3 = 0").select("model_id", "bands", "source_cycle", "chip_id", "embedding"), index, strict=False).select("chip_id", "chip_location_id", "cx", "cy")
+    return store.join_chips(c.select("model_id", "bands", "source_cycle", "chip_id", "embedding"), index, strict=False).select("chip_id", "chip_location_id", "cx", "cy")
 
 
 @query(f"WITH {C.CHIPS} SELECT chip_id, chip_location_id, cx, cy FROM chips")  # JN-01, all rows
@@ -602,14 +604,22 @@ def orphans(spark, d):
 
 @query(f"WITH {C.CHIPS} SELECT chip_id, CASE WHEN vec_id % 2 = 0 THEN label + 100 ELSE label END AS label FROM chips")  # SNK-02
 def upsert_latest(spark, d):
-    c = C.chips(spark, d).select("experiment_id", "model_id", "bands", "chip_id", "vec_id", "label")
-    new = c.filter("vec_id % 2 = 0").withColumn("label", F.col("label") + 100)
-    return store.upserted(c, new).select("chip_id", "label")
+    """Upserts into a written table; the label is kept in the box's x."""
+    folder = f"{scratch(spark)}/upsert_latest-{uuid.uuid4().hex}"
+    c = C.chips(spark, d).withColumn("cx", F.col("label").cast("double"))
+    store.upsert(spark, folder, c)
+    store.upsert(spark, folder, c.filter("vec_id % 2 = 0").withColumn("cx", F.col("cx") + 100))
+    return store.read(spark, folder).select("chip_id", F.col("cx").cast(c.schema["label"].dataType).alias("label"))
 
 
 @query(f"WITH {C.CHIPS}, {C.HALVES} SELECT model_id, chip_id FROM halves WHERE model_id <> 'b'")  # SNK-04/05, trap T9
 def delete_model(spark, d):
-    return store.without(C.half_split(spark, d), F.col("model_id") == "b").select("model_id", "chip_id")
+    """A model whose id needs escaping in a folder's name is deleted from a written table."""
+    folder = f"{scratch(spark)}/delete_model-{uuid.uuid4().hex}"
+    name = F.when(F.col("model_id") == "b", "ViT-L/14:336 = 50%").otherwise(F.col("model_id"))
+    store.upsert(spark, folder, C.half_split(spark, d).withColumn("model_id", name))
+    store.delete(spark, folder, "ViT-L/14:336 = 50%")
+    return store.read(spark, folder).select("model_id", "chip_id")
 
 
 @query(f"WITH {C.CHIPS} SELECT source_cycle, count(*) AS n_rows, count(*) FILTER (inside_aoi) AS n_inside, count(DISTINCT chip_location_id) AS n_locations, 1::BIGINT AS n_models FROM chips GROUP BY source_cycle")  # SNK-03, AGG-17

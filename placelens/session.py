@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,19 @@ def get_session(master: str | None = None, shuffle_partitions: str | None = None
     if parts := resolve("PLACELENS_SHUFFLE_PARTITIONS", shuffle_partitions, ""):
         builder = builder.config("spark.sql.shuffle.partitions", parts)
     return builder.getOrCreate()
+
+
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for tables that queries write: ``spark.checkpoint.dir``, which all executors share; a local master may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="placelens-"))
+        folder = _own[0]
+    return folder.rstrip("/")

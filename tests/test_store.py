@@ -56,6 +56,32 @@ def test_delete(spark, chips, tmp_path):
     assert left() == {("b", "rgb")}
 
 
+@pytest.mark.parametrize("model", ["ViT-L/14", "a:b=c%d", "x y", "é"])
+def test_delete_ids_that_folders_escape(spark, chips, tmp_path, model):
+    folder = str(tmp_path / "t")
+    store.load(spark, folder, vectors_of(chips, model), chips)
+    store.load(spark, folder, vectors_of(chips, "other"), chips)
+    store.delete(spark, folder, model)
+    assert {r[0] for r in store.read(spark, folder).select("model_id").distinct().collect()} == {"other"}
+    store.load(spark, folder, vectors_of(chips, model), chips)
+    store.load(spark, folder, vectors_of(chips, model, value=3.0).filter("source_cycle = '2018'"), chips, clear=True)
+    assert {tuple(r) for r in store.read(spark, folder).filter(F.col("model_id") == model).select("source_cycle", F.col("embedding")[0]).distinct().collect()} == {("2018", 3.0)}
+
+
+def test_upsert_touches_only_its_cycles(spark, chips, tmp_path):
+    folder = str(tmp_path / "t")
+    store.load(spark, folder, vectors_of(chips), chips)
+    files = lambda c: {r[0] for r in store.read(spark, folder).filter(F.col("source_cycle") == c).select("_metadata.file_path").distinct().collect()}
+    before = files("2018"), files("2020")
+    store.load(spark, folder, vectors_of(chips, value=2.0), chips, cycles=["2020"])
+    assert files("2018") == before[0] and not files("2020") & before[1]
+    # A chip that moves to another cycle leaves the old one; a cycle that loses its last chip goes.
+    rows = store.read(spark, folder)
+    moved = spark.createDataFrame(rows.filter("source_cycle = '2018'").withColumn("source_cycle", F.lit("2022")).collect(), rows.schema)
+    store.upsert(spark, folder, moved)
+    assert {r[0]: r[1] for r in store.read(spark, folder).groupBy("source_cycle").count().collect()} == {"2020": moved.count(), "2022": moved.count()}
+
+
 def test_upserted_prefers_new(spark):
     old = spark.createDataFrame([("e", "m", "b", "1", 0), ("e", "m", "b", "2", 0)], "experiment_id string, model_id string, bands string, chip_id string, v int")
     new = spark.createDataFrame([("e", "m", "b", "2", 1), ("e", "m", "b", "3", 1), ("e", "m", "b", "3", 2)], old.schema)
