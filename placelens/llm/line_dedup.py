@@ -16,7 +16,8 @@ are held against the first line of the run. Such pairs pass the length filter an
 pair must share as many runs and words as those outside their intersection leave), then the whole sets of the likeliest pair
 of each line are compared. Only lines that found no match there are compared with all others they share a run with. A run in
 more than ``CROWD`` lines is crowded: lines with such a run meet by longer runs (r = 2, 3), which exist for every similar pair.
-What is crowded even then is joined with all before it, again only for lines without a match; Spark splits such a join.
+What is crowded even then is joined with all before it, again only for lines without a match, and held against the parities of
+its words first; Spark splits such a join.
 
 Equal sets meet by a partial aggregation first, so a line that a third of all documents share is one row.
 
@@ -41,6 +42,8 @@ BLANKS = "\t\x0b\x0c\r"
 NAMED = 500_000
 #: A run of words in more lines than this is crowded.
 CROWD = 64
+#: Longs of parities of a crowded line's words, a power of two.
+PARITIES = 4
 #: Words between two shared ones: the lengths of runs, less one, that are tried in turn.
 RUNS = (1, 2, 3)
 
@@ -108,6 +111,15 @@ def shared_runs(n1: Column, n2: Column, t: float) -> Column:
     return F.greatest(shared_words(n1, n2, t) - 1 - (n1 + n2 - 2 * need), F.lit(1))
 
 
+def parities(keyed: DataFrame) -> DataFrame:
+    """unit and the parities of the words of each set in ``PARITIES`` * 64 classes: they differ in no more places than the sets in words."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    part = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(PARITIES - 1).cast("long"))
+    only = lambda j: lambda a, k: a.bitwiseXOR(F.when(part(k) == j, bit(k)).otherwise(zero))
+    return keyed.select("unit", *[F.aggregate("keys", zero, only(j)).alias(f"p{j}") for j in range(PARITIES)])
+
+
 def sent(names: DataFrame) -> DataFrame:
     """Written names: sent to all tasks if they are few, else joined by a shuffle."""
     return F.broadcast(names) if names.count() <= NAMED else names
@@ -181,10 +193,21 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
         """Pairs whose later line found no match yet."""
         return pairs if gone is None else pairs.join(sent(gone), "unit", "left_anti")
 
-    def meet(members: DataFrame, gone: DataFrame) -> DataFrame:
-        """unit, earlier, and their sizes n and m: lines with a run in common, of which the later found no match yet."""
-        x, y = without(members, gone).select("key", "unit", "n"), members.select("key", F.col("unit").alias("earlier"), F.col("n").alias("m"))
-        return x.join(y, "key").filter((F.col("earlier") < F.col("unit")) & fits(n, F.col("m"), t)).select("unit", "earlier", "n", "m")
+    def meet(members: DataFrame, gone: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+        """unit, earlier, and their sizes n and m: lines with a run in common, of which the later found no match yet.
+
+        ``marks``: parities of the lines, by which pairs that differ in too many words are not made.
+        """
+        if marks is not None:
+            members = members.join(marks, "unit")
+        bits = [f"p{j}" for j in range(PARITIES)] if marks is not None else []
+        x = without(members, gone).select("key", "unit", "n", *bits)
+        y = members.select("key", F.col("unit").alias("earlier"), F.col("n").alias("m"), *[F.col(p).alias(f"e{p}") for p in bits])
+        near = (F.col("earlier") < F.col("unit")) & fits(n, F.col("m"), t)
+        if bits:
+            apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"e{p}"))) for p in bits), F.lit(0))
+            near = near & (apart <= n + F.col("m") - 2 * F.ceil(t / (1 + t) * (n + F.col("m")) - 1e-9))
+        return x.join(y, "key").filter(near).select("unit", "earlier", "n", "m")
 
     gone, keyed = None, None
     source, words = units.filter(n >= 4), "prefix"  # smaller sets have no similar set but themselves
@@ -221,7 +244,8 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
         others = others.select("unit", "earlier").union(without(first.select("unit", "earlier"), gone))
         small = least_size(r + 1, t) if r != RUNS[-1] else None
         if crowded:  # those too small for longer runs, or all if there are no longer ones
-            again = meet(crowd, gone) if small is None else meet(crowd.filter(n < small / t), gone).filter((n < small) | (F.col("m") < small))
+            marks = sent(materialise(parities(keyed.join(sent(materialise(crowd.select("unit").distinct(), "line-crowd")), "unit", "left_semi")), "line-marks"))
+            again = meet(crowd, gone, marks) if small is None else meet(crowd.filter(n < small / t), gone, marks).filter((n < small) | (F.col("m") < small))
             others = others.union(again.select("unit", "earlier"))
         others = likely(others.distinct(), units, t)
         more = sets(others.select("unit").union(others.select("earlier"))) if r == RUNS[0] else keyed

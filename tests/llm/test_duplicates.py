@@ -106,7 +106,7 @@ def test_line_dedup(spark, sf):
     assert got == {(rows[k][0], n) for k, n in gone} and len(got) > 50
 
 
-@pytest.mark.parametrize(("crowd", "sketch"), [(64, 1 << 16), (2, 1 << 16), (8, 4)])
+@pytest.mark.parametrize(("crowd", "sketch"), [(64, 1 << 16), (2, 4)])
 def test_line_dedup_near_lines(spark, monkeypatch, crowd, sketch):
     """Runs of two words, longer ones of crowded lines, and crowds of those, all against brute force."""
     import random
