@@ -42,6 +42,8 @@ BLANKS = "\t\x0b\x0c\r"
 NAMED = 500_000
 #: A run of words in more lines than this is crowded.
 CROWD = 64
+#: A crowded line that found no match by longer runs is held against so many earlier lines of a run before it meets all.
+HEADS = 32
 #: Longs of parities of a crowded line's words, a power of two.
 PARITIES = 4
 #: Words between two shared ones: the lengths of runs, less one, that are tried in turn.
@@ -193,16 +195,18 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
         """Pairs whose later line found no match yet."""
         return pairs if gone is None else pairs.join(sent(gone), "unit", "left_anti")
 
-    def meet(members: DataFrame, gone: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    def meet(members: DataFrame, gone: DataFrame, marks: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
         """unit, earlier, and their sizes n and m: lines with a run in common, of which the later found no match yet.
 
-        ``marks``: parities of the lines, by which pairs that differ in too many words are not made.
+        ``marks``: parities of the lines, by which pairs that differ in too many words are not made. ``others``: earlier lines
+        instead of all.
         """
+        others = members if others is None else others
         if marks is not None:
-            members = members.join(marks, "unit")
+            members, others = members.join(marks, "unit"), others.join(marks, "unit")
         bits = [f"p{j}" for j in range(PARITIES)] if marks is not None else []
         x = without(members, gone).select("key", "unit", "n", *bits)
-        y = members.select("key", F.col("unit").alias("earlier"), F.col("n").alias("m"), *[F.col(p).alias(f"e{p}") for p in bits])
+        y = others.select("key", F.col("unit").alias("earlier"), F.col("n").alias("m"), *[F.col(p).alias(f"e{p}") for p in bits])
         near = (F.col("earlier") < F.col("unit")) & fits(n, F.col("m"), t)
         if bits:
             apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"e{p}"))) for p in bits), F.lit(0))
@@ -236,15 +240,20 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
             keyed = sets(named.union(crowd.select("unit")) if crowded else named)
         found = similar(first.groupBy("unit").agg(F.max_by("earlier", "c").alias("earlier")), keyed, t)
         gone = found if gone is None else materialise(gone.union(found), "line-gone")
+        small = least_size(r + 1, t) if r != RUNS[-1] else None
+        if crowded:
+            marks = sent(materialise(parities(keyed.join(sent(materialise(crowd.select("unit").distinct(), "line-crowd")), "unit", "left_semi")), "line-marks"))
+            if small is None:  # the likeliest of a few earlier lines of each run, before all of them
+                some = crowd.groupBy("key", F.pmod(F.xxhash64("unit"), F.lit(HEADS)).alias("part")).agg(F.min("unit").alias("unit")).select("key", "unit")
+                near = likely(meet(crowd, gone, marks, crowd.join(some, ["key", "unit"], "left_semi")).select("unit", "earlier").distinct(), units, t)
+                gone = materialise(gone.union(similar(near.groupBy("unit").agg(F.max_by("earlier", "c").alias("earlier")), keyed, t)), "line-gone")
         others = meet(members.filter("NOT crowded"), gone)
         if r == RUNS[0]:
             none = F.lit(None).cast("int")
             others = others.union(without(direct, gone).select("unit", "earlier", none, none)).groupBy("unit", "earlier").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m")).filter("n IS NOT NULL")
             others = others.join(per(crowd), "unit", "left").filter(enough) if crowded else others.filter(F.col("c") >= shared_runs(n, F.col("m"), t))
         others = others.select("unit", "earlier").union(without(first.select("unit", "earlier"), gone))
-        small = least_size(r + 1, t) if r != RUNS[-1] else None
         if crowded:  # those too small for longer runs, or all if there are no longer ones
-            marks = sent(materialise(parities(keyed.join(sent(materialise(crowd.select("unit").distinct(), "line-crowd")), "unit", "left_semi")), "line-marks"))
             again = meet(crowd, gone, marks) if small is None else meet(crowd.filter(n < small / t), gone, marks).filter((n < small) | (F.col("m") < small))
             others = others.union(again.select("unit", "earlier"))
         others = likely(others.distinct(), units, t)
