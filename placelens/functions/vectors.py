@@ -44,17 +44,23 @@ def check_query(vector) -> list[float]:
     return values
 
 
-def ensemble(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """key, i, value: the mean of the unit vectors of each key, normalised again, in long form.
+def mean_directions(vectors: DataFrame, key: str, vector: str = "embedding", out: str = "q") -> DataFrame:
+    """key and one array: the mean of the unit vectors of each key, normalised again. Partial sums are one array a key and task.
 
-    Zero vectors have no direction and raise; a key whose mean is zero raises too.
+    Null and zero vectors have no direction and raise; so do a key whose mean is zero and one with vectors of several lengths.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     checked = F.when(norm(F.col(vector)) > 0, normalise(F.col(vector))).otherwise(F.raise_error(F.lit("a zero vector has no direction")))
-    long = vectors.select(key, F.posexplode(checked).alias("i", "v"))
-    mean = long.groupBy(key, "i").agg(F.avg("v").alias("v"))
-    length = mean.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
-    unit = F.when(F.col("length") > 0, F.col("v") / F.col("length")).otherwise(F.raise_error(F.lit("the mean of the vectors is zero")))
-    return mean.join(length, key).select(key, "i", unit.alias("value"))
+    mean = vectors.groupBy(key).agg(Summarizer.mean(array_to_vector(checked)).alias("m")).select(key, vector_to_array("m").alias("m"))
+    unit = F.when(norm(F.col("m")) > 0, normalise(F.col("m"))).otherwise(F.raise_error(F.lit("the mean of the vectors is zero")))
+    return mean.select(key, unit.alias(out))
+
+
+def ensemble(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """key, i, value: ``mean_directions`` in long form."""
+    return mean_directions(vectors, key, vector).select(key, F.posexplode("q").alias("i", "value"))
 
 
 def gather(long: DataFrame, key: str, out: str = "q") -> DataFrame:

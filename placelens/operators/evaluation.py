@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats
@@ -51,8 +51,10 @@ def metrics(hits: DataFrame, truth: DataFrame, ks: tuple[int, ...] = KS, keys: t
 def roll_up(table: DataFrame, by: list[str], ks: tuple[int, ...] = KS, missing_as_zero: bool = False) -> DataFrame:
     """by, k, hit, recall, mrr: means over concepts. ``missing_as_zero``: a k beyond a list's end counts as 0, not as absent."""
     if missing_as_zero:
-        concepts = table.groupBy(*by, "concept").agg(F.max("mrr").alias("mrr")).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-        table = concepts.join(table.select(*by, "concept", "k", "hit", "recall"), [*by, "concept", "k"], "left").fillna(0.0, ["hit", "recall"])
+        at = lambda c, k: F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0.0)).alias(f"{c}_{k}")
+        concepts = table.groupBy(*by, "concept").agg(F.max("mrr").alias("mrr"), *[at(c, k) for c in ("hit", "recall") for k in ks])
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"hit_{k}").alias("hit"), F.col(f"recall_{k}").alias("recall")) for k in ks])).alias("e")
+        table = concepts.select(*by, "mrr", each).select(*by, "mrr", "e.*")
     return table.groupBy(*by, "k").agg(F.avg("hit").alias("hit"), F.avg("recall").alias("recall"), F.avg("mrr").alias("mrr"))
 
 
@@ -103,19 +105,25 @@ def is_not_floor(config: Column) -> Column:
 def gate(table: DataFrame, random_hit10: float, anchor: str = "waterfall") -> DataFrame:
     """One row: the five checks, how many pass, and the verdict. table: config, concept, n_gt, k, hit, mrr (findable variant).
 
-    Means and the fourth check are over concepts with ground truth in some config; a missing k counts as 0.
+    Means and the fourth check are over concepts with ground truth in some config; a missing k counts as 0. ``table`` is read
+    once. The anchor's check fails if it has no ground truth; an empty table passes the first and last check alone.
     """
-    findable = table.join(findable_concepts(table).select("concept"), "concept", "left_semi")
-    means = findable.groupBy("config").agg((F.sum(F.when(F.col("k") == 10, F.col("hit"))) / F.count_distinct("concept")).alias("hit10"), (F.sum(F.when(F.col("k") == 1, F.col("mrr"))) / F.count_distinct("concept")).alias("mrr"))
+    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    per = table.groupBy("config", "concept").agg(F.max("n_gt").alias("n_gt"), at(10, "hit").alias("hit10"), at(1, "hit").alias("hit1"), at(1, "mrr").alias("mrr1"))
+    w = Window.partitionBy("concept")
+    findable = per.withColumns({"most": F.max("n_gt").over(w), "h": F.max("hit10").over(w)}).filter("most > 0")
+    means = findable.groupBy("config").agg(
+        (F.sum("hit10") / F.count("*")).alias("hit10"), (F.sum("mrr1") / F.count("*")).alias("mrr"),
+        F.collect_set(F.struct("concept", "h")).alias("concepts"), F.max(F.when(F.col("concept") == anchor, F.col("hit1"))).alias("anchor1"),
+    )
     configs = means.agg(
         F.max(F.coalesce("hit10", F.lit(0.0))).alias("best10"),
         F.max(F.when(is_not_floor(F.col("config")), F.col("mrr"))).alias("other"),
         F.max(F.when(is_floor(F.col("config")), F.col("mrr"))).alias("floor"),
+        F.array_distinct(F.flatten(F.collect_list("concepts"))).alias("concepts"),  # as many as there are concepts with ground truth
+        F.max("anchor1").alias("anchor1"),
     )
-    per = findable.groupBy("concept").agg(F.max(F.when(F.col("k") == 10, F.col("hit"))).alias("h"))
-    counts = per.agg(F.count_if(F.col("h") == 1).alias("n_hit10"), F.count("*").alias("n_findable"))
-    first = table.agg(F.max(F.when((F.col("concept") == anchor) & (F.col("k") == 1), F.col("hit"))).alias("anchor1"))
-    one = configs.crossJoin(counts).crossJoin(first)  # one row each
+    one = configs.withColumns({"n_hit10": F.size(F.filter("concepts", lambda c: c["h"] == 1)).cast("long"), "n_findable": F.size("concepts").cast("long")})
     checks = {
         "ran": F.lit(True),
         "beats_random": F.coalesce(F.col("best10") > 5 * random_hit10, F.lit(False)),

@@ -116,11 +116,12 @@ def search(store: DataFrame, query, request: Request | None = None, engine: str
 def search_batch(store: DataFrame, queries: DataFrame, request: Request | None = None, key: str = "concept") -> DataFrame:
     """``search`` for each row of ``queries`` (key, q) in one job.
 
-    The scan meets all queries of a part at once (parts of at most ``BATCH_BYTES``, so what is broadcast is bounded); places are
-    pooled by partial aggregation and ranked with one window a query.
+    Vectors are shuffled once, by place, so that scores are pooled and cut to the best ``top_k`` of each query where they are
+    made; only those are shuffled. Each vector meets all queries of a part at once (parts of at most ``BATCH_BYTES``, so what is
+    broadcast is bounded).
     """
     request = (request or Request()).checked()
-    rows = filtered(store, request).select("chip_location_id", "source_cycle", "inside_aoi", *ATTRIBUTES, "embedding")
+    rows = filtered(store, request).select("chip_location_id", "source_cycle", "inside_aoi", *ATTRIBUTES, "embedding").repartition("chip_location_id")
     sizes = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
     parts = max(1, -(-sizes["n"] * 8 * (sizes["d"] or 1) // BATCH_BYTES))
     found = []

@@ -13,7 +13,7 @@ from .encoders import encode_texts
 def query_vector(spark: SparkSession, words: str, model_id: str) -> list[float]:
     """The mean direction of the text's prompts."""
     rows = spark.createDataFrame([(0, p) for p in text.prompts_for(words)], "key int, text string")
-    return vectors.gather(vectors.ensemble(encode_texts(rows, model_id), "key"), "key").first()["q"]
+    return vectors.mean_directions(encode_texts(rows, model_id), "key").first()["q"]
 
 
 def in_degrees(hits: DataFrame, bands: str) -> DataFrame:

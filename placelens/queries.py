@@ -45,7 +45,7 @@ COS = "list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embeddin
 
 def label_vector(spark: SparkSession, d: str, label: int = 7) -> list[float]:
     """The ensemble vector of a label's rows (one row to the driver)."""
-    return vectors.gather(vectors.ensemble(C.table(spark, d, "embeddings").filter(F.col("label") == label), "label"), "label").first()["q"]
+    return vectors.mean_directions(C.table(spark, d, "embeddings").filter(F.col("label") == label), "label").first()["q"]
 
 
 def search_sql(where: str = "true", overfetch: int | None = None, k: int = 10) -> str:
@@ -135,7 +135,7 @@ BATCH = f"""{C.CHIPS}, {LABELS},
 
 
 def label_queries(spark, d) -> DataFrame:
-    return vectors.gather(vectors.ensemble(C.table(spark, d, "embeddings"), "label"), "label")
+    return vectors.mean_directions(C.table(spark, d, "embeddings"), "label")
 
 
 @query(f"WITH {BATCH} SELECT qlabel AS label, rank, chip_location_id, round(score, 6) AS score, source_cycle AS winning_cycle FROM hits WHERE rank <= 10")  # TOP-07, WIN-01, QRY-07
@@ -462,6 +462,7 @@ BOTH = f"WITH {LISTS}, {metric_sql('m', 'gtf')}, {metric_sql('z', 'gts')}"
 def lists(spark, d) -> DataFrame:
     named = evaluation.concept_table(spark).filter("ord < 8").select("concept", F.col("ord").alias("label"))
     asked = label_queries(spark, d).join(F.broadcast(named), "label").select("concept", "q")
+    asked = spark.createDataFrame(asked.collect(), asked.schema)  # a vector for each of eight concepts, for both models
     found = [search.search_batch(C.half_split(spark, d), asked, search.Request(top_k=15, model_id=m)).withColumn("config", F.lit(f"{m}__rgb")) for m in ("a", "b")]
     return found[0].unionByName(found[1]).select("config", "concept", "chip_location_id", "rank")
 

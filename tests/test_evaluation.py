@@ -72,6 +72,28 @@ def test_gate(spark):
     assert verdict(4)["n_findable"] == 4
 
 
+def test_gate_edges(spark):
+    rows = gate_rows(spark, 4)
+    assert tuple(E.gate(rows.filter("false"), 0.02).select("n_hit10", "n_findable", "n_passed", "verdict").first()) == (0, 0, 2, "KILL candidate")
+    assert E.gate(rows.withColumn("n_gt", F.lit(0)), 0.02).first()["n_findable"] == 0
+    only = E.gate(rows.filter("k <> 10 OR concept = 'dam'"), 0.02).first()  # a list too short for k = 10 counts as a miss
+    assert (only["n_hit10"], only["n_findable"], only["verdict"]) == (1, 4, "ITERATE")
+
+
+def test_gate_reads_its_table_once(spark):
+    from placelens.queries import QUERIES
+
+    plan = QUERIES["gate_verdict"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 20
+
+
+def test_roll_up_counts_missing_as_zero(spark):
+    rows = spark.createDataFrame([("c", "a", 1, 1.0, 0.5, 1.0), ("c", "a", 5, 1.0, 1.0, 1.0), ("c", "b", 1, 0.0, 0.0, 0.5)], "config string, concept string, k int, hit double, recall double, mrr double")
+    got = {r["k"]: (r["hit"], r["recall"], r["mrr"]) for r in E.roll_up(rows, ["config"], (1, 5, 10), missing_as_zero=True).collect()}
+    assert got == {1: (0.5, 0.25, 0.75), 5: (0.5, 0.5, 0.75), 10: (0.0, 0.0, 0.75)}
+    assert {r["k"]: r["hit"] for r in E.roll_up(rows, ["config"], (1, 5, 10)).collect()} == {1: 0.5, 5: 1.0}
+
+
 def test_floor_configs(spark):
     df = spark.createDataFrame([("clip-vit-b-32-openai__rgb",), ("x__rgb",), ("ensemble:clip-vit-b-32-openai+x__rgb",), ("ensemble:clip-vit-b-32-openai__rgb",)], "c string")
     got = [(r[0], r[1]) for r in df.select(E.is_floor(F.col("c")), E.is_not_floor(F.col("c"))).collect()]

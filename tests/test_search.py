@@ -108,6 +108,13 @@ def test_batch_equals_single(spark, store, vecs):
         assert [r["chip_location_id"] for r in sorted((r for r in batch if r["concept"] == str(i)), key=lambda r: r["rank"])] == [r["chip_location_id"] for r in one]
 
 
+def test_batch_shuffles_vectors_once(spark, store, vecs):
+    queries = spark.createDataFrame([("a", [float(x) for x in vecs[0]])], "concept string, q array<double>")
+    plan = S.search_batch(store, queries, S.Request(top_k=3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # vectors by place, then the best few by query
+    assert "WindowGroupLimit" in plan.split("Exchange hashpartitioning")[1]
+
+
 def test_ensemble(spark):
     scores = {"m1": (0.9, 0.3, 0.7, 0.5), "m2": (0.1, 0.9, 0.5, 0.7)}
     rows = [("default", m, "rgb", "2020", f"c{i}", f"p{i}", True, [s, float(np.sqrt(1 - s * s))], 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for m, v in scores.items() for i, s in enumerate(v)]
