@@ -45,11 +45,17 @@ class Local(dict):
 
 
 def packed(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+    """The first bytes of all numbers, then the second and so on: most of these runs are nearly constant."""
+    places = np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T
+    return pa.compress(places.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, dtype, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
+    if not n:
+        return np.zeros(0, dtype)
+    size = np.dtype(dtype).itemsize
+    places = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(places.T).reshape(-1).view(dtype)
 
 
 CHUNK = "chunk long, doc_ids array<long>, lengths binary, good binary, tokens binary, words binary, n long, n_good long"
@@ -154,8 +160,11 @@ def placed(table: pa.Table, keys: np.ndarray, columns: int, buckets: int) -> np.
 
 
 def seen(count: np.ndarray, kept: float) -> np.ndarray:
-    """The chance that a pair counted so often is in a sample that keeps the share ``kept`` of tokens."""
-    return 1 - (1 - kept) ** count
+    """The chance that a pair counted so often is in a sample that keeps the share ``kept`` of tokens.
+
+    To 32 binary places, so that sums are exact and the order of chunks does not matter.
+    """
+    return np.round((1 - (1 - kept) ** count) * 2.0**32) / 2.0**32
 
 
 class Own:
@@ -197,16 +206,6 @@ def losses(docs: DataFrame, chunk: int, bucket_tokens: int, discount: float) ->
 
     pairs = materialise(sums(chunks.mapInArrow(pair_parts, PART), 2), "lm-pairs")
 
-    def word_parts(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in left.to_pylist():
-            c = Chunk(row)
-            pair, good, own = placed(right, c.keys(), 2, buckets)
-            first = [np.bincount(c.first, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good, own * seen(pair, kept), own * (good > 0))]
-            second = [np.bincount(c.second, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good)]
-            out.append(parts(row["chunk"], c.words, np.stack([*first, *second]), buckets))
-        return pa.Table.from_batches(out)
-
     kept = n_good / n if n_good else 1.0
 
     def word_parts(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -214,9 +213,10 @@ def losses(docs: DataFrame, chunk: int, bucket_tokens: int, discount: float) ->
         for row in left.to_pylist():
             c = Chunk(row)
             pair, good, own = placed(right, c.keys(), 2, buckets)
-            first = [np.bincount(c.first, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good, own * seen(pair, kept), own * (good > 0))]
-            second = [np.bincount(c.second, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good)]
-            out.append(parts(row["chunk"], c.words, np.stack([*first, *second]), buckets, np.float64))
+            first, first_good, kinds, kinds_good = (np.bincount(c.first, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good, own * seen(pair, kept), own * (good > 0)))
+            second, second_good = (np.bincount(c.second, weights=w, minlength=len(c.words)) for w in (c.n, c.n_good))
+            # A word is followed by another but at the end of a text, and most pairs of a rare word differ: these are small numbers.
+            out.append(parts(row["chunk"], c.words, np.stack([second - first, second_good - first_good, kinds, first_good - kinds_good, second, second_good]), buckets, np.float64))
         return pa.Table.from_batches(out)
 
     words = materialise(sums(chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(word_parts, PART), 6, np.float64), "lm-words")
@@ -229,7 +229,9 @@ def losses(docs: DataFrame, chunk: int, bucket_tokens: int, discount: float) ->
             own, marked = Own(c), np.frombuffer(row["good"], bool)
             pair, good, _ = placed(right.filter(pa.array(kind == 0)), c.keys(), 2, buckets)[:, own.pair]
             words = placed(right.filter(pa.array(kind == 1)), c.words, 6, buckets)
-            (first, first_good, kinds, kinds_good), (second, second_good) = words[:4, c.first[own.pair]], words[4:6, c.second[own.pair]]
+            followed, followed_good = words[4] - words[0], words[5] - words[1]
+            first, first_good, kinds, kinds_good = (x[c.first[own.pair]] for x in (followed, followed_good, words[2], followed_good - words[3]))
+            second, second_good = words[4:6, c.second[own.pair]]
             size = c.lengths.astype(np.int64)
             z = loss(pair - own.n, first - own.first, kinds - own.kinds(pair, kept), second - own.second, n - size[own.doc], kept, known, discount)
             if n_good:
