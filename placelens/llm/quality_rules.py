@@ -7,10 +7,10 @@ a grid, cutoffs are tested in their order and testing stops at the first failure
 strictest safe cutoff is used; a rule without one (too few labels) rejects nothing in that stratum. As each rule spends
 alpha / rules, their union rejects at most alpha.
 
-Defined results: null or empty text has no words and fails the base rule; a null stratum is a stratum of its own; strata
-beyond the ``max_strata`` with most good labels are tested and served as one; labels that are null or whose id repeats
-with different values count as good only if all are good; labels without a row are unused; an empty table gives an empty
-result; other columns are not read.
+Defined results: null or empty text has no words and fails the base rule; a null stratum is a stratum of its own; a stratum
+without good labels has no safe cutoff, so no rule rejects there; labels that are null or whose id repeats with different
+values count as good only if all are good; labels without a row are unused; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, source_key
+from .common import materialise, sent_if_small, source_key
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: Shares in thousandths; a row is rejected if its feature is above (more) or below (less) the cutoff.
@@ -35,6 +36,8 @@ RULES = {
     "variety": ("less", [*range(10, 100, 10), *range(100, 700, 25)]),
 }
 FEATURES = list(RULES)
+#: Cutoffs of up to so many strata (a few numbers each) are sent to all tasks; more are joined by a shuffle, which Spark splits at large strata.
+SENT_STRATA = 100_000
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -75,10 +78,14 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
 
 def log_binomial_tail(k: int, n: int, p: float) -> float:
-    """log P(X <= k) for X binomial(n, p), exactly summed."""
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(terms)
-    return top + math.log(sum(math.exp(t - top) for t in terms))
+    """log P(X <= k) for X binomial(n, p): summed from k down, until what is left is below the last bit of the sum."""
+    terms, top = [], -math.inf
+    for i in range(k, -1, -1):
+        terms.append(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+        top = max(top, terms[-1])
+        if i < n * p and terms[-1] < top - 45:
+            break
+    return top + math.log(math.fsum(math.exp(t - top) for t in terms))
 
 
 def safe_cutoff(rejected: list[int], n: int, alpha: float, level: float) -> int:
@@ -96,46 +103,40 @@ def strictness(rule: str):
     return F.size(F.filter(cuts, lambda c: F.col(rule) > c if way == "more" else F.col(rule) < c))
 
 
-def calibrate(marked: DataFrame, alpha: float, delta: float, max_strata: int) -> tuple[list[str], dict[str, dict[str, int]]]:
-    """Strata with cutoffs of their own, and for each (and "rest") the number of safe cutoffs of each rule.
+def calibrate(marked: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """stratum and the number of safe cutoffs of each rule, for every stratum with good rows.
 
-    ``marked``: good holdout rows, with columns stratum and, for each rule, how many cutoffs ("broken" ones count from the
-    strict end). Collected: a histogram of at most (max_strata + 1) * rules * cutoffs rows.
+    ``marked``: good holdout rows, written, with columns stratum and, for each rule, how many cutoffs a row breaks. They are
+    counted by partial aggregation; what a task tests at once is the histogram of a rule in a stratum.
     """
-    top = [r["stratum"] for r in marked.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(max_strata).collect()]
-    names = marked.sparkSession.createDataFrame([(s, s) for s in top], "stratum string, own string")
-    own = marked.join(F.broadcast(names), "stratum", "left").withColumn("own", F.coalesce("own", F.lit("rest")))
-    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("broken")) for r in RULES])).alias("p")
-    table = own.select("own", pairs).groupBy("own", "p.rule", "p.broken").count().collect()
-    strata = sorted({r["own"] for r in table})
-    histogram = {(s, rule): np.zeros(len(grid) + 1, np.int64) for s in strata for rule, (_, grid) in RULES.items()}
-    for r in table:
-        histogram[r["own"], r["rule"]][r["broken"]] += r["count"]
-    level, found = delta / (len(RULES) * max(len(strata), 1)), {}
-    for s in strata:
-        found[s] = {}
-        for rule in RULES:
-            h = histogram[s, rule]
-            # Cutoffs run from lenient to strict, so a value that breaks b of them breaks the b strictest.
-            rejects = np.cumsum(h[::-1])[:-1]
-            found[s][rule] = safe_cutoff(rejects.tolist(), int(h.sum()), alpha / len(RULES), level)
-    return top, found
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, max_strata: int = 1000) -> DataFrame:
+    strata = marked.select("stratum").distinct().count()
+    level = delta / (len(RULES) * max(strata, 1))
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("broken")) for r in RULES])).alias("p")
+    histograms = marked.select("stratum", each).groupBy("stratum", "p.rule", "p.broken").count()
+
+    def tested(h: pd.DataFrame) -> pd.DataFrame:
+        rule = h["rule"].iloc[0]
+        counts = np.zeros(len(RULES[rule][1]) + 1, np.int64)
+        counts[h["broken"]] = h["count"]
+        # Cutoffs run from lenient to strict, so a value that breaks b of them breaks the b strictest.
+        rejects = np.cumsum(counts[::-1])[:-1]
+        return pd.DataFrame({"stratum": h["stratum"].iloc[:1], "rule": rule, "safe": safe_cutoff(rejects.tolist(), int(counts.sum()), alpha / len(RULES), level)})
+
+    safe = histograms.groupBy("stratum", "rule").applyInPandas(tested, "stratum string, rule string, safe int")
+    return safe.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("safe"))).alias(f"safe_{r}") for r in RULES])
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and ``broken`` (names of the rules that reject the row)."""
-    spark = docs.sparkSession
     got = materialise(features(docs, stratum), "quality-features")
     good = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).filter("q = 1").select("doc_id")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     got = got.withColumn("base_failed", base_failed)
     marked = got.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi").select("stratum", *[strictness(r).alias(r) for r in RULES])
-    top, found = calibrate(materialise(marked, "quality-marks"), alpha, delta, max_strata)
-    limits = spark.createDataFrame([(s, *(found[s][r] for r in RULES)) for s in top], "stratum string, " + ", ".join(f"__{r} int" for r in RULES))
-    other = found.get("rest", dict.fromkeys(RULES, 0))
-    joined = got.join(F.broadcast(limits), "stratum", "left")
+    limits = materialise(calibrate(materialise(marked, "quality-marks"), alpha, delta), "quality-limits")
+    joined = got.join(sent_if_small(limits, SENT_STRATA), "stratum", "left")
     # The first s cutoffs are safe; a value breaks the b strictest of g, so it breaks a safe one if b > g - s.
-    hits = [F.when(strictness(r) > len(RULES[r][1]) - F.coalesce(F.col(f"__{r}"), F.lit(other[r])), F.lit(r)) for r in RULES]
+    hits = [F.when(strictness(r) > len(RULES[r][1]) - F.coalesce(f"safe_{r}", F.lit(0)), F.lit(r)) for r in RULES]
     return joined.withColumn("broken", F.array_compact(F.array(*hits))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken",

@@ -63,6 +63,33 @@ def test_rules_reject_junk_and_keep_good(spark):
     assert all(not got[10_000 + i]["kept"] and "symbols" in got[10_000 + i]["broken"] for i in range(200))
 
 
+def test_cutoffs_by_brute_force(spark):
+    """Every stratum of many, against a search over exact tails in fractions of integers."""
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(7)
+    rules = quality_rules.RULES
+    rows = [(f"s{s}", *(rng.choice((0, 0, 0, rng.randrange(len(g) + 1))) if rng.random() < 0.15 * s else 0 for _, g in rules.values())) for s in range(3) for _ in range(700)]
+    rows += [(f"t{s}", *[0] * len(rules)) for s in range(1200)]
+    marked = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{r} int" for r in rules))
+    got = {r["stratum"]: r for r in quality_rules.calibrate(marked, 0.3, 0.05).collect()}
+    assert len(got) == 1203
+    p, level = Fraction(0.3 / len(rules)), 0.05 / (len(rules) * 1203)
+    for s in ("s0", "s1", "s2", "t7"):
+        own = [r for r in rows if r[0] == s]
+        n = len(own)
+        for j, (rule, (_, grid)) in enumerate(rules.items(), 1):
+            want = 0
+            for c in range(1, len(grid) + 1):  # the c-th cutoff from the lenient end rejects what breaks more than g - c
+                k = sum(r[j] > len(grid) - c for r in own)
+                if sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > level:
+                    break
+                want = c
+            assert got[s][f"safe_{rule}"] == want
+    assert any(got[s][f"safe_{r}"] not in (0, len(g)) for s in ("s1", "s2") for r, (_, g) in rules.items())
+
+
 def test_quality_rules_edges(odd, odd_rows, empty, labels):
     got = quality_rules.quality_rules(odd, labels).collect()
     assert len(got) == len(odd_rows)
