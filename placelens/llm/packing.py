@@ -1,17 +1,19 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue: its documents' tokens in a seeded shuffle. Rounds serve quanta of ``quantum`` tokens so that
-every window of ``length`` tokens holds the sources in proportion to their tokens, and all queues drain together. The
-deficit of a queue is carried from quantum to quantum, over windows and partitions: queues are halved into a binary
-tree, and at a node with ``a`` of ``u`` quanta on its left, the first ``x`` quanta give the left ``(a * x + u // 2) // u``;
-``(a * x + u // 2) % u`` is the deficit that node carries. As that is a closed form of ``x``, any partition can start
-at any window without the ones before it. What is left of each queue below a quantum follows at the end.
+Each source is a queue: its documents' tokens in a seeded shuffle. A round adds to the deficit of every queue its share of a
+window of ``length`` tokens, by target weight; queues are served in turn, each as many whole quanta of ``quantum`` tokens as
+its deficit holds, and what remains of the deficit is carried to the next round, over windows and partitions. An empty queue
+is passed over, so the others share its windows by their weights. Deficits start at half a quantum. After ``r`` rounds a queue
+of ``u`` quanta and credit ``c`` a round has been served ``min(u, floor(r * c + 1/2))`` of them, so any partition can start
+at any round without the ones before it. What is left of each queue below a quantum follows at the end.
+
+Without ``weights`` a source weighs what it has, so that all queues drain together.
 
 Windows are full sequences; the rest at the very end is cut into sequences of powers of two, so nothing is padded.
 
-Defined results: null text is an empty document (only its end id); a null source is a queue of its own; sources beyond
-the ``max_queues - 1`` largest share one queue, whose documents are mixed by the shuffle; repeated rows are packed each;
-an empty table gives an empty result; other columns are not read.
+Defined results: null text is an empty document (only its end id); a null source is a queue of its own (``None`` in
+``weights``); sources that ``weights`` do not name weigh 1; repeated rows are packed each; an empty table gives an empty
+result; other columns are not read. The driver holds one row a source, tasks their sizes and credits.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, hash_bucket, materialise, running_total, source_key
+from .common import buckets_for, hash_bucket, materialise, running_total, sent_if_small, source_key
 
 SPAN = 24_000_000
+#: Parts of a quantum in which deficits are held.
+QUANTUM = 1 << 20
 
 
 class Encoder:
     """Token ids of whole texts as bytes, each with the end id.
 
-    Neither the pre-tokeniser nor the normaliser of the vocabulary joins anything across ASCII blanks and line feeds, so
-    the ids of a text are those of its chunks in order. Each distinct chunk of a batch is encoded once. Where the vocabulary
+    Where neither the pre-tokeniser nor the normaliser joins anything across ASCII blanks and line feeds (it is asked), the
+    ids of a text are those of its chunks in order; else whole texts are encoded. Each distinct chunk of a batch is encoded once. Where the vocabulary
     drops case and parts words from punctuation (it is asked), Latin-1 texts are lower-cased and dots and commas
     after a letter cut off before chunks are compared, which gives the same ids from fewer chunks.
     """
@@ -49,6 +53,7 @@ class Encoder:
         size = max(self.model.get_vocab_size(), end_id + 1)
         self.dtype, self.end = np.dtype("<u2") if size <= 65536 else np.dtype("<u4"), end_id
         one = lambda t: self.model.encode(t, add_special_tokens=False).ids
+        self.parts = all(one(t) == [i for w in t.split() for i in one(w)] for t in ("one two", "One, two\nthree  four", " 5 \n\n6. a ", "don't x-y \u00e9t\u00e9 \u6f22 \u5b57"))
         self.folds = one("Word.,") == one("word") + one(".,") and one("\u00c9t\u00e9, a") == one("\u00e9t\u00e9") + one(",") + one("a")
         #: How the pre-tokeniser writes Latin-1 letters; with it, a lower-case word can be handed to the merges alone.
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -89,6 +94,9 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> pa.Array:
         """Binary ids of each text."""
+        if not self.parts:
+            ids = (self.model.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist())
+            return pa.array([np.array([*i, self.end], self.dtype).tobytes() for i in ids], pa.binary())
         lists = self.chunks(pc.fill_null(texts, ""))
         words = lists.flatten().dictionary_encode()
         flat, (place, counts) = self.encode(words.dictionary.to_pylist())
@@ -127,32 +135,25 @@ def spans(batch: pa.RecordBatch, column: str) -> list[pa.RecordBatch]:
     return [batch.slice(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def tree(units: list[int]) -> list[list[tuple[int, int, bool]]]:
-    """For each queue, from its leaf up: quanta on its own side, quanta of the node, whether its side is the left."""
-    paths: list[list[tuple[int, int, bool]]] = [[] for _ in units]
-
-    def halve(lo: int, hi: int) -> int:
-        if hi - lo == 1:
-            return units[lo]
-        mid = (lo + hi) // 2
-        a, b = halve(lo, mid), halve(mid, hi)
-        for q in range(lo, hi):
-            paths[q].append((a if q < mid else b, a + b, q < mid))
-        return a + b
-
-    if units:
-        halve(0, len(units))
-    return paths
+def credits_of(weights: list[float], quanta: int) -> np.ndarray:
+    """What a round of so many quanta adds to the deficit of each queue, in parts of a quantum."""
+    w = np.array(weights, float)
+    return np.maximum(np.rint(w / max(w.sum(), 1e-300) * quanta * QUANTUM), 1).astype(np.int64)
 
 
-def slots_of(path: list[tuple[int, int, bool]], k: np.ndarray) -> np.ndarray:
-    """The place among all quanta of the k-th quantum of a queue."""
-    for own, all_, left in path:
-        c = all_ // 2
-        if all_ >= 2**31:
-            k = k.astype(object)
-        k = -(-((k + 1) * all_ - c) // own) - 1 if left else (k * all_ + c) // own
-    return k.astype(np.int64)
+def slots_of(queue: np.ndarray, k: np.ndarray, units: np.ndarray, credits: np.ndarray) -> np.ndarray:
+    """The place among all quanta of the k-th quantum of a queue; ``units``: quanta of each queue."""
+    half = QUANTUM // 2
+    last = -(-units * QUANTUM // credits)  # rounds after which a queue is empty
+    turn = -(-((k + 1) * QUANTUM - half) // credits[queue])  # the round that serves it
+    out, every = k.copy(), np.arange(len(units))
+    step = max(1, (1 << 20) // max(len(units), 1))
+    for at in (slice(i, i + step) for i in range(0, len(k), step)):
+        rounds = turn[at, None] - (every >= queue[at, None])  # later queues have not been served in this round
+        others = np.minimum(units, (np.minimum(rounds, last) * credits + half) // QUANTUM)
+        others[np.arange(len(others)), queue[at]] = 0
+        out[at] += others.sum(axis=1)
+    return out
 
 
 def rest(total: int, length: int) -> list[int]:
@@ -165,7 +166,7 @@ def rest(total: int, length: int) -> list[int]:
     return edges
 
 
-def cut(queue: np.ndarray, pos: np.ndarray, n: np.ndarray, paths: dict, units: np.ndarray, tails: np.ndarray, quantum: int, length: int, edges: list[int]) -> np.ndarray:
+def cut(queue: np.ndarray, pos: np.ndarray, n: np.ndarray, credits: np.ndarray, units: np.ndarray, tails: np.ndarray, quantum: int, length: int, edges: list[int]) -> np.ndarray:
     """Pieces of documents that hold tokens pos to pos + n of their queues: rows of document, start, length, sequence, offset."""
     whole = units[queue] * quantum  # a queue's tokens in full quanta
     first = pos // quantum
@@ -173,10 +174,7 @@ def cut(queue: np.ndarray, pos: np.ndarray, n: np.ndarray, paths: dict, units: n
     doc = np.repeat(np.arange(len(pos)), many)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]
     lo, hi = np.maximum(k * quantum, pos[doc]), np.minimum((k + 1) * quantum, (pos + n)[doc])
-    at = lo - k * quantum
-    for q in np.unique(queue[doc]):
-        own = queue[doc] == q
-        at[own] += slots_of(paths[int(q)], k[own]) * quantum
+    at = lo - k * quantum + slots_of(queue[doc], k, units, credits) * quantum
     over = np.flatnonzero(pos + n > whole)  # what is left of a queue below a quantum
     start = np.maximum(pos, whole)[over]
     doc, lo, hi, at = (np.concatenate(x) for x in ((doc, over), (lo, start), (hi, (pos + n)[over]), (at, tails[queue][over] + start - whole[over])))
@@ -204,10 +202,12 @@ def cut(queue: np.ndarray, pos: np.ndarray, n: np.ndarray, paths: dict, units: n
     return np.concatenate(out)
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 4096, quantum: int = 128, end_id: int = 2, seed: int = 5, max_queues: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 4096, quantum: int = 128, end_id: int = 2, seed: int = 5, weights: dict[str | None, float] | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source: one row for each piece of a document."""
     if length % quantum:
         raise ValueError("length must be a multiple of quantum")
+    if weights is not None and min(weights.values(), default=1) <= 0:
+        raise ValueError("weights must be over 0")
     spark = docs.sparkSession
 
     def encode(batches):
@@ -220,16 +220,13 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, quantum: int = 128
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"), F.col("text").cast("string"))
     tokens = materialise(rows.mapInArrow(encode, "row long, doc_id long, source string, order long, n long, ids binary"), "pack-tokens")
 
-    totals = tokens.groupBy(source_key().alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-    largest = totals.orderBy(F.desc("n"), "key").limit(max_queues - 1).collect()
-    everything = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    sizes = [r["n"] for r in largest] + [everything[0] - sum(r["n"] for r in largest)]
-    names = spark.createDataFrame([(r["key"], i) for i, r in enumerate(largest)], "key string, queue int")
-    narrow = tokens.select("row", "n", "order", source_key().alias("key")).join(F.broadcast(names), "key", "left").withColumn("queue", F.coalesce("queue", F.lit(len(largest)))).drop("key")
-    placed = running_total(narrow, ["queue"], hash_bucket("order", buckets_for(everything[1])), ["order", "row"], "n", "pos").select("row", "queue", "pos")
+    totals = tokens.groupBy(source_key().alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.first("source").alias("source")).orderBy(F.desc("n"), "key").collect()
+    sizes = [r["n"] for r in totals]
+    credits = credits_of([r["n"] if weights is None else weights.get(r["source"], 1) for r in totals], length // quantum)
+    names = sent_if_small(spark.createDataFrame([(r["key"], i) for i, r in enumerate(totals)], "key string, queue int"))
+    narrow = tokens.select("row", "n", "order", source_key().alias("key")).join(names, "key").drop("key")
+    placed = running_total(narrow, ["queue"], hash_bucket("order", buckets_for(sum(r["rows"] for r in totals))), ["order", "row"], "n", "pos").select("row", "queue", "pos")
 
-    live = [q for q, n in enumerate(sizes) if n // quantum]
-    paths = dict(zip(live, tree([sizes[q] // quantum for q in live]), strict=True))
     sizes = np.array(sizes, np.int64)
     units = sizes // quantum
     tails = np.concatenate([[0], np.cumsum(sizes % quantum)]) + units.sum() * quantum
@@ -239,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, quantum: int = 128
     def split(batches):
         for b in batches:
             queue, pos, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("queue", "pos", "n"))
-            pieces = cut(queue, pos, n, paths, units, tails, quantum, length, edges)
+            pieces = cut(queue, pos, n, credits, units, tails, quantum, length, edges)
             ids = pa.concat_arrays([b.column("ids")])
             bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // itemsize
             data = memoryview(np.frombuffer(ids.buffers()[2] or b"", f"<u{itemsize}").astype("<u4").tobytes())

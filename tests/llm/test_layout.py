@@ -99,23 +99,72 @@ def test_mixing_edges(odd, odd_rows, empty):
     assert mixing.mixed_documents(empty).collect() == []
 
 
-def test_tree_is_a_fair_order():
-    units = [1, 50, 7, 13, 200, 3]
-    got = [packing.slots_of(p, np.arange(u)) for p, u in zip(packing.tree(units), units)]
-    assert sorted(np.concatenate(got).tolist()) == list(range(sum(units)))
-    total = sum(units)
-    for slots, u in zip(got, units):
-        assert (np.diff(slots) > 0).all()
-        for x in (10, 100, 200):  # carried deficits stay within a few quanta
-            assert abs((slots < x).sum() - u * x / total) <= 3
-
-
-def test_encoder_is_exact(spark, sf):
+def round_robin(units, credits):
+    """The queue of each quantum: deficits kept one round after the other."""
+    left, deficit, out = list(units), [packing.QUANTUM // 2] * len(units), []
+    while any(left):
+        for q, c in enumerate(credits):
+            deficit[q] += int(c)
+            while left[q] and deficit[q] >= packing.QUANTUM:
+                deficit[q] -= packing.QUANTUM
+                left[q] -= 1
+                out.append(q)
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, [1, 1, 1, 1, 1, 1, 1], [5, 0.01, 2, 100, 1, 1, 3]])
+def test_slots_are_those_of_deficit_round_robin(weights):
+    units = np.array([1, 50, 0, 7, 13, 200, 3])
+    credits = packing.credits_of(units if weights is None else weights, 8)
+    want = round_robin(units, credits)
+    queue = np.repeat(np.arange(len(units)), units)
+    k = np.concatenate([np.arange(u) for u in units])
+    got = packing.slots_of(queue, k, units, credits)
+    assert sorted(got.tolist()) == list(range(len(want)))
+    assert [want[x] for x in got] == queue.tolist()
+    if weights is None:  # carried deficits stay within a few quanta, window after window
+        for x in range(0, len(want), 8):
+            assert all(abs((got[queue == q] < x).sum() - u * x / units.sum()) <= 2 for q, u in enumerate(units))
+
+
+def test_slots_of_many_queues():
+    units = np.random.default_rng(0).integers(0, 9, 5000)
+    credits = packing.credits_of(units, 32)
+    queue, k = np.repeat(np.arange(5000), units), np.concatenate([np.arange(u) for u in units])
+    want = round_robin(units, credits)
+    assert [want[x] for x in packing.slots_of(queue, k, units, credits)] == queue.tolist()
+
+
+def test_packing_to_target_weights(spark):
+    """Windows hold the weights' shares until a queue is empty, and no token is lost after that."""
+    texts = [(i, " ".join(f"w{i * 7 + j}" for j in range(300)), ("a", "b", None)[i % 3]) for i in range(240)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    rows = packing.pack(docs, tokenizer_path(), length=1024, quantum=32, weights={"a": 6, "b": 3, None: 1}).collect()
+    check_packing(rows, [(i, t) for i, t, _ in texts], 1024)
+    per, last = defaultdict(Counter), {}
+    for r in rows:
+        per[r["sequence_id"]][r["source"]] += r["length"]
+        last[r["source"]] = max(last.get(r["source"], 0), r["sequence_id"])
+    whole = sum(r["length"] for r in rows if r["source"] == "a")
+    full = [s for s in range(whole * 10 // 6 // 1024 - 2)]
+    assert len(full) > 10
+    assert all(abs(per[s][q] - 1024 * w) <= 3 * 32 for s in full for q, w in (("a", 0.6), ("b", 0.3), (None, 0.1)))
+    with pytest.raises(ValueError):
+        packing.pack(docs, tokenizer_path(), weights={"a": 0})
+
+
+@pytest.mark.parametrize("name", [None, "byte_bpe_50k.json"])
+def test_encoder_is_exact(spark, sf, name):
+    """Also with a vocabulary that joins blanks to words, which takes whole texts."""
+    import public_tokenizers
     import pyarrow as pa
 
+    path = public_tokenizers.path(name) if name else tokenizer_path()
+
     texts = [r["text"] for r in table(spark, sf, "documents").select("text").limit(300).collect()]
     texts += ["a's İstanbul ΣΑΣ, É. don't 12,3.. x.., y Á. <|endoftext|>. ﬁx Ǆ", None, "", " ", "\r\ta b", "É.\n,b .c,.d., e", "ab.\r c.", "é,", "ªb. ºC, µ."]
-    coder = packing.Encoder(tokenizer_path(), 2)
+    coder = packing.Encoder(path, 2)
+    assert coder.parts == (name is None)
     for t, ids in zip(texts, coder(pa.array(texts)).to_pylist(), strict=True):
         assert np.frombuffer(ids, coder.dtype).tolist() == coder.model.encode(t or "", add_special_tokens=False).ids + [2]
 
@@ -169,7 +218,7 @@ def test_packing(spark, sf):
 
 
 def test_packing_edges(odd, odd_rows, empty):
-    rows = packing.pack(odd, tokenizer_path(), max_queues=3).collect()
+    rows = packing.pack(odd, tokenizer_path()).collect()
     check_packing(rows, [(r[0], r[1]) for r in odd_rows])
     assert packing.pack(empty, tokenizer_path()).collect() == []
 
