@@ -7,20 +7,25 @@ centroids; the language of the centroid with the largest cosine is predicted. A
 pooled with their neighbours, as widely as it takes, so every length has such a floor.
 
 Document frequencies cover all training rows. Centroids are fitted on a bounded sample: ``per_language`` rows of each
-language, ``sample`` in all, taken in the order of a seeded hash of id and text.
+language, ``sample`` in all but 20 of each language at least, taken in the order of a seeded hash of id and text. Every language
+is learnt; the model has ``clusters`` centroids for each.
 
 Defined results: null text and text without a letter give ``und``, score 0, rejected; a null id is neither learnt from nor
-held out; repeated rows are rows of their own; without training rows every text is ``und``; languages beyond the
-``max_languages`` most frequent are not learnt; an empty table gives an empty result; other columns are not read.
+held out; repeated rows are rows of their own; without training rows every text is ``und``; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sent_if_small
+
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
 _BLANK = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -67,10 +72,9 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
-def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin: float, quantile: float, max_languages: int) -> dict:
+def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin: float, quantile: float) -> dict:
     """rows: text and lang, neither null, and point: the order in which a language's rows are taken, copies of a row once. The model: languages, owner of each centroid, centroids, idf and floors."""
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    langs = {r["lang"]: r["count"] for r in counts}
+    langs = rows.select("lang").distinct().count()
     if not langs:
         return {"langs": []}
 
@@ -86,10 +90,10 @@ def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin
     total = df[-1]
     idf = np.array([np.log((1 + total) / (1 + df[d])) + 0.1 for d in range(DIM)], np.float32)
 
-    each = max(20, min(per_language, sample // len(langs)))
+    each = max(20, min(per_language, sample // langs))
     cuts = rows.select("lang", "point").distinct().withColumn("p", F.row_number().over(Window.partitionBy("lang").orderBy("point"))).filter(F.col("p") <= each).groupBy("lang").agg(F.max("point").alias("last"))
-    cuts = rows.sparkSession.createDataFrame([tuple(r) for r in cuts.collect() if r["lang"] in langs], "lang string, last long")
-    picked = rows.join(F.broadcast(cuts), "lang").filter("point <= last").dropDuplicates(["lang", "point"]).select("lang", "text")
+    cuts = sent_if_small(rows.sparkSession.createDataFrame(cuts.collect(), "lang string, last long"))
+    picked = rows.join(cuts, "lang").filter("point <= last").dropDuplicates(["lang", "point"]).select("lang", "text")
 
     def encode(batches):
         for b in batches:
@@ -99,14 +103,16 @@ def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array(size), pa.array([at.astype("<u4").tobytes()]), pa.array([v[0][at].tobytes()])], names=["lang", "size", "at", "v"])
 
     got = sorted(picked.mapInArrow(encode, "lang string, size long, at binary, v binary").collect(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["v"])))
-    names, x = sorted({r["lang"] for r in got}), np.zeros((len(got), DIM), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["v"], np.float32)
-    owner = np.array([names.index(r["lang"]) for r in got])
-    groups = [cluster(x[owner == i], clusters) for i in range(len(names))]
+    names, groups, mine = [], [], []
+    for lang, own in ((k, list(g)) for k, g in groupby(got, key=lambda r: r["lang"])):
+        x = np.zeros((len(own), DIM), np.float32)
+        for i, r in enumerate(own):
+            x[i, np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["v"], np.float32)
+        names.append(lang)
+        groups.append(cluster(x, clusters))
+        mine.append((x @ groups[-1].T).max(axis=1))
+    mine = np.concatenate(mine)
     centroids, of = np.concatenate(groups).astype(np.float32), np.repeat(np.arange(len(names)), [len(g) for g in groups])
-    cos = x @ centroids.T
-    mine = np.where(of[None, :] == owner[:, None], cos, -1).max(axis=1)
     bins, floors = length_bin(np.array([r["size"] for r in got])), np.zeros(16)
     for b in range(16):  # longer texts come closer, so a shorter text's floor holds at least
         near = next(x for w in range(16) if len(x := mine[np.abs(bins - b) <= w]) >= 30 or w == 15)
@@ -119,7 +125,7 @@ def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin
 def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep``, then __lang_pred, __score (cosine) and __rejected for each row of ``docs``."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x centroids, bounded by max_languages * clusters
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x centroids, clusters of them a language
 
     def run(batches):
         m = shared.value
@@ -143,12 +149,12 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFra
     return docs.select(*cols).mapInArrow(run, ", ".join([*(f"`{c}` {fields[c]}" for c in keep), "__lang_pred string, __score double, __rejected boolean"]))
 
 
-def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = 600, sample: int = 4000, clusters: int = 4, margin: float = 0.6, quantile: float = 0.01, max_languages: int = 200, seed: int = 3) -> dict:
+def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = 600, sample: int = 4000, clusters: int = 4, margin: float = 0.6, quantile: float = 0.01, seed: int = 3) -> dict:
     """A model of the rows that are not held out."""
     rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"), fold_of(folds).alias("fold"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")).alias("point"))
     letters = F.col("text").rlike(r"\p{L}")
     rows = rows.filter((F.col("fold") != held) & F.col("lang").isNotNull() & F.col("text").isNotNull() & letters).select("text", "lang", "point")
-    return train(rows, per_language, sample, clusters, margin, quantile, max_languages)
+    return train(rows, per_language, sample, clusters, margin, quantile)
 
 
 def fold_of(folds: int) -> Column:

@@ -8,7 +8,9 @@ ratio over its words, both normalised by length (the second is not drowned where
 curve of both and the length, fitted on a fold that the counts have not seen, makes them a score.
 
 Learns from at most about ``max_rows`` labelled rows (a seeded hash of the text picks them; that bound is the parameter of the
-classifier's sample). The model has at most ``vocabulary`` words and ``max_pairs`` pairs; other pairs back off.
+classifier's sample, and bounds the model). Words in fewer than ``min_docs`` of these rows are one unknown word, which tells
+both classes how often to expect words they have not seen; pairs seen fewer than ``min_pairs`` times back off, as a single
+sighting says more about the sizes of the classes than about the words. Both cutoffs are the same at every size.
 
 Defined results: null and empty text scores what no evidence scores; a null id is neither learnt from nor held out; ids
 that repeat in labels with different values are toxic; repeated rows are rows of their own; where the labels lack a
@@ -135,24 +137,11 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2
     return w
 
 
-def fewest(histogram, most: int) -> int:
-    """The smallest count, 3 at least, that so few pairs reach that they are ``most`` at most."""
-    least, held = 1001, 0
-    for r in sorted(histogram, key=lambda r: -r["n"]):
-        held += r["rows"]
-        if held > most or r["n"] < 3:
-            break
-        least = r["n"]
-    return least
-
-
-def train(rows: DataFrame, vocabulary: int, max_pairs: int) -> dict:
+def train(rows: DataFrame, min_docs: int, min_pairs: int) -> dict:
     """rows: text, toxic (0 or 1) and calibrate (rows for the curve, not for the counts)."""
     counted = rows.filter(~F.col("calibrate")).select("text", "toxic")
     n = F.col("n0") + F.col("n1")
-    common = materialise(word_counts(counted).filter(n >= 2), "toxic-words")
-    top = common.orderBy(n.desc(), "word").limit(vocabulary // 2).union(common.orderBy(F.desc("n1"), n, "word").limit(vocabulary // 2)).select("word").distinct()
-    known = sorted(bytes(r["word"]) for r in top.collect())
+    known = sorted(bytes(r["word"]) for r in word_counts(counted).filter(n >= min_docs).select("word").collect())
     size = WORDS + len(known)
     pairs = materialise(pair_counts(counted, known), "toxic-pairs")
 
@@ -164,8 +153,7 @@ def train(rows: DataFrame, vocabulary: int, max_pairs: int) -> dict:
         return got
 
     firsts, seconds = by(F.expr(f"key div {size}L")), by(F.col("key") % size)
-    least = fewest(pairs.groupBy(F.least(n, F.lit(1000)).alias("n")).agg(F.count("*").alias("rows")).collect(), max_pairs)
-    kept = pairs.filter(n >= least).toPandas().sort_values("key")
+    kept = pairs.filter(n >= min_pairs).toPandas().sort_values("key")
     model = kneser_ney(size, kept["key"].to_numpy(np.int64), kept[["n0", "n1"]].to_numpy(np.float64).T, seconds[2], firsts[:2], firsts[2], seconds[:2])
     model["words"], model["curve"] = known, np.array([0.0, 0.0, 0.0, -1.0])
     held = score_raw(rows.filter("calibrate").select("text", "toxic"), model, ("toxic",)).toPandas()
@@ -192,7 +180,7 @@ def score_raw(docs: DataFrame, model: dict, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, ", ".join([*(f"`{c}` {fields[c]}" for c in keep), "peak double, mean double, n long"]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 120_000, vocabulary: int = 30_000, max_pairs: int = 400_000, seed: int = 13) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 120_000, min_docs: int = 2, min_pairs: int = 3, seed: int = 13) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words, peak and mean (the evidence) of every row of ``docs``."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold.alias("fold"))
@@ -201,7 +189,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     rate = min(1.0, max_rows / max(learn.count(), 1))
     picked = F.xxhash64(F.lit(seed), "text").cast("double") / F.lit(2.0**64) + 0.5 < rate
     rows = docs.filter((F.col("fold") != held) & F.col("text").isNotNull()).filter(picked).join(sent_if_small(learn), "doc_id").select("text", "toxic", (F.col("fold") == (held + folds - 1) % folds).alias("calibrate"))
-    model = train(materialise(rows, "toxic-rows"), vocabulary, max_pairs)
+    model = train(materialise(rows, "toxic-rows"), min_docs, min_pairs)
     curve = model["curve"]
     got = score_raw(docs.withColumn("held_out", F.coalesce(F.col("fold") == held, F.lit(False))), model, ("doc_id", "held_out"))
     z = float(curve[0]) * F.col("peak") + float(curve[1]) * F.col("mean") + float(curve[2]) * F.log(F.col("n") + 1.0) + float(curve[3])

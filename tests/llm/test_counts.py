@@ -205,6 +205,37 @@ def test_language_sample_holds_every_language_beside_copies(spark):
         assert sum(found[i] == lang for i, _, lang in others) > 0.9 * len(others)
 
 
+def test_language_learns_every_language(spark):
+    stems = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + (i * 7) % 26)}" for i in range(230)]
+    docs = spark.createDataFrame([(5 * i + j, " ".join(f"{w}{'xyz'[(j + k) % 3]}" for k in range(6)), f"l{i}") for i, w in enumerate(stems) for j in range(5)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    learnt = {r["lang"] for r in docs.filter(language_id.fold_of(4) != 2).select("lang").distinct().collect()}
+    assert set(model["langs"]) == learnt and len(learnt) > 200
+    found = language_id.predict(docs, model, ("lang",)).collect()
+    assert sum(r["lang"] == r["__lang_pred"] for r in found) > 0.9 * len(found)
+
+
+def test_language_nearest_centroid_by_brute_force(spark, sf):
+    """Cosines to every centroid, written out by definition."""
+    import numpy as np
+
+    docs = table(spark, sf, "documents")
+    model = language_id.fit(docs)
+    got = {r["doc_id"]: (r["__lang_pred"], r["__score"]) for r in language_id.predict(docs, model, ("doc_id",)).collect()}
+    for r in docs.filter("n_chars < 3000").limit(40).collect():
+        letters = "".join(c if ord(c) > 127 or "a" <= c <= "z" else " " for c in r["text"].lower())
+        raw = f" {' '.join(letters.split(' '))} ".encode()
+        while b"  " in raw:
+            raw = raw.replace(b"  ", b" ")
+        v = np.zeros(language_id.DIM)
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            v[((a | b << 8 | c << 16) * 2654435761 % 2**32) >> (32 - language_id.DIM_BITS)] += 1
+        v = np.log(1 + v) * model["idf"]
+        cos = [float(v @ c / np.linalg.norm(v) / np.linalg.norm(c)) for c in model["centroids"]]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert got[r["doc_id"]][0] == model["langs"][model["of"][best]] and got[r["doc_id"]][1] == pytest.approx(cos[best], abs=1e-5)
+
+
 def test_language_rejects_text_unlike_all_languages(spark):
     texts = [f"der hund geht heute {w} in den wald" for w in ("nicht", "noch", "wieder", "gern", "allein", "oft", "selten", "schnell")]
     docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
@@ -246,6 +277,32 @@ def test_toxicity_finds_planted_words(spark):
     assert sum(r["predicted"] for r in got if r["toxic"] == 0) <= 0.02 * len(got)
 
 
+def test_toxicity_models_are_kneser_ney():
+    """Each class is a distribution after every word, and ratios are those of probabilities by definition."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    size, d = 6, toxicity.DISCOUNT
+    counts = rng.integers(0, 4, (2, size, size)) * rng.integers(0, 2, (2, size, size))
+    key = np.flatnonzero(counts.sum(axis=0).ravel())
+    n = counts.reshape(2, -1)[:, key].astype(float)
+    contexts = (counts > 0).sum(axis=(0, 1))
+    model = toxicity.kneser_ney(size, key, n, contexts, counts.sum(axis=2), None, counts.sum(axis=1))
+    shared = (contexts + 1) / (contexts.sum() + size)
+    prob = np.zeros((2, size, size))
+    for y in (0, 1):
+        c = counts[y].sum(axis=0)
+        word = (np.maximum(c - d, 0) + d * (c > 0).sum() * shared) / c.sum()
+        for v in range(size):
+            row = counts[y, v]
+            held = np.maximum(row - d, 0) / max(row.sum(), 1)
+            prob[y, v] = held + (1 - held.sum()) * word
+    assert np.allclose(prob.sum(axis=2), 1)
+    got = model["back"][:, None] + model["word"][None, :]
+    got.ravel()[key] = model["pair"]
+    assert np.allclose(got, np.log(prob[1] / prob[0]), atol=1e-5)
+
+
 def test_toxicity_edges(odd, odd_rows, empty, labels):
     got = toxicity.toxicity(odd, labels).collect()
     assert len(got) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in got)
