@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, topk_search, toxicity
+from . import language_id, lexical_search, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, topk_search, toxicity
 from .common import table
 
 
@@ -56,13 +56,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_topk_search, op3_source_mixing, op4_lm_scoring, op5_language_id, op6_toxicity, op7_sharding, op8_ngram_join, op9_line_dedup, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_topk_search, op3_source_mixing, op4_lm_scoring, op5_language_id, op6_toxicity, op7_sharding, op8_ngram_join, op9_line_dedup, op10_packing, op11_lexical_search, pipeline)}
 
 ORACLES = {
     "op2_topk_search": """
@@ -81,4 +85,25 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op11_lexical_search": r"""
+        WITH found AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents WHERE text IS NOT NULL
+        ), docs AS (SELECT r, doc_id, len(terms) AS n, terms FROM found WHERE len(terms) > 0),
+        total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS length FROM docs),
+        tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+        weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+        asked AS (
+            SELECT item, item_id, term, count(*) AS times FROM (
+                SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark WHERE text IS NOT NULL)) GROUP BY item, item_id, term
+        ), scored AS (
+            SELECT item, item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // length)))) AS BIGINT) AS score
+            FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN docs USING (r), total GROUP BY item, item_id, r
+        ), ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM scored JOIN docs USING (r) WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
