@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lexical_search, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, topk_search, toxicity
+from . import language_id, lexical_search, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, token_alignment, topk_search, toxicity
 from .common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,13 +60,17 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_topk_search, op3_source_mixing, op4_lm_scoring, op5_language_id, op6_toxicity, op7_sharding, op8_ngram_join, op9_line_dedup, op10_packing, op11_lexical_search, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_topk_search, op3_source_mixing, op4_lm_scoring, op5_language_id, op6_toxicity, op7_sharding, op8_ngram_join, op9_line_dedup, op10_packing, op11_lexical_search, op12_token_alignment, pipeline)}
 
 ORACLES = {
     "op2_topk_search": """
