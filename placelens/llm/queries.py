@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lexical_search, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, token_alignment, topk_search, toxicity
+from . import hamming_join, language_id, lexical_search, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, token_alignment, topk_search, toxicity
 from .common import table
 
 
@@ -64,13 +64,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_join.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_topk_search, op3_source_mixing, op4_lm_scoring, op5_language_id, op6_toxicity, op7_sharding, op8_ngram_join, op9_line_dedup, op10_packing, op11_lexical_search, op12_token_alignment, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_topk_search, op3_source_mixing, op4_lm_scoring, op5_language_id, op6_toxicity, op7_sharding, op8_ngram_join, op9_line_dedup, op10_packing, op11_lexical_search, op12_token_alignment, op13_near_dedup, pipeline)}
 
 ORACLES = {
     "op2_topk_search": """
