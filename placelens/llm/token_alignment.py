@@ -57,28 +57,31 @@ class Pair:
         vocabulary = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         first = len(model["vocab"]) - len(merged)
-        if len(vocabulary) == len(model["vocab"]) and all(model["vocab"][m] == first + i for i, m in enumerate(merged)):
+        if len(vocabulary) == len(model["vocab"]) and all(bytes([c]) in vocabulary for c in range(256)) and all(model["vocab"][m] == first + i for i, m in enumerate(merged)):
             import tiktoken  # ids are ranks of merges: the same ids, several times faster
 
             own = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=vocabulary, special_tokens=special)
-            self.encode_a = lambda texts: [own.encode_ordinary(t) for t in texts]
+            self.encode_a = lambda texts: [own.encode_to_numpy(t, disallowed_special=()) for t in texts]
+            self.lossless = True  # every byte is in the vocabulary, so the joined bytes are the text's
         else:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(a_path)
             own.encode_special_tokens = True
             self.encode_a = lambda texts: [own.encode(t, add_special_tokens=False).ids for t in texts]
+            self.lossless = False
         self.a_bytes = {i: token for token, i in vocabulary.items()}
         pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.encode_b = lambda texts: pieces.encode(texts, num_threads=1)
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("▁", " ").encode() for i in range(pieces.get_piece_size()) for p in [pieces.id_to_piece(i)]}
         self.a_sizes, self.b_sizes = sizes(self.a_bytes), sizes(self.b_bytes)
+        self.a_size, self.b_size = self.a_sizes.tolist(), self.b_sizes.tolist()
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A ids and B ids of each text; none where the joined bytes are not blank + text."""
         for text, a, b in zip(texts, self.encode_a([" " + t for t in texts]), self.encode_b(texts), strict=True):
             whole = (" " + text).encode("utf-8", "surrogatepass")
-            same = text != "" and b"".join(map(self.b_bytes.__getitem__, b)) == whole and b"".join(map(self.a_bytes.__getitem__, a)) == whole
+            same = text != "" and b"".join(map(self.b_bytes.__getitem__, b)) == whole and (self.lossless or b"".join(map(self.a_bytes.__getitem__, a)) == whole)
             yield (np.array(a, np.int32), np.array(b, np.int32)) if same else (np.zeros(0, np.int32), np.zeros(0, np.int32))
 
 
@@ -94,28 +97,56 @@ def pair_of(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def links(ea: np.ndarray, eb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the A and B tokens of all links, given where tokens end: between two neighbouring ends lies one link."""
-    ends = np.union1d(ea, eb)
-    return np.searchsorted(ea, ends), np.searchsorted(eb, ends)
-
-
-def group_links(key: bytes, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
-    """A ids and B ids of the links of a group."""
-    ids = np.frombuffer(key, np.int32)
-    cut = int(np.flatnonzero(ids == -1)[0])
+def group_links(key: bytes, pair: Pair) -> tuple[list[int], list[int]]:
+    """A ids and B ids of the links of a group: of two tokens that overlap, the one that ends first gives way to the next."""
+    ids = np.frombuffer(key, np.int32).tolist()
+    cut = ids.index(-1)
     a, b = ids[:cut], ids[cut + 1 :]
-    if len(a) == 1 or len(b) == 1:
-        return np.broadcast_to(a, max(len(a), len(b))), np.broadcast_to(b, max(len(a), len(b)))
-    x, y = links(np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b]))
-    return a[x], b[y]
+    i = j = 0
+    left = pair.a_size[a[0]] - pair.b_size[b[0]]  # by how much the A token ends behind the B token
+    x, y = [a[0]], [b[0]]
+    while i + 1 < len(a) or j + 1 < len(b):
+        if left < 0:
+            i += 1
+            left += pair.a_size[a[i]]
+        else:  # never 0 before the group's end
+            j += 1
+            left -= pair.b_size[b[j]]
+        x.append(a[i])
+        y.append(b[j])
+    return x, y
+
+
+def links(keys: list[bytes], pair: Pair) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The groups' numbers (rising), A ids and B ids of all links of groups."""
+    one = np.array([len(k) == 12 for k in keys], bool)
+    single = np.frombuffer(b"".join([k for k in keys if len(k) == 12]), np.int32).reshape(-1, 3)
+    owner, x, y = [], [], []
+    for g in np.flatnonzero(~one).tolist():
+        a, b = group_links(keys[g], pair)
+        owner += [g] * len(a)
+        x += a
+        y += b
+    owner = np.concatenate([np.flatnonzero(one), np.array(owner, np.int64)])
+    order = np.argsort(owner, kind="stable")
+    return owner[order], np.concatenate([single[:, 0], np.array(x, np.int32)])[order], np.concatenate([single[:, 2], np.array(y, np.int32)])[order]
 
 
 class Dictionary:
-    """The distinct groups of a block, and its documents in their numbers."""
+    """The distinct groups of a block, and its documents in their numbers.
+
+    A group has a code: both ids if it is one token on each side, as most are, else a negative number of its own.
+    """
 
     def __init__(self, pair: Pair):
-        self.pair, self.known, self.shown, self.docs, self.bytes = pair, {}, [], [], 0
+        self.pair, self.keys, self.number, self.shown, self.longer, self.docs, self.bytes = pair, [], {}, {}, {}, [], 0
+
+    def meet(self, code: int, key: bytes) -> None:
+        self.number[code] = len(self.keys)
+        self.keys.append(key)
+        ids = np.frombuffer(key, np.int32).tolist()
+        cut = ids.index(-1)
+        self.shown[code] = ",".join(map(str, ids[:cut])) + "|" + ",".join(map(str, ids[cut + 1 :]))
 
     def add(self, doc_id, text: str | None, a: np.ndarray, b: np.ndarray) -> None:
         self.bytes += len(text or "")
@@ -126,25 +157,33 @@ class Dictionary:
         at = np.zeros(ea[-1] + 1, np.int8)
         at[ea] += 1
         at[eb] += 1
-        ends = [4 * (np.flatnonzero(at[e] == 2) + 1) for e in (ea, eb)]
-        starts = [np.concatenate([[0], e[:-1]]) for e in ends]
-        raw_a, raw_b, known, numbers = a.tobytes(), b.tobytes(), self.known, []
-        for s, e, u, v in zip(starts[0].tolist(), ends[0].tolist(), starts[1].tolist(), ends[1].tolist(), strict=True):
-            key = raw_a[s:e] + BETWEEN + raw_b[u:v]
-            g = known.get(key)
-            if g is None:
-                g = known[key] = len(known)
-                self.shown.append(",".join(map(str, a[s // 4 : e // 4].tolist())) + "|" + ",".join(map(str, b[u // 4 : v // 4].tolist())))
-            numbers.append(g)
-        digest = hashlib.sha256(";".join([self.shown[g] for g in numbers]).encode()).hexdigest()
-        self.docs.append((doc_id, len(a), len(b), len(numbers), digest, *np.unique(np.array(numbers, np.int64), return_counts=True)))
+        last = [np.flatnonzero(at[e] == 2) for e in (ea, eb)]
+        first = [np.concatenate([[0], e[:-1] + 1]) for e in last]
+        codes = a[last[0]].astype(np.int64) << 32 | b[last[1]]
+        several = np.flatnonzero((first[0] != last[0]) | (first[1] != last[1]))
+        if len(several):
+            raw_a, raw_b, longer, own = a.tobytes(), b.tobytes(), self.longer, []
+            for s, e, u, v in zip(*((4 * x[several]).tolist() for x in (first[0], last[0] + 1, first[1], last[1] + 1)), strict=True):
+                key = raw_a[s:e] + BETWEEN + raw_b[u:v]
+                code = longer.get(key)
+                if code is None:
+                    code = longer[key] = -1 - len(longer)
+                    self.meet(code, key)
+                own.append(code)
+            codes[several] = own
+        distinct, times = np.unique(codes, return_counts=True)
+        names = distinct.tolist()
+        for code in names:
+            if code not in self.number:
+                self.meet(code, np.array([code >> 32, -1, code & 0xFFFFFFFF], np.int32).tobytes())
+        digest = hashlib.sha256(";".join(map(self.shown.__getitem__, codes.tolist())).encode()).hexdigest()
+        self.docs.append((doc_id, len(a), len(b), len(codes), digest, np.array([self.number[c] for c in names], np.int64), times))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """a, b and the number of documents of each id pair of the block."""
-        found = [group_links(key, self.pair) for key in self.known]
-        ids = [np.concatenate([f[k] for f in found] or [np.zeros(0, np.int32)]).astype(np.int64) for k in (0, 1)]
-        names, number = np.unique(ids[0] << 32 | ids[1], return_inverse=True)
-        size = np.array([len(f[0]) for f in found], np.int64)
+        owner, a, b = links(self.keys, self.pair)
+        names, number = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
+        size = np.bincount(owner, minlength=len(self.keys))
         start = np.cumsum(size) - size
         docs, seen = np.zeros(len(names), np.int64), []
         for d in range(len(self.docs) + 1):  # in parts of documents, so that memory follows the block
@@ -165,8 +204,8 @@ class Dictionary:
             "doc_id": pa.array([d[0] for d in self.docs], pa.int64()), **{c: pa.array([d[1 + k] for d in self.docs], pa.int64()) for k, c in enumerate(("n_a", "n_b", "n_groups"))},
             "groups_sha256": pa.array([d[4] for d in self.docs]), **{c: pa.array([d[5 + k] for d in self.docs], pa.list_(pa.int32())) for k, c in enumerate(("groups", "times"))},
         })
-        if self.known:
-            yield batch(1, block, len(self.known), gid=pa.array(np.arange(len(self.known), dtype=np.int32)), key=pa.array(list(self.known), pa.binary()))
+        if self.keys:
+            yield batch(1, block, len(self.keys), gid=pa.array(np.arange(len(self.keys), dtype=np.int32)), key=pa.array(self.keys, pa.binary()))
             a, b, docs = self.pairs()
             yield batch(2, block, len(a), a=pa.array(a), b=pa.array(b), docs=pa.array(docs))
 
@@ -217,9 +256,8 @@ def group_sums(parts: DataFrame, pairs: DataFrame, a_path: str, b_path: str, mos
         pair = pair_of(a_path, b_path)
         for b in (whole.slice(i, 4096) for whole in batches for i in range(0, whole.num_rows, 4096)):
             keys = b.column("key")
-            found = [group_links(k, pair) for k in keys.to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int32)])) for k in (0, 1))], names=["key", "a", "b"])
+            owner, x, y = links(keys.to_pylist(), pair)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(x), pa.array(y)], names=["key", "a", "b"])
 
     distinct = parts.filter("kind = 1").select("key").distinct()
     held = F.broadcast(pairs) if pairs.count() <= most_pairs else pairs
