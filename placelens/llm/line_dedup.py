@@ -136,10 +136,14 @@ def beside(pairs: DataFrame, sets: DataFrame, words: str) -> DataFrame:
 
 
 def likely(pairs: DataFrame, units: DataFrame, t: float) -> DataFrame:
-    """unit, earlier and the number of shared prefix words of the pairs that share as many as similar sets do, written."""
-    both = F.size(F.array_intersect("w", "v"))
+    """unit, earlier and the number of shared prefix words of the pairs that share as many as similar sets do, written.
+
+    Words of one prefix whose 32 bits are equal are counted once by the intersection, so a pair that lacks as many is kept.
+    """
+    both, need = F.size(F.array_intersect("w", "v")), shared_words(F.col("n"), F.col("m"), t)
     at = beside(materialise(pairs, "line-pairs"), units, "prefix").filter(fits(F.col("n"), F.col("m"), t))
-    return materialise(at.filter(both >= shared_words(F.col("n"), F.col("m"), t)).select("unit", "earlier", both.alias("c")), "line-likely")
+    alike = (both >= need) | (both + F.size("w") - F.size(F.array_distinct("w")) >= need)
+    return materialise(at.filter(alike).select("unit", "earlier", both.alias("c")), "line-likely")
 
 
 def similar(pairs: DataFrame, keyed: DataFrame, t: float) -> DataFrame:
@@ -175,7 +179,8 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
     rarity = rarity_table(docs)
     texts, place = place_of(docs)
     n = F.col("n")
-    # Only equality of prefix words matters from here on: 32 bits of each will do, a chance match fails a later filter.
+    # Only equality of prefix words matters from here on: 32 bits of each will do. A chance match of words of two lines fails a
+    # later filter, one of two words of a line is allowed for where shared words are counted (see ``likely``).
     prefix = F.transform(F.slice("keys", 1, prefix_length(n, RUNS[0], t)), lambda k: F.hash(k))
     lines = keyed_lines(texts.select("row", "id", "text"), rarity).withColumn("line", F.monotonically_increasing_id())
     lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("hash"), prefix.alias("prefix")), "line-sets")

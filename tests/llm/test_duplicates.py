@@ -132,6 +132,16 @@ def test_line_dedup_near_lines(spark, monkeypatch, crowd, sketch):
     assert got == {(rows[k][0], n) for k, n in brute_lines(rows)}
 
 
+@pytest.mark.parametrize(("a", "b"), [("alpha", "beta"), ("w260498", "w397859"), ("w188379", "w217603"), ("w159283", "w198381")])
+def test_line_dedup_words_that_collide(spark, a, b):
+    """Two words of one prefix with the same 32 bits do not lose the pair."""
+    common = "oa ob oc od oe of"
+    lines = [f"ux {a} {b} {common}", common, common, common, f"uy {a} {b} {common}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    got = {(r["doc_id"], n) for r in line_dedup.removed_lines(docs).collect() for n in r["removed"]}
+    assert got == {(2, 0), (3, 0), (4, 0)} == {(k, n) for k, n in brute_lines(list(enumerate(lines)))}
+
+
 def test_line_dedup_edges(odd, odd_rows, empty):
     docs = odd.coalesce(1)
     got = line_dedup.removed_lines(docs).collect()

@@ -3,6 +3,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+import math
+
 import numpy as np
 import pytest
 
@@ -282,3 +284,21 @@ def test_search_large_integers(spark):
     for (q, v), score in got.items():
         assert score == max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[q], whole[v], strict=True))))
     assert len(got) == 8
+
+
+@pytest.mark.parametrize("rows", [
+    [(0, [1e17] * 4), (1, [-1e17] * 4)], [(0, [-(2.0**55)]), (1, [2.0**55])], [(0, [4e16, -3.7e16]), (1, [1.0, 1.0])],
+    [(0, [1e300, -1e300, 1.0]), (1, [1.0, 1.0, 3.5]), (2, [1e300, 1e300, 2.0]), (3, [0.1, 0.2, 1e17])], [(0, [-(2.0**24)] * 2), (1, [2.0**24 + 0.5] * 2), (50, [3.0, 2.0**45])],
+])
+@pytest.mark.parametrize("parts", [1, 4])
+def test_search_integers_of_any_size(spark, rows, parts):
+    """Alone in a batch or beside others, scores are the exact products, cut to 64 bits."""
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)).collect()}
+    whole = {i: [math.floor(256 * x) if abs(x) < 2**60 else 256 * int(x) for x in v] for i, v in rows}
+    assert got == {(q, v): max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[v], strict=True)))) for q in whole if q % 50 == 0 for v in whole if v != q}
+
+
+def test_search_in_several_passes(spark, sf):
+    e = table(spark, sf, "embeddings").limit(400)
+    got = {tuple(r) for r in topk_search.top_k(e, every=7, row_block=64, query_block=4, blocks=3, seeds=50).collect()}
+    assert got == brute_top([(r["vec_id"], r["embedding"]) for r in e.collect()], every=7)
