@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STRIDE, SIZE = 112, 224
-#: Area of use of the working CRS, degrees: west, south, east, north.
+#: Area of use of the working CRS, degrees: west, south, east, north. Fixed values.
 AREA_OF_USE = (-90.0, 23.97, -84.0, 84.0)
 
 
@@ -37,6 +37,18 @@ def cells(span: Column, step) -> Column:
     return F.greatest(F.lit(1), F.ceil(span / step)).cast("int")
 
 
+def morton(x: Column, y: Column) -> Column:
+    """The place of a cell on a space-filling curve: the bits of two whole numbers below 2^31 in turn, x in the lower place."""
+
+    def spread(v: Column) -> Column:
+        v = v.cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
+
 def half_even(x: Column) -> Column:
     return F.rint(x).cast("int")
 

@@ -15,10 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, vectors
-
-ATTRIBUTES = ["cx", "cy", "xmin", "ymin", "xmax", "ymax"]
-#: Query vectors of a batch go to every task: beyond this size the batch is joined in parts instead.
-BATCH_BYTES = 8 << 20
+from . import nearest
+from .nearest import ATTRIBUTES
 
 
 @dataclass(frozen=True)
@@ -114,24 +112,28 @@ def search(store: DataFrame, query, request: Request | None = None, engine: str
 
 
 def search_batch(store: DataFrame, queries: DataFrame, request: Request | None = None, key: str = "concept") -> DataFrame:
-    """``search`` for each row of ``queries`` (key, q) in one job.
+    """``search`` for each row of ``queries`` (key, q); keys are distinct.
 
-    Vectors are shuffled once, by place, so that scores are pooled and cut to the best ``top_k`` of each query where they are
-    made; only those are shuffled. Each vector meets all queries of a part at once (parts of at most ``BATCH_BYTES``, so what is
-    broadcast is bounded).
+    Vectors stay where they are: each batch of rows meets all queries of a part (at most ``nearest.BATCH_BYTES``) in one
+    matrix product, and a task keeps the best ``top_k`` places of each query, so only those are shuffled. Whether a place is inside
+    the area in any cycle is looked up for hits alone, in a scan without vectors.
     """
     request = (request or Request()).checked()
-    rows = filtered(store, request).select("chip_location_id", "source_cycle", "inside_aoi", *ATTRIBUTES, "embedding").repartition("chip_location_id")
-    sizes = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
-    parts = max(1, -(-sizes["n"] * 8 * (sizes["d"] or 1) // BATCH_BYTES))
-    found = []
-    for p in range(parts):
-        part = queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p) if parts > 1 else queries
-        met = rows.crossJoin(F.broadcast(part)).withColumn("score", vectors.cosine(F.col("embedding"), F.col("q"))).drop("embedding", "q")
-        found.append(pooled(met.filter(F.col("score").isNotNull() & ~F.isnan("score")), [key, "chip_location_id"]))
-    hits = reduce(DataFrame.unionByName, found)
+    rows = filtered(store, request)
+    return ranked_places(rows, [(keys, nearest.hits_of_tasks(rows, q, request.top_k)) for keys, q in nearest.parts_of(queries, key)], key, dict(queries.dtypes)[key], request.top_k)
+
+
+def ranked_places(rows: DataFrame, parts: list[tuple[list, DataFrame]], key: str, kind: str, k: int) -> DataFrame:
+    """The best ``k`` places of each query, from what tasks kept of each part of the queries; ``rows`` tell which are inside."""
+    spark = rows.sparkSession
+    hits = reduce(DataFrame.unionByName, [nearest.named(spark, h, keys, key, kind) for keys, h in parts], nearest.named(spark, spark.createDataFrame([], nearest.HITS), [], key, kind))
+    first = F.min_by(F.struct("source_cycle", *ATTRIBUTES), F.struct((-F.col("score")).alias("s"), F.col("source_cycle").alias("c")))
+    best = hits.groupBy(key, "chip_location_id").agg(F.max("score").alias("score"), first.alias("w"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "chip_location_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= request.top_k)
+    best = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    inside = rows.select("chip_location_id", "inside_aoi").join(best.select("chip_location_id").distinct(), "chip_location_id", "left_semi").groupBy("chip_location_id").agg(F.bool_or("inside_aoi").alias("inside_aoi"))
+    out = best.join(inside, "chip_location_id", "left")
+    return out.select(key, "chip_location_id", "score", F.col("w.source_cycle").alias("winning_cycle"), *[F.col(f"w.{a}").alias(a) for a in ATTRIBUTES], "inside_aoi", "rank")
 
 
 def check_ensemble(query_models: set[str], store_models: set[str], primary: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import carriers as C
 from .functions import geo, stats, text, vectors
-from .operators import catalog, evaluation, grid, pixels, search, store
+from .operators import catalog, evaluation, grid, index, layout, pixels, search, store
 from .plans import api, encoders
 from .session import scratch
 
@@ -107,6 +107,47 @@ def search_all_filters(spark, d):
     return run_search(spark, d, inside_aoi_only=True, bbox=BOX, near=NEAR)
 
 
+def fresh(spark, name: str) -> str:
+    """A new folder for a table that a query writes."""
+    return f"{scratch(spark)}/placelens-{name}-{uuid.uuid4().hex}"
+
+
+@query(search_sql())  # TOP-01: all cells of the index give the exact result
+def search_index(spark, d):
+    made = index.build(spark, C.chips(spark, d), fresh(spark, "index"), cells=16)
+    return shown(index.search_index(made, label_vector(spark, d), search.Request(model_id="m", bands="rgb")))
+
+
+@query()  # TOP-01: recall of as many cells as a sample of the table's own vectors needs, against all rows, for every label
+def search_index_recall(spark, d):
+    made = index.build(spark, C.chips(spark, d), fresh(spark, "index"), cells=16)
+    asked = label_queries(spark, d).withColumnRenamed("label", "concept")
+    request = search.Request(top_k=10, model_id="m", bands="rgb")
+    found = index.search_index_batch(made, asked, request, probes=index.probes_for(made, request=request))
+    return index.recall(found, search.search_batch(C.chips(spark, d), asked, request))
+
+
+@query(search_sql(f"{BOX_SQL}"))  # SNK-01, FLT-02: boxes prune the folders of tiles
+def search_tiled_bbox(spark, d):
+    folder, tiles = fresh(spark, "tiles"), layout.Tiles(side=448.0)
+    layout.write_tiled(C.chips(spark, d), folder, tiles)
+    return shown(layout.search_tiled(spark, folder, label_vector(spark, d), search.Request(model_id="m", bands="rgb", bbox=BOX), tiles))
+
+
+@query(search_sql(NEAR_SQL))  # SNK-01, FLT-03
+def search_tiled_near(spark, d):
+    folder, tiles = fresh(spark, "tiles"), layout.Tiles(side=448.0)
+    layout.write_tiled(C.chips(spark, d), folder, tiles)
+    return shown(layout.search_tiled(spark, folder, label_vector(spark, d), search.Request(model_id="m", bands="rgb", near=NEAR), tiles))
+
+
+@query(search_sql())  # SNK-01, OPT-08: rows bucketed by place are pooled where they are
+def search_bucketed(spark, d):
+    name = f"placelens_{uuid.uuid4().hex}"
+    rows = layout.save_bucketed(C.chips(spark, d), name, fresh(spark, "buckets"), 8)
+    return shown(search.search(rows, label_vector(spark, d), search.Request(model_id="m", bands="rgb")))
+
+
 @query(f"""WITH {C.CHIPS}, {LABELS},
     s AS (SELECT loc_idx, source_cycle, list_dot_product(embedding::DOUBLE[], q) AS score FROM chips, (SELECT q FROM asked WHERE qlabel = 7)),
     b AS (SELECT *, row_number() OVER (PARTITION BY loc_idx ORDER BY score DESC, source_cycle) AS p FROM s)
