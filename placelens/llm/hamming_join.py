@@ -127,7 +127,10 @@ def close(part: np.ndarray, label: np.ndarray, sig: np.ndarray, distance: int) -
 
 
 def meetings(rows: DataFrame, symbols: int, distance: int, tasks: int) -> DataFrame:
-    """i, j, part, unit: units of pairs within the distance, with the two parts of the pair; rows: key, p, q, part, label, unit, signature."""
+    """i, j, part, unit: units of pairs within the distance, with the two parts of the pair; rows: key, p, q, part, label, unit, signature.
+
+    Buckets give lists of units, which are united before they become rows: a part has few units, each in ``symbols`` buckets at most.
+    """
 
     def met(group: pa.Table):
         part, label, unit = (group.column(c).to_numpy() for c in ("part", "label", "unit"))
@@ -148,9 +151,14 @@ def meetings(rows: DataFrame, symbols: int, distance: int, tasks: int) -> DataFr
 
     def several(found):
         rows = np.unique(np.concatenate(found), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(4)], names=["i", "j", "part", "unit"])
+        if len(rows):
+            first = np.concatenate([[0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1])
+            units = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)), pa.int32()), pa.array(rows[:, 3]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[first, c]) for c in range(3)), units], names=["i", "j", "part", "units"])
 
-    return rows.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "i long, j long, part long, unit long")
+    found = rows.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "i long, j long, part long, units array<long>")
+    united = found.groupBy("i", "j", "part").agg(F.array_distinct(F.flatten(F.collect_list("units"))).alias("units"))
+    return united.select("i", "j", "part", F.explode("units").alias("unit"))
 
 
 def groups(docs: DataFrame, threshold: float, width: int, recall: float, symbols: int, bits: int, block: int, weight: int, bucket: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +202,7 @@ def groups(docs: DataFrame, threshold: float, width: int, recall: float, symbols
     own = F.pmod(F.xxhash64("unit", F.lit(1)), dealt)
     rows = here.join(sent_if_small(mixed), "key").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), dealt - 1))})
     rows = rows.join(units.select("unit", "signature"), "unit").select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "part", "label", "unit", "signature")
-    met = materialise(meetings(rows, symbols, distance, tasks).distinct(), "hamming-met")
+    met = materialise(meetings(rows, symbols, distance, tasks), "hamming-met")
     links = materialise(near.union(verified(met, "hamming-far")), "hamming-links")
     label = components(links, "hamming-last").withColumnRenamed("node", "unit")
     return seen, units.join(label, "unit", "left").select("unit", "set_key", "least", F.coalesce("label", "unit").alias("label"))
