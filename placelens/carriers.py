@@ -109,3 +109,35 @@ def half_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 HALVES = "halves AS (SELECT 'a' AS model_id, * FROM chips UNION ALL SELECT 'b' AS model_id, * REPLACE (list_reverse(embedding) AS embedding) FROM chips)"
+
+
+#: Vertices of an area about its middle, as multiples of its half side: an arrow head, which is not convex, and a hole in it.
+OUTER = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (0.0, 0.25), (-1.0, 1.0)]
+HOLE = [(-0.5, -0.75), (0.25, -0.75), (0.25, -0.25), (-0.5, -0.25)]
+
+
+def rings(spark: SparkSession, folder: str) -> DataFrame:
+    """area_id, ring, points: an area of two rings for each supplier (one of three has no hole)."""
+    k = F.col("s_suppkey")
+    middle = table(spark, folder, "supplier").select(k.alias("area_id"), (OW + k * 37 % 2300 + 0.25).cast("double").alias("x"), (OS + k * 91 % 700 + 0.75).cast("double").alias("y"), (60 + k % 7 * 40).cast("double").alias("s"))
+    ring = lambda points: F.array(*[F.struct((F.col("x") + F.col("s") * a).alias("x"), (F.col("y") + F.col("s") * b).alias("y")) for a, b in points])
+    outer = middle.select("area_id", F.lit(0).alias("ring"), ring(OUTER).alias("points"))
+    return outer.unionByName(middle.filter("area_id % 3 != 0").select("area_id", F.lit(1).alias("ring"), ring(HOLE).alias("points")))
+
+
+def _vertices(points) -> str:
+    return "[" + ", ".join(f"{{'x': x + s * {a}::DOUBLE, 'y': y + s * {b}::DOUBLE}}" for a, b in points) + "]"
+
+
+RINGS = f"""middles AS (SELECT s_suppkey AS area_id, 333424 + s_suppkey * 37 % 2300 + 0.25::DOUBLE AS x, 5139120 + s_suppkey * 91 % 700 + 0.75::DOUBLE AS y, (60 + s_suppkey % 7 * 40)::DOUBLE AS s FROM supplier),
+    rings AS (SELECT area_id, 0 AS ring, {_vertices(OUTER)} AS p FROM middles UNION ALL SELECT area_id, 1 AS ring, {_vertices(HOLE)} AS p FROM middles WHERE area_id % 3 <> 0),
+    ring_edges AS (SELECT area_id, ring, i, p[i].x AS x1, p[i].y AS y1, p[i % len(p) + 1].x AS x2, p[i % len(p) + 1].y AS y2 FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM rings))"""
+
+
+def visits(spark: SparkSession, folder: str) -> DataFrame:
+    """Points in metres over the areas, one a customer."""
+    k = F.col("c_custkey")
+    return table(spark, folder, "customer").select(k.alias("id"), (OW + k * 53 % 2400).cast("double").alias("x"), (OS + k * 29 % 800 + 0.5).cast("double").alias("y"))
+
+
+VISITS = "visits AS (SELECT c_custkey AS id, (333424 + c_custkey * 53 % 2400)::DOUBLE AS x, 5139120 + c_custkey * 29 % 800 + 0.5::DOUBLE AS y FROM customer)"

@@ -131,6 +131,44 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
     return 2 * radius * F.asin(F.sqrt(a))
 
 
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = 30) -> Column:
+    """Metres along the ellipsoid (GRS80) between points in degrees, by Vincenty's inverse iteration; null if it has not settled.
+
+    It does not settle between nearly antipodal points. Equal points are 0 apart.
+    """
+    f = 1 / INV_F
+    b = A * (1 - f)
+    u1, u2 = (F.atan((1 - f) * F.tan(F.radians(lat))) for lat in (lat1, lat2))
+    s1, c1, s2, c2, span = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2), F.radians(lon2 - lon1)
+
+    def parts(lam: Column) -> tuple[Column, ...]:
+        sin = F.sqrt(F.pow(c2 * F.sin(lam), 2) + F.pow(c1 * s2 - s1 * c2 * F.cos(lam), 2))
+        cos = s1 * s2 + c1 * c2 * F.cos(lam)
+        alpha = F.when(sin == 0, 0.0).otherwise(c1 * c2 * F.sin(lam) / sin)  # the sine of the azimuth at the equator
+        square = 1 - alpha * alpha
+        middle = F.when(square == 0, 0.0).otherwise(cos - 2 * s1 * s2 / square)
+        return sin, cos, F.atan2(sin, cos), alpha, square, middle
+
+    def step(state: Column) -> Column:
+        sin, cos, sigma, alpha, square, middle = parts(state["lam"])
+        c = f / 16 * square * (4 + f * (4 - 3 * square))
+        lam = span + (1 - c) * f * alpha * (sigma + c * sin * (middle + c * cos * (2 * middle * middle - 1)))
+        return F.struct(lam.alias("lam"), F.abs(lam - state["lam"]).alias("moved"))
+
+    # aggregate() keeps each step's value, where nested expressions would repeat it.
+    start = F.struct(span.alias("lam"), F.lit(1.0).alias("moved"))
+
+    def length(end: Column) -> Column:
+        sin, cos, sigma, _, square, middle = parts(end["lam"])
+        u = square * (A * A - b * b) / (b * b)
+        big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        change = small * sin * (middle + small / 4 * (cos * (2 * middle * middle - 1) - small / 6 * middle * (4 * sin * sin - 3) * (4 * middle * middle - 3)))
+        return F.when(end["moved"] < 1e-12, b * big * (sigma - change))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda state, _: F.when(state["moved"] < 1e-13, state).otherwise(step(state)), length)
+
+
 # UTM zone 16 north on GRS80. Fixed values of the projection.
 A, INV_F, K0, LON0, EAST0 = 6378137.0, 298.257222101, 0.9996, -87.0, 500000.0
 _f = 1 / INV_F

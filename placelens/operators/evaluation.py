@@ -75,21 +75,29 @@ def random_baseline(sizes: DataFrame, n: int, ks: tuple[int, ...] = KS) -> DataF
     return rows.select("concept", "n_gt", "k", stats.random_hit(total, g, F.col("k")).alias("hit"), stats.random_recall(total, g, F.col("k")).alias("recall"), stats.random_mrr(total, g).alias("mrr"))
 
 
-def random_sampled(spark: SparkSession, n: int, g: int, k: int, trials: int, seed: int = 0) -> DataFrame:
-    """hit and recall at k, and mrr, as means over seeded random rankings: each trial draws the ranks of g places."""
+def random_sampled(sizes: DataFrame, n: int, k: int, trials: int, seed: int = 0) -> DataFrame:
+    """concept, hit and recall at k, and mrr, as means over seeded random rankings of n places; sizes: concept, n_gt (at most n).
+
+    A trial draws the ranks of the n_gt places alone, without the other places; trials are rows, so tasks share those of a concept.
+    """
 
     def draw(batches):
+        import zlib
+
         import numpy as np
         import pandas as pd
 
         for pdf in batches:
             rows = []
-            for t in pdf["id"]:
-                ranks = np.random.default_rng([seed, t]).permutation(n)[:g] + 1
-                rows.append((float((ranks <= k).any()), float((ranks <= k).sum()) / max(g, 1), 1.0 / ranks.min() if g else 0.0))
-            yield pd.DataFrame(rows, columns=["hit", "recall", "mrr"])
-
-    return spark.range(trials).mapInPandas(draw, "hit double, recall double, mrr double").agg(F.avg("hit").alias("hit"), F.avg("recall").alias("recall"), F.avg("mrr").alias("mrr"))
+            for concept, g, t in zip(pdf["concept"], pdf["n_gt"], pdf["trial"], strict=True):
+                ranks = np.random.default_rng([seed, zlib.crc32(str(concept).encode()), t]).choice(n, int(g), replace=False, shuffle=False) + 1
+                found = int((ranks <= k).sum())
+                rows.append((concept, float(found > 0), found / max(g, 1), 1.0 / ranks.min() if g else 0.0))
+            yield pd.DataFrame(rows, columns=["concept", "hit", "recall", "mrr"])
+
+    runs = sizes.select(F.col("concept").cast("string").alias("concept"), F.col("n_gt").cast("long").alias("n_gt"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    means = [F.avg(c).alias(c) for c in ("hit", "recall", "mrr")]
+    return runs.mapInPandas(draw, "concept string, hit double, recall double, mrr double").groupBy("concept").agg(*means)
 
 
 def is_floor(config: Column) -> Column:

@@ -23,7 +23,18 @@ def build(spark: SparkSession, bounds: tuple[float, float, float, float], size:
     return boxed(grid, o["ow"], o["os"], size, stride).withColumn("chip_location_id", text.location_id(F.col("row"), F.col("col")))
 
 
-def boxed(grid: DataFrame, ow: float, os: float, size: float = geo.SIZE, stride: float = geo.STRIDE) -> DataFrame:
+def build_all(bounds: DataFrame, key: str, size: int = geo.SIZE, stride: int = geo.STRIDE) -> DataFrame:
+    """``build`` for every row of ``bounds`` (key, west, south, east, north): rows of a grid are listed first, cells where they are."""
+    ow, os = geo.snap_down(F.col("west"), stride), geo.snap_down(F.col("south"), stride)
+    dims = bounds.select(key, ow.alias("ow"), os.alias("os"), geo.cells(F.col("north") - os, stride).alias("n_rows"), geo.cells(F.col("east") - ow, stride).alias("n_cols"))
+    rows = dims.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
+    cells = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
+    cells = cells.withColumn("loc_idx", F.col("row").cast("long") * F.col("n_cols") + F.col("col")).withColumn("chip_location_id", text.location_id(F.col("row"), F.col("col")))
+    return boxed(cells, F.col("ow"), F.col("os"), size, stride).drop("ow", "os", "n_rows", "n_cols")
+
+
+def boxed(grid: DataFrame, ow, os, size: float = geo.SIZE, stride: float = geo.STRIDE) -> DataFrame:
+    """Box and centre of each row and col of a grid with its origin at ``ow``, ``os`` (numbers or Columns)."""
     xmin, ymin = (F.lit(ow) + F.col("col") * stride).cast("double"), (F.lit(os) + F.col("row") * stride).cast("double")
     return grid.withColumns({"xmin": xmin, "ymin": ymin, "xmax": xmin + size, "ymax": ymin + size, "cx": xmin + size / 2, "cy": ymin + size / 2})
 

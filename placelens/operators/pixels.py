@@ -2,9 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
+
+#: Value ranges that a round of ``percentiles`` counts for each key and rank.
+BINS = 1024
+#: Keys up to this number are sent to all tasks; more are joined by a shuffle.
+SENT_KEYS = 100_000
+
+
+def _sent(few: DataFrame) -> DataFrame:
+    return F.broadcast(few) if few.count() <= SENT_KEYS else few
+
+
+def percentiles(values: DataFrame, keys: list[str], shares: list[float], value: str = "value") -> DataFrame:
+    """keys and ``p``: exact percentiles, interpolated between the two neighbours in order; null, NaN and infinite values take no part.
+
+    Each wanted rank is a range of values that holds it. A round counts the values of each range in ``BINS`` parts and keeps the part
+    with the rank, from its least to its largest value; it ends when the two are equal. So no task holds more than the counts,
+    however many distinct values there are; rounds follow from how far values spread, two or three for pixels.
+    """
+    v = F.col(value).cast("double")
+    held = values.select(*keys, v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+    facts = held.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    wanted = F.array(*[F.struct(F.lit(i).alias("share"), F.lit(j).alias("side"), edge(at(p)).cast("long").alias("rank")) for i, p in enumerate(shares) for j, edge in enumerate((F.floor, F.ceil))])
+    # rank counts from 0 within the range lo..hi
+    todo = _written(facts.select(*keys, "lo", "hi", F.explode(wanted).alias("w")).select(*keys, "w.share", "w.side", "w.rank", "lo", "hi"))
+    done = todo.filter("lo = hi").select(*keys, "share", "side", F.col("lo").alias("x"))
+    todo = todo.filter("lo < hi")
+    while not todo.isEmpty():
+        ranges = todo.select(*keys, "lo", "hi").distinct()  # floor and ceiling of a share mostly lie in one range
+        part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS), F.lit(BINS - 1)).cast("int")
+        counts = held.join(_sent(ranges), keys).filter("v BETWEEN lo AND hi").groupBy(*keys, "lo", "hi", part.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # BINS rows a range
+        met = todo.join(counts.withColumn("before", before), [*keys, "lo", "hi"]).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
+        now = _written(met.select(*keys, "share", "side", (F.col("rank") - F.col("before")).alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi")))
+        done = done.unionByName(now.filter("lo = hi").select(*keys, "share", "side", F.col("lo").alias("x")))
+        todo = now.filter("lo < hi")
+    near = done.groupBy(*keys, "share").agg(F.max(F.when(F.col("side") == 0, F.col("x"))).alias("x0"), F.max(F.when(F.col("side") == 1, F.col("x"))).alias("x1"))
+    share = F.element_at(F.array(*[F.lit(float(p)) for p in shares]), F.col("share") + 1) * (F.col("n") - 1)
+    mixed = near.join(facts.select(*keys, "n"), keys).withColumn("p", F.col("x0") + (share - F.floor(share)) * (F.col("x1") - F.col("x0")))
+    return mixed.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("share", "p"))), lambda s: s["p"]).alias("p"))
+
+
+def _written(few: DataFrame) -> DataFrame:
+    """Ranges of one round, in the shared folder: a row for each key, share and side."""
+    path = f"{scratch(few.sparkSession)}/placelens-ranges-{uuid.uuid4().hex}"
+    few.write.parquet(path)
+    return few.sparkSession.read.schema(few.schema).parquet(path)
+
 
 def stretch(pixels: DataFrame, keys: list[str], value: str = "value", skip_zeros: bool = False) -> DataFrame:
     """``stretched``: each band's 2nd to 98th percentile mapped to 0..255 and cut to whole numbers.
@@ -12,12 +64,12 @@ def stretch(pixels: DataFrame, keys: list[str], value: str = "value", skip_zeros
     A band without spread keeps its values, or becomes 0 with ``skip_zeros`` (which also leaves zeros out of the percentiles).
     """
     v = F.col(value).cast("double")
-    held = F.when(v > 0, v) if skip_zeros else v
-    cut = pixels.groupBy(*keys).agg(F.percentile(held, F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
-    limits = cut.select(*keys, F.coalesce(F.col("p")[0], F.lit(0.0)).alias("lo"), F.coalesce(F.col("p")[1], F.lit(1.0)).alias("hi"))
+    cut = percentiles(pixels.filter(v > 0) if skip_zeros else pixels, keys, [0.02, 0.98], value)
+    limits = cut.select(*keys, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     scaled = F.floor(F.least(F.greatest((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255, F.lit(0.0)), F.lit(255.0)))
     flat = F.lit(0) if skip_zeros else F.floor(v)
-    return pixels.join(F.broadcast(limits), keys).withColumn("stretched", F.when(F.col("hi") <= F.col("lo"), flat).otherwise(scaled).cast("int")).drop("lo", "hi")
+    met = pixels.join(_sent(limits), keys, "left").withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(1.0))})
+    return met.withColumn("stretched", F.when(F.col("hi") <= F.col("lo"), flat).otherwise(scaled).cast("int")).drop("lo", "hi")
 
 
 def block_average(pixels: DataFrame, factor: int, keys: list[str], value: str = "value") -> DataFrame:

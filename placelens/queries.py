@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import carriers as C
 from .functions import geo, stats, text, vectors
-from .operators import catalog, evaluation, grid, index, layout, pixels, search, store
+from .operators import areas, catalog, evaluation, grid, index, layout, pixels, search, store
 from .plans import api, encoders
 from .session import scratch
 
@@ -238,17 +238,28 @@ INSIDE = """inside AS (SELECT "row", col, bool_and((x2 - x1) * (y - y1) - (y2 -
     SELECT "row", col, unnest([xmin, xmin, xmin + 224, xmin + 224]) AS x, unnest([ymin, ymin + 224, ymin, ymin + 224]) AS y FROM grid), edges GROUP BY ALL)"""
 
 
-@query(f"WITH {GRID} SELECT printf('r%03d_c%03d', \"row\", col) AS chip_location_id, CAST(\"row\" * 47 + col AS BIGINT) AS loc_idx, \"row\", col, xmin, ymin, xmin + 224 AS xmax, ymin + 224 AS ymax, xmin + 112 AS cx, ymin + 112 AS cy FROM grid")  # PRJ-12/13/17, JN-07
+BOUNDED = """b AS (SELECT s_suppkey AS id, s_suppkey * 13.5::DOUBLE AS west, s_suppkey * 7.25::DOUBLE AS south, s_suppkey * 13.5::DOUBLE + s_suppkey % 900 AS east, s_suppkey * 7.25::DOUBLE + s_suppkey % 700 AS north FROM supplier)"""
+
+
+def bounded(spark, d) -> DataFrame:
+    k = F.col("s_suppkey")
+    return C.table(spark, d, "supplier").select(k.alias("id"), (k * F.lit(13.5)).alias("west"), (k * F.lit(7.25)).alias("south"), (k * F.lit(13.5) + k % 900).alias("east"), (k * F.lit(7.25) + k % 700).alias("north"))
+
+
+@query(f"""WITH {BOUNDED}, o AS (SELECT id, floor(west / 112) * 112 AS ow, floor(south / 112) * 112 AS os, east, north FROM b),
+    n AS (SELECT *, CAST(greatest(1, ceil((north - os) / 112)) AS INTEGER) AS n_rows, CAST(greatest(1, ceil((east - ow) / 112)) AS INTEGER) AS n_cols FROM o),
+    r AS (SELECT *, unnest(range(n_rows))::INTEGER AS "row" FROM n), c AS (SELECT *, unnest(range(n_cols))::INTEGER AS col FROM r)
+    SELECT id, printf('r%03d_c%03d', "row", col) AS chip_location_id, CAST("row" AS BIGINT) * n_cols + col AS loc_idx, "row", col, ow + 112 * col AS xmin, os + 112 * "row" AS ymin,
+        ow + 112 * col + 224 AS xmax, os + 112 * "row" + 224 AS ymax, ow + 112 * col + 112 AS cx, os + 112 * "row" + 112 AS cy FROM c""")  # PRJ-12/13/17, JN-07: a grid for every row of bounds
 def grid_build(spark, d):
-    return grid.build(spark, C.BOUNDS).select("chip_location_id", "loc_idx", "row", "col", "xmin", "ymin", "xmax", "ymax", "cx", "cy")
+    return grid.build_all(bounded(spark, d), "id").select("id", "chip_location_id", "loc_idx", "row", "col", "xmin", "ymin", "xmax", "ymax", "cx", "cy")
 
 
 @query("""WITH b AS (SELECT s_suppkey AS id, s_suppkey * 13.5::DOUBLE AS west, s_suppkey * 7.25::DOUBLE AS south, s_suppkey * 13.5::DOUBLE + s_suppkey % 900 AS east, s_suppkey * 7.25::DOUBLE + s_suppkey % 700 AS north FROM supplier)
     SELECT id, CAST(floor(west / 112) * 112 AS BIGINT) AS ow, CAST(floor(south / 112) * 112 AS BIGINT) AS os, CAST(greatest(1, ceil((north - floor(south / 112) * 112) / 112)) AS INTEGER) AS n_rows,
     CAST(greatest(1, ceil((east - floor(west / 112) * 112) / 112)) AS INTEGER) AS n_cols FROM b""")  # PRJ-10/11
 def grid_origin_dims(spark, d):
-    k = F.col("s_suppkey")
-    b = C.table(spark, d, "supplier").select(k.alias("id"), (k * F.lit(13.5)).alias("west"), (k * F.lit(7.25)).alias("south"), (k * F.lit(13.5) + k % 900).alias("east"), (k * F.lit(7.25) + k % 700).alias("north"))
+    b = bounded(spark, d)
     ow, os = geo.snap_down(F.col("west"), 112), geo.snap_down(F.col("south"), 112)
     return b.select("id", ow.alias("ow"), os.alias("os"), geo.cells(F.col("north") - os, 112).alias("n_rows"), geo.cells(F.col("east") - ow, 112).alias("n_cols"))
 
@@ -271,26 +282,29 @@ def wkt_footprints(spark, d):
     return C.chips(spark, d).select("vec_id", text.wkt_point(n["cx"], n["cy"]).alias("center"), text.wkt_box(n["xmin"], n["ymin"], n["xmax"], n["ymax"]).alias("footprint"))
 
 
-@query(f"WITH {EDGES} SELECT round(abs(sum(x1 * y2 - x2 * y1)) / 2, 2) AS area FROM edges")  # PRJ-25
+@query(f"""WITH {C.RINGS}, a AS (SELECT area_id, ring, abs(sum(x1 * y2 - x2 * y1)) / 2 AS a FROM ring_edges GROUP BY area_id, ring)
+    SELECT area_id, round(sum(CASE ring WHEN 0 THEN a ELSE -a END), 2) AS area FROM a GROUP BY area_id""")  # PRJ-25
 def polygon_area(spark, d):
-    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in C.AOI])
-    next_ = F.concat(F.slice(ring, 2, len(C.AOI) - 1), F.slice(ring, 1, 1))
-    cross = F.zip_with(ring, next_, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return spark.range(1).select(r(F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2, 2).alias("area"))
+    return areas.size_of(C.rings(spark, d)).select("area_id", r("area", 2).alias("area"))
 
 
-@query(f"WITH {EDGES} SELECT x1, y1, x2, y2 FROM edges")  # WIN-05
+@query(f"WITH {C.RINGS} SELECT area_id, ring, x1, y1, x2, y2 FROM ring_edges")  # WIN-05
 def polygon_edges(spark, d):
-    from pyspark.sql import Window
+    points = C.rings(spark, d).select("area_id", "ring", F.posexplode("points").alias("i", "p"))
+    return areas.edges_by_window(points.select("area_id", "ring", "i", "p.x", "p.y"))
 
-    points = spark.createDataFrame([(i, *p) for i, p in enumerate(C.AOI)], "i int, x1 double, y1 double")
-    w, first = Window.orderBy("i"), Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the vertices of one ring
-    return points.select("x1", "y1", *[F.coalesce(F.lead(c).over(w), F.first(c).over(first)).alias(o) for c, o in (("x1", "x2"), ("y1", "y2"))])
 
+@query(f"""WITH {C.RINGS}, {C.VISITS}, met AS (SELECT id, area_id, count(*) FILTER ((y1 <= y) <> (y2 <= y) AND x < x1 + (y - y1) * ((x2 - x1) / nullif(y2 - y1, 0))) % 2 = 1 AS odd,
+        bool_or((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) = 0 AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) AS edge FROM visits, ring_edges GROUP BY id, area_id)
+    SELECT id, area_id FROM met WHERE odd OR edge""")  # PRJ-26, JN-13: points in many areas with holes, by a cover of cells
+def points_in_areas(spark, d):
+    return areas.points_in_areas(C.visits(spark, d), C.rings(spark, d), "id", side=50.0)
 
-@query(f'WITH {GRID}, {EDGES}, {INSIDE} SELECT "row", col, inside_aoi FROM inside')  # PRJ-26, JN-13, trap T1
+
+@query(f"""WITH {C.CHIPS}, {C.PLACES}, {EDGES}, c AS (SELECT loc_idx, unnest([xmin, xmin, xmax, xmax]) AS x, unnest([ymin, ymax, ymin, ymax]) AS y FROM places)
+    SELECT loc_idx, bool_and((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) >= 0) AS inside_aoi FROM c, edges GROUP BY loc_idx""")  # PRJ-26, trap T1
 def inside_aoi_flags(spark, d):
-    return grid.build(spark, C.BOUNDS).select("row", "col", geo.polygon_holds_box(C.AOI, F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")).alias("inside_aoi"))
+    return C.places(spark, d).select("loc_idx", geo.polygon_holds_box(C.AOI, F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")).alias("inside_aoi"))
 
 
 def _forward_sql(source: str, extra: str = "") -> str:
@@ -424,6 +438,42 @@ def planar_vs_geodesic(spark, d):
     return a.join(b, "id").select("id", r(planar, 3).alias("planar"), r(geo.haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 3).alias("sphere"))
 
 
+DEGREE_RINGS = C.RINGS + ", dr AS (SELECT area_id, ring, i, -89.2::DOUBLE + (x1 - 333424) * 0.00001::DOUBLE AS lon, 46.38::DOUBLE + (y1 - 5139120) * 0.00001::DOUBLE AS lat FROM ring_edges)"
+
+
+@query(f"WITH {DEGREE_RINGS}, {_forward_sql('dr')} SELECT area_id, ring, CAST(i - 1 AS INTEGER) AS i, round(x, 3) AS x, round(y, 3) AS y FROM utm")  # PRJ-21: polygons with their holes
+def project_rings(spark, d):
+    degrees = F.transform("points", lambda p: F.struct((F.lit(-89.2) + (p["x"] - 333424) * F.lit(0.00001)).alias("x"), (F.lit(46.38) + (p["y"] - 5139120) * F.lit(0.00001)).alias("y")))
+    moved = C.rings(spark, d).withColumn("points", degrees).select("area_id", "ring", F.posexplode(areas.rings_to_utm(F.col("points"))).alias("i", "p"))
+    return moved.select("area_id", "ring", "i", r("p.x", 3).alias("x"), r("p.y", 3).alias("y"))
+
+
+def _geodesic_sql(steps: int = 12) -> str:
+    """Vincenty's iteration, one table a step."""
+    f = f"{1 / geo.INV_F!r}::DOUBLE"
+    terms = """sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS sn, s1 * s2 + c1 * c2 * cos(lam) AS cs"""
+    more = """CASE WHEN sn = 0 THEN 0 ELSE c1 * c2 * sin(lam) / sn END AS al, atan2(sn, cs) AS sg"""
+    last = """1 - al * al AS sq, CASE WHEN 1 - al * al = 0 THEN 0 ELSE cs - 2 * s1 * s2 / (1 - al * al) END AS md"""
+    parts = lambda t: f"(SELECT *, {last} FROM (SELECT *, {more} FROM (SELECT *, {terms} FROM {t})))"
+    out = [f"""g0 AS (SELECT id, radians(lon2 - lon) AS span, radians(lon2 - lon) AS lam, sin(atan((1 - {f}) * tan(radians(lat)))) AS s1, cos(atan((1 - {f}) * tan(radians(lat)))) AS c1,
+        sin(atan((1 - {f}) * tan(radians(lat2)))) AS s2, cos(atan((1 - {f}) * tan(radians(lat2)))) AS c2 FROM pairs)"""]
+    for i in range(steps):
+        out.append(f"""g{i + 1} AS (SELECT id, span, s1, c1, s2, c2, span + (1 - c) * {f} * al * (sg + c * sn * (md + c * cs * (2 * md * md - 1))) AS lam
+            FROM (SELECT *, {f} / 16 * sq * (4 + {f} * (4 - 3 * sq)) AS c FROM {parts(f'g{i}')}))""")
+    b = f"({geo.A!r}::DOUBLE * (1 - {f}))"
+    out.append(f"""ends AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS ba, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS bb
+        FROM (SELECT *, sq * ({geo.A!r}::DOUBLE * {geo.A!r}::DOUBLE - {b} * {b}) / ({b} * {b}) AS u FROM {parts(f'g{steps}')}))""")
+    out.append(f"""metres AS (SELECT id, {b} * ba * (sg - bb * sn * (md + bb / 4 * (cs * (2 * md * md - 1) - bb / 6 * md * (4 * sn * sn - 3) * (4 * md * md - 3)))) AS metres FROM ends)""")
+    return ", ".join(out)
+
+
+@query(f"WITH {C.SPOTS}, pairs AS (SELECT a.id, a.lon, a.lat, b.lon AS lon2, b.lat AS lat2 FROM spots a JOIN spots b ON b.id = a.id + 1), {_geodesic_sql()} SELECT id, round(metres, 3) AS metres FROM metres")  # PRJ-33
+def geodesic_distance(spark, d):
+    a = C.spots(spark, d)
+    b = a.select((F.col("id") - 1).alias("id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    return a.join(b, "id").select("id", r(geo.geodesic(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 3).alias("metres"))
+
+
 @query("SELECT n_nationkey AS id, CAST(26900 + n_nationkey AS INTEGER) AS epsg FROM nation")  # PRJ-34
 def epsg_from_urn(spark, d):
     urn = F.concat(F.lit("urn:ogc:def:crs:EPSG::"), (26900 + F.col("n_nationkey")).cast("string"))
@@ -590,7 +640,8 @@ def random_aggregate(spark, d):
 
 @query()  # STA-04: another random generator than SQL's; a test compares it with the closed forms
 def random_sampled(spark, d):
-    return evaluation.random_sampled(spark, 2209, 4, 10, 500)
+    sizes = truth(spark, d, True).groupBy("concept").agg(F.count("*").alias("n_gt"))
+    return evaluation.random_sampled(sizes, C.places(spark, d).count(), 10, 500)
 
 
 GATE = f"""{FIND}, f AS (SELECT * FROM m WHERE n_gt > 0), cf AS (SELECT config, coalesce(sum(hit) FILTER (k = 10), 0) / count(DISTINCT concept) AS h10 FROM f GROUP BY config),
@@ -797,17 +848,21 @@ def prompt_templates(spark, d):
     return rows.select("p_partkey", "i", F.replace("t", F.lit("{text}"), F.trim("p_name")).alias("prompt"))
 
 
-@query("SELECT " + ", ".join(f"{v} AS {n}" for n, v in (("n_concepts", len(text.CONCEPTS)), ("fewest", 6), ("most", 6))))  # AGG-22
+@query("WITH p AS (SELECT p_partkey, count(*) AS n FROM part, (VALUES " + ", ".join(f"('{t}')" for t in text.TEMPLATES) + ") AS v(t) WHERE trim(p_name) <> '' GROUP BY p_partkey) SELECT count(*) AS n_concepts, min(n) AS fewest, max(n) AS most FROM p")  # AGG-22
 def prompt_counts(spark, d):
-    rows = spark.createDataFrame([(c, text.prompts(c)) for c in text.CONCEPTS], "concept string, prompts array<string>")
-    return rows.agg(F.count("*").cast("int").alias("n_concepts"), F.min(F.size("prompts")).alias("fewest"), F.max(F.size("prompts")).alias("most"))
+    templates = F.array(*map(F.lit, text.TEMPLATES))
+    prompts = C.table(spark, d, "part").filter("trim(p_name) != ''").select("p_partkey", F.explode(F.transform(templates, lambda t: F.replace(t, F.lit("{text}"), F.trim("p_name")))).alias("prompt"))
+    return prompts.groupBy("p_partkey").agg(F.count("prompt").alias("n")).agg(F.count("*").alias("n_concepts"), F.min("n").alias("fewest"), F.max("n").alias("most"))
 
 
-@query(f"WITH {C.CONCEPT_ROWS} SELECT concept, CAST(ord AS INTEGER) AS ord, feature_type IS NOT NULL AS has_truth FROM concepts")  # SET-04
+@query(f"""WITH {C.FEATURES}, {C.CONCEPT_ROWS}, t AS (SELECT type, count(*) AS n FROM features WHERE findable_aerial GROUP BY type)
+    SELECT concept, CAST(ord AS INTEGER) AS ord, n FROM concepts JOIN t ON type = feature_type UNION ALL SELECT concept, CAST(ord AS INTEGER), 0 FROM concepts WHERE feature_type IS NULL OR feature_type NOT IN (SELECT type FROM t)""")  # SET-04
 def concept_union(spark, d):
+    """Concepts with findable features and how many, and those without any."""
+    seen = C.features(spark, d).filter("findable_aerial").groupBy(F.col("type").alias("feature_type")).agg(F.count("*").alias("n"))
     c = evaluation.concept_table(spark)
-    known, other = c.filter("feature_type is not null"), c.filter("feature_type is null")
-    return known.withColumn("has_truth", F.lit(True)).unionByName(other.withColumn("has_truth", F.lit(False))).select("concept", "ord", "has_truth")
+    known, other = c.join(seen, "feature_type"), c.join(seen, "feature_type", "left_anti")
+    return known.select("concept", "ord", "n").unionByName(other.select("concept", "ord", F.lit(0).cast("long").alias("n")))
 
 
 @query(f"""WITH {C.CHIPS}, k AS (SELECT vec_id, chip_location_id || '__' || source_cycle || '__' || CASE vec_id % 4 WHEN 0 THEN 'rgb' WHEN 1 THEN 'cir' WHEN 2 THEN 'xyz' ELSE 'rgb__x' END || CASE WHEN vec_id % 5 = 0 THEN '.jpg' ELSE '.png' END AS key FROM chips)

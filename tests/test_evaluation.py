@@ -55,9 +55,29 @@ def test_closed_forms(spark, n, g, k):
 def test_closed_forms_golden_and_sampled(spark):
     hit, _, mrr = closed(spark, 2209, 4, 10)
     assert round(hit, 6) == 0.017997 and round(mrr, 7) == 0.0116852
-    s = E.random_sampled(spark, 100, 5, 10, 3000).first()
+    sizes = spark.createDataFrame([("few", 5), ("none", 0), ("all", 100)], "concept string, n_gt int")
+    got = {s["concept"]: s for s in E.random_sampled(sizes, 100, 10, 3000).collect()}
     h, r, m = closed(spark, 100, 5, 10)
+    s = got["few"]
     assert abs(s["hit"] - h) < 0.03 and abs(s["recall"] - r) < 0.01 and abs(s["mrr"] - m) < 0.01
+    assert tuple(got["none"])[1:] == (0, 0, 0) and tuple(got["all"])[1:] == pytest.approx((1, 0.1, 1))
+    assert E.random_sampled(sizes.repartition(3), 100, 10, 50).exceptAll(E.random_sampled(sizes, 100, 10, 50)).isEmpty()
+
+
+@pytest.mark.parametrize("skew", [1.0, 40.0])
+def test_percentiles_by_ranges(spark, monkeypatch, skew):
+    """Equal to interpolation between neighbours in order, however values spread, with few bins a round."""
+    import numpy as np
+
+    monkeypatch.setattr(pixels, "BINS", 8)
+    rng = np.random.default_rng(4)
+    groups = {"one": [3.0], "two": [1.0, 2.0], "same": [5.0] * 40, "wide": np.exp(rng.normal(0, skew, 700)).tolist(), "signed": (rng.normal(0, 1, 400) * 1e200).tolist(), "ties": rng.integers(0, 9, 500).astype(float).tolist()}
+    rows = [(k, x) for k, v in groups.items() for x in v] + [("ties", None), ("ties", float("nan")), ("ties", float("inf")), ("none", None)]
+    shares = [0.0, 0.02, 0.37, 0.5, 0.98, 1.0]
+    got = {r["k"]: r["p"] for r in pixels.percentiles(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], shares, "v").collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(np.percentile(v, [100 * p for p in shares]).tolist(), rel=1e-12)
 
 
 def gate_rows(spark, good):

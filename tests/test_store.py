@@ -154,18 +154,20 @@ def test_config(tmp_path, monkeypatch):
     good = "experiment_id: e\naoi_id: a\neval_set_id: v\nmodel_id: m\nmodality: aerial\nbands: rgb\nchip_params: {chip_size_m: 224, stride_m: 112}\ncycles: [2018, '2020']\n"
     path = tmp_path / "e.yaml"
     path.write_text(good)
-    e = config.load_experiment(str(path))
-    assert e.cycles == ["2018", "2020"] and e.chip_size == 224 and e.model_id == "m"
+    e = config.read_experiment(str(path))
+    assert e.cycles == ("2018", "2020") and e.chip_size == 224 and e.stride == 112 and e.model_id == "m"
     monkeypatch.setenv("PLACELENS_EXPERIMENT", str(path))
-    assert config.load_experiment().experiment_id == "e" and config.config_path("x").name == "x"
+    assert config.read_experiment().experiment_id == "e" and config.config_path("x").name == "x"
     with pytest.raises(FileNotFoundError):
-        config.load_experiment(str(tmp_path / "none.yaml"))
+        config.read_experiment(str(tmp_path / "none.yaml"))
     path.write_text("- a")
-    with pytest.raises(ValueError, match="mapping"):
-        config.load_experiment()
-    path.write_text("experiment_id: e")
-    with pytest.raises(ValueError, match="lacks"):
-        config.load_experiment()
+    with pytest.raises(ValueError, match="not a mapping"):
+        config.read_experiment()
+    path.write_text(good.replace("stride_m: 112", "stride_m: 1.5").replace("bands: rgb", "bands: ''").replace("aoi_id: a\n", "").replace("cycles: [2018, '2020']", "cycles: []"))
+    with pytest.raises(ValueError) as faults:  # all at once
+        config.read_experiment()
+    assert all(w in str(faults.value) for w in ("aoi_id is missing", "bands is not a text", "chip_params.stride_m is not a whole number", "cycles is not a list"))
+    assert config.checked({"a": 1, "z": 9}, (config.Field("a", config.metres), config.Field("b.c", config.text, "d", False))) == {"a": 1, "c": "d", "z": 9}
     assert config.is_stale(str(tmp_path / "t"), str(path)) and resolve("PLACELENS_NONE", None, "d") == "d"
 
 
