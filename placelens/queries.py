@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import carriers as C
 from .functions import geo, stats, text, vectors
-from .operators import areas, catalog, evaluation, grid, index, layout, pixels, search, store
+from .operators import areas, catalog, evaluation, grid, index, layout, pixels, raster, search, store
 from .plans import api, encoders
 from .session import scratch
 
@@ -816,6 +816,45 @@ def percentile_stretch_nonzero(spark, d):
     return pixels.stretch(C.pixels(spark, d), ["band"], skip_zeros=True).groupBy("band", "stretched").agg(F.count("*").alias("n"))
 
 
+ONE_PIXEL = f"""{C.PIXELS}, px AS (SELECT band, "row", col, max(value) + 1 AS value FROM pixels GROUP BY ALL)"""
+BOXED = """boxes AS (SELECT s_suppkey AS id, 1000 + s_suppkey * 17 % 310 - 8.4::DOUBLE AS xmin, 1700 + s_suppkey * 29 % 300 + 0.3::DOUBLE AS ymin, 20 + s_suppkey % 60 AS w FROM supplier),
+    wins AS (SELECT id, greatest(0, floor(xmin - 1000))::INTEGER AS c0, greatest(0, floor(2000 - (ymin + w)))::INTEGER AS r0, least(300, floor(xmin - 1000) + w)::INTEGER AS c1, least(300, floor(2000 - (ymin + w)) + w)::INTEGER AS r1 FROM boxes)"""
+
+
+def scene(spark, d):
+    """A raster of 300 x 300 pixels of 1 m, cut into tiles and written, and its meta."""
+    meta = spark.createDataFrame([("scene", 1000.0, 2000.0, 1.0, 300, 300)], raster.META)
+    folder = fresh(spark, "tiles")
+    raster.write(raster.cut(C.pixels(spark, d).select(F.lit("scene").alias("raster"), "band", "row", "col", (F.col("value") + 1).alias("value")), meta, 64), folder)
+    return raster.read(spark, folder), meta
+
+
+@query(f"""WITH {ONE_PIXEL}, {BOXED} SELECT id, band, r1 - r0 AS height, c1 - c0 AS width, sum(value) AS total, count(*) AS n
+    FROM wins JOIN px ON "row" >= r0 AND "row" < r1 AND col >= c0 AND col < c1 WHERE band IN (1, 3) GROUP BY ALL""")  # SRC-11, SRC-12, PRJ-15: windows of a tiled raster
+def raster_windows(spark, d):
+    tiles, meta = scene(spark, d)
+    k = F.col("s_suppkey")
+    x, y, w = F.lit(1000) + k * 17 % 310 - F.lit(8.4), F.lit(1700) + k * 29 % 300 + F.lit(0.3), 20 + k % 60
+    boxes = C.table(spark, d, "supplier").select(k.alias("id"), F.lit("scene").alias("raster"), x.alias("xmin"), y.alias("ymin"), (x + w).alias("xmax"), (y + w).alias("ymax"))
+    found = raster.read_windows(tiles, raster.windows_of(boxes, meta, "id"), "id", [1, 3], 64)
+    sums = raster.values_of(found, "id").filter("value > 0").groupBy("id", "band").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    return found.join(sums, ["id", "band"]).select("id", "band", "height", "width", "total", "n")
+
+
+@query(f"""WITH {ONE_PIXEL}, two AS (SELECT 1 AS place, band, "row", col, value FROM px WHERE col < 200 UNION ALL SELECT 2, band, "row", col + 100, value + 7 FROM px WHERE band = 2 OR band = 1),
+    q AS (SELECT place, band, "row" // 2 AS r, col // 2 AS c, sum(value) AS s, count(*) AS n, max(CASE WHEN "row" % 2 = 1 AND col % 2 = 1 THEN value END) AS middle FROM two GROUP BY ALL),
+    first AS (SELECT *, row_number() OVER (PARTITION BY band, r, c ORDER BY place) AS p FROM q WHERE middle IS NOT NULL)
+    SELECT band, CAST(r AS INTEGER) AS "row", count(*) AS n, CAST(sum(CAST(floor(s / n + 0.5) AS BIGINT)) AS BIGINT) AS total FROM first WHERE p = 1 AND band < 4 AND r < 150 AND c < 200 GROUP BY ALL""")  # OPS-10/11: two rasters on one coarser grid, bilinear, the first valid pixel wins
+def raster_mosaic(spark, d):
+    p = C.pixels(spark, d).filter("band < 4")
+    one = p.filter("col < 200").select(F.lit("one").alias("raster"), "band", "row", "col", (F.col("value") + 1).alias("value"))
+    two = p.filter("band < 3").select(F.lit("two").alias("raster"), "band", "row", "col", (F.col("value") + 8).alias("value"))
+    meta = spark.createDataFrame([("one", 1000.0, 2000.0, 1.0, 300, 200), ("two", 1100.0, 2000.0, 1.0, 300, 300)], raster.META)
+    tiles = raster.cut(one.unionByName(two), meta, 64)
+    blocks = raster.mosaic(tiles, meta, raster.Grid(1000.0, 2000.0, 2.0, 150, 200, side=48), side=64)
+    return raster.pixels_of(blocks, 48).groupBy("band", "row").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 @query(f'WITH {C.PIXELS} SELECT band, "row" // 10 AS "row", col // 10 AS col, round(avg(value), 6) AS value FROM pixels GROUP BY band, "row" // 10, col // 10')  # AGG-23
 def block_average(spark, d):
     got = pixels.block_average(C.pixels(spark, d), 10, ["band"])
