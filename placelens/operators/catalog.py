@@ -17,9 +17,10 @@ def usable_naip(items: DataFrame, west: float, south: float, east: float, north:
 
 
 def usable_winter(items: DataFrame, area: tuple[float, float, float, float], most_cloud: float = 20.0) -> DataFrame:
-    """Little cloud, a winter month, and a box that covers the area; null boxes do not."""
-    held = geo.covers([F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], [F.lit(float(v)) for v in area])
-    return items.filter((F.col("cloud_cover") < most_cloud) & F.month("ts").isin(*WINTER) & held)
+    """Little cloud, a winter month, and a box that covers the area; null boxes do not. Plain comparisons, so that sources can take them."""
+    west, south, east, north = (float(v) for v in area)
+    held = (F.col("xmin") <= west) & (F.col("ymin") <= south) & (F.col("xmax") >= east) & (F.col("ymax") >= north)
+    return items.filter((F.col("cloud_cover") < float(most_cloud)) & F.month("ts").isin(*WINTER) & held)
 
 
 def clearest_per_winter(items: DataFrame, n: int, zero_is_missing: bool = False) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from . import carriers as C
 from .functions import geo, stats, text, vectors
-from .operators import areas, catalog, evaluation, grid, index, layout, pixels, raster, search, store
+from .operators import areas, catalog, evaluation, grid, index, layout, pixels, raster, search, store, sweep
 from .plans import api, encoders
 from .session import scratch
+from .sources import catalog as catalog_source
+from .sources import cells
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -602,6 +604,18 @@ def strict_gap(spark, d):
     return tables[0].join(tables[1], "concept").withColumn("gap", F.col("strict") - F.col("findable"))
 
 
+SWEEP = LISTS.replace("FROM b JOIN concepts", "FROM (SELECT * FROM b UNION ALL SELECT 'ensemble:a+b__rgb' AS config, qlabel, chip_location_id, avg(score) AS score FROM b GROUP BY qlabel, chip_location_id) JOIN concepts")
+
+
+@query(f"WITH {SWEEP}, {metric_sql('m', 'gtf')} SELECT config, concept, n_gt, k, hit, round(recall, 9) AS recall, round(mrr, 9) AS mrr FROM m")  # QRY-07, JN-12, QRY-02, SET-05: all configurations in one scan, and an ensemble
+def sweep_metrics(spark, d):
+    named = evaluation.concept_table(spark).filter("ord < 8").select("concept", F.col("ord").alias("label"))
+    asked = label_queries(spark, d).join(F.broadcast(named), "label").select("concept", "q")
+    both = asked.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model_id"), F.lit("rgb").alias("bands"), "concept", "q")
+    table = sweep.evaluate(C.half_split(spark, d), both, truth(spark, d, True), 15, [(["a", "b"], "rgb", "a")])
+    return table.select("config", "concept", "n_gt", "k", "hit", r("recall", 9).alias("recall"), r("mrr", 9).alias("mrr"))
+
+
 RANDOM_ROWS = "n AS (SELECT n_nationkey AS id, 2209::BIGINT AS n, n_nationkey::BIGINT AS g, k::INTEGER AS k FROM nation, (SELECT unnest([1, 5, 10, 20]) AS k))"
 RANDOM_HIT = "CASE WHEN g <= 0 THEN 0.0::DOUBLE ELSE 1 - list_product(list_transform(range(k), lambda i: (n - g - i)::DOUBLE / (n - i))) END"
 RANDOM_MRR = "CASE WHEN g <= 0 THEN 0.0::DOUBLE ELSE list_sum(list_transform(range(1, n - g + 2), lambda j: exp(lgamma(n - j + 1) - lgamma(g) - lgamma(n - j - g + 2) - lgamma(n + 1) + lgamma(g + 1) + lgamma(n - g + 1)) / j)) END"
@@ -768,6 +782,18 @@ def winter_scenes(spark, d):
     return got.withColumn("cloud_cover", r("cloud_cover", 6))
 
 
+WINTER_SQL = f"WITH {C.ITEMS}, " + WINTERS.format(where="cloud_cover < 20 AND month(ts) IN (12, 1, 2, 3) AND xmin <= 333511.04 AND ymin <= 5139212.617 AND xmax >= 338656.93 AND ymax >= 5144347.779 AND year(ts) >= 1996", cloud="cloud_cover")
+
+
+@query(WINTER_SQL.replace("SELECT winter, item_id", "SELECT winter, CAST(item_id AS VARCHAR) AS item_id"))  # SRC-08, SRC-09: the same through the catalog source, which takes the filters
+def winter_scenes_catalog(spark, d):
+    folder = fresh(spark, "catalog")
+    catalog_source.write_items(C.items(spark, d).withColumns({"ts": F.to_timestamp("ts"), "cloud_cover": F.col("cloud_cover").cast("double")}), folder)
+    items = catalog_source.read_items(spark, folder).filter("year >= 1996").withColumn("ord", F.col("item_id").cast("long"))
+    got = catalog.clearest_per_winter(catalog.usable_winter(items, C.BOUNDS).drop("item_id").withColumnRenamed("ord", "item_id"), 4)
+    return got.withColumns({"cloud_cover": r("cloud_cover", 6), "item_id": F.col("item_id").cast("string")})
+
+
 @query(f"WITH {C.ITEMS.replace('o_totalprice % 100 AS cloud_cover', '(o_orderkey % 10)::DOUBLE AS cloud_cover')}, " + WINTERS.format(where="true", cloud="CASE WHEN cloud_cover = 0 THEN 100 ELSE cloud_cover END"))  # trap T5
 def winter_scenes_zero_missing(spark, d):
     items = C.items(spark, d).withColumn("cloud_cover", (F.col("item_id") % 10).cast("double"))
@@ -816,6 +842,27 @@ def percentile_stretch_nonzero(spark, d):
     return pixels.stretch(C.pixels(spark, d), ["band"], skip_zeros=True).groupBy("band", "stretched").agg(F.count("*").alias("n"))
 
 
+SWAPPED = "p AS (SELECT source_cycle, chip_location_id, CASE WHEN source_cycle = '2018' AND loc_idx IN (3, 5) THEN 8 - loc_idx ELSE loc_idx END AS position FROM chips)"
+
+
+@query(f"""WITH {C.CHIPS}, {SWAPPED}, l AS (SELECT source_cycle, count(*) AS n, list(chip_location_id ORDER BY position) AS ids FROM p GROUP BY 1)
+    SELECT source_cycle, n, ids = (SELECT ids FROM l ORDER BY source_cycle LIMIT 1) AS same FROM l""")  # SRC-06: two ids change places in one cycle
+def cycle_order(spark, d):
+    moved = (F.col("source_cycle") == "2018") & F.col("loc_idx").isin(3, 5)
+    rows = C.chips(spark, d).withColumn("position", F.when(moved, 8 - F.col("loc_idx")).otherwise(F.col("loc_idx")))
+    return cells.order_of_cycles(rows).select("source_cycle", "n", "same")
+
+
+@query(f"WITH {C.CHIPS} SELECT source_cycle, count(*) AS n_chips, CAST(max(len(embedding)) AS INTEGER) AS embed_dim, 'i' AS index_sha FROM chips GROUP BY source_cycle")  # SNK-07, UDF-05
+def cells_written(spark, d):
+    folder, rows = fresh(spark, "cells"), C.chips(spark, d).select("source_cycle", F.col("loc_idx").alias("position"), "chip_id", vectors.normalise(F.col("embedding")).cast("array<float>").alias("embedding"))
+    wanted = [(("m", "rgb", x["source_cycle"]), {"index_sha": "i", "weights_sha": "w", "tag": None}) for x in rows.select("source_cycle").distinct().orderBy("source_cycle").collect()]
+    cells.embed_stale(spark, folder, wanted, lambda cell: rows.filter(F.col("source_cycle") == cell[2]))
+    told = cells.sidecars(spark, folder)
+    counted = cells.read_cells(spark, folder).groupBy("source_cycle").agg(F.count("*").alias("n_chips"))
+    return counted.join(told.select("source_cycle", "embed_dim", "index_sha"), "source_cycle")
+
+
 ONE_PIXEL = f"""{C.PIXELS}, px AS (SELECT band, "row", col, max(value) + 1 AS value FROM pixels GROUP BY ALL)"""
 BOXED = """boxes AS (SELECT s_suppkey AS id, 1000 + s_suppkey * 17 % 310 - 8.4::DOUBLE AS xmin, 1700 + s_suppkey * 29 % 300 + 0.3::DOUBLE AS ymin, 20 + s_suppkey % 60 AS w FROM supplier),
     wins AS (SELECT id, greatest(0, floor(xmin - 1000))::INTEGER AS c0, greatest(0, floor(2000 - (ymin + w)))::INTEGER AS r0, least(300, floor(xmin - 1000) + w)::INTEGER AS c1, least(300, floor(2000 - (ymin + w)) + w)::INTEGER AS r1 FROM boxes)"""
