@@ -4,33 +4,26 @@ from __future__ import annotations
 
 import contextlib
 import math
-import tempfile
 import uuid
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 #: A word is a run of anything but ASCII white space. ``bytes.split()`` cuts UTF-8 at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Shuffle files go as soon as the write that made them has ended, instead of when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: dict[tuple[str, str], list[str]] = {}
-_own: list[str] = []
 _run: ContextVar[str] = ContextVar("run", default="")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may leave it unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="placelens-"))
-        folder = _own[0]
-    return folder.rstrip("/")
+    return scratch(spark)
 
 
 @contextlib.contextmanager
@@ -67,11 +60,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, run: str = "") -> None:
-    """Delete what ``materialise`` wrote for ``run``. Only call it once no DataFrame of that run is needed any more."""
-    for path in _written.pop((spark.sparkContext.applicationId, run), []):
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def release(spark: SparkSession, run: str = "", needed_by: DataFrame | None = None) -> None:
+    """Delete what ``materialise`` wrote for ``run``, but for tables that ``needed_by`` reads.
+
+    Only call it once no other DataFrame of that run is needed any more.
+    """
+    key = (spark.sparkContext.applicationId, run)
+    written = _written.pop(key, [])
+    read = needed_by.inputFiles() if written and needed_by is not None else []
+    for path in written:
+        if any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in read):
+            _written.setdefault(key, []).append(path)
+        else:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sent_if_small
+from .common import free_name, sent_if_small
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
@@ -123,7 +123,8 @@ def train(rows: DataFrame, per_language: int, sample: int, clusters: int, margin
 
 
 def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns ``keep``, then __lang_pred, __score (cosine) and __rejected for each row of ``docs``."""
+    """The columns ``keep``, then language, score (cosine) and rejection of each row of ``docs``, under free names."""
+    names = [free_name(docs, n) for n in ("__lang_pred", "__score", "__rejected")]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x centroids, clusters of them a language
 
@@ -143,10 +144,11 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFra
                     lang[at] = np.array(m["langs"], object)[m["of"][best]]
                     score[at] = np.clip(cos[np.arange(len(at)), best], 0, 1)
                     out[at] = score[at] < m["floors"][length_bin(size)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*keep, "__lang_pred", "__score", "__rejected"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*keep, *names])
 
     cols = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*cols).mapInArrow(run, ", ".join([*(f"`{c}` {fields[c]}" for c in keep), "__lang_pred string, __score double, __rejected boolean"]))
+    kinds = [f"{n} {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True)]
+    return docs.select(*[f"`{c}`" for c in cols]).mapInArrow(run, ", ".join([*(f"`{c}` {fields[c]}" for c in keep), *kinds]))
 
 
 def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = 600, sample: int = 4000, clusters: int = 4, margin: float = 0.6, quantile: float = 0.01, seed: int = 3) -> dict:
@@ -165,9 +167,10 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, **options) -> DataF
     """doc_id, held_out, lang_pred, score and rejected for each row; learns from the rows that are not held out."""
     marked = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(fold_of(folds) == held, F.lit(False)).alias("held_out"))
     found = predict(marked, fit(docs, folds, held, **options), ("doc_id", "held_out"))
-    return found.select("doc_id", "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
+    return found.select("doc_id", "held_out", *[F.col(n).alias(c) for n, c in zip(found.columns[-3:], ("lang_pred", "score", "rejected"), strict=True)])
 
 
 def accepted(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns."""
-    return predict(docs, fit(docs, **options), tuple(docs.columns)).filter("NOT __rejected").select(*docs.columns)
+    found = predict(docs, fit(docs, **options), tuple(docs.columns))
+    return found.filter(~F.col(found.columns[-1])).select(*[f"`{c}`" for c in docs.columns])

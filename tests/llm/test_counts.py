@@ -246,6 +246,12 @@ def test_language_rejects_text_unlike_all_languages(spark):
     assert got == {100: True, 101: True, 102: False}
 
 
+def test_language_columns_whose_names_clash(spark, odd):
+    clash = odd.withColumns({"__rejected": F.lit(True), "__LANG_pred": F.lit("x"), "__score": F.lit("y")})
+    got = language_id.accepted(clash)
+    assert got.columns == clash.columns and sorted(got.select("doc_id", "text").collect(), key=repr) == sorted(language_id.accepted(odd).select("doc_id", "text").collect(), key=repr)
+
+
 def test_language_edges(odd, odd_rows, empty):
     got = language_id.identify(odd).collect()
     assert len(got) == len(odd_rows)

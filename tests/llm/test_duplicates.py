@@ -231,3 +231,23 @@ def test_pipeline_stages(spark, sf, tmp_path):
         docs = nxt
         sizes.append(docs.count())
     assert sum(r["length"] for r in docs.select("length").collect()) > 0 and sizes[1] > 280
+
+
+def test_pipeline_stages_chain_without_writing(spark, sf):
+    """A stage keeps the tables that its input, not yet run, still reads; run() leaves nothing but its last table."""
+    import corpus_pipeline as P
+
+    docs = table(spark, sf, "documents").filter("doc_id < 60")
+    mixed = P.mix_sources(spark, P.join_ngrams(spark, docs, sf), sf)
+    assert P.pack_sequences(spark, mixed, sf).count() > 0
+
+
+def test_pipeline_deletes_what_its_stages_wrote(spark, monkeypatch, tmp_path):
+    import os
+
+    import corpus_pipeline as P
+    from placelens.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    assert P.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert [os.listdir(tmp_path / d) for d in os.listdir(tmp_path)] == [["4"]]
