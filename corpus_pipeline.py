@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it to the shared folder and reads it again.
 All but the last return the columns of ``documents``, whatever other columns those are, and keep their values but for those
-named. Intermediate tables of a stage are deleted when the next stage of the same run begins.
+named. A stage that begins deletes the intermediate tables that earlier stages of its run have left, but for those that its own
+input still reads, so stages may also be chained without writing between them.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from placelens.llm.queries import tokenizer_path
 _run: ContextVar[str] = ContextVar("pipeline", default="pipeline")
 
 
-def _own(spark: SparkSession, stage: Callable[[], DataFrame]) -> DataFrame:
-    """The stage's result; what the stage before of this run left in the shared folder goes first."""
-    common.release(spark, _run.get())
+def _own(spark: SparkSession, docs: DataFrame, stage: Callable[[], DataFrame]) -> DataFrame:
+    """The stage's result, its tables counted to the run; earlier ones that ``docs`` does not read go first."""
+    common.release(spark, _run.get(), docs)
     with common.owned_by(_run.get()):
         return stage()
 
@@ -33,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Repeated rows share their verdict; ties between languages do not matter; without labelled rows all go; an empty table
     gives an empty result.
     """
-    return _own(spark, lambda: language_id.accepted(docs))
+    return _own(spark, docs, lambda: language_id.accepted(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
         return cleaned.filter(F.col("text").rlike(common.WORD)).select(*docs.columns)
 
-    return _own(spark, stage)
+    return _own(spark, docs, stage)
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     An empty table gives an empty result.
     """
-    return _own(spark, lambda: ngram_join.one_of_each(docs))
+    return _own(spark, docs, lambda: ngram_join.one_of_each(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay once; a null source is a source; repeated rows are drawn each; an empty table gives an empty
     result.
     """
-    return _own(spark, lambda: mixing.mixed_documents(docs))
+    return _own(spark, docs, lambda: mixing.mixed_documents(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     An empty table gives an empty result.
     """
-    return _own(spark, lambda: packing.pack(docs, tokenizer_path()))
+    return _own(spark, docs, lambda: packing.pack(docs, tokenizer_path()))
 
 
 STAGES = [
@@ -90,6 +91,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages before it have written is deleted as soon as the next one is."""
     name = f"pipeline-{uuid.uuid4().hex}"
     token = _run.set(name)
     try:
@@ -97,6 +99,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for i, (_, stage) in enumerate(STAGES):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                common.delete(spark, f"{folder}/{i - 1}")
         common.release(spark, name)
     finally:
         _run.reset(token)
