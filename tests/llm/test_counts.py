@@ -2,7 +2,9 @@
 
 import math
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from placelens.llm import language_id, lm_scoring, quality_rules, toxicity
@@ -283,30 +285,52 @@ def test_toxicity_finds_planted_words(spark):
     assert sum(r["predicted"] for r in got if r["toxic"] == 0) <= 0.02 * len(got)
 
 
-def test_toxicity_models_are_kneser_ney():
-    """Each class is a distribution after every word, and ratios are those of probabilities by definition."""
-    import numpy as np
+@pytest.mark.parametrize(("lent", "classes"), [(2.0, 2), (0.75, 2), (5.0, 2), (2.0, 1)])
+def test_toxicity_models_are_kneser_ney(spark, lent, classes):
+    """Written out for every context and word: each class is a distribution after every word, and evidence is by definition."""
+    import random
 
-    rng = np.random.default_rng(2)
-    size, d = 6, toxicity.DISCOUNT
-    counts = rng.integers(0, 4, (2, size, size)) * rng.integers(0, 2, (2, size, size))
-    key = np.flatnonzero(counts.sum(axis=0).ravel())
-    n = counts.reshape(2, -1)[:, key].astype(float)
-    contexts = (counts > 0).sum(axis=(0, 1))
-    model = toxicity.kneser_ney(size, key, n, contexts, counts.sum(axis=2), None, counts.sum(axis=1))
-    shared = (contexts + 1) / (contexts.sum() + size)
-    prob = np.zeros((2, size, size))
+    rng = random.Random(6)
+    rows = [(" ".join(f"w{int(rng.random() ** 2 * 12)}" for _ in range(rng.randrange(1, 9))), int(classes == 2 and i % 5 == 0)) for i in range(60)]
+    one, two = toxicity.models(toxicity.pair_counts(spark.createDataFrame(rows, "text string, toxic int").repartition(3)), lent)
+    model = dict(zip(one.columns, toxicity.sorted_columns(one), strict=True)) | dict(zip(two.columns, toxicity.sorted_columns(two), strict=True))
+    d, pairs = toxicity.DISCOUNT, [Counter(), Counter()]
+    for text, y in rows:
+        w = text.split()
+        pairs[y].update(zip(["<"] + w, w))
+    vocabulary = sorted({w for p in pairs for _, w in p})
+    seen = set(pairs[0]) | set(pairs[1])
+    contexts = {w: sum(x == w for p in pairs for _, x in p) for w in vocabulary}
+    total = [sum(p.values()) for p in pairs]
+    part = [t / sum(total) for t in total]
+    shared = {w: c / sum(contexts.values()) for w, c in contexts.items()}
+    prob = [{}, {}]
     for y in (0, 1):
-        c = counts[y].sum(axis=0)
-        word = (np.maximum(c - d, 0) + d * (c > 0).sum() * shared) / c.sum()
-        for v in range(size):
-            row = counts[y, v]
-            held = np.maximum(row - d, 0) / max(row.sum(), 1)
-            prob[y, v] = held + (1 - held.sum()) * word
-    assert np.allclose(prob.sum(axis=2), 1)
-    got = model["back"][:, None] + model["word"][None, :]
-    got.ravel()[key] = model["pair"]
-    assert np.allclose(got, np.log(prob[1] / prob[0]), atol=1e-5)
+        count = {w: sum(n for (_, x), n in pairs[y].items() if x == w) for w in vocabulary}
+        whole = total[y] + lent * part[y] * len(vocabulary)
+        word = {w: (count[w] + (lent - d) * part[y] + d * part[y] * len(vocabulary) * shared[w]) / whole if part[y] else shared[w] for w in vocabulary}
+        for v in {v for v, _ in seen}:
+            kinds = [w for w in vocabulary if (v, w) in seen]
+            size = sum(pairs[y][v, w] for w in kinds) + lent * part[y] * len(kinds)
+            for w in vocabulary:
+                held = (pairs[y][v, w] + (lent - d) * part[y]) / size if part[y] and w in kinds else 0
+                prob[y][v, w] = held + (d * part[y] * len(kinds) / size if part[y] else 1) * word[w]
+            assert sum(prob[y][v, w] for w in vocabulary) == pytest.approx(1)
+    ratio = {k: math.log(prob[1][k] / prob[0][k]) for k in prob[0]}
+    for text in ("w0 w3 w1", "w11 w11 w0 w2 w5", "", None, "w1 strange w2"):
+        w = (text or "").split()
+        (peak,), (mean,), (n,) = toxicity.evidence(model, [text])
+        assert n == len(w)
+        if w and "strange" not in w:
+            own = [ratio[p] for p in zip(["<"] + w, w, strict=False)] if all(v in {v for v, _ in seen} for v in ["<"] + w[:-1]) else None
+            if own:
+                assert mean == pytest.approx(sum(own) / len(own), abs=1e-5) and peak == pytest.approx(math.log(sum(map(math.exp, own)) / len(own)), abs=1e-5)
+    assert [float(x[0]) for x in toxicity.evidence(model, ["strange"])[1:]] == pytest.approx([looked(model, toxicity.START), 1], abs=1e-5)
+
+
+def looked(model, word):
+    """The log ratio of backing off from a word: all that an unknown word after it tells."""
+    return float(toxicity.looked_up(model["word"], model["back"], np.array([word]))[0])
 
 
 def test_toxicity_edges(odd, odd_rows, empty, labels):
