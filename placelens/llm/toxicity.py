@@ -183,7 +183,7 @@ def score_raw(docs: DataFrame, model: dict, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, ", ".join([*(f"`{c}` {fields[c]}" for c in keep), "peak double, mean double, n long"]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 120_000, max_bytes: int = 1 << 26, lent: float = 2.0, seed: int = 13) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 120_000, max_bytes: int = 3 << 23, lent: float = 2.0, seed: int = 13) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words, peak and mean (the evidence) of every row of ``docs``."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold.alias("fold"))
