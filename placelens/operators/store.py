@@ -135,10 +135,11 @@ def load(spark: SparkSession, folder: str, embeddings: DataFrame, chips: DataFra
             raise ValueError(f"cycles not in the index: {sorted(absent)}")
         embeddings = embeddings.filter(F.col("source_cycle").isin(*cycles))
     create(spark, folder)
+    rows = join_chips(embeddings, chips)  # raises before anything is deleted
     if clear:
-        for r in embeddings.select("model_id", "bands").distinct().collect():
-            delete(spark, folder, r["model_id"], r["bands"])
-    rows = join_chips(embeddings, chips)
+        by = ["model_id", "bands", *(["experiment_id"] if "experiment_id" in embeddings.columns else [])]
+        for r in embeddings.select(*by).distinct().collect():
+            delete(spark, folder, **r.asDict())
     upsert(spark, folder, rows)
     return {r["source_cycle"]: r["count"] for r in rows.groupBy("source_cycle").count().collect()}
 

@@ -44,6 +44,23 @@ def read_area(spark: SparkSession, path: str) -> tuple[list[tuple[float, float]]
     return [tuple(p) for p in ring.first()["ring"]], bounds
 
 
+def read_rings(spark: SparkSession, path: str) -> DataFrame:
+    """area_id, ring, points (x, y) of all rings of the polygons of a feature collection: outer ones have number 0, holes follow."""
+    f = read_json(spark, path, FEATURE_COLLECTION).select(F.posexplode("features").alias("area_id", "f"))
+    rings = f.select("area_id", F.posexplode(F.from_json("f.geometry.coordinates", "array<array<array<double>>>")).alias("ring", "r"))
+    return rings.select("area_id", "ring", F.transform("r", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
+
+
+def area_json(rings: DataFrame, epsg: int = 26916) -> DataFrame:
+    """One row, ``value``: polygons with their holes as a feature collection, coordinates rounded to 3 digits (half to even)."""
+    ring = F.transform("points", lambda p: F.array(F.bround(p["x"], 3), F.bround(p["y"], 3)))
+    polygons = rings.groupBy("area_id").agg(F.array_sort(F.collect_list(F.struct("ring", ring.alias("p")))).alias("rings"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.transform("rings", lambda r: r["p"]).alias("coordinates")).alias("geometry"))
+    crs = F.struct(F.lit("name").alias("type"), F.struct(F.lit(f"urn:ogc:def:crs:EPSG::{epsg}").alias("name")).alias("properties"))
+    all_ = polygons.agg(F.array_sort(F.collect_list(F.struct("area_id", feature.alias("f")))).alias("s"))
+    return all_.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), crs.alias("crs"), F.transform("s", lambda s: s["f"]).alias("features"))).alias("value"))
+
+
 def read_chip_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grid meta, chips of all cycles, eval lookup)."""
     doc = read_json(spark, path, CHIP_INDEX)
@@ -76,7 +93,8 @@ def chip_index_json(meta: dict, chips: DataFrame, lookup: DataFrame, extra: Data
     cycles = years.agg(F.array_sort(F.collect_list(F.struct("year", *[c for c in years.columns if c not in ("year", "chips")], "chips"))).alias("cycles"))
     named = lookup.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct(F.col("cycle").alias("year"), "chip_id"))).alias("v"))
     table = named.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature_id", "v")))).alias("eval_lookup"))
-    header = [F.from_json(F.lit(json.dumps(v)), "array<double>").alias(k) if isinstance(v, (list, tuple)) else F.lit(v).alias(k) for k, v in meta.items()]
+    kind = lambda v: "array<long>" if all(isinstance(x, int) for x in v) else "array<double>"
+    header = [F.from_json(F.lit(json.dumps(v)), kind(v)).alias(k) if isinstance(v, (list, tuple)) else F.lit(v).alias(k) for k, v in meta.items()]
     return cycles.crossJoin(table).select(F.to_json(F.struct(*header, "cycles", "eval_lookup")).alias("value"))
 
 
