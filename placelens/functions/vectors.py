@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,17 @@ def literal(vector) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
+def cosine_sql(column: str, vector: list[float]) -> str:
+    """``cosine`` of a column and a constant vector as SQL text: one call to the JVM, where an expression of columns takes hundreds."""
+    length = 0.0
+    for x in vector:  # in the order of the sum over rows
+        length += x * x
+    q = f"cast(split('{','.join(repr(float(x)) for x in vector)}', ',') AS array<double>)"
+    total = lambda values: f"aggregate({values}, 0D, (t, v) -> t + v)"
+    norm_ = f"sqrt({total(f'transform({column}, x -> cast(x AS double) * cast(x AS double))')})"
+    return f"{total(f'zip_with({column}, {q}, (x, y) -> cast(x AS double) * y)')} / nullif({norm_} * {math.sqrt(length)!r}D, 0D)"
+
+
 def check_query(vector) -> list[float]:
     """A flat, non-empty list of numbers, or ValueError."""
     try:

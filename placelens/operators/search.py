@@ -84,15 +84,15 @@ def scored(store: DataFrame, query, engine: str = "jvm") -> DataFrame:
     if engine == "arrow":
         out = score_arrow(store.filter(F.size("embedding") == len(query)), query)
     else:
-        out = store.withColumn("score", vectors.cosine(F.col("embedding"), vectors.literal(query))).drop("embedding")
-    return out.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+        out = store.withColumn("score", F.expr(vectors.cosine_sql("embedding", query))).drop("embedding")
+    return out.filter("score IS NOT NULL AND NOT isnan(score)")
 
 
 def pooled(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Best cycle of each place: max score, the attributes of that row (ties: smallest cycle), any inside_aoi."""
-    first = F.min_by(F.struct("source_cycle", *ATTRIBUTES), F.struct((-F.col("score")).alias("s"), F.col("source_cycle").alias("c")))
-    out = rows.groupBy(*keys).agg(F.max("score").alias("score"), first.alias("w"), F.bool_or("inside_aoi").alias("inside_aoi"))
-    return out.select(*keys, "score", F.col("w.source_cycle").alias("winning_cycle"), *[F.col(f"w.{a}").alias(a) for a in ATTRIBUTES], "inside_aoi")
+    first = f"min_by(struct(source_cycle, {', '.join(ATTRIBUTES)}), struct(-score AS s, source_cycle AS c)) AS w"
+    out = rows.groupBy(*keys).agg(F.expr("max(score) AS score"), F.expr(first), F.expr("bool_or(inside_aoi) AS inside_aoi"))
+    return out.selectExpr(*keys, "score", "w.source_cycle AS winning_cycle", *[f"w.{a}" for a in ATTRIBUTES], "inside_aoi")
 
 
 def search(store: DataFrame, query, request: Request | None = None, engine: str = "jvm") -> DataFrame:
@@ -107,8 +107,7 @@ def search(store: DataFrame, query, request: Request | None = None, engine: str
     if request.overfetch:
         rows = rows.orderBy(F.desc("score"), "chip_location_id", "source_cycle").limit(request.overfetch)
     hits = pooled(rows, ["chip_location_id"]).orderBy(F.desc("score"), "chip_location_id").limit(request.top_k)
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "chip_location_id"))  # over top_k rows
-    return hits.withColumn("rank", rank)
+    return hits.withColumn("rank", F.expr("row_number() OVER (ORDER BY score DESC, chip_location_id)"))  # over top_k rows
 
 
 def search_batch(store: DataFrame, queries: DataFrame, request: Request | None = None, key: str = "concept") -> DataFrame:
