@@ -88,11 +88,15 @@ def _replace(spark: SparkSession, folder: str, touched: DataFrame, parts: DataFr
 
 
 def upsert(spark: SparkSession, folder: str, new: DataFrame) -> None:
+    """Insert rows, in place of those of the same key. Chips whose id names their cycle stay in it, so the table's keys are not read for them."""
     create(spark, folder)
     new = columns(new)
     # The key has no cycle: a chip that moves to another cycle must leave the old one.
-    moved = read(spark, folder).select(*STORE_PARTITIONS, "chip_id").join(new.select(*STORE_KEY).distinct(), STORE_KEY, "left_semi")
-    cells = new.select(*STORE_PARTITIONS).union(moved.select(*STORE_PARTITIONS)).distinct()
+    loose = new.filter(~F.coalesce(F.contains("chip_id", F.concat(F.lit("_"), "source_cycle", F.lit("_"))), F.lit(False))).select(*STORE_KEY).distinct()
+    cells = new.select(*STORE_PARTITIONS).distinct()
+    if not loose.isEmpty():
+        moved = read(spark, folder).select(*STORE_PARTITIONS, "chip_id").join(loose, STORE_KEY, "left_semi")
+        cells = cells.union(moved.select(*STORE_PARTITIONS)).distinct()
     old = read(spark, folder).join(cells, STORE_PARTITIONS, "left_semi")
     _replace(spark, folder, columns(upserted(columns(old), new)), cells)
 
