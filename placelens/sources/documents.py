@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +21,13 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A manifest, or no row where it is missing or broken."""
     try:
-        df = read_json(spark, path, f"{schema}, _corrupt_record string").cache()
-        return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    except Exception as e:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
         raise
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return whole.select(parsed.alias("d")).select("d.*").filter("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
