@@ -179,8 +179,14 @@ def preflight(store: DataFrame, model_id: str, bands: str) -> int:
     return n
 
 
-def same_shape(store: DataFrame) -> DataFrame:
-    """source_cycle, n, dim, ok: whether every cycle has as many chips of one dimension as the largest."""
+def same_shape(store: DataFrame, counts: bool = True) -> DataFrame:
+    """source_cycle, n, dim, ok: whether every cycle has as many chips of one dimension as the largest.
+
+    Without ``counts`` only the dimension is compared: cycles need not show the same places.
+    """
     per = store.groupBy("source_cycle").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dim"), F.max(F.size("embedding")).alias("top"))
     most = per.agg(F.max("n").alias("most_n"), F.max("top").alias("most_d"))  # one row
-    return per.crossJoin(F.broadcast(most)).select("source_cycle", "n", "dim", ((F.col("n") == F.col("most_n")) & (F.col("dim") == F.col("most_d"))).alias("ok"))
+    ok = F.col("dim") == F.col("most_d")
+    if counts:
+        ok = (F.col("n") == F.col("most_n")) & ok
+    return per.crossJoin(F.broadcast(most)).select("source_cycle", "n", "dim", ok.alias("ok"))

@@ -171,3 +171,10 @@ def test_encoders(spark):
     chips = spark.createDataFrame([("2020", "c1", bytearray(range(48)), 3, 4, 4), ("2022", "c2", bytearray(48), 3, 4, 4)], "cycle string, chip_id string, pixels binary, n_bands int, h int, w int")
     fresh = spark.createDataFrame([("hash-64", "rgb", "2020")], "model_id string, bands string, cycle string")
     assert [r["chip_id"] for r in encoders.embed_chips(chips, "hash-64", "rgb", fresh).collect()] == ["c2"]
+
+
+def test_same_shape(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [1.0, 2.0]), ("b", [1.0, 2.0]), ("c", [1.0]), ("c", [1.0, 2.0])], "source_cycle string, embedding array<double>")
+    ok = lambda **o: {r["source_cycle"]: r["ok"] for r in S.same_shape(rows, **o).collect()}
+    assert ok() == {"a": True, "b": False, "c": False}
+    assert ok(counts=False) == {"a": True, "b": True, "c": False}
