@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,39 +136,48 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
 def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = 30) -> Column:
     """Metres along the ellipsoid (GRS80) between points in degrees, by Vincenty's inverse iteration; null if it has not settled.
 
-    It does not settle between nearly antipodal points. Equal points are 0 apart.
+    It does not settle between nearly antipodal points. Equal points are 0 apart. Batches are computed by NumPy: as nested
+    expressions each step is evaluated many times over, as is the body of a lambda function.
     """
-    f = 1 / INV_F
-    b = A * (1 - f)
-    u1, u2 = (F.atan((1 - f) * F.tan(F.radians(lat))) for lat in (lat1, lat2))
-    s1, c1, s2, c2, span = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2), F.radians(lon2 - lon1)
 
-    def parts(lam: Column) -> tuple[Column, ...]:
-        sin = F.sqrt(F.pow(c2 * F.sin(lam), 2) + F.pow(c1 * s2 - s1 * c2 * F.cos(lam), 2))
-        cos = s1 * s2 + c1 * c2 * F.cos(lam)
-        alpha = F.when(sin == 0, 0.0).otherwise(c1 * c2 * F.sin(lam) / sin)  # the sine of the azimuth at the equator
-        square = 1 - alpha * alpha
-        middle = F.when(square == 0, 0.0).otherwise(cos - 2 * s1 * s2 / square)
-        return sin, cos, F.atan2(sin, cos), alpha, square, middle
+    @F.pandas_udf("double")
+    def metres(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
+        return pd.Series(vincenty(*(np.asarray(v, np.float64) for v in (lon1, lat1, lon2, lat2)), steps))
 
-    def step(state: Column) -> Column:
-        sin, cos, sigma, alpha, square, middle = parts(state["lam"])
-        c = f / 16 * square * (4 + f * (4 - 3 * square))
-        lam = span + (1 - c) * f * alpha * (sigma + c * sin * (middle + c * cos * (2 * middle * middle - 1)))
-        return F.struct(lam.alias("lam"), F.abs(lam - state["lam"]).alias("moved"))
+    return metres(lon1, lat1, lon2, lat2)
 
-    # aggregate() keeps each step's value, where nested expressions would repeat it.
-    start = F.struct(span.alias("lam"), F.lit(1.0).alias("moved"))
 
-    def length(end: Column) -> Column:
-        sin, cos, sigma, _, square, middle = parts(end["lam"])
+def vincenty(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray, steps: int) -> np.ndarray:
+    """``geodesic`` of arrays; NaN if it has not settled."""
+    f = 1 / INV_F
+    b = A * (1 - f)
+    u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(lat))) for lat in (lat1, lat2))
+    s1, c1, s2, c2, span = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2), np.radians(lon2 - lon1)
+
+    def parts(lam: np.ndarray) -> tuple[np.ndarray, ...]:
+        sin = np.sqrt((c2 * np.sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * np.cos(lam)) ** 2)
+        cos = s1 * s2 + c1 * c2 * np.cos(lam)
+        alpha = np.where(sin == 0, 0.0, c1 * c2 * np.sin(lam) / sin)  # the sine of the azimuth at the equator
+        square = 1 - alpha * alpha
+        middle = np.where(square == 0, 0.0, cos - 2 * s1 * s2 / square)
+        return sin, cos, np.arctan2(sin, cos), alpha, square, middle
+
+    with np.errstate(invalid="ignore", divide="ignore"):
+        lam, moved = span, np.ones(span.shape)
+        for _ in range(steps):
+            sin, cos, sigma, alpha, square, middle = parts(lam)
+            c = f / 16 * square * (4 + f * (4 - 3 * square))
+            now = span + (1 - c) * f * alpha * (sigma + c * sin * (middle + c * cos * (2 * middle * middle - 1)))
+            settled = moved < 1e-13
+            if settled.all():
+                break
+            lam, moved = np.where(settled, lam, now), np.where(settled, moved, np.abs(now - lam))
+        sin, cos, sigma, _, square, middle = parts(lam)
         u = square * (A * A - b * b) / (b * b)
         big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
         small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
         change = small * sin * (middle + small / 4 * (cos * (2 * middle * middle - 1) - small / 6 * middle * (4 * sin * sin - 3) * (4 * middle * middle - 3)))
-        return F.when(end["moved"] < 1e-12, b * big * (sigma - change))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda state, _: F.when(state["moved"] < 1e-13, state).otherwise(step(state)), length)
+        return np.where(moved < 1e-12, b * big * (sigma - change), np.nan)
 
 
 # UTM zone 16 north on GRS80. Fixed values of the projection.
