@@ -110,3 +110,11 @@ def test_geodesic_of_many_rows_is_vectorised(spark):
     assert time.monotonic() - started < 60
     assert far["n"] == 300_000 and 111_000 < far["low"] < far["high"] < 157_500
     assert spark.range(1).select(geo.geodesic(F.lit(None).cast("double"), F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("m")).first()["m"] is None
+
+
+def test_points_at_one_place_meet_the_areas_once(spark):
+    ring = [{"x": 100 * math.cos(i / 50 * math.pi), "y": 100 * math.sin(i / 50 * math.pi)} for i in range(100)]
+    points = spark.range(3000).select("id", (F.col("id") % 3 * 60).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = areas.points_in_areas(points, spark.createDataFrame([(7, 0, ring)], RINGS), "id", 50.0)
+    assert "keys=[knownfloatingpointnormalized(normalizenanandzero(x" in got._jdf.queryExecution().executedPlan().toString()  # distinct places, before any join
+    assert sorted(r["id"] for r in got.collect()) == [i for i in range(3000) if i % 3 < 2]
