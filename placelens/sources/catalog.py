@@ -2,7 +2,7 @@
 
 A catalog is a folder of item files by year, ``year=2018/*.json``, one GeoJSON feature a line (``write_items``). The reader takes
 comparisons of the item's columns with constants: those on ``year`` and ``ts`` leave out whole files before any is opened, the
-others leave out items before they reach Spark. Each file is a partition of its own.
+others leave out items before they reach Spark. Each ``SPLIT`` bytes of a file are a partition, which reads line by line.
 
 Files are reached through Arrow's file systems (local, S3, GCS, HDFS), from the driver for the listing and from tasks for reading.
 """
@@ -22,12 +22,18 @@ ITEMS = "item_id string, ts timestamp, cloud_cover double, xmin double, ymin dou
 COLUMNS = [f.split()[0] for f in ITEMS.split(", ")]
 #: What a filter says of a value that is not null.
 TESTS = {EqualTo: lambda v, x: v == x, GreaterThan: lambda v, x: v > x, GreaterThanOrEqual: lambda v, x: v >= x, LessThan: lambda v, x: v < x, LessThanOrEqual: lambda v, x: v <= x, In: lambda v, x: v in x, IsNotNull: lambda v, x: True}
+#: Bytes of a file that one task reads, and bytes it holds at a time (but for longer lines).
+SPLIT, CHUNK = 1 << 25, 1 << 20
 
 
 @dataclass
 class ItemFile(InputPartition):
+    """The lines of a file that begin from byte ``start`` to before ``end`` (None: to the last)."""
+
     path: str
     year: int
+    start: int = 0
+    end: int | None = None
 
 
 def file_system(path: str):
@@ -55,6 +61,26 @@ def may_hold(filters: Sequence[Filter], year: int) -> bool:
     return True
 
 
+def lines_of(f, start: int, end: int | None) -> Iterator[bytes]:
+    """The lines of a file that begin from byte ``start`` to before ``end``; one that crosses ``end`` is read to its own end."""
+    at = max(start - 1, 0)  # a line begins at ``start`` if the byte before it ends one
+    f.seek(at)
+    rest, skip = b"", start > 0
+    while chunk := f.read(CHUNK):
+        parts = (rest + chunk).split(b"\n")
+        rest = parts.pop()
+        for line in parts:
+            begin, at = at, at + len(line) + 1
+            if end is not None and begin >= end:
+                return
+            if skip:
+                skip = False
+            else:
+                yield line
+    if rest and not skip and (end is None or at < end):
+        yield rest
+
+
 class CatalogReader(DataSourceReader):
     def __init__(self, path: str):
         self.path, self.filters = path, []
@@ -76,15 +102,15 @@ class CatalogReader(DataSourceReader):
         for info in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
             folder = next((p for p in info.path.split("/") if p.startswith("year=")), None)
             if info.type == fs.FileType.File and folder and info.base_name.endswith(".json") and folder[5:].lstrip("-").isdigit() and may_hold(self.filters, int(folder[5:])):
-                found.append(ItemFile(info.path, int(folder[5:])))
+                found += [ItemFile(info.path, int(folder[5:]), at, min(at + SPLIT, info.size)) for at in range(0, info.size, SPLIT)]
         return found or [ItemFile("", 0)]
 
     def read(self, partition: ItemFile) -> Iterator[tuple]:
         if not partition.path:
             return
         system, _ = file_system(self.path)
-        with system.open_input_stream(partition.path) as f:
-            for line in f.read().decode("utf-8").splitlines():
+        with system.open_input_file(partition.path) as f:
+            for line in lines_of(f, partition.start, partition.end):
                 if line.strip():
                     item = parsed(json.loads(line), partition.year)
                     if holds(self.filters, item):

@@ -155,3 +155,37 @@ def test_sweep_equals_single_searches(spark):
     assert sweep.ranked_lists(store, none).collect() == [] == sweep.place_scores(store, none).collect()
     assert evaluation.metrics(sweep.ranked_lists(store, none).drop("score"), spark.createDataFrame([], "concept string, chip_location_id string")).collect() == []
     assert vectors.check_query([1]) == [1.0]
+
+
+@pytest.mark.parametrize("split, chunk", [(1, 7), (13, 5), (40, 1000), (1000, 3)])
+def test_parts_of_a_file_hold_each_line_once(tmp_path, monkeypatch, split, chunk):
+    monkeypatch.setattr(source, "SPLIT", split)
+    monkeypatch.setattr(source, "CHUNK", chunk)
+    (tmp_path / "year=2018").mkdir()
+    lines = [json.dumps({"id": f"i{k} é" * (k % 4), "properties": {}}, ensure_ascii=False) for k in range(40)]
+    (tmp_path / "year=2018" / "a.json").write_bytes("\n".join([*lines[:9], "", *lines[9:]]).encode() + b"\n" * (split % 2))
+    reader = source.CatalogReader(str(tmp_path))
+    parts = reader.partitions()
+    assert len(parts) > 1
+    assert [item[0] for part in parts for item in reader.read(part)] == [json.loads(line)["id"] for line in lines]
+
+
+def test_a_part_is_read_in_pieces(tmp_path):
+    """A task does not hold a whole file."""
+    class File:
+        def __init__(self, f):
+            self.f, self.most = f, 0
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n=-1):
+            got = self.f.read(n)
+            self.most = max(self.most, len(got))
+            return got
+
+    path = tmp_path / "a"
+    path.write_bytes(b"x" * 99 + b"\n" + (b"y" * 99 + b"\n") * 40_000)
+    with open(path, "rb") as f:
+        held = File(f)
+        assert sum(1 for _ in source.lines_of(held, 0, None)) == 40_001 and held.most <= source.CHUNK < 4_000_000
