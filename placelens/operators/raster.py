@@ -25,6 +25,13 @@ TILES = "raster string, band int, tile_row int, tile_col int, height int, width
 META = "raster string, `left` double, top double, pixel double, height int, width int"
 #: Pixels of a window at most: it is assembled in one task.
 MOST_PIXELS = 1 << 26
+#: So many rows of ``meta`` are sent to all tasks; with more, rows meet them by a shuffle.
+SENT = 500_000
+
+
+def sent(meta: DataFrame) -> DataFrame:
+    """``meta`` to be joined by raster: few rasters have many rows each, which a shuffle by raster would put into one task."""
+    return F.broadcast(meta) if meta.limit(SENT + 1).count() <= SENT else meta
 
 
 def cut(pixels: DataFrame, meta: DataFrame, side: int = 256, dtype: str = "<u2") -> DataFrame:
@@ -32,8 +39,8 @@ def cut(pixels: DataFrame, meta: DataFrame, side: int = 256, dtype: str = "<u2")
 
     Tiles without a pixel are left out; pixels outside their raster go.
     """
-    inside = pixels.join(meta.select("raster", "height", "width"), "raster").filter("row BETWEEN 0 AND height - 1 AND col BETWEEN 0 AND width - 1 AND value IS NOT NULL")
-    once = inside.groupBy("raster", "band", "row", "col").agg(F.max("value").alias("value"), F.max("height").alias("height"), F.max("width").alias("width"))
+    once = pixels.filter("row >= 0 AND col >= 0 AND value IS NOT NULL").groupBy("raster", "band", "row", "col").agg(F.max("value").alias("value"))
+    inside = once.join(sent(meta.select("raster", "height", "width")), "raster").filter("row < height AND col < width")
     place = {f"tile_{c}": F.floor(F.col(c) / side).cast("int") for c in ("row", "col")}
 
     def block(key, table):
@@ -43,7 +50,7 @@ def cut(pixels: DataFrame, meta: DataFrame, side: int = 256, dtype: str = "<u2")
         out[table.column("row").to_numpy() - r * side, table.column("col").to_numpy() - c * side] = table.column("value").to_numpy()
         return pa.table([[raster], pa.array([band], pa.int32()), *(pa.array([v], pa.int32()) for v in (r, c, h, w)), pa.array([out.tobytes()], pa.binary())], names=[f.split()[0] for f in TILES.split(", ")])
 
-    return once.withColumns(place).groupBy("raster", "band", "tile_row", "tile_col").applyInArrow(block, TILES)
+    return inside.withColumns(place).groupBy("raster", "band", "tile_row", "tile_col").applyInArrow(block, TILES)
 
 
 def write(tiles: DataFrame, folder: str) -> None:
@@ -59,7 +66,7 @@ def windows_of(boxes: DataFrame, meta: DataFrame, key: str) -> DataFrame:
 
     A thousandth of a pixel is forgiven, as boxes on whole pixels miss them by rounding. Boxes that miss their raster go.
     """
-    m = boxes.join(meta.withColumnsRenamed({"height": "rows", "width": "cols"}), "raster")
+    m = boxes.join(sent(meta.withColumnsRenamed({"height": "rows", "width": "cols"})), "raster")
     near = lambda c: F.round(c / F.col("pixel"), 3)
     r, c = F.floor(near(F.col("top") - F.col("ymax"))).cast("int"), F.floor(near(F.col("xmin") - F.col("left"))).cast("int")
     h, w = F.ceil(near(F.col("ymax") - F.col("ymin"))).cast("int"), F.ceil(near(F.col("xmax") - F.col("xmin"))).cast("int")

@@ -122,3 +122,16 @@ def test_projection_agrees_with_columns(spark):
     rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(lon, lat, strict=True)], "lon double, lat double").select(*geo.to_utm(F.col("lon"), F.col("lat"))).collect()
     assert np.allclose([tuple(r) for r in rows], np.stack([x, y], axis=1), atol=1e-6)
     assert np.allclose(raster.Crs().to_degrees(x, y), (lon, lat), atol=1e-11)
+
+
+def test_pixels_and_boxes_are_not_shuffled_by_raster(spark):
+    """One raster may have all pixels, so its tasks would hold them all."""
+    meta = spark.createDataFrame([("a", 0.0, 100.0, 1.0, 90, 70)], raster.META)
+    pixels = spark.range(40_000).select(F.when(F.col("id") >= 0, "a").alias("raster"), F.lit(1).alias("band"), (F.col("id") % 100 - 5).cast("int").alias("row"), F.expr("cast(id div 100 % 80 - 5 as int)").alias("col"), F.expr("cast(id div 8000 + 1 as int)").alias("value"))
+    tiles = raster.cut(pixels, meta, 32)
+    boxes = spark.createDataFrame([(1, "a", 2.0, 60.0, 9.0, 70.0)], "id int, raster string, xmin double, ymin double, xmax double, ymax double")
+    for df in (tiles, raster.windows_of(boxes, meta, "id")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = raster.pixels_of(tiles, 32).collect()
+    assert {(r["row"], r["col"]) for r in got} == {(r, c) for r in range(90) for c in range(70)} and len(got) == 6300 and {r["value"] for r in got} == {5}
