@@ -11,13 +11,14 @@ r * (a + b + 1) + 1 + a at most, which is (r + 1) * (1 - t) * n + r + 1 at most
 So similar lines have a run of r + 1 words of their prefixes of that length in common. With r = 1 (pairs), such a run is rarely
 shared by chance, and most runs occur once in the corpus.
 
-Runs are counted by an aggregation, which also names the lines of runs that two or three lines share. Lines of more common runs
-are held against the first line of the run. Such pairs pass the length filter and a positional one (the prefixes of a similar
-pair must share as many runs and words as those outside their intersection leave), then the whole sets of the likeliest pair
-of each line are compared. Only lines that found no match there are compared with all others they share a run with. A run in
-more than ``CROWD`` lines is crowded: lines with such a run meet by longer runs (r = 2, 3), which exist for every similar pair.
-What is crowded even then is joined with all before it, again only for lines without a match, and held against the parities of
-its words first; Spark splits such a join.
+Runs are counted by an aggregation, in ``SLICES`` passes, so that a part of them is on disk at a time. A line has parities: of its
+words in 117 classes, which differ in no more places than the sets in words. Of two or
+three lines that share a run by chance none become a pair. Lines of more common runs are held against the first line of the run, if
+parities allow it, then those without a match against all others of the run. Whole sets decide.
+
+A run in more than ``CROWD`` lines is crowded: lines with such a run meet by longer runs (r = 2, 3), which exist for every
+similar pair. What is crowded even then, and what is too small for them, asks by a semi join whether an earlier line of the run
+is similar by its whole set: pairs are no rows, and a line stops at its first match. Spark splits such a join.
 
 Equal sets meet by a partial aggregation first, so a line that a third of all documents share is one row.
 
@@ -29,6 +30,7 @@ table gives an empty result; columns beside id and text are not read, ``clean``
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +44,10 @@ BLANKS = "\t\x0b\x0c\r"
 NAMED = 500_000
 #: A run of words in more lines than this is crowded.
 CROWD = 64
-#: A crowded line that found no match by longer runs is held against so many earlier lines of a run before it meets all.
-HEADS = 32
-#: Longs of parities of a crowded line's words, a power of two.
-PARITIES = 4
+#: Passes over the runs; each holds a part of them in its shuffle.
+SLICES = 3
+#: Low bits of a line's second parities hold its size, up to this.
+SIZES = (1 << 11) - 1
 #: Words between two shared ones: the lengths of runs, less one, that are tried in turn.
 RUNS = (1, 2, 3)
 
@@ -60,7 +62,7 @@ def plain(text: Column) -> Column:
 
 def rarity_table(docs: DataFrame) -> Column:
     """An array constant of ``SKETCH`` counters: four times the log2 of the occurrences of the words hashed to each."""
-    words = docs.select(F.explode(F.split(plain(F.col("text")), "[ \n]")).alias("w")).filter("w != ''")
+    words = docs.select(F.explode(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w != ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("c")).count()
     table = [0] * SKETCH
     for r in counts.select("c", F.least(F.floor(4 * F.log2("count")), F.lit(255)).alias("q")).collect():  # SKETCH rows at most
@@ -72,11 +74,11 @@ def keyed_lines(docs: DataFrame, rarity: Column) -> DataFrame:
     """The columns of ``docs`` but its text, number, keys (rarest first) and n of each line with a word."""
     others = [c for c in docs.columns if c != "text"]
     lines = docs.select(*others, F.posexplode(F.split(plain(F.col("text")), "\n")).alias("number", "line")).filter(F.trim("line") != "")
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     mask, zero = F.lit(SKETCH - 1).cast("long"), F.lit(0).cast("long")
     # Never null, so that arrays are sorted as plain longs. Words of one key are one word from here on.
-    keys = F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(rarity, h.bitwiseAND(mask).cast("int")), zero), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))
-    return lines.select(*others, "number", F.sort_array(F.array_distinct(keys)).alias("keys")).withColumn("n", F.size("keys"))
+    key = lambda w: F.shiftleft(F.coalesce(F.get(rarity, F.xxhash64(w).bitwiseAND(mask).cast("int")), zero), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9))
+    keys = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), key)), key(F.lit("")))
+    return lines.select(*others, "number", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys"))
 
 
 def prefix_length(n: Column, r: int, t: float) -> Column:
@@ -90,67 +92,70 @@ def least_size(r: int, t: float) -> int:
     return math.ceil((r + 1) * (1 + t) / slope / 2 - 1e-9) if slope > 1e-9 else 1 << 30
 
 
-def runs(sets: DataFrame, words: str, r: int, t: float) -> DataFrame:
-    """key, unit, n of each run of r + 1 neighbours in the prefix of each set; ``words`` holds hashes, rarest first."""
-    at = sets.select("unit", "n", words, F.posexplode(F.slice(words, 1, prefix_length(F.col("n"), r, t))).alias("i", "w"))
+def runs(sets: DataFrame, words: str, r: int, t: float, part: int | None = None) -> DataFrame:
+    """key, unit and parities p, q of each run of r + 1 neighbours in the prefix of each set; ``words`` holds hashes, rarest first.
+
+    ``part``: only the runs of that slice of their first words.
+    """
+    last = prefix_length(F.col("n"), r, t)
+    at = sets.select("unit", "n", "p", "q", words, F.posexplode(F.slice(words, 1, last)).alias("i", "w"))
+    if part is not None:
+        at = at.filter(F.pmod("w", F.lit(SLICES)) == part)
     others = [F.get(words, F.col("i") + k) for k in range(1, r + 1)]
-    return at.filter(F.col("i") + r < prefix_length(F.col("n"), r, t)).select(F.xxhash64("w", *others).alias("key"), "unit", "n")
+    return at.filter(F.col("i") + r < last).select(F.xxhash64("w", *others).alias("key"), "unit", "p", "q")
 
 
 def fits(n1: Column, n2: Column, t: float) -> Column:
     return (n1 >= t * n2 - 1e-9) & (n2 >= t * n1 - 1e-9)
 
 
-def shared_words(n1: Column, n2: Column, t: float) -> Column:
-    """How many words similar sets of these sizes have in common in their prefixes (r = 1), at least."""
-    need = F.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
-    return F.least(prefix_length(n1, 1, t) - n1, prefix_length(n2, 1, t) - n2) + need
+def size_of(q: Column) -> Column:
+    return q.bitwiseAND(F.lit(SIZES).cast("long"))
 
 
-def shared_runs(n1: Column, n2: Column, t: float) -> Column:
-    """How many pairs of neighbours, likewise: each word outside the intersection parts two shared ones at most."""
-    need = F.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
-    return F.greatest(shared_words(n1, n2, t) - 1 - (n1 + n2 - 2 * need), F.lit(1))
+def apart(total: Column, t: float) -> Column:
+    """In how many words similar sets of so many words together differ, at most."""
+    return total - 2 * F.ceil(t / (1 + t) * total - 1e-9)
 
 
-def parities(keyed: DataFrame) -> DataFrame:
-    """unit and the parities of the words of each set in ``PARITIES`` * 64 classes: they differ in no more places than the sets in words."""
+def parities(keys: str) -> tuple[Column, Column]:
+    """p: parities of the words in 64 classes; q: those in 53 others, and the size of the set, ``SIZES`` at most. A word has one class."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    part = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(PARITIES - 1).cast("long"))
-    only = lambda j: lambda a, k: a.bitwiseXOR(F.when(part(k) == j, bit(k)).otherwise(zero))
-    return keyed.select("unit", *[F.aggregate("keys", zero, only(j)).alias(f"p{j}") for j in range(PARITIES)])
+    odd = lambda put, bits: F.aggregate(keys, zero, lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", put(k), bits(F.shiftright(k, 1)).cast("int"))))
+    p = odd(lambda k: k.bitwiseAND(one), lambda k: k.bitwiseAND(F.lit(63).cast("long")))
+    q = odd(lambda k: F.bitwise_not(k).bitwiseAND(one), lambda k: k.bitwiseAND(F.lit(0xFFFFF).cast("long")) % 53 + 11)
+    return p, q.bitwiseOR(F.least(F.size(keys), F.lit(SIZES)).cast("long"))
 
 
-def sent(names: DataFrame) -> DataFrame:
-    """Written names: sent to all tasks if they are few, else joined by a shuffle."""
-    return F.broadcast(names) if names.count() <= NAMED else names
+def differences(p: Column, q: Column) -> Column:
+    """In how many classes two lines differ, by the exclusive or of their parities."""
+    return F.bit_count(p) + F.bit_count(F.shiftrightunsigned(q, 11))
 
 
-def beside(pairs: DataFrame, sets: DataFrame, words: str) -> DataFrame:
-    """``pairs`` (unit, earlier; distinct, written) with the words w and size n of the unit's set, and v and m of the earlier one's."""
-    pairs = sent(pairs)
-    x = sets.select("unit", "n", F.col(words).alias("w")).join(pairs, "unit")
-    y = sets.select(F.col("unit").alias("earlier"), F.col("n").alias("m"), F.col(words).alias("v")).join(pairs.select("unit", "earlier"), "earlier")
-    return x.join(y, ["unit", "earlier"])
+def near(p1: Column, q1: Column, p2: Column, q2: Column, t: float) -> Column:
+    """Whether two lines may be similar, as far as sizes and parities tell."""
+    n, m = size_of(q1), size_of(q2)
+    may = fits(n, m, t) & (differences(p1.bitwiseXOR(p2), q1.bitwiseXOR(q2)) <= apart(n + m, t))
+    return may | (n == SIZES) | (m == SIZES)
 
 
-def likely(pairs: DataFrame, units: DataFrame, t: float) -> DataFrame:
-    """unit, earlier and the number of shared prefix words of the pairs that share as many as similar sets do, written.
+def sent(names: DataFrame) -> DataFrame:
+    """Written names: sent to all tasks if they are few, else joined by a shuffle."""
+    return F.broadcast(names) if names.count() <= NAMED else names
 
-    Words of one prefix whose 32 bits are equal are counted once by the intersection, so a pair that lacks as many is kept.
-    """
-    both, need = F.size(F.array_intersect("w", "v")), shared_words(F.col("n"), F.col("m"), t)
-    at = beside(materialise(pairs, "line-pairs"), units, "prefix").filter(fits(F.col("n"), F.col("m"), t))
-    alike = (both >= need) | (both + F.size("w") - F.size(F.array_distinct("w")) >= need)
-    return materialise(at.filter(alike).select("unit", "earlier", both.alias("c")), "line-likely")
+
+def alike(w: str, v: str, t: float) -> Column:
+    """Whether two whole sets reach ``t``."""
+    n, m, common = F.size(w), F.size(v), F.size(F.array_intersect(w, v))
+    return fits(n, m, t) & (common >= t * (n + m - common) - 1e-9)
 
 
 def similar(pairs: DataFrame, keyed: DataFrame, t: float) -> DataFrame:
-    """unit of the later line of each pair whose whole sets reach ``t``, written; ``keyed``: unit, keys, n."""
-    common = F.size(F.array_intersect("w", "v"))
-    alike = fits(F.col("n"), F.col("m"), t) & (common >= t * (F.col("n") + F.col("m") - common) - 1e-9)
-    return materialise(beside(materialise(pairs, "line-pairs"), keyed, "keys").filter(alike).select("unit").distinct(), "line-found")
+    """unit of the later line of each pair (unit, earlier; written) whose whole sets reach ``t``, written; ``keyed``: unit, keys."""
+    pairs = sent(pairs)
+    x = keyed.select("unit", F.col("keys").alias("w")).join(pairs, "unit")
+    y = keyed.select(F.col("unit").alias("earlier"), F.col("keys").alias("v")).join(pairs, "earlier")
+    return materialise(x.join(y, ["unit", "earlier"]).filter(alike("w", "v", t)).select("unit").distinct(), "line-found")
 
 
 def place_of(docs: DataFrame) -> tuple[DataFrame, Column]:
@@ -178,13 +183,12 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
         raise ValueError("t must be over 0.75 and at most 1")
     rarity = rarity_table(docs)
     texts, place = place_of(docs)
-    n = F.col("n")
-    # Only equality of prefix words matters from here on: 32 bits of each will do. A chance match of words of two lines fails a
-    # later filter, one of two words of a line is allowed for where shared words are counted (see ``likely``).
-    prefix = F.transform(F.slice("keys", 1, prefix_length(n, RUNS[0], t)), lambda k: F.hash(k))
+    # Only equality of prefix words matters from here on: 32 bits of each will do, a chance match fails a later test.
+    prefix = F.transform(F.slice("keys", 1, prefix_length(F.col("n"), RUNS[0], t)), lambda k: F.hash(k))
     lines = keyed_lines(texts.select("row", "id", "text"), rarity).withColumn("line", F.monotonically_increasing_id())
-    lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("hash"), prefix.alias("prefix")), "line-sets")
-    units = materialise(lines.groupBy("n", "hash", "prefix").agg(F.min("unit").alias("unit")).select("unit", "n", "prefix"), "line-units")
+    marks = [x.alias(c) for x, c in zip(parities("keys"), "pq", strict=True)]
+    lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("hash"), *marks, prefix.alias("prefix")), "line-sets")
+    units = materialise(lines.groupBy("n", "hash", "prefix").agg(F.min("unit").alias("unit"), F.min("p").alias("p"), F.min("q").alias("q")).select("unit", "n", "p", "q", "prefix"), "line-units")
 
     def sets(named: DataFrame) -> DataFrame:
         """unit, keys and n of the named units, from the texts."""
@@ -196,88 +200,64 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
         parts = own.select(F.explode("named").alias("x"), F.split("text", "\n").alias("parts")).select("x.unit", F.get("parts", F.col("x.number")).alias("text"))
         return materialise(keyed_lines(parts, rarity).select("unit", "keys", "n"), "line-keys")
 
-    def without(pairs: DataFrame, gone: DataFrame | None) -> DataFrame:
-        """Pairs whose later line found no match yet."""
-        return pairs if gone is None else pairs.join(sent(gone), "unit", "left_anti")
+    def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        """Rows whose line found no match yet."""
+        return rows.join(sent(gone), "unit", "left_anti")
 
-    def meet(members: DataFrame, gone: DataFrame, marks: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
-        """unit, earlier, and their sizes n and m: lines with a run in common, of which the later found no match yet.
+    p, q, ep, eq = (F.col(c) for c in ("p", "q", "ep", "eq"))
+    led = (F.col("unit") != F.col("head")) & near(p, q, ep, eq, t)
 
-        ``marks``: parities of the lines, by which pairs that differ in too many words are not made. ``others``: earlier lines
-        instead of all.
+    def shared(rows: DataFrame) -> DataFrame:
+        """Lines of runs of two or more, with how many have it (c), the first of them (head) and its parities (ep, eq), written.
+
+        Of two or three lines, only those that may be similar to another; the third's parities follow from those of all.
+        The runs are shuffled once, for the aggregation and the join.
         """
-        others = members if others is None else others
-        if marks is not None:
-            members, others = members.join(marks, "unit"), others.join(marks, "unit")
-        bits = [f"p{j}" for j in range(PARITIES)] if marks is not None else []
-        x = without(members, gone).select("key", "unit", "n", *bits)
-        y = others.select("key", F.col("unit").alias("earlier"), F.col("n").alias("m"), *[F.col(p).alias(f"e{p}") for p in bits])
-        near = (F.col("earlier") < F.col("unit")) & fits(n, F.col("m"), t)
-        if bits:
-            apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"e{p}"))) for p in bits), F.lit(0))
-            near = near & (apart <= n + F.col("m") - 2 * F.ceil(t / (1 + t) * (n + F.col("m")) - 1e-9))
-        return x.join(y, "key").filter(near).select("unit", "earlier", "n", "m")
+        rows = rows.repartition("key")
+        by = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("unit").alias("head"), F.min_by("p", "unit").alias("ep"), F.min_by("q", "unit").alias("eq"), F.bit_xor("p").alias("xp"), F.bit_xor("q").alias("xq"))
+        x, y = rows.alias("x"), by.filter("c > 1").alias("y").hint("shuffle_hash")
+        third = (F.col("c") == 3) & (F.col("unit") != F.col("head")) & near(p, q, F.col("xp").bitwiseXOR(p).bitwiseXOR(ep), F.col("xq").bitwiseXOR(q).bitwiseXOR(eq), t)
+        kept = (F.col("c") > CROWD) | (F.col("c") > 3) & (F.col("unit") != F.col("head")) | led | third
+        return materialise(x.join(y, (F.col("x.key") == F.col("y.key")) & kept).select("x.key", "unit", "p", "q", "c", "head", "ep", "eq"), "line-runs")
+
+    def earlier_than(others: DataFrame, *more: str) -> DataFrame:
+        return others.select("key", F.col("unit").alias("earlier"), F.col("p").alias("ep"), F.col("q").alias("eq"), *more)
 
+    before = (F.col("earlier") < F.col("unit")) & near(p, q, ep, eq, t)
     gone, keyed = None, None
-    source, words = units.filter(n >= 4), "prefix"  # smaller sets have no similar set but themselves
-    sizes = units.select("unit", "n")
+    source, words = units.filter("n >= 4"), "prefix"  # smaller sets have no similar set but themselves
     for r in RUNS:
-        rows = runs(source, words, r, t)
-        counted = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("unit").alias("head"), F.max("unit").alias("last"), third(units)).filter("c > 1")
-        counted = materialise(counted, "line-runs")
-        direct = counted.filter(F.col("c") <= F.when(F.col("mid").isNull(), 2).otherwise(3)).select(F.explode(F.array_compact(F.array(
-            F.struct(F.col("last").alias("unit"), F.col("head").alias("earlier")),
-            *[F.when((F.col("c") == 3) & (x != y), F.struct(x.alias("unit"), y.alias("earlier"))) for x, y in ((F.col("mid"), F.col("head")), (F.col("last"), F.col("mid")))],
-        ))).alias("p")).select("p.unit", "p.earlier")
-        many = counted.filter(F.col("c") > F.when(F.col("mid").isNull(), 2).otherwise(3)).select("key", "head", (F.col("c") > CROWD).alias("crowded"))
-        members = materialise(rows.join(sent(many), "key"), "line-members")
-        crowd = members.filter("crowded")
+        parts = range(SLICES) if r == RUNS[0] else [None]
+        found = reduce(DataFrame.union, [shared(runs(source, words, r, t, part)) for part in parts])
+        members = found.filter(F.col("c").between(3, CROWD)).drop("ep", "eq")
+        crowd = found.filter(F.col("c") > CROWD).drop("ep", "eq")
         crowded = crowd.head() is not None
-        per = lambda rows: sent(materialise(rows.groupBy("unit").agg(F.count("*").alias("hidden")), "line-hidden"))
-        enough = F.col("c") + F.coalesce("hidden", F.lit(0)) >= shared_runs(n, F.col("m"), t)
-        first = direct.union(members.select("unit", F.col("head").alias("earlier"))).filter("unit != earlier").groupBy("unit", "earlier").agg(F.count("*").alias("c"))
-        if r == RUNS[0]:  # a similar pair has several runs in common, a chance pair one; those of many lines may hide
-            sized = first.join(sizes, "unit").join(sizes.select(F.col("unit").alias("earlier"), F.col("n").alias("m")), "earlier")
-            first = sized.join(per(members), "unit", "left").filter(fits(n, F.col("m"), t) & enough)
-        first = likely(without(first.select("unit", "earlier"), gone), units, t)
+        first = found.filter(led).select("unit", F.col("head").alias("earlier")).distinct()
+        first = materialise(first if gone is None else without(first, gone), "line-pairs")
         if keyed is None:
             named = first.select("unit").union(first.select("earlier"))
             keyed = sets(named.union(crowd.select("unit")) if crowded else named)
-        found = similar(first.groupBy("unit").agg(F.max_by("earlier", "c").alias("earlier")), keyed, t)
+        found = similar(first, keyed, t)
         gone = found if gone is None else materialise(gone.union(found), "line-gone")
-        small = least_size(r + 1, t) if r != RUNS[-1] else None
-        if crowded:
-            marks = sent(materialise(parities(keyed.join(sent(materialise(crowd.select("unit").distinct(), "line-crowd")), "unit", "left_semi")), "line-marks"))
-            if small is None:  # the likeliest of a few earlier lines of each run, before all of them
-                some = crowd.groupBy("key", F.pmod(F.xxhash64("unit"), F.lit(HEADS)).alias("part")).agg(F.min("unit").alias("unit")).select("key", "unit")
-                near = likely(meet(crowd, gone, marks, crowd.join(some, ["key", "unit"], "left_semi")).select("unit", "earlier").distinct(), units, t)
-                gone = materialise(gone.union(similar(near.groupBy("unit").agg(F.max_by("earlier", "c").alias("earlier")), keyed, t)), "line-gone")
-        others = meet(members.filter("NOT crowded"), gone)
-        if r == RUNS[0]:
-            none = F.lit(None).cast("int")
-            others = others.union(without(direct, gone).select("unit", "earlier", none, none)).groupBy("unit", "earlier").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m")).filter("n IS NOT NULL")
-            others = others.join(per(crowd), "unit", "left").filter(enough) if crowded else others.filter(F.col("c") >= shared_runs(n, F.col("m"), t))
-        others = others.select("unit", "earlier").union(without(first.select("unit", "earlier"), gone))
-        if crowded:  # those too small for longer runs, or all if there are no longer ones
-            again = meet(crowd, gone, marks) if small is None else meet(crowd.filter(n < small / t), gone, marks).filter((n < small) | (F.col("m") < small))
-            others = others.union(again.select("unit", "earlier"))
-        others = likely(others.distinct(), units, t)
-        more = sets(others.select("unit").union(others.select("earlier"))) if r == RUNS[0] else keyed
-        gone = materialise(gone.union(similar(others.select("unit", "earlier"), more, t)), "line-gone")
+        others = without(members, gone).join(earlier_than(members), "key").filter(before).select("unit", "earlier").distinct()
+        others = materialise(others.join(first, ["unit", "earlier"], "left_anti"), "line-pairs")
+        if others.head() is not None:
+            more = sets(others.select("unit").union(others.select("earlier"))) if r == RUNS[0] else keyed
+            gone = materialise(gone.union(similar(others, more, t)), "line-gone")
         if not crowded:
             break
-        source, words = keyed.join(sent(materialise(crowd.select("unit").distinct(), "line-crowd")), "unit", "left_semi"), "keys"
+        # Those too small for longer runs, or all if there are no longer ones.
+        small = least_size(r + 1, t) if r != RUNS[-1] else None
+        pool = crowd if small is None else crowd.filter(size_of(F.col("q")) < small / t)
+        whole = pool.join(keyed.select("unit", "keys"), "unit")
+        match = (F.col("x.key") == F.col("y.key")) & before & alike("x.keys", "y.v", t)
+        held = without(whole, gone).alias("x").join(earlier_than(whole, F.col("keys").alias("v")).alias("y"), match, "left_semi")
+        gone = materialise(gone.union(held.select("unit").distinct()), "line-gone")
+        source, words = keyed.join(sent(materialise(crowd.select("unit", "p", "q").distinct(), "line-crowd")), "unit"), "keys"
     kept = units.select("unit").join(gone, "unit", "left_anti")
     return lines.select("unit", "row", "number").join(kept, "unit", "left_anti").select("row", "number")
 
 
-def third(units: DataFrame) -> Column:
-    """Of three places, the one that is neither least nor most; null where places are decimals."""
-    if dict(units.dtypes)["unit"] != "bigint":
-        return F.min(F.lit(None).cast("decimal(38,0)")).alias("mid")
-    return F.bit_xor("unit").bitwiseXOR(F.min("unit")).bitwiseXOR(F.max("unit")).alias("mid")
-
-
 def removed_lines(docs: DataFrame, t: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0, in order): one row for each row of ``docs``."""
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))

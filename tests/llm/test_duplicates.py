@@ -142,6 +142,19 @@ def test_line_dedup_words_that_collide(spark, a, b):
     assert got == {(2, 0), (3, 0), (4, 0)} == {(k, n) for k, n in brute_lines(list(enumerate(lines)))}
 
 
+def test_line_dedup_crowds_are_no_pairs(spark, monkeypatch):
+    """What is crowded by longer runs too asks by a semi join on whole sets; parities drop no similar pair."""
+    made, write = [], line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "CROWD", 2)
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: made.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    base = [f"c{j}" for j in range(24)]
+    rows = [(i, " ".join([*base[:i], *(f"o{i}x{k}" for k in range(3 + i % 3)), *base[i + 1 :]])) for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], n) for r in line_dedup.removed_lines(docs).collect() for n in r["removed"]}
+    assert got == {(rows[k][0], n) for k, n in brute_lines(rows)}
+    assert any("Join LeftSemi" in p and "array_intersect" in p for p in made)
+
+
 def test_line_dedup_edges(odd, odd_rows, empty):
     docs = odd.coalesce(1)
     got = line_dedup.removed_lines(docs).collect()
