@@ -12,7 +12,7 @@ So similar lines have a run of r + 1 words of their prefixes of that length in c
 shared by chance, and most runs occur once in the corpus.
 
 Runs are counted by an aggregation, in ``SLICES`` passes, so that a part of them is on disk at a time. A line has parities: of its
-words in 117 classes, which differ in no more places than the sets in words. Of two or
+words in 53 classes, or in 106 if it is long, which differ in no more places than the sets in words. Of two or
 three lines that share a run by chance none become a pair. Lines of more common runs are held against the first line of the run, if
 parities allow it, then those without a match against all others of the run. Whole sets decide.
 
@@ -48,6 +48,10 @@ CROWD = 64
 SLICES = 3
 #: Low bits of a line's second parities hold its size, up to this.
 SIZES = (1 << 11) - 1
+#: Sets of more words than this have second parities.
+WIDE = 64
+#: About so many runs are one task's.
+RUNS_A_TASK = 500_000
 #: Words between two shared ones: the lengths of runs, less one, that are tried in turn.
 RUNS = (1, 2, 3)
 
@@ -75,9 +79,10 @@ def keyed_lines(docs: DataFrame, rarity: Column) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     lines = docs.select(*others, F.posexplode(F.split(plain(F.col("text")), "\n")).alias("number", "line")).filter(F.trim("line") != "")
     mask, zero = F.lit(SKETCH - 1).cast("long"), F.lit(0).cast("long")
-    # Never null, so that arrays are sorted as plain longs. Words of one key are one word from here on.
-    key = lambda w: F.shiftleft(F.coalesce(F.get(rarity, F.xxhash64(w).bitwiseAND(mask).cast("int")), zero), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9))
-    keys = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), key)), key(F.lit("")))
+    # Never null, so that arrays are sorted as plain longs. Words of one key are one word from here on. Each word is hashed once.
+    key = lambda h: F.shiftleft(F.coalesce(F.get(rarity, h.bitwiseAND(mask).cast("int")), zero), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
+    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    keys = F.array_remove(F.array_distinct(F.transform(hashes, key)), key(F.xxhash64(F.lit(""))))
     return lines.select(*others, "number", F.sort_array(keys).alias("keys")).withColumn("n", F.size("keys"))
 
 
@@ -118,24 +123,30 @@ def apart(total: Column, t: float) -> Column:
     return total - 2 * F.ceil(t / (1 + t) * total - 1e-9)
 
 
-def parities(keys: str) -> tuple[Column, Column]:
-    """p: parities of the words in 64 classes; q: those in 53 others, and the size of the set, ``SIZES`` at most. A word has one class."""
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    odd = lambda put, bits: F.aggregate(keys, zero, lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", put(k), bits(F.shiftright(k, 1)).cast("int"))))
-    p = odd(lambda k: k.bitwiseAND(one), lambda k: k.bitwiseAND(F.lit(63).cast("long")))
-    q = odd(lambda k: F.bitwise_not(k).bitwiseAND(one), lambda k: k.bitwiseAND(F.lit(0xFFFFF).cast("long")) % 53 + 11)
-    return p, q.bitwiseOR(F.least(F.size(keys), F.lit(SIZES)).cast("long"))
+def with_parities(lines: DataFrame) -> DataFrame:
+    """``lines`` with p: parities of the words in 53 classes; q: of those with an odd key alone, for sets over ``WIDE``, and the size, ``SIZES`` at most.
+
+    So two wide sets have 106 classes: those of q, and those of p without q.
+    """
+    zero, one, low = (F.lit(x).cast("long") for x in (0, 1, SIZES))
+    class_of = lambda k: F.shiftright(k, 1).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    folded = lambda c: F.col(c).bitwiseXOR(F.col(c).bitwiseAND(low)).bitwiseXOR(F.shiftleft(F.col(c).bitwiseAND(low), 11))  # noqa: E731 (64 classes to 53)
+    p = F.aggregate("keys", zero, lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, class_of(k))))
+    q = F.aggregate("keys", zero, lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", k.bitwiseAND(one), class_of(k))))
+    raw = lines.withColumns({"p": p, "q": F.when(F.col("n") > WIDE, q).otherwise(zero)})
+    return raw.withColumns({"p": folded("p"), "q": folded("q").bitwiseOR(F.least("n", F.lit(SIZES)).cast("long"))})
 
 
-def differences(p: Column, q: Column) -> Column:
-    """In how many classes two lines differ, by the exclusive or of their parities."""
-    return F.bit_count(p) + F.bit_count(F.shiftrightunsigned(q, 11))
+def differences(p: Column, q: Column, wide: Column) -> Column:
+    """In how many classes two lines differ, by the exclusive or of their parities; ``wide``: both are."""
+    odd = F.shiftrightunsigned(q, 11)
+    return F.when(wide, F.bit_count(odd) + F.bit_count(F.shiftrightunsigned(p, 11).bitwiseXOR(odd))).otherwise(F.bit_count(p))
 
 
 def near(p1: Column, q1: Column, p2: Column, q2: Column, t: float) -> Column:
     """Whether two lines may be similar, as far as sizes and parities tell."""
     n, m = size_of(q1), size_of(q2)
-    may = fits(n, m, t) & (differences(p1.bitwiseXOR(p2), q1.bitwiseXOR(q2)) <= apart(n + m, t))
+    may = fits(n, m, t) & (differences(p1.bitwiseXOR(p2), q1.bitwiseXOR(q2), (n > WIDE) & (m > WIDE)) <= apart(n + m, t))
     return may | (n == SIZES) | (m == SIZES)
 
 
@@ -185,9 +196,8 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
     texts, place = place_of(docs)
     # Only equality of prefix words matters from here on: 32 bits of each will do, a chance match fails a later test.
     prefix = F.transform(F.slice("keys", 1, prefix_length(F.col("n"), RUNS[0], t)), lambda k: F.hash(k))
-    lines = keyed_lines(texts.select("row", "id", "text"), rarity).withColumn("line", F.monotonically_increasing_id())
-    marks = [x.alias(c) for x, c in zip(parities("keys"), "pq", strict=True)]
-    lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("hash"), *marks, prefix.alias("prefix")), "line-sets")
+    lines = with_parities(keyed_lines(texts.select("row", "id", "text"), rarity)).withColumn("line", F.monotonically_increasing_id())
+    lines = materialise(lines.select("row", "number", place.alias("unit"), "n", F.xxhash64("keys").alias("hash"), "p", "q", prefix.alias("prefix")), "line-sets")
     units = materialise(lines.groupBy("n", "hash", "prefix").agg(F.min("unit").alias("unit"), F.min("p").alias("p"), F.min("q").alias("q")).select("unit", "n", "p", "q", "prefix"), "line-units")
 
     def sets(named: DataFrame) -> DataFrame:
@@ -213,7 +223,7 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
         Of two or three lines, only those that may be similar to another; the third's parities follow from those of all.
         The runs are shuffled once, for the aggregation and the join.
         """
-        rows = rows.repartition("key")
+        rows = rows.repartition(tasks, "key")
         by = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("unit").alias("head"), F.min_by("p", "unit").alias("ep"), F.min_by("q", "unit").alias("eq"), F.bit_xor("p").alias("xp"), F.bit_xor("q").alias("xq"))
         x, y = rows.alias("x"), by.filter("c > 1").alias("y").hint("shuffle_hash")
         third = (F.col("c") == 3) & (F.col("unit") != F.col("head")) & near(p, q, F.col("xp").bitwiseXOR(p).bitwiseXOR(ep), F.col("xq").bitwiseXOR(q).bitwiseXOR(eq), t)
@@ -226,6 +236,8 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
     before = (F.col("earlier") < F.col("unit")) & near(p, q, ep, eq, t)
     gone, keyed = None, None
     source, words = units.filter("n >= 4"), "prefix"  # smaller sets have no similar set but themselves
+    most = source.agg(F.sum(prefix_length(F.col("n"), RUNS[0], t))).first()[0] or 0
+    tasks = max(1, math.ceil(most / SLICES / RUNS_A_TASK))
     for r in RUNS:
         parts = range(SLICES) if r == RUNS[0] else [None]
         found = reduce(DataFrame.union, [shared(runs(source, words, r, t, part)) for part in parts])
@@ -248,12 +260,13 @@ def duplicate_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
             break
         # Those too small for longer runs, or all if there are no longer ones.
         small = least_size(r + 1, t) if r != RUNS[-1] else None
-        pool = crowd if small is None else crowd.filter(size_of(F.col("q")) < small / t)
-        whole = pool.join(keyed.select("unit", "keys"), "unit")
+        # Only sets of crowded lines go on, and only those that may meet here are shuffled.
+        source, words = keyed.join(sent(materialise(crowd.select("unit", "p", "q").distinct(), "line-crowd")), "unit"), "keys"
+        pool, own = (x if small is None else x.filter(size_of(F.col("q")) < small / t) for x in (crowd, source))
+        whole = pool.join(own.select("unit", "keys"), "unit")
         match = (F.col("x.key") == F.col("y.key")) & before & alike("x.keys", "y.v", t)
         held = without(whole, gone).alias("x").join(earlier_than(whole, F.col("keys").alias("v")).alias("y"), match, "left_semi")
         gone = materialise(gone.union(held.select("unit").distinct()), "line-gone")
-        source, words = keyed.join(sent(materialise(crowd.select("unit", "p", "q").distinct(), "line-crowd")), "unit"), "keys"
     kept = units.select("unit").join(gone, "unit", "left_anti")
     return lines.select("unit", "row", "number").join(kept, "unit", "left_anti").select("row", "number")
 

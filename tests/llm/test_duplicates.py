@@ -155,6 +155,29 @@ def test_line_dedup_crowds_are_no_pairs(spark, monkeypatch):
     assert any("Join LeftSemi" in p and "array_intersect" in p for p in made)
 
 
+@pytest.mark.parametrize("run_tasks", [500_000, 200])
+def test_line_dedup_about_wide_sets(spark, monkeypatch, run_tasks):
+    """Lines about the size from which second parities count, just over and under the threshold; runs are dealt by their number."""
+    import random
+
+    made, write = [], line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "RUNS_A_TASK", run_tasks)
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: made.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    rng, rows = random.Random(5), []
+    for i, size in enumerate((line_dedup.WIDE - 8, line_dedup.WIDE, line_dedup.WIDE + 1, line_dedup.WIDE + 9, 150)):
+        base = [f"w{i}x{j}" for j in range(size)]
+        most = int(size - 0.8 * size)  # words left out of a similar line
+        for k, (out, new) in enumerate([(0, 0), (most, 0), (most + 1, 0), (size // 9, size // 9), (size // 9 + 1, size // 9 + 1)]):
+            left = rng.sample(base, size - out) + [f"n{i}x{k}x{j}" for j in range(new)]
+            rng.shuffle(left)
+            rows.append((len(rows), " ".join(left)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], n) for r in line_dedup.removed_lines(docs).collect() for n in r["removed"]}
+    assert got == {(rows[k][0], n) for k, n in brute_lines(rows)} and len(got) > 5
+    dealt = [p.split("RepartitionByExpression [key#")[1].split("], ")[1].split()[0] for name, p in made if name == "line-runs"]
+    assert len(set(dealt)) == 1 and (int(dealt[0]) == 1) == (run_tasks == 500_000)
+
+
 def test_line_dedup_edges(odd, odd_rows, empty):
     docs = odd.coalesce(1)
     got = line_dedup.removed_lines(docs).collect()
