@@ -118,3 +118,15 @@ def test_points_at_one_place_meet_the_areas_once(spark):
     got = areas.points_in_areas(points, spark.createDataFrame([(7, 0, ring)], RINGS), "id", 50.0)
     assert "keys=[knownfloatingpointnormalized(normalizenanandzero(x" in got._jdf.queryExecution().executedPlan().toString()  # distinct places, before any join
     assert sorted(r["id"] for r in got.collect()) == [i for i in range(3000) if i % 3 < 2]
+
+
+def test_cells_of_areas_are_not_broadcast(spark):
+    """Tables of a known, small size: what areas are exploded into may be any size and stays off the driver. -0.0 is 0.0."""
+    corners = ", ".join(f"struct({x} + 400D * id AS x, {y} AS y)" for x, y in [("0D", "0D"), ("300D", "0D"), ("300D", "300D"), ("0D", "300D")])
+    rings = spark.range(3).select(F.col("id").alias("area_id"), F.lit(0).alias("ring"), F.expr(f"array({corners})").alias("points"))
+    points = spark.range(1200).select("id", F.expr("if(id = 0, -0D, cast(id AS double))").alias("x"), F.expr("if(id = 1, -0D, if(id % 2 = 0, 0D, 125D))").alias("y"))
+    got = areas.points_in_areas(points, rings, "id", 10.0)
+    plan = got._jdf.queryExecution().executedPlan()
+    assert "Broadcast" not in plan.toString()
+    assert sorted(map(tuple, got.collect())) == [(i, i // 400) for i in range(1200) if i % 400 <= 300]
+    assert "Broadcast" not in plan.toString()  # as it ran
